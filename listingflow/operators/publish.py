@@ -41,7 +41,8 @@ def write_csv(jobs: DataFrame, path: str) -> None:
     frame = csv_frame(jobs)
     marked = frame.withColumnRenamed(V.CSV_COLUMNS[0], "﻿" + V.CSV_COLUMNS[0])
     marked.write.mode("errorifexists").option("header", True).option("escape", '"').option(
-        "emptyValue", "").option("quoteAll", True).csv(path)
+        "emptyValue", "").option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def metadata(jobs: DataFrame, generation: str) -> DataFrame:

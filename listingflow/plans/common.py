@@ -16,6 +16,10 @@ def day(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def as_of() -> Column:
+    return F.lit(X.AS_OF).cast("date")
+
+
 def joined(c: Column, sep: str = "|") -> Column:
     return F.array_join(c, sep)
 
@@ -85,3 +89,38 @@ stat AS (SELECT *,
    FROM cnt),
 dense AS (SELECT *, LAG(status) OVER (PARTITION BY source_id, job_key ORDER BY run_date) AS prev_status FROM stat)
 """
+
+
+# --- SQL forms of shared text columns ----------------------------------------
+
+def sql_unescape(e: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        e = f"replace({e}, '{entity}', '{char}')"
+    return e
+
+
+def sql_inline(e: str) -> str:
+    flat = sql_unescape(f"regexp_replace({e}, '<[^>]*>', ' ', 'g')")
+    return f"trim(regexp_replace({flat}, '\\s+', ' ', 'g'))"
+
+
+def sql_clean(e: str) -> str:
+    line = f"trim(regexp_replace(x, '[\\t {chr(160)}]+', ' ', 'g'))"
+    return (f"array_to_string(list_filter(list_transform(string_split({e}, chr(10)), lambda x: {line}), "
+            f"lambda x: x <> ''), chr(10))")
+
+
+def sql_page_text(e: str) -> str:
+    for block in ("<!--.*?-->", "<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>",
+                  "<noscript[^>]*>.*?</noscript>", "<!doctype[^>]*>"):
+        e = f"regexp_replace({e}, '(?is){block}', '', 'g')"
+    e = f"regexp_replace({e}, '(?i)<br[^>]*>|</(p|li|tr|h[1-4])>', chr(10), 'g')"
+    return sql_clean(sql_unescape(f"regexp_replace({e}, '(?s)<[^>]*>', ' ', 'g')"))
+
+
+def sql_fold(e: str) -> str:
+    """Normalised text, for text whose compatibility form is itself."""
+    e = f"regexp_replace(lower({e}), '[‐‑‒–—−]', '-', 'g')"
+    e = f"regexp_replace({e}, '\\bpart[\\s-]*time\\b', 'parttime', 'g')"
+    e = f"regexp_replace({e}, '\\bfull[\\s-]*time\\b', 'fulltime', 'g')"
+    return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"

@@ -1 +1,138 @@
+"""Sinks: archive, feed, history, CSV, metadata, consistency, generation commit."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..functions.keys import fields_hash
+from ..operators import publish, reconcile
+from ..registry import query
+from ..session import work_path
+from .common import ACC, CARRY, DENSE, as_of, cte, day
+from .sequences import HISTORY, change_text, history_rows
+
+
+def records(spark, sf):
+    """Ads with private columns, as a canonical snapshot holds them."""
+    return X.ads(spark, sf).withColumn("match_text", F.col("text")).withColumn(
+        "content_hash", fields_hash([F.col("title"), F.col("text")])).withColumn(
+        "eligible_new_notification", F.lit(True)).withColumn("listing_fingerprint", F.lit("x"))
+
+
+@query("publish_archive", cte(X.ADS) + """
+SELECT id, doc_id, source_id, lang, title, text, status, employment_type, deadline_type,
+       CAST(deadline AS VARCHAR) AS deadline, CAST(posted_date AS VARCHAR) AS posted_date, detail_complete FROM ads""")
+def publish_archive(spark, sf):
+    root = work_path(spark, "archive")
+    reconcile.commit_generation(publish.public_columns(records(spark, sf)), root, X.AS_OF)
+    a = reconcile.read_current(spark, root)
+    return a.drop("first_seen").withColumn("deadline", day("deadline")).withColumn("posted_date", day("posted_date"))
+
+
+# A stated date that no reader can parse must not fall back to the first sighting.
+STATED = "CASE WHEN doc_id % 11 = 0 THEN '30+ days ago' ELSE CAST(posted_date AS {}) END"
+
+
+@query("publish_recent_feed", cte(X.ADS) + f"""
+, p AS (SELECT *, {STATED.format('VARCHAR')} AS posted FROM ads),
+q AS (SELECT *, CASE WHEN posted IS NOT NULL THEN TRY_CAST(posted AS DATE)
+                     ELSE CAST(first_seen + INTERVAL 8 HOUR AS DATE) END AS public_date FROM p)
+SELECT id, posted, CAST(first_seen AS VARCHAR) AS first_seen FROM q
+WHERE public_date IS NULL OR public_date >= DATE '2024-04-01' - 29""")
+def publish_recent_feed(spark, sf):
+    a = publish.public_columns(records(spark, sf)).withColumn("posted", F.expr(STATED.format("STRING")))
+    return publish.recent_feed(a, as_of(), "posted").select(
+        "id", "posted", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+@query("publish_history", cte(*ACC, CARRY, DENSE, HISTORY) + """
+SELECT source_id, job_key, CAST(happened AS VARCHAR) AS happened, kind, title, changes FROM history""")
+def publish_history(spark, sf):
+    path = work_path(spark, "history")
+    rows = history_rows(spark, sf).select("source_id", "job_key", day("at").alias("happened"), "kind", "title",
+                                          change_text().alias("changes"))
+    rows.write.mode("append").partitionBy("kind").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+_CELLS = {"title": "CASE doc_id % 5 WHEN 0 THEN '=1+1' WHEN 1 THEN ' +x' WHEN 2 THEN '-' || {t} WHEN 3 THEN '@\"a\"' ELSE title END"}
+
+
+def csv_records(spark, sf):
+    return X.ads(spark, sf).withColumn("title", F.expr(_CELLS["title"].format(t="title"))).withColumn(
+        "institution", F.col("source_id")).withColumn("subjects", F.expr(
+            "filter(array(named_struct('id', 'a', 'label', 'A' || lang), IF(doc_id % 2 = 0, named_struct('id', 'b', 'label', 'B'), NULL)), x -> x IS NOT NULL)")
+        ).withColumn("description", F.col("text")).withColumn("score", F.expr("doc_id % 100")).drop("first_seen")
+
+
+def _guard(expr: str) -> str:
+    return f"CASE WHEN regexp_matches({expr}, '^\\s*[=+@-]') THEN '''' || {expr} ELSE {expr} END"
+
+
+@query("publish_csv", cte(X.ADS, f"c AS (SELECT *, {_CELLS['title'].format(t='title')} AS t2 FROM ads)") + f"""
+SELECT source_id AS institution, {_guard('t2')} AS title, COALESCE(CAST(posted_date AS VARCHAR), '') AS posted_date,
+       CASE WHEN doc_id % 2 = 0 THEN 'A' || lang || ', B' ELSE 'A' || lang END AS subjects,
+       CAST(doc_id % 100 AS VARCHAR) AS score, '' AS department, {_guard('text')} AS description FROM c""")
+def publish_csv(spark, sf):
+    path = work_path(spark, "csv")
+    publish.write_csv(csv_records(spark, sf), path)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
+        "emptyValue", "").option("nullValue", "\u0000").csv(path)
+    back = back.withColumnRenamed(back.columns[0], "institution")
+    return back.select("institution", "title", "posted_date", "subjects", "score", "department", "description")
+
+
+@query("publish_metadata", cte(X.ADS) + """
+SELECT COUNT(*) AS total_jobs, SUM(CASE WHEN status = 'open' THEN 1 ELSE 0 END)::BIGINT AS n_open,
+       SUM(CASE WHEN status = 'closed' THEN 1 ELSE 0 END)::BIGINT AS n_closed,
+       SUM(CASE WHEN status = 'missing' THEN 1 ELSE 0 END)::BIGINT AS n_missing,
+       CAST(MAX(CAST(first_seen AS DATE)) AS VARCHAR) AS last_run, '2024-04-01' AS generation_id FROM ads""")
+def publish_metadata(spark, sf):
+    jobs = X.ads(spark, sf).withColumn("last_seen", F.to_date("first_seen"))
+    return publish.metadata(jobs, X.AS_OF).withColumn("last_run", day("last_run"))
+
+
+@query("snapshot_consistency", """
+WITH n AS (SELECT COUNT(*) > 0 AS has FROM documents)
+SELECT variant, same_generation, count_ok, unique_ok, subset_ok, same_generation AND count_ok AND unique_ok AND subset_ok AS consistent
+FROM (VALUES ('good', TRUE, TRUE, TRUE, TRUE), ('other generation', FALSE, TRUE, TRUE, TRUE), ('short', TRUE, FALSE, TRUE, FALSE),
+             ('repeated', TRUE, FALSE, FALSE, TRUE), ('replaced', TRUE, TRUE, TRUE, FALSE)) v(variant, same_generation, count_ok, unique_ok, subset_ok)
+WHERE (SELECT has FROM n)""")
+def snapshot_consistency(spark, sf):
+    a = X.ads(spark, sf)
+    feed = publish.recent_feed(a.withColumn("posted", F.col("posted_date").cast("string")), as_of(), "posted")
+    # Records whose hash id starts with 0 are lost, doubled or renamed in the tampered archives.
+    tagged = a.select("id", F.col("id").startswith("0").alias("hit"))
+    variants = F.expr("""filter(array(
+        named_struct('variant', 'good', 'id', id), named_struct('variant', 'other generation', 'id', id),
+        IF(hit, NULL, named_struct('variant', 'short', 'id', id)),
+        named_struct('variant', 'repeated', 'id', id), IF(hit, named_struct('variant', 'repeated', 'id', id), NULL),
+        named_struct('variant', 'replaced', 'id', IF(hit, concat(id, '-'), id))), x -> x IS NOT NULL)""")
+    archive = tagged.select(F.inline(variants))
+    names = ["good", "other generation", "short", "repeated", "replaced"]
+    feeds = feed.select("id", F.explode(F.array(*[F.lit(n) for n in names])).alias("variant"))
+    declared = a.agg(F.count("*").alias("declared_count")).select(
+        "declared_count", F.explode(F.array(*[F.lit(n) for n in names])).alias("variant")).withColumn(
+        "feed_generation", F.lit("g1")).withColumn(
+        "archive_generation", F.when(F.col("variant") == "other generation", "g0").otherwise("g1"))
+    return publish.consistency(feeds, archive, declared)
+
+
+@query("state_commit", cte(X.OBS) + """
+SELECT source_id, job_key, CAST(MAX(run_date) AS VARCHAR) AS last_seen, COUNT(*) AS n_seen FROM obs GROUP BY 1, 2""")
+def state_commit(spark, sf):
+    """Two generations of the state; the second is built from the first, which it replaces."""
+    root = work_path(spark, "state")
+    o = X.obs(spark, sf)
+    middle = F.lit("2024-01-16").cast("date")
+
+    def folded(df):
+        return df.groupBy("source_id", "job_key").agg(F.max("last_seen").alias("last_seen"), F.sum("n_seen").alias("n_seen"))
+
+    rows = o.select("source_id", "job_key", F.col("run_date").alias("last_seen"), F.lit(1).cast("bigint").alias("n_seen"))
+    reconcile.commit_generation(folded(rows.filter(F.col("last_seen") < middle)), root, "g1", ["source_id"])
+    merged = folded(reconcile.read_current(spark, root).select(rows.columns).unionByName(
+        rows.filter(F.col("last_seen") >= middle)))
+    reconcile.commit_generation(merged, root, "g2", ["source_id"])
+    return reconcile.read_current(spark, root).select(
+        F.col("source_id").cast("bigint").alias("source_id"), "job_key", day("last_seen").alias("last_seen"), "n_seen")
