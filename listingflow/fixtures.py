@@ -200,12 +200,20 @@ def _case(column: str, values: list[str], newline: str) -> str:
     return f"CASE {column} % {len(values)} {arms} END"
 
 
+def _advert_columns():
+    return [F.expr(_case("doc_id", _TITLES, "char(10)")).alias("title"),
+            F.expr(_case("doc_id", _DEPARTMENTS, "char(10)")).alias("department"),
+            F.expr("text || char(10) || " + _case("doc_id", _LINES, "char(10)")).alias("description")]
+
+
 def adverts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
-        "doc_id", F.col("source").alias("source_id"),
-        F.expr(_case("doc_id", _TITLES, "char(10)")).alias("title"),
-        F.expr(_case("doc_id", _DEPARTMENTS, "char(10)")).alias("department"),
-        F.expr("text || char(10) || " + _case("doc_id", _LINES, "char(10)")).alias("description"))
+    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), *_advert_columns())
+
+
+def search_ads(spark: SparkSession, sf: str) -> DataFrame:
+    """Ads with advertisement texts, as the search page sees them."""
+    a = ads(spark, sf)
+    return a.select(*[c for c in a.columns if c not in ("title", "text")], *_advert_columns())
 
 
 ADVERTS = f"""

@@ -1,15 +1,11 @@
 """Columns over raw HTML: built-in regular expressions, no parser in the hot path."""
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from .text import clean_text
 
-# Entities decoded inside the JVM; anything else takes the Arrow path below.
+# Everyday entities; other names and numbers go to the text library Spark ships.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
             ("&mdash;", "—"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘")]
@@ -17,17 +13,16 @@ _KNOWN = "lt|gt|quot|#39|apos|nbsp|copy|middot|ndash|mdash|hellip|rsquo|lsquo|am
 _RARE = rf"&(?!(?:{_KNOWN});)(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]+);"
 
 
-@F.pandas_udf(StringType())
-def _unescape_any(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else _html.unescape(v))
-
-
 def unescape(c: Column, rare_entities: bool = True) -> Column:
     out = c
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.coalesce(_unescape_any(F.when(c.rlike(_RARE), c)), out) if rare_entities else out
+    if not rare_entities:
+        return out
+    named = F.java_method(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"),
+                          F.replace(c, F.lit("&apos;"), F.lit("'")))
+    return F.when(c.rlike(_RARE), named).otherwise(out)
 
 
 def title(html: Column) -> Column:

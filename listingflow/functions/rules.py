@@ -1,10 +1,10 @@
 """Rule columns: role, employment kind and the text used for subject matching."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from .text import (contains_any, fold_text, matched_terms, nfkc, normalize_text, rx,
+from .text import (contains_any, fold_text, matched_terms, nfkc, normalize_text, rx, term_regex,
                    text_lines)
 
 
@@ -16,21 +16,35 @@ def role_of(title: Column, unicode_forms: bool = True) -> Column:
     return out.otherwise("other")
 
 
-def employment_of(title: Column, explicit: Column | None = None, body: Column | None = None,
-                  unicode_forms: bool = True) -> Column:
-    """Kind stated by the title or the list, else by a direct statement in the body."""
+def title_employment(title: Column, explicit: Column | None = None, unicode_forms: bool = True) -> Column:
+    """Kind stated by the title (cut before "for"/"to teach") or the list, else null."""
     head = F.regexp_extract(title, rx(rf"(?s)\A(.*?)(?:{V.TITLE_CUT}|\z)"), 1)
     primary = F.concat_ws(" ", head, explicit if explicit is not None else F.lit(""))
     primary = F.regexp_replace(normalize_text(primary, unicode_forms), V.FULLTIME_STUDY, "")
     part, full = primary.rlike(V.PART_WORDS), primary.rlike(V.FULL_WORDS)
-    out = (F.when(part & full, "mixed").when(part, "part-time")
-           .when(primary.rlike(V.HOURLY_TITLE), "hourly").when(full, "full-time"))
-    if body is not None:
-        # Cheap word test first: most bodies never need the wide patterns.
-        text = normalize_text(body, unicode_forms)
-        out = (out.when(text.contains("parttime") & text.rlike(V.PART_BODY), "part-time")
-               .when(text.contains("hourly rate") & text.rlike(V.HOURLY_BODY), "hourly"))
-    return out.otherwise("unknown")
+    return (F.when(part & full, "mixed").when(part, "part-time")
+            .when(primary.rlike(V.HOURLY_TITLE), "hourly").when(full, "full-time"))
+
+
+def body_employment(normalized: Column) -> Column:
+    """Kind from direct employment statements of a normalised body, else unknown."""
+    return (F.when(normalized.contains("parttime") & normalized.rlike(V.PART_BODY), "part-time")
+            .when(normalized.contains("hourly rate") & normalized.rlike(V.HOURLY_BODY), "hourly")
+            .otherwise("unknown"))
+
+
+def with_employment(df: DataFrame, title: Column, explicit: Column | None = None,
+                    body: Column | None = None, unicode_forms: bool = True) -> DataFrame:
+    """Add ``employment_type``.  Bodies are normalised once, and only where the title says
+    nothing; each step is a projection of its own so that no text is folded twice."""
+    out = df.withColumn("_stated", title_employment(title, explicit, unicode_forms))
+    if body is None:
+        return out.withColumn("employment_type", F.coalesce("_stated", F.lit("unknown"))).drop("_stated")
+    text = F.when(F.col("_stated").isNull(), F.coalesce(body, F.lit("")))
+    out = out.withColumn("_formed", nfkc(text) if unicode_forms else text).withColumn(
+        "_folded", fold_text(F.col("_formed")))
+    return out.withColumn("employment_type", F.coalesce("_stated", body_employment(F.col("_folded")))).drop(
+        "_stated", "_formed", "_folded")
 
 
 def _clean_line(line: Column) -> Column:
@@ -52,27 +66,36 @@ def subject_text(title: Column, department: Column, match_text: Column, descript
                     without_boilerplate(body))
 
 
-def subject_hits(text: Column, unicode_forms: bool = True) -> Column:
-    """Array of (subject, label, weight, terms, snippet), one per subject with a hit.
+def with_subject_hits(df: DataFrame, text: Column, unicode_forms: bool = True) -> DataFrame:
+    """Add ``hits``: an array of (subject, label, weight, terms, snippet).
 
-    The dictionary is configuration, so its terms become literals of the plan: the text
-    is normalised once, every subject is one scan, and no join or shuffle is needed.
+    The dictionary is configuration, so its terms are literals of the plan: no join and
+    no shuffle.  A text is normalised once (a projection of its own, or the optimiser
+    would repeat it per term); a term costs a plain substring scan and only texts that
+    hold it pay for the bounded pattern; lines are folded only for texts with a hit.
     """
-    formed = nfkc(text) if unicode_forms else text
-    whole = fold_text(formed)
-    lines = F.arrays_zip(text_lines(text).alias("raw"), text_lines(formed).alias("formed"))
-    out = []
-    for sid, label, weight, terms in V.SUBJECTS:
+    out = df.withColumn("_raw", text)
+    out = out.withColumn("_formed", nfkc(F.col("_raw")) if unicode_forms else F.col("_raw"))
+    out = out.withColumn("_folded", fold_text(F.col("_formed")))
+    found = [F.struct(F.lit(sid).alias("subject"), F.lit(label).alias("label"), F.lit(weight).alias("weight"),
+                      matched_terms(F.col("_folded"), terms).alias("terms"),
+                      F.lit("|".join(term_regex(t) for t in terms)).alias("regex"))
+             for sid, label, weight, terms in V.SUBJECTS]
+    out = out.withColumn("_found", F.filter(F.array(*found), lambda h: F.size(h["terms"]) > 0))
+    lines = F.arrays_zip(text_lines(F.col("_raw")).alias("raw"),
+                         F.transform(text_lines(F.col("_formed")), fold_text).alias("folded"))
+    out = out.withColumn("_lines", F.when(F.size("_found") > 0, lines))
+
+    def with_snippet(h):
         # A line holds one of the hits exactly when it holds one of the subject's terms.
-        snippet = F.try_element_at(
-            F.filter(lines, lambda p, ts=terms: contains_any(fold_text(p["formed"]), ts)), F.lit(1))
-        hits = matched_terms(whole, terms)
-        out.append(F.when(contains_any(whole, terms), F.struct(
-            F.lit(sid).alias("subject"), F.lit(label).alias("label"), F.lit(weight).alias("weight"),
-            hits.alias("terms"),
-            F.substring(F.coalesce(F.trim(snippet["raw"]), hits[0]), 1, V.SNIPPET_LIMIT)
-            .alias("snippet"))))
-    return F.array_compact(F.array(*out))
+        first = F.try_element_at(
+            F.filter("_lines", lambda p: F.regexp_like(p["folded"], h["regex"])), F.lit(1))
+        snippet = F.substring(F.coalesce(F.trim(first["raw"]), h["terms"][0]), 1, V.SNIPPET_LIMIT)
+        return F.struct(h["subject"].alias("subject"), h["label"].alias("label"), h["weight"].alias("weight"),
+                        h["terms"].alias("terms"), snippet.alias("snippet"))
+
+    return out.withColumn("hits", F.transform("_found", with_snippet)).drop(
+        "_raw", "_formed", "_folded", "_found", "_lines")
 
 
 def score_of(hits: Column, role: Column, employment: Column) -> Column:

@@ -4,9 +4,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from .. import fixed_values as V
 
@@ -31,14 +29,15 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(lines, f"(?U)\\A{_WS}+|{_WS}+\\z", "")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation; only texts it could change leave the JVM."""
-    return F.coalesce(_nfkc(F.when(c.rlike(_NFKC_STABLE), c)), c)
+    """Compatibility normalisation inside the JVM, by the ICU library Spark ships; only
+    texts it could change are handed over.
+
+    Spark counts a reflective call as non-deterministic, so use the result in a
+    projection.  That also keeps the optimiser from repeating what is built on it.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(_NFKC_STABLE), composed).otherwise(c)
 
 
 def fold_text(c: Column) -> Column:
@@ -51,8 +50,8 @@ def fold_text(c: Column) -> Column:
 
 
 def normalize_text(c: Column, unicode_forms: bool = True) -> Column:
-    """Normalised text; ``unicode_forms=False`` keeps the plan Python-free for text
-    that is known to be in composed form already."""
+    """Normalised text; ``unicode_forms=False`` skips the composition step for text that is
+    known to be in compatibility form already."""
     c = F.coalesce(c, F.lit(""))
     return fold_text(nfkc(c) if unicode_forms else c)
 
@@ -84,16 +83,19 @@ def term_regex(term: str, plural: bool = False) -> str | None:
 
 
 def contains_term(normalized: Column, term: str, plural: bool = False) -> Column:
+    """Bounded containment; the plain substring test spares most texts the pattern."""
     pattern = term_regex(term, plural)
-    return F.lit(False) if pattern is None else F.coalesce(normalized.rlike(pattern), F.lit(False))
+    if pattern is None:
+        return F.lit(False)
+    hit = normalized.contains(normalize_term(term)) & normalized.rlike(pattern)
+    return F.coalesce(hit, F.lit(False))
 
 
 def contains_any(normalized: Column, terms: list[str], plural: bool = False) -> Column:
-    """One alternation for a whole term list: a single scan of the text."""
-    patterns = [p for p in (term_regex(t, plural) for t in terms) if p]
-    if not patterns:
-        return F.lit(False)
-    return F.coalesce(normalized.rlike("|".join(patterns)), F.lit(False))
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | contains_term(normalized, t, plural)
+    return hit
 
 
 def matched_terms(normalized: Column, terms: list[str]) -> Column:

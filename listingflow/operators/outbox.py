@@ -35,10 +35,10 @@ def acknowledge(outbox: DataFrame, summaries: DataFrame) -> DataFrame:
     """
     children = summaries.select("summary_id", F.explode("events").alias("event_id")).groupBy("event_id").agg(
         F.min("summary_id").alias("summary_id"))
-    joined = outbox.join(children, "event_id", "left")
     hit = (F.col("state") == "pending") & F.col("summary_id").isNotNull()
-    return joined.withColumn("state", F.when(hit, "sent").otherwise(F.col("state"))).withColumn(
-        "summary_id", F.when(hit, F.col("summary_id")))
+    joined = outbox.join(children, "event_id", "left").withColumn("_hit", hit)
+    return joined.withColumn("state", F.when(F.col("_hit"), "sent").otherwise(F.col("state"))).withColumn(
+        "summary_id", F.when(F.col("_hit"), F.col("summary_id"))).drop("_hit")
 
 
 def new_job_message(institution: Column, title: Column, posted: Column, first_seen: Column, subjects: Column,

@@ -170,4 +170,7 @@ def match_saved_searches(ads: DataFrame, searches: list[SavedSearch], today: Col
     prepared = with_search_text(ads, unicode_forms)
     hits = F.array_compact(F.array(*[
         F.when(predicate(s, today), F.lit(s.name)) for s in searches]))
-    return prepared.withColumn("search", F.explode(hits)).drop("_all", "_subject", "_title")
+    # The outer form, because a derived "has matches" filter would be pushed below the
+    # normalising projection and fold every text once per term.
+    return prepared.withColumn("search", F.explode_outer(hits)).filter("search IS NOT NULL").drop(
+        "_all", "_subject", "_title")
