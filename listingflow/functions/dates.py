@@ -4,47 +4,40 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .text import clean_text, rx, text_lines
+from .text import clean_text, let, rx, text_lines
+
+
+_MONTHS = "," + ",".join(V.MONTH_NAMES)
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, month, day), "y-M-d")
 
 
-def _month_number(label: Column) -> Column:
-    """Month whose English name starts with the label; no number for other words."""
-    name = F.lower(label)
-    out = F.when(F.lit(V.MONTH_NAMES[0]).startswith(name), F.lit("1"))
-    for number, month in enumerate(V.MONTH_NAMES[1:], 2):
-        out = out.when(F.lit(month).startswith(name), F.lit(str(number)))
-    return out
+def _named_day(year: Column, label: Column, day: Column) -> Column:
+    """Date with a month given by the start of its English name; null for other words."""
+    short = F.initcap(F.substring(label, 1, 3))
+    known = F.lit(_MONTHS).contains(F.concat(F.lit(","), F.lower(label)))
+    return F.when(known, F.try_to_date(F.concat_ws(" ", day, short, year), "d MMM y"))
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(c, rx(pattern, False), group)
-    return F.nullif(found, F.lit(""))
+def _first_match(c: Column, pattern: str, build) -> Column:
+    """``build`` applied to the three groups of the first match, null without a match."""
+    pattern = rx(pattern, False)
+    return let(F.regexp_extract(c, pattern, 0), lambda m: F.when(m != "", build(
+        *[F.regexp_extract(m, pattern, i) for i in (1, 2, 3)])))
 
 
 def parse_date(c: Column) -> Column:
     """First stated date: Y-M-D, then D Month Y, then Month D, Y; an impossible date
     in one form falls through to the next."""
-    c = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), V.HYPHEN_DATE, "$1 $2 $3")
-
-    def all_parts(builder, *parts):
-        missing = parts[0].isNull()
-        for p in parts[1:]:
-            missing = missing | p.isNull()
-        return F.when(~missing, builder)
+    def forms(v):
+        return F.when(v.contains("20"), F.coalesce(
+            _first_match(v, V.YMD_DATE, lambda y, m, d: _day(y, m, d)),
+            _first_match(v, V.DMY_DATE, lambda d, m, y: _named_day(y, m, d)),
+            _first_match(v, V.MDY_DATE, lambda m, d, y: _named_day(y, m, d))))
 
-    y, m, d = (_part(c, V.YMD_DATE, i) for i in (1, 2, 3))
-    ymd = all_parts(_day(y, m, d), y, m, d)
-    d, m, y = (_part(c, V.DMY_DATE, i) for i in (1, 2, 3))
-    m = _month_number(m)
-    dmy = all_parts(_day(y, m, d), d, m, y)
-    m, d, y = (_part(c, V.MDY_DATE, i) for i in (1, 2, 3))
-    m = _month_number(m)
-    mdy = all_parts(_day(y, m, d), d, m, y)
-    return F.when(c.contains("20"), F.coalesce(ymd, dmy, mdy))
+    return let(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), V.HYPHEN_DATE, "$1 $2 $3"), forms)
 
 
 def strip_format_chars(c: Column) -> Column:
@@ -53,11 +46,13 @@ def strip_format_chars(c: Column) -> Column:
 
 def parse_date_locale(c: Column, date_order: Column) -> Column:
     """Stated date, else numeric D/M/Y for sources whose locale was verified as DMY."""
-    value = strip_format_chars(c)
     whole = r"(?U)\A\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](20\d{2})\s*\z"
-    d, m, y = (F.nullif(F.regexp_extract(value, whole, i), F.lit("")) for i in (1, 2, 3))
-    dmy = F.when((date_order == "DMY") & y.isNotNull(), _day(y, m, d))
-    return F.coalesce(parse_date(value), dmy)
+
+    def forms(v):
+        d, m, y = (F.regexp_extract(v, whole, i) for i in (1, 2, 3))
+        return F.coalesce(parse_date(v), F.when((date_order == "DMY") & v.rlike(whole), _day(y, m, d)))
+
+    return let(strip_format_chars(c), forms)
 
 
 def feed_date_mdy(c: Column) -> Column:
@@ -67,11 +62,9 @@ def feed_date_mdy(c: Column) -> Column:
 
 def feed_stamp_utc(c: Column) -> Column:
     """"Fri Sep 04 23:00:00 UTC 2026" -> local calendar date."""
-    month = _month_number(F.regexp_extract(c, r"\A\w{3} (\w{3}) ", 1))
-    rest = F.regexp_extract(c, r"\A\w{3} \w{3} (\d{1,2} \d{2}:\d{2}:\d{2}) UTC \d{4}\z", 1)
-    year = F.regexp_extract(c, r" UTC (\d{4})\z", 1)
-    stamp = F.try_to_timestamp(F.concat_ws(" ", year, month, rest), F.lit("y M d HH:mm:ss"))
-    return F.when(rest != "", utc_to_local_date(stamp))
+    shape = r"\A\w{3} (\w{3}) (\d{1,2} \d{2}:\d{2}:\d{2}) UTC (\d{4})\z"
+    parts = F.concat_ws(" ", *[F.regexp_extract(c, shape, i) for i in (3, 1, 2)])
+    return F.when(c.rlike(shape), utc_to_local_date(F.try_to_timestamp(parts, F.lit("y MMM d HH:mm:ss"))))
 
 
 def utc_to_local_date(ts: Column, zone: str = V.TIME_ZONE) -> Column:
@@ -96,52 +89,52 @@ def _result(day: Column, kind: str, raw: Column) -> Column:
                     raw.alias("deadline_raw"))
 
 
+def _first(found: Column) -> Column:
+    return F.try_element_at(F.filter(found, lambda r: r.isNotNull()), F.lit(1))
+
+
 def deadline_from(text: Column) -> Column:
     """Struct (deadline, deadline_type, deadline_raw) by label priority.
 
     Closing label (with the two lines after it) > review line > until-filled line.
-    Each rule is evaluated only for texts that hold its label at all.
+    Each rule looks at lines only in texts that hold its label at all.
     """
-    body = clean_text(text)
-    lines = text_lines(body)
     no_day = F.lit(None).cast("date")
 
-    def closing(line, i):
-        fragment = _fragment(lines, i, 3)
-        day = parse_date(fragment)
+    def closing(fragment, day):
         dated = _result(day, "closing", fragment)
-        return F.when(
+        return (F.when(fragment.rlike(rx(V.EARLIER_WORDS)) & day.isNotNull(), dated)
+                .when(fragment.rlike(rx(V.ONGOING_NEAR_LABEL)), _result(no_day, "until-filled", fragment))
+                .when(day.isNotNull(), dated))
+
+    def by_label(lines):
+        return _first(F.transform(lines, lambda line, i: F.when(
             line.rlike(rx(V.CLOSING_LABEL)),
-            F.when(fragment.rlike(rx(V.EARLIER_WORDS)) & day.isNotNull(), dated)
-            .when(fragment.rlike(rx(V.ONGOING_NEAR_LABEL)), _result(no_day, "until-filled", fragment))
-            .when(day.isNotNull(), dated))
+            let(_fragment(lines, i, 3), lambda f: let(parse_date(f), lambda d: closing(f, d))))))
+
+    def by_line(lines, pattern, kind, day_of):
+        line = F.try_element_at(F.filter(lines, lambda x: x.rlike(rx(pattern))), F.lit(1))
+        return let(line, lambda x: F.when(x.isNotNull(), _result(day_of(x), kind, F.substring(x, 1, V.FRAGMENT_LIMIT))))
 
-    def line_rule(pattern, kind, day_of):
-        def rule(line):
-            return F.when(line.rlike(rx(pattern)),
-                          _result(day_of(line), kind, F.substring(line, 1, V.FRAGMENT_LIMIT)))
-        return F.when(body.rlike(rx(pattern)), F.try_element_at(
-            F.filter(F.transform(lines, rule), lambda r: r.isNotNull()), F.lit(1)))
+    def rules(body):
+        lines = text_lines(body)
+        return F.coalesce(
+            F.when(body.rlike(rx(V.CLOSING_LABEL)), let(lines, by_label)),
+            F.when(body.rlike(rx(V.REVIEW_LABEL)), by_line(lines, V.REVIEW_LABEL, "review", parse_date)),
+            F.when(body.rlike(rx(V.ONGOING_LINE)), by_line(lines, V.ONGOING_LINE, "until-filled", lambda _: no_day)),
+            _result(no_day, "unknown", F.lit("")))
 
-    by_label = F.when(body.rlike(rx(V.CLOSING_LABEL)), F.try_element_at(
-        F.filter(F.transform(lines, closing), lambda r: r.isNotNull()), F.lit(1)))
-    return F.coalesce(by_label,
-                      line_rule(V.REVIEW_LABEL, "review", parse_date),
-                      line_rule(V.ONGOING_LINE, "until-filled", lambda _: no_day),
-                      _result(no_day, "unknown", F.lit("")))
+    return let(clean_text(text), rules)
 
 
 def posted_from(text: Column) -> Column:
     """Date on a line labelled as the posting date, or on the line after it."""
-    body = clean_text(text)
-    lines = text_lines(body)
+    def labelled(lines):
+        return _first(F.transform(lines, lambda line, i: F.when(
+            line.rlike(rx(V.POSTED_LABEL)), parse_date(F.array_join(F.slice(lines, i + 1, F.lit(2)), " ")))))
 
-    def posted(line, i):
-        return F.when(line.rlike(rx(V.POSTED_LABEL)),
-                      parse_date(F.array_join(F.slice(lines, i + 1, F.lit(2)), " ")))
-
-    return F.when(body.rlike(rx(V.POSTED_LABEL)), F.try_element_at(
-        F.filter(F.transform(lines, posted), lambda d: d.isNotNull()), F.lit(1)))
+    return let(clean_text(text), lambda body: F.when(
+        body.rlike(rx(V.POSTED_LABEL)), let(text_lines(body), labelled)))
 
 
 def explicit_apply_by(text: Column) -> Column:
@@ -153,6 +146,9 @@ def explicit_apply_by(text: Column) -> Column:
 
 
 def deadline_with_apply_by(text: Column) -> Column:
-    day = explicit_apply_by(text)
-    raw = F.concat(F.lit("Application deadline: "), F.date_format(day, "d MMMM y"))
-    return F.when(day.isNotNull(), _result(day, "closing", raw)).otherwise(deadline_from(text))
+    """Deadline of a detail page: a fixed apply-by date first, then the labelled lines."""
+    def choose(day):
+        raw = F.concat(F.lit("Application deadline: "), F.date_format(day, "d MMMM y"))
+        return F.when(day.isNotNull(), _result(day, "closing", raw)).otherwise(deadline_from(text))
+
+    return let(explicit_apply_by(text), choose)

@@ -4,26 +4,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from .text import (contains_any, fold_text, matched_terms, nfkc, normalize_text, rx, term_regex,
+from .text import (contains_any, fold_text, let, matched_terms, nfkc, normalize_text, rx, term_regex,
                    text_lines)
 
 
 def role_of(title: Column, unicode_forms: bool = True) -> Column:
-    value = normalize_text(title, unicode_forms)
-    out = F.when(value.rlike(rx(V.ADJUNCT_FACULTY, False)), F.lit("lecturer"))
-    for role, pattern in V.ROLE_PATTERNS:
-        out = out.when(value.rlike(rx(pattern, False)), F.lit(role))
-    return out.otherwise("other")
+    def role(value):
+        out = F.when(value.rlike(rx(V.ADJUNCT_FACULTY, False)), F.lit("lecturer"))
+        for name, pattern in V.ROLE_PATTERNS:
+            out = out.when(value.rlike(rx(pattern, False)), F.lit(name))
+        return out.otherwise("other")
+
+    return let(normalize_text(title, unicode_forms), role)
 
 
 def title_employment(title: Column, explicit: Column | None = None, unicode_forms: bool = True) -> Column:
     """Kind stated by the title (cut before "for"/"to teach") or the list, else null."""
+    def kind(primary):
+        part, full = primary.rlike(V.PART_WORDS), primary.rlike(V.FULL_WORDS)
+        return (F.when(part & full, "mixed").when(part, "part-time")
+                .when(primary.rlike(V.HOURLY_TITLE), "hourly").when(full, "full-time"))
+
     head = F.regexp_extract(title, rx(rf"(?s)\A(.*?)(?:{V.TITLE_CUT}|\z)"), 1)
     primary = F.concat_ws(" ", head, explicit if explicit is not None else F.lit(""))
-    primary = F.regexp_replace(normalize_text(primary, unicode_forms), V.FULLTIME_STUDY, "")
-    part, full = primary.rlike(V.PART_WORDS), primary.rlike(V.FULL_WORDS)
-    return (F.when(part & full, "mixed").when(part, "part-time")
-            .when(primary.rlike(V.HOURLY_TITLE), "hourly").when(full, "full-time"))
+    return let(F.regexp_replace(normalize_text(primary, unicode_forms), V.FULLTIME_STUDY, ""), kind)
 
 
 def body_employment(normalized: Column) -> Column:
@@ -113,7 +117,7 @@ def is_match(hits: Column, score: Column, role: Column, employment: Column, sour
     if require_part_time:
         ok = ok & employment.isin(*V.PART_TIME_KINDS)
     if exclude:
-        ok = ok & ~contains_any(normalize_text(searchable), list(exclude))
+        ok = ok & ~let(normalize_text(searchable), lambda text: contains_any(text, list(exclude)))
     if institutions:
         ok = ok & source_id.isin(*institutions)
     return ok

@@ -22,6 +22,15 @@ def rx(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuUd)" if ignore_case else "(?Ud)") + pattern
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used several times in one expression is otherwise repeated in the plan,
+    and a long chain of them outgrows a generated method.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_text(c: Column) -> Column:
     """Collapse blanks inside lines, trim lines, drop blank lines, keep line breaks."""
     blanks = F.regexp_replace(F.coalesce(c, F.lit("")), "[\\t \\u00a0]+", " ")

@@ -31,19 +31,19 @@ def bucketed_running_sum(df: DataFrame, keys: list[str], buckets: list[str], ord
             .drop("_inside", "_offset", *["_o_" + c for c in cols]))
 
 
-def ordered_rank(df: DataFrame, lead: list[Column], hex_id: str, out: str,
-                 keys: list[str] = ()) -> DataFrame:
-    """Row number by (lead, hex_id) ascending, per key or over the whole table.
+def ordered_rank(df: DataFrame, lead: list[Column], unique_id: str, out: str,
+                 keys: list[str] = (), prefix: int = 2) -> DataFrame:
+    """Row number by (lead, unique_id) ascending, per key or over the whole table.
 
-    ``hex_id`` is a unique hash id, so its first two digits split a day that holds
-    most rows into 256 even, ordered parts.
+    Ids are hashes, so their first ``prefix`` characters (two hex digits, plus any fixed
+    tag before them) split a day that holds most rows into even, ordered parts.
     """
     names = [f"_b{i}" for i in range(len(lead))]
     work = df
     for name, col in zip(names, lead):
         work = work.withColumn(name, col)
-    work = work.withColumn("_b_hex", F.substring(hex_id, 1, 2))
-    ranked = bucketed_running_sum(work, list(keys), names + ["_b_hex"], [F.col(hex_id)], F.lit(1), out)
+    work = work.withColumn("_b_hex", F.substring(unique_id, 1, prefix))
+    ranked = bucketed_running_sum(work, list(keys), names + ["_b_hex"], [F.col(unique_id)], F.lit(1), out)
     return ranked.drop("_b_hex", *names)
 
 

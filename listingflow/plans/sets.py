@@ -1 +1,62 @@
+"""Set operations."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import fixtures as X
+from ..operators import pages as P
+from ..operators import reconcile
+from ..registry import query
+from ..sources.tables import table
+from .common import joined
+from .extraction import LINKS
+
+
+@query("batch_union", """
+SELECT id, event_id, value FROM (SELECT user_id AS id, event_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
+  FROM events WHERE event_type IN ('view', 'click', 'error')) x WHERE rn = 1""")
+def batch_union(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "value", "event_type")
+    lists = [e.filter(F.col("event_type") == t).drop("event_type") for t in ("view", "click", "error")]
+    union = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return reconcile.dedupe(union, "id", "event_id", "last")
+
+
+@query("page_overlap", """
+SELECT l_orderkey AS listing_id, l_suppkey AS ref, COUNT(DISTINCT l_linenumber) AS n_pages FROM lineitem GROUP BY 1, 2
+HAVING COUNT(DISTINCT l_linenumber) > 1""")
+def page_overlap(spark, sf):
+    cells = X.listing_pages(spark, sf).groupBy("listing_id", F.col("l_suppkey").alias("ref"), "page").agg(F.lit(1).alias("x"))
+    return cells.groupBy("listing_id", "ref").agg(F.count("*").alias("n_pages")).filter("n_pages > 1")
+
+
+@query("link_set_equal", """
+WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x, regexp_extract_all(html, '<li><a href="([^",.]*)"', 1) AS y FROM pages),
+c AS (SELECT page_id, CAST(len(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))) AS BIGINT) AS only_links,
+             CAST(len(list_distinct(list_filter(y, lambda v: NOT list_contains(x, v)))) AS BIGINT) AS only_state FROM a)
+SELECT page_id, only_links, only_state, only_links = 0 AND only_state = 0 AS equal FROM c""")
+def link_set_equal(spark, sf):
+    anchors = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    declared = F.regexp_extract_all("html", F.lit('<li><a href="([^",.]*)"'), F.lit(1))
+    # Both sets come from one page, so the difference both ways stays inside its row.
+    d = table(spark, sf, "pages").select(
+        "page_id", F.size(F.array_except(anchors, declared)).cast("bigint").alias("only_links"),
+        F.size(F.array_except(declared, anchors)).cast("bigint").alias("only_state"))
+    return d.withColumn("equal", (F.col("only_links") == 0) & (F.col("only_state") == 0))
+
+
+@query("distinct_ordered", f"""WITH {LINKS},
+f AS (SELECT page_id, target, MIN(pos) AS first_pos FROM links GROUP BY 1, 2)
+SELECT page_id, string_agg(target, ' ' ORDER BY first_pos) AS targets FROM f GROUP BY 1""")
+def distinct_ordered(spark, sf):
+    firsts = P.links(table(spark, sf, "pages")).groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
+    # As many links as one page holds.
+    lists = firsts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "target"))).alias("t"))
+    return lists.select("page_id", joined(F.transform("t", lambda x: x["target"]), " ").alias("targets"))
+
+
+@query("frontier_diff", f"""WITH {LINKS}
+SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT url FROM pages)""")
+def frontier_diff(spark, sf):
+    p = table(spark, sf, "pages")
+    return P.frontier(P.links(p), p.select(F.col("url").alias("target")))
