@@ -16,7 +16,11 @@ AS_OF = "2024-04-01"
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(
+    return observations(table(spark, sf, "events"))
+
+
+def observations(events: DataFrame) -> DataFrame:
+    e = events.select(
         F.expr("user_id % 10").alias("source_id"),
         F.expr("CAST(get_json_object(props, '$.k') AS INT) % 20").alias("job_key"),
         F.to_date("ts").alias("run_date"),
@@ -59,7 +63,11 @@ obs AS (
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(
+    return run_evidence(table(spark, sf, "events"))
+
+
+def run_evidence(events: DataFrame) -> DataFrame:
+    e = events.select(
         F.expr("user_id % 10").alias("source_id"), F.to_date("ts").alias("run_date"), "event_type",
         F.expr("CAST(get_json_object(props, '$.k') AS INT) % 20").alias("job_key"))
     per_job = e.groupBy("source_id", "run_date", "job_key").agg(
@@ -141,7 +149,11 @@ health_runs AS (
 
 
 def ads(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return ads_of(table(spark, sf, "documents"))
+
+
+def ads_of(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "doc_id", F.col("source").alias("source_id"), "lang", "text",
         F.expr("substr(sha2(concat(source, char(0), CAST(doc_id AS STRING)), 256), 1, 24)").alias("id"),
         F.expr("substr(replace(text, char(10), ' '), 1, 80)").alias("title"),

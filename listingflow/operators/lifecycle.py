@@ -13,6 +13,7 @@ from .. import fixed_values as V
 from ..functions.keys import fields_hash
 
 JOB = ["source_id", "job_key"]
+SEED_TYPE = "struct<first_seen:date,detail_verified_at:date,changed_at:date>"
 
 
 def _history(df: DataFrame):
@@ -32,6 +33,8 @@ def carry_forward(obs: DataFrame) -> DataFrame:
     """Observed fields with verified values carried through incomplete reads.
 
     Each field has its own keep rule; a record's first observation is always kept.
+    A stored state row may lead a record's observations (``seed``: its first sighting,
+    last verified date and last change); it then acts as the record those were merged into.
     """
     over = _history(obs)
     first = F.row_number().over(_job_order()) == 1
@@ -39,9 +42,13 @@ def carry_forward(obs: DataFrame) -> DataFrame:
     strong = sure | ~F.col("deadline_type").isin(*V.WEAK_DEADLINES)
     closed = F.last(F.when(F.col("detail_complete") | F.col("source_closed"), F.col("source_closed")),
                     ignorenulls=True).over(over)
-    verified = F.max(F.when(F.col("detail_complete"), F.col("run_date"))).over(over)
+    if "seed" not in obs.columns:
+        obs = obs.withColumn("seed", F.lit(None).cast(SEED_TYPE))
+    read_on = F.when(F.col("seed").isNotNull(), F.col("seed.detail_verified_at")).when(
+        F.col("detail_complete"), F.col("run_date"))
+    verified = F.max(read_on).over(over)
     return obs.select(
-        *JOB, "run_date", "event_id", "value", "detail_complete",
+        *JOB, "run_date", "event_id", "value", "detail_complete", "seed",
         _kept(sure, F.col("title"), over).alias("title"),
         _kept(sure | (F.col("department") != ""), F.col("department"), over).alias("department"),
         _kept(sure | F.col("posted_date").isNotNull(), F.col("posted_date"), over).alias("posted_date"),
@@ -165,8 +172,10 @@ def current_state(line: DataFrame) -> DataFrame:
         "run_dates", "value", "content_hash"), "run_date")
     changed = F.col("before").isNull() | (F.col("before.content_hash") != F.col("content_hash")) | (
         F.col("before.status") != F.col("seen_status"))
-    last_change = F.greatest(F.when(changed, F.col("run_date")), F.col("missing_on"), F.col("closed_on"))
-    g = line.groupBy(*JOB).agg(F.min("run_date").alias("first_seen"), F.max("run_date").alias("last_seen"),
+    own_change = F.when(F.col("seed").isNotNull(), F.col("seed.changed_at")).when(changed, F.col("run_date"))
+    last_change = F.greatest(own_change, F.col("missing_on"), F.col("closed_on"))
+    first = F.coalesce("seed.first_seen", "run_date")
+    g = line.groupBy(*JOB).agg(F.min(first).alias("first_seen"), F.max("run_date").alias("last_seen"),
                                F.max(last_change).alias("changed_at"), last.alias("s"))
     return g.select(*JOB, "first_seen", "last_seen", "changed_at", "s.*").withColumnRenamed(
         "end_status", "status").withColumnRenamed("missed", "missing_count")

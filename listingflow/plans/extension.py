@@ -1 +1,40 @@
+"""Extraction by name and by configuration."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import pages as P
+from ..registry import query
+from ..sources.tables import table
+from .common import sql_inline
+from .extraction import LINKS
+
+_ADAPTER = "CASE page_id % 3 WHEN 0 THEN 'headings' WHEN 1 THEN 'links' ELSE 'unheard-of' END"
+
+
+@query("extractor_registry", f"""WITH {LINKS}
+SELECT page_id, 'headings' AS extractor, 0 AS pos, {sql_inline("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, '' AS reject
+FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'links', pos, text, '' FROM links WHERE page_id % 3 = 1 AND href <> '' AND text <> ''
+UNION ALL SELECT page_id, '', 0, '', 'unknown extractor: unheard-of' FROM pages WHERE page_id % 3 = 2""")
+def extractor_registry(spark, sf):
+    pages = table(spark, sf, "pages").withColumn("adapter", F.expr(_ADAPTER))
+    rows, unknown = P.run_extractors(pages)
+    return rows.select("page_id", "extractor", "pos", "title", F.lit("").alias("reject")).unionByName(
+        unknown.select("page_id", F.lit("").alias("extractor"), F.lit(0).alias("pos"), F.lit("").alias("title"), "reject"))
+
+
+NAVIGATION = P.Patterns(
+    row=r"(?is)<li\b[^>]*>.*?</li>", title=r"(?is)<a\b[^>]*>(.*?)</a>", link=r'(?i)href="([^"]*)"',
+    reference=r'(?i)href="/([^"]*)"')
+
+
+@query("config_extractor", f"""
+WITH r AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '(?is)<li>.*?</li>') AS li FROM pages),
+u AS (SELECT page_id, origin, li, unnest(range(len(li))) AS pos FROM r),
+f AS (SELECT page_id, CAST(pos AS INT) AS pos, {sql_inline("regexp_extract(li[pos + 1], '(?is)<a[^>]*>(.*?)</a>', 1)")} AS title, origin,
+             {sql_inline("regexp_extract(li[pos + 1], 'href=" + chr(34) + "([^" + chr(34) + "]*)', 1)")} AS href FROM u)
+SELECT page_id, pos, title, origin || href AS target, substr(href, 2) AS reference, CASE WHEN href = '' THEN 'missing link' WHEN title = '' THEN 'missing title' ELSE '' END AS reject FROM f""")
+def config_extractor(spark, sf):
+    return P.configured(table(spark, sf, "pages"), NAVIGATION).select(
+        "page_id", "pos", "title", "target", "reference", F.coalesce("reject", F.lit("")).alias("reject"))

@@ -1 +1,153 @@
+"""Streaming twins of the batch operators; each must equal a batch statement."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import fixed_values as V
+from .. import fixtures as X
+from ..operators import outbox, search
+from ..registry import query
+from ..session import work_path
+from ..sources.tables import table
+from ..streaming import health as stream_health_ops
+from ..streaming.reconcile import StreamingState
+from ..streaming.runner import drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
+from .common import ACC, CARRY, DENSE, cte, day
+from .sequences import STATE
+
+
+@query("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")
+def stream_dedupe(spark, sf):
+    # Every event is delivered twice; the state forgets ids once the watermark passed them.
+    e = utc_events(table_stream(spark, sf, "events")).withWatermark("ts", "1 day")
+    twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = twice.dropDuplicatesWithinWatermark(["event_id"])
+    return to_table(once.select("event_id", "user_id", "event_type", "value"), "stream-dedupe")
+
+
+def reconciled(spark, sf):
+    """Events landed in three steps: the first half, the rest, and a late replay."""
+    events = table(spark, sf, "events")
+    landing, checkpoint = work_path(spark, "landing"), work_path(spark, "reconcile-checkpoint")
+    state = StreamingState(spark, work_path(spark, "reconcile"), X.observations, X.run_evidence)
+    middle, late = "ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-07 00:00:00'"
+    for step in (middle, f"NOT ({middle})", late):
+        events.filter(step).write.mode("append").parquet(landing)
+        drain(stream_of(spark, landing, events), state.apply, checkpoint)
+    return state
+
+
+@query("stream_reconcile", cte(*ACC, CARRY, DENSE, STATE) + """
+SELECT s.source_id, s.job_key, s.first_seen, s.last_seen, s.missing_count, s.status, c.title, c.department,
+       CAST(c.deadline AS VARCHAR) AS deadline, c.deadline_type, c.source_closed
+FROM state s JOIN carried c ON c.source_id = s.source_id AND c.job_key = s.job_key AND c.run_date = s.last_date""")
+def stream_reconcile(spark, sf):
+    return reconciled(spark, sf).read("state").select(
+        "source_id", "job_key", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"),
+        F.col("missing_count").cast("bigint").alias("missing_count"), "status", "title", "department",
+        day("deadline").alias("deadline"), "deadline_type", "source_closed")
+
+
+@query("stream_late", cte(X.OBS) + """
+SELECT late, COUNT(*) AS n FROM (SELECT FALSE AS late FROM obs UNION ALL
+  SELECT TRUE FROM obs WHERE run_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-06') x GROUP BY 1""")
+def stream_late(spark, sf):
+    # Runs older than the folded state never regress it; they are dropped and counted.
+    return reconciled(spark, sf).late_counts().groupBy("late").agg(F.sum("n").alias("n"))
+
+
+@query("stream_outbox", """
+WITH q AS (SELECT user_id, MIN(CAST(ts AS DATE)) AS d FROM events WHERE event_type = 'signup' GROUP BY 1),
+held AS (SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'sent' ELSE 'suppressed' END AS state FROM events WHERE user_id % 4 < 2 GROUP BY 1, 2)
+SELECT 'new:' || COALESCE(q.user_id, h.user_id) AS event_id, CASE WHEN h.state = 'sent' THEN 'sent' WHEN q.user_id IS NULL THEN h.state ELSE 'pending' END AS state,
+       CASE WHEN COALESCE(h.state, '') <> 'sent' THEN CAST(q.d AS VARCHAR) END AS created_at
+FROM q FULL OUTER JOIN held h ON h.user_id = q.user_id""")
+def stream_outbox(spark, sf):
+    """Queueing through a stream: an id that is pending or sent is never queued again."""
+    events = table(spark, sf, "events")
+    path = work_path(spark, "outbox")
+    held = events.filter("user_id % 4 < 2").select("user_id").distinct().select(
+        F.concat(F.lit("new:"), "user_id").alias("event_id"),
+        F.when(F.col("user_id") % 4 == 0, "sent").otherwise("suppressed").alias("state"),
+        F.lit(None).cast("date").alias("created_at"), F.lit(-1).cast("bigint").alias("seq"))
+    held.write.parquet(path + "/batch=-1")
+
+    def current(upto):
+        rows = spark.read.parquet(path).filter(F.col("batch") < upto)
+        return rows.groupBy("event_id").agg(F.max_by(F.struct("state", "created_at"), "seq").alias("r")).select(
+            "event_id", "r.*")
+
+    def apply(batch, batch_id):
+        wanted = batch.filter("event_type = 'signup'").groupBy("user_id").agg(F.min(F.to_date("ts")).alias("created_at"))
+        wanted = wanted.select(F.concat(F.lit("new:"), "user_id").alias("event_id"), "created_at")
+        live = current(batch_id).filter(F.col("state").isin("pending", "sent")).select("event_id")
+        fresh = wanted.join(live, "event_id", "left_anti").withColumn("state", F.lit("pending")).withColumn(
+            "seq", F.lit(batch_id).cast("bigint"))
+        # Named by the batch, so a repeated batch replaces its own rows.
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    drain(table_stream(spark, sf, "events"), apply, path + "-checkpoint")
+    return current(2**62).withColumn("created_at", day("created_at"))
+
+
+_CLOSED = """
+e AS (SELECT user_id % 10 AS source_id, ts, CAST(ts + INTERVAL 8 HOUR AS DATE) AS d, event_type FROM events),
+mx AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS wm FROM events),
+h0 AS (SELECT source_id, d, ROUND(CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*), 4) AS err_ratio FROM e GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN err_ratio <= 0.15 THEN 'ok' WHEN err_ratio <= 0.25 THEN 'partial' ELSE 'error' END AS status FROM h0
+      WHERE CAST(d AS TIMESTAMP) + INTERVAL 16 HOUR <= (SELECT wm FROM mx))
+"""
+
+
+@query("stream_health", "WITH " + _CLOSED.strip() + """,
+p AS (SELECT *, LAG(status) OVER (PARTITION BY source_id ORDER BY d) AS before FROM h)
+SELECT source_id, CAST(d AS VARCHAR) AS day, status, err_ratio, CASE WHEN status = 'ok' THEN 'recovered' WHEN before IS NULL THEN 'started' ELSE 'changed' END AS change
+FROM p WHERE status IS DISTINCT FROM before AND NOT (before IS NULL AND status = 'ok')""")
+def stream_health(spark, sf):
+    e = utc_events(table_stream(spark, sf, "events")).select(F.expr("user_id % 10").alias("source_id"), "ts", "event_type")
+    with with_rocksdb(spark):
+        return to_table(stream_health_ops.transitions(e), "stream-health")
+
+
+@query("stream_digest", "WITH " + _CLOSED.strip() + """
+SELECT CAST(d AS VARCHAR) AS day, COUNT(*) AS n_problems FROM h WHERE status <> 'ok' GROUP BY 1""")
+def stream_digest(spark, sf):
+    """One digest per closed local day: sources that were not well."""
+    e = utc_events(table_stream(spark, sf, "events")).select(F.expr("user_id % 10").alias("source_id"), "ts", "event_type")
+    rows = to_table(stream_health_ops.daily_health(e), "stream-digest")
+    return rows.filter("status <> 'ok'").groupBy("day").agg(F.count("*").alias("n_problems"))
+
+
+@query("stream_stale", f"""
+WITH g AS (SELECT user_id AS source_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {V.STALE_AFTER_HOURS} HOUR THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT *, SUM(starts) OVER (PARTITION BY source_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g),
+w AS (SELECT source_id, n, MIN(ts) AS first_run, MAX(ts) AS last_run, COUNT(*) AS n_runs FROM s GROUP BY 1, 2)
+SELECT source_id, strftime(first_run, '%Y-%m-%d %H:%M:%S') AS first_run, strftime(last_run + INTERVAL {V.STALE_AFTER_HOURS} HOUR, '%Y-%m-%d %H:%M:%S') AS stale_from, n_runs
+FROM w WHERE last_run + INTERVAL {V.STALE_AFTER_HOURS} HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_stale(spark, sf):
+    """Spells of fresh listings; a spell that ended names the time its source went stale."""
+    e = utc_events(table_stream(spark, sf, "events")).withWatermark("ts", "1 hour")
+    spells = e.groupBy(F.session_window("ts", f"{V.STALE_AFTER_HOURS} hours").alias("w"), F.col("user_id").alias("source_id")).agg(
+        F.count("*").alias("n_runs"))
+    rows = to_table(spells.select("source_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_runs"), "stream-stale")
+    shape = "yyyy-MM-dd HH:mm:ss"
+    return rows.select("source_id", F.date_format("start", shape).alias("first_run"),
+                       F.date_format("end", shape).alias("stale_from"), "n_runs")
+
+
+@query("stream_retention", cte(X.ADS) + """, f AS (SELECT id, COALESCE(posted_date, CAST(first_seen + INTERVAL 8 HOUR AS DATE)) AS d FROM ads)
+SELECT id, CAST(d AS VARCHAR) AS effective_date FROM f WHERE d >= (SELECT MAX(d) FROM f) - 29""")
+def stream_retention(spark, sf):
+    """Rolling feed: each batch lands by day, the reader keeps the last thirty days."""
+    path = work_path(spark, "feed")
+
+    def apply(batch, batch_id):
+        rows = X.ads_of(batch).select("id", search.effective_date().alias("effective_date"))
+        # Replacing the batch's own folder makes a repeated delivery harmless.
+        rows.write.mode("overwrite").partitionBy("effective_date").parquet(f"{path}/batch={batch_id}")
+
+    drain(table_stream(spark, sf, "documents"), apply, path + "-checkpoint")
+    feed = spark.read.schema("id string, batch bigint, effective_date date").parquet(path)
+    newest = feed.agg(F.max("effective_date").alias("newest"))
+    return feed.join(newest, F.col("effective_date") >= F.date_sub("newest", V.FEED_DAYS - 1), "left_semi").select(
+        "id", day("effective_date").alias("effective_date"))
