@@ -64,12 +64,15 @@ PART_BODY = (r"(recruiting|appoint(?:ment|ed)?|employ(?:ed|ment)?).{0,60}"
 HOURLY_BODY = r"(salary|remuneration).{0,60}hourly rate"
 
 # --- text cleaned before subject matching ----------------------------------
-FOOTER_LINE = (r"equal opportunit|committed to equality|code of conduct|ethical conduct|"
-               r"professional integrity")
 DEGREE_PHRASE = r"(?:doctor|master) of philosophy|teaching philosophy|personal philosophy"
 APPLICANT_LINE = r"(applicants?|candidates?).{0,90}(?:possess|have|demonstrate)|具備.{0,30}能力"
 TEACHING_LINE = r"teach|course|curriculum|授課|教授"
 SKILL_PHRASE = r"critical thinking|批判思考|批判性思維"
+# The lower-case wordings behind the three patterns, for plain substring tests.
+FOOTER_WORDS = ["equal opportunit", "committed to equality", "code of conduct", "ethical conduct",
+                "professional integrity"]
+DEGREE_WORDS = ["doctor of philosophy", "master of philosophy", "teaching philosophy", "personal philosophy"]
+SKILL_WORDS = ["critical thinking", "批判思考", "批判性思維"]
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
 
 # --- dates -----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from .text import (contains_any, fold_text, let, matched_terms, nfkc, normalize_text, rx, term_regex,
+from .text import (contains_any, fold_text, holds, let, line_holds_any, matched_terms, nfkc, normalize_text, rx,
                    text_lines)
 
 
@@ -52,16 +52,26 @@ def with_employment(df: DataFrame, title: Column, explicit: Column | None = None
 
 
 def _clean_line(line: Column) -> Column:
-    line = F.regexp_replace(line, rx(V.DEGREE_PHRASE), "")
-    generic = line.rlike(rx(V.APPLICANT_LINE)) & ~line.rlike(rx(V.TEACHING_LINE))
-    return F.when(generic, F.regexp_replace(line, rx(V.SKILL_PHRASE), "")).otherwise(line)
+    """A line as it counts for subjects; null for a footer line."""
+    def rules(low):
+        plain = F.regexp_replace(line, rx(V.DEGREE_PHRASE), "")
+        generic = holds(low, V.SKILL_WORDS) & line.rlike(rx(V.APPLICANT_LINE)) & ~line.rlike(rx(V.TEACHING_LINE))
+        return (F.when(holds(low, V.FOOTER_WORDS), F.lit(None).cast("string"))
+                .when(generic, F.regexp_replace(plain, rx(V.SKILL_PHRASE), ""))
+                .when(holds(low, V.DEGREE_WORDS), plain).otherwise(line))
+
+    return let(F.lower(line), rules)
 
 
 def without_boilerplate(text: Column) -> Column:
-    """Drop employer footers, degree names and generic applicant skills, line by line."""
-    marks = "|".join([V.FOOTER_LINE, V.DEGREE_PHRASE, V.APPLICANT_LINE])
-    kept = F.filter(text_lines(text), lambda line: ~line.rlike(rx(V.FOOTER_LINE)))
-    return F.when(text.rlike(rx(marks)), F.array_join(F.transform(kept, _clean_line), "\n")).otherwise(text)
+    """Drop employer footers, degree names and generic applicant skills, line by line.
+
+    Most texts and lines hold none of the phrases: plain substring tests, far cheaper
+    than the patterns, let them through untouched.
+    """
+    phrases = V.FOOTER_WORDS + V.DEGREE_WORDS + V.SKILL_WORDS
+    cleaned = F.array_join(F.array_compact(F.transform(text_lines(text), _clean_line)), "\n")
+    return F.when(let(F.lower(text), lambda low: holds(low, phrases)), cleaned).otherwise(text)
 
 
 def subject_text(title: Column, department: Column, match_text: Column, description: Column) -> Column:
@@ -70,36 +80,38 @@ def subject_text(title: Column, department: Column, match_text: Column, descript
                     without_boilerplate(body))
 
 
+def _snippet(terms: list[str], fallback: Column) -> Column:
+    """First raw line whose folded form holds a term; a term that only appears across a
+    line break has no such line, then the term itself is the evidence."""
+    first = F.try_element_at(F.filter("_lines", lambda p: line_holds_any(p["low"], terms)), F.lit(1))
+    return F.substring(F.coalesce(F.trim(first["raw"]), fallback), 1, V.SNIPPET_LIMIT)
+
+
 def with_subject_hits(df: DataFrame, text: Column, unicode_forms: bool = True) -> DataFrame:
     """Add ``hits``: an array of (subject, label, weight, terms, snippet).
 
     The dictionary is configuration, so its terms are literals of the plan: no join and
     no shuffle.  A text is normalised once (a projection of its own, or the optimiser
     would repeat it per term); a term costs a plain substring scan and only texts that
-    hold it pay for the bounded pattern; lines are folded only for texts with a hit.
+    hold it pay for the bounded pattern; lines are folded only where a term may be.
     """
     out = df.withColumn("_raw", text)
     out = out.withColumn("_formed", nfkc(F.col("_raw")) if unicode_forms else F.col("_raw"))
     out = out.withColumn("_folded", fold_text(F.col("_formed")))
-    found = [F.struct(F.lit(sid).alias("subject"), F.lit(label).alias("label"), F.lit(weight).alias("weight"),
-                      matched_terms(F.col("_folded"), terms).alias("terms"),
-                      F.lit("|".join(term_regex(t) for t in terms)).alias("regex"))
-             for sid, label, weight, terms in V.SUBJECTS]
-    out = out.withColumn("_found", F.filter(F.array(*found), lambda h: F.size(h["terms"]) > 0))
+    found = {sid: f"_terms_{i}" for i, (sid, *_) in enumerate(V.SUBJECTS)}
+    out = out.withColumns({found[sid]: matched_terms(F.col("_folded"), terms) for sid, _, _, terms in V.SUBJECTS})
+    any_hit = F.lit(False)
+    for name in found.values():
+        any_hit = any_hit | (F.size(name) > 0)
     lines = F.arrays_zip(text_lines(F.col("_raw")).alias("raw"),
-                         F.transform(text_lines(F.col("_formed")), fold_text).alias("folded"))
-    out = out.withColumn("_lines", F.when(F.size("_found") > 0, lines))
-
-    def with_snippet(h):
-        # A line holds one of the hits exactly when it holds one of the subject's terms.
-        first = F.try_element_at(
-            F.filter("_lines", lambda p: F.regexp_like(p["folded"], h["regex"])), F.lit(1))
-        snippet = F.substring(F.coalesce(F.trim(first["raw"]), h["terms"][0]), 1, V.SNIPPET_LIMIT)
-        return F.struct(h["subject"].alias("subject"), h["label"].alias("label"), h["weight"].alias("weight"),
-                        h["terms"].alias("terms"), snippet.alias("snippet"))
-
-    return out.withColumn("hits", F.transform("_found", with_snippet)).drop(
-        "_raw", "_formed", "_folded", "_found", "_lines")
+                         text_lines(F.lower("_formed")).alias("low"))
+    out = out.withColumn("_lines", F.when(any_hit, lines))
+    hits = [F.when(F.size(found[sid]) > 0, F.struct(
+        F.lit(sid).alias("subject"), F.lit(label).alias("label"), F.lit(weight).alias("weight"),
+        F.col(found[sid]).alias("terms"), _snippet(terms, F.col(found[sid])[0]).alias("snippet")))
+        for sid, label, weight, terms in V.SUBJECTS]
+    return out.withColumn("hits", F.array_compact(F.array(*hits))).drop(
+        "_raw", "_formed", "_folded", "_lines", *found.values())
 
 
 def score_of(hits: Column, role: Column, employment: Column) -> Column:

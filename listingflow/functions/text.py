@@ -40,21 +40,37 @@ def clean_text(c: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation inside the JVM, by the ICU library Spark ships; only
-    texts it could change are handed over.
+    texts it could change are handed over (never plain ASCII or everyday Latin text).
 
     Spark counts a reflective call as non-deterministic, so use the result in a
     projection.  That also keeps the optimiser from repeating what is built on it.
     """
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(c.rlike(_NFKC_STABLE), composed).otherwise(c)
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, c).when(c.rlike(_NFKC_STABLE), composed).otherwise(c)
+
+
+def holds(c: Column, pieces) -> Column:
+    hit = F.lit(False)
+    for piece in pieces:
+        hit = hit | c.contains(piece)
+    return hit
+
+
+def _one_word(c: Column) -> Column:
+    for word in ("part", "full"):
+        c = F.regexp_replace(c, rx(rf"\b{word}[\s-]*time\b", False), word + "time")
+    return c
 
 
 def fold_text(c: Column) -> Column:
-    """The part of normalisation after NFKC: case, dashes, part/full time, blanks."""
-    c = F.lower(c)
-    c = F.regexp_replace(c, f"[{V.DASHES}]", "-")
-    c = F.regexp_replace(c, rx(r"\bpart[\s-]*time\b", False), "parttime")
-    c = F.regexp_replace(c, rx(r"\bfull[\s-]*time\b", False), "fulltime")
+    """The part of normalisation after NFKC: case, dashes, part/full time, blanks.
+
+    Substring tests decide whether a rewrite can change a text before it runs over it.
+    """
+    c = let(F.lower(c), lambda v: F.when(
+        holds(v, V.DASHES), F.translate(v, V.DASHES, "-" * len(V.DASHES))).otherwise(v))
+    c = let(c, lambda v: F.when(v.contains("time"), _one_word(v)).otherwise(v))
     return F.trim(F.regexp_replace(c, f"(?U){_WS}+", " "))
 
 
@@ -100,6 +116,18 @@ def contains_term(normalized: Column, term: str, plural: bool = False) -> Column
     return F.coalesce(hit, F.lit(False))
 
 
+def anchor(term: str) -> str:
+    """A piece every text that holds the term must hold before blanks and dashes are folded."""
+    words = [w for w in re.split(r"[\s-]+", normalize_term(term)) if "parttime" not in w and "fulltime" not in w]
+    return max(words, key=len, default="")
+
+
+def line_holds_any(lowered: Column, terms: list[str]) -> Column:
+    """Whether a lower-case line holds one of the terms; only candidate lines are folded."""
+    pieces = sorted({anchor(t) for t in terms if normalize_term(t)})
+    return holds(lowered, pieces) & let(fold_text(lowered), lambda f: contains_any(f, terms))
+
+
 def contains_any(normalized: Column, terms: list[str], plural: bool = False) -> Column:
     hit = F.lit(False)
     for t in terms:
