@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .sources.tables import table
+from .sources.tables import table, text_table
 
 AS_OF = "2024-04-01"
 
@@ -219,12 +219,12 @@ def _advert_columns():
 
 
 def adverts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), *_advert_columns())
+    return text_table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_id"), *_advert_columns())
 
 
 def search_ads(spark: SparkSession, sf: str) -> DataFrame:
     """Ads with advertisement texts, as the search page sees them."""
-    a = ads(spark, sf)
+    a = ads_of(text_table(spark, sf, "documents"))
     return a.select(*[c for c in a.columns if c not in ("title", "text")], *_advert_columns())
 
 
@@ -241,7 +241,7 @@ adverts AS (
 
 
 def date_texts(spark: SparkSession, sf: str) -> DataFrame:
-    y = table(spark, sf, "orders").select(
+    y = text_table(spark, sf, "orders").select(
         "o_orderkey", F.expr("date_add(CAST(o_orderdate AS DATE), 9131)").alias("d"))
     f1, f2 = "date_format(d, 'd MMMM yyyy')", "date_format(d, 'MMMM d, yyyy')"
     f3, f4 = "date_format(d, 'yyyy年M月d日')", "date_format(d, 'd-MMM-yyyy')"

@@ -6,8 +6,6 @@ bucket and the few bucket totals, aggregated map-side, supply the offsets.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -15,20 +13,17 @@ def bucketed_running_sum(df: DataFrame, keys: list[str], buckets: list[str], ord
                          value: Column, out: str) -> DataFrame:
     """Exact running sum of ``value`` per key in (buckets, order) order.
 
-    ``buckets`` are columns, ascending, that precede ``order`` in the sort; their number
-    per key must be bounded (calendar days, two hex digits of a hash).
+    ``buckets`` are non-null columns, ascending, that precede ``order`` in the sort; their
+    number per key must be bounded (calendar days, two hex digits of a hash).  The join
+    uses the window's own partitioning, so the rows are shuffled once.
     """
     cols = keys + buckets
     inside = Window.partitionBy(*cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*cols).agg(F.sum(value).alias("_t"))
-    offsets = totals.select(*[F.col(c).alias("_o_" + c) for c in cols],
-                            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
-    rows = df.withColumn("_inside", F.sum(value).over(inside))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_o_" + c)) for c in cols])
-    return (rows.join(offsets, same, "left")
-            .withColumn(out, F.col("_inside") + F.col("_offset"))
-            .drop("_inside", "_offset", *["_o_" + c for c in cols]))
+    offsets = totals.select(*cols, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    return (df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, cols)
+            .withColumn(out, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset"))
 
 
 def ordered_rank(df: DataFrame, lead: list[Column], unique_id: str, out: str,

@@ -124,8 +124,8 @@ def part_time_filter() -> Column:
 
 def with_search_text(ads: DataFrame, unicode_forms: bool = True) -> DataFrame:
     """Normalise each searched text once per record, whatever the number of searches."""
-    subjects = F.col("subjects") if "subjects" in ads.columns else F.lit("")
-    everything = F.concat_ws("\n", "title", "department", subjects, "description")
+    optional = [c for c in ("subjects", "employment_type") if c in ads.columns]
+    everything = F.concat_ws("\n", "title", "department", *optional, "description")
     cleaned = F.concat_ws("\n", "title", "department", without_boilerplate(F.col("description")))
     return (ads.withColumn("_all", normalize_text(everything, unicode_forms))
             .withColumn("_subject", normalize_text(cleaned, unicode_forms))

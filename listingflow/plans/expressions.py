@@ -8,7 +8,7 @@ from .. import fixtures as X
 from ..functions import dates, keys, rules, text
 from ..operators import health, outbox, search
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 from .common import cte, day, joined, sql_clean, sql_fold
 from .joins import MATCH, SEARCHES, scored
 from .ordering import DIGEST_LINES
@@ -19,7 +19,7 @@ _MESSY = "replace(text, '. ', '. ' || {chr}(9) || ' ' || {chr}(160) || {chr}(10)
 
 @query("clean_text", f"SELECT doc_id, {sql_clean(_MESSY.format(chr='chr'))} AS text FROM documents")
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_text(F.expr(_MESSY.format(chr="char"))).alias("text"))
+    return text_table(spark, sf, "documents").select("doc_id", text.clean_text(F.expr(_MESSY.format(chr="char"))).alias("text"))
 
 
 _WIDE = "CASE WHEN doc_id % 4 = 0 THEN 'Ｐａｒｔ－ｔｉｍｅ ＡＩ ' ELSE 'FULL — Time ' END || {} || ' ' || text"
@@ -30,7 +30,7 @@ _WIDE_PLAIN = "CASE WHEN doc_id % 4 = 0 THEN 'Part-time AI ' ELSE 'FULL — Time
 SELECT d.doc_id, {sql_fold("replace(replace(" + _WIDE_PLAIN.format('title').replace('doc_id', 'd.doc_id').replace('text', 'd.text') + ", '（', '('), '）', ')')")} AS text
 FROM documents d JOIN adverts a ON a.doc_id = d.doc_id""")
 def normalize_text(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", X._advert_columns()[0])
+    d = text_table(spark, sf, "documents").select("doc_id", "text", X._advert_columns()[0])
     return d.select("doc_id", text.normalize_text(F.expr(_WIDE.format("title"))).alias("text"))
 
 

@@ -8,7 +8,7 @@ from ..functions.keys import stable_key
 from ..functions.text import clean_text
 from ..operators import pages as P
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import table, text_table
 from .common import sql_clean, sql_inline, sql_page_text, sql_unescape
 
 
@@ -40,7 +40,7 @@ def page_links(spark, sf):
 
 @query("page_text", f"SELECT page_id, {sql_page_text('html')} AS text FROM pages")
 def page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.markup_to_text(F.col("html")).alias("text"))
+    return text_table(spark, sf, "pages").select("page_id", H.markup_to_text(F.col("html")).alias("text"))
 
 
 _TRIMMED = "html"
@@ -52,7 +52,7 @@ for _block in ("<!--.*?-->", "<nav[^>]*>.*?</nav>", "<footer[^>]*>.*?</footer>",
 WITH t AS (SELECT page_id, {_TRIMMED} AS kept FROM pages)
 SELECT page_id, {sql_page_text("substr(kept, strpos(kept, '<article>'))")} AS body FROM t""")
 def page_body_trim(spark, sf):
-    return table(spark, sf, "pages").select(
+    return text_table(spark, sf, "pages").select(
         "page_id", H.markup_to_text(P.trim_body(F.col("html"), "<article>")).alias("body"))
 
 
@@ -65,7 +65,7 @@ s AS (SELECT page_id, pos, trim(regexp_extract(txt, '(?s)^([^.]*)', 1)) AS headi
 SELECT page_id, pos, heading, body, heading <> '' AND length(body) >= 100 AS ok,
        COUNT(*) OVER (PARTITION BY page_id, heading) > 1 AS duplicate FROM s""")
 def inline_sections(spark, sf):
-    return P.sections(table(spark, sf, "pages"))
+    return P.sections(text_table(spark, sf, "pages"))
 
 
 # Damaged variants of the pages: challenge, denial, challenge resource with and without text.
@@ -88,7 +88,7 @@ SELECT page_id, CASE
   WHEN regexp_matches(h, '<body[^>]*>\\s*</body>') OR txt = '' THEN 'empty'
   WHEN length(txt) < 100 THEN 'short' ELSE 'ok' END AS quality FROM t""")
 def page_quality(spark, sf):
-    return table(spark, sf, "pages").select("page_id", P.quality(F.expr(_DAMAGE)).alias("quality"))
+    return text_table(spark, sf, "pages").select("page_id", P.quality(F.expr(_DAMAGE)).alias("quality"))
 
 
 @query("explicit_empty", """
@@ -125,7 +125,7 @@ SELECT doc_id, substr(sha256(source || chr(0) || CASE WHEN ref <> '' THEN replac
        {sql_clean("text")} AS description, 'unknown' AS employment_type, 'unknown' AS deadline_type,
        CASE WHEN lang = 'en' THEN 'Office' ELSE '' END AS department, TRUE AS detail_complete FROM d""")
 def record_project(spark, sf):
-    d = table(spark, sf, "documents").withColumnRenamed("source", "src")
+    d = text_table(spark, sf, "documents").withColumnRenamed("source", "src")
     ref = F.expr("CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' Ref ' || doc_id || lang END")
     url = F.expr("'HTTPS://Jobs.example.edu/ad/' || doc_id || '?utm_source=x&id=' || doc_id")
     r = record(d, F.col("src"), F.col("src"), F.substring("text", 1, 60), url, ref, description=F.col("text"),

@@ -57,17 +57,18 @@ def absent_from_batch(spark, sf):
 
 
 @query("source_known", """
-WITH e AS (SELECT user_id AS source_id, CAST(ts AS DATE) AS d FROM events), l AS (SELECT MAX(d) AS d FROM e)
+WITH e AS (SELECT user_id * 100 + CAST(json_extract_string(props, '$.k') AS BIGINT) AS source_id, CAST(ts AS DATE) AS d FROM events),
+l AS (SELECT MAX(d) AS d FROM e)
 SELECT source_id, COUNT(*) AS n_rows FROM e WHERE d = (SELECT d FROM l)
-  AND source_id IN (SELECT source_id FROM e WHERE d < (SELECT d FROM l) - 25) GROUP BY 1""")
+  AND source_id IN (SELECT source_id FROM e WHERE d < (SELECT d FROM l)) GROUP BY 1""")
 def source_known(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.to_date("ts").alias("d"))
+    e = table(spark, sf, "events").select(
+        F.expr("user_id * 100 + CAST(get_json_object(props, '$.k') AS BIGINT)").alias("source_id"), F.to_date("ts").alias("d"))
     last = e.agg(F.max("d").alias("d"))
     batch = e.join(last, "d", "left_semi").groupBy("source_id").agg(F.count("*").alias("n_rows"))
-    # Sources with any earlier record; a small distinct set before the semi-join.
-    first = e.groupBy("source_id").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"))
-    known = first.join(last, F.col("first_d") < F.date_sub(F.col("d"), 25), "left_semi")
-    return batch.join(known, "source_id", "left_semi")
+    # Any earlier record makes a source known; the distinct ids are what is joined.
+    earlier = e.join(last, "d", "left_anti").select("source_id").distinct()
+    return batch.join(earlier, "source_id", "left_semi")
 
 
 @query("listing_detail_identity", """
@@ -267,7 +268,7 @@ def _has(text: str, *terms: str) -> str:
 @query("saved_search_match", cte(X.ADS, X.ADVERTS, f"""
 s0 AS (SELECT a.id, a.status, a.source_id, a.employment_type, a.deadline_type, a.deadline, {SQL_EFFECTIVE} AS eff, v.title, v.department, v.description
        FROM ads a JOIN adverts v ON v.doc_id = a.doc_id),
-s AS (SELECT *, {sql_fold("title || chr(10) || department || chr(10) || description")} AS f,
+s AS (SELECT *, {sql_fold("title || chr(10) || department || chr(10) || employment_type || chr(10) || description")} AS f,
              {sql_fold("title || chr(10) || department || chr(10) || " + SQL_BOILERPLATE.format('description'))} AS fs,
              {sql_fold('title')} AS ft FROM s0)""") + f"""
 SELECT 'and' AS search, id FROM s WHERE {_has('f', 'philosophy')} AND {_has('f', 'lecturer')}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import pages as P
 from ..registry import query
 from ..sources import payloads
-from ..sources.tables import read_snapshot, require_version, table
+from ..sources.tables import read_snapshot, require_version, table, text_table
 
 
 @query("scan_snapshot", """
@@ -92,7 +92,7 @@ def listing_payloads(spark, sf):
     """Documents as JSON listing pages: one requisition per line."""
     rows = F.transform(F.split("text", "\n"), lambda t, i: F.struct(
         F.concat_ws("-", F.col("doc_id"), i).alias("id"), t.alias("title")))
-    return table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(
+    return text_table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(
         F.when(F.col("lang") == "de", "Busy").otherwise("Success").alias("status"),
         F.struct(F.size(F.split("text", "\n")).alias("totalCount"), rows.alias("requisitions")).alias("data"))).alias("payload"))
 
@@ -119,7 +119,7 @@ SELECT doc_id, CAST(doc_id AS VARCHAR) AS key,
        len(list_filter(ls, lambda x: contains(x, '|'))) > 0 AS rejected FROM l""")
 def json_detail_merge(spark, sf):
     kind = lambda t: F.when(t == "", "CustomSpace").when(t.contains("|"), "CustomTable").otherwise("CustomText")
-    d = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(
+    d = text_table(spark, sf, "documents").select("doc_id", F.to_json(F.struct(
         F.lit("job").alias("category"), F.col("doc_id").cast("string").alias("key"),
         F.transform(F.split("text", "\n"), lambda t: F.struct(
             kind(t).alias("type"), F.struct(t.alias("text")).alias("content"))).alias("components"))).alias("payload"))

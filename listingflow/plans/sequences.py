@@ -284,5 +284,6 @@ def refresh_priority(spark, sf):
     rows = last.select("source_id", "job_key", "r.*", "verified").withColumn(
         "priority", reconcile.refresh_priority()).withColumn(
         "id", F.substring(F.sha2(F.concat_ws(":", "source_id", "job_key"), 256), 1, 24))
-    lead = [F.col("priority"), F.when(F.col("priority") == 3, F.col("verified"))]
+    never = F.lit("1970-01-01").cast("date")
+    lead = [F.col("priority"), F.coalesce(F.when(F.col("priority") == 3, F.col("verified")), never)]
     return ordered_rank(rows, lead, "id", "position", ["source_id"]).select("source_id", "job_key", "priority", "position")

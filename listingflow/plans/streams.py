@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from .. import fixtures as X
-from ..operators import outbox, search
+from ..operators import search
 from ..registry import query
 from ..session import work_path
 from ..sources.tables import table
@@ -148,6 +148,7 @@ def stream_retention(spark, sf):
 
     drain(table_stream(spark, sf, "documents"), apply, path + "-checkpoint")
     feed = spark.read.schema("id string, batch bigint, effective_date date").parquet(path)
-    newest = feed.agg(F.max("effective_date").alias("newest"))
-    return feed.join(newest, F.col("effective_date") >= F.date_sub("newest", V.FEED_DAYS - 1), "left_semi").select(
+    # One date comes to the driver, so the cut-off prunes folders instead of reading them.
+    newest = feed.agg(F.max("effective_date")).first()[0]
+    return feed.filter(F.col("effective_date") >= F.date_sub(F.lit(newest), V.FEED_DAYS - 1)).select(
         "id", day("effective_date").alias("effective_date"))

@@ -8,6 +8,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, for work that is heavy per row.
+
+    One small file is one scan task.  A large table has more scan tasks than cores
+    already and is returned as it is, so no text is ever shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name))
+
+
 class SnapshotShapeError(ValueError):
     """The stored snapshot does not have the declared columns."""
 
