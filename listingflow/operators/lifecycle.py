@@ -13,6 +13,7 @@ from .. import fixed_values as V
 from ..functions.keys import fields_hash
 
 JOB = ["source_id", "job_key"]
+CALENDAR_COPIES = 64
 SEED_TYPE = "struct<first_seen:date,detail_verified_at:date,changed_at:date>"
 
 
@@ -73,7 +74,11 @@ def absence_spells(records: DataFrame, runs: DataFrame) -> DataFrame:
     once per record instead of multiplying records by runs.
     """
     following = F.lead("run_date").over(_job_order())
-    rows = records.withColumn("next_seen", following).join(source_calendar(runs), "source_id", "left")
+    # Records of a hot source are spread over salted copies of its one calendar row.
+    calendar = source_calendar(runs).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CALENDAR_COPIES - 1))))
+    salt = F.pmod(F.xxhash64("job_key"), F.lit(CALENDAR_COPIES)).cast("int")
+    rows = records.withColumn("next_seen", following).withColumn("_salt", salt).join(
+        calendar, ["source_id", "_salt"], "left").drop("_salt")
     gap = F.filter("accepted_dates", lambda d: (d > F.col("run_date")) &
                    (F.col("next_seen").isNull() | (d < F.col("next_seen"))))
     return (rows.withColumn("missed_dates", F.coalesce(gap, F.array().cast("array<date>")))

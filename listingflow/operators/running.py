@@ -14,24 +14,34 @@ def bucketed_running_sum(df: DataFrame, keys: list[str], buckets: list[str], ord
     """Exact running sum of ``value`` per key in (buckets, order) order.
 
     ``buckets`` are non-null columns, ascending, that precede ``order`` in the sort; their
-    number per key must be bounded (calendar days, two hex digits of a hash).  The join
+    number per key must be bounded (calendar days, three hex digits of a hash).  The join
     uses the window's own partitioning, so the rows are shuffled once.
     """
-    cols = keys + buckets
+    cols, outer = keys + buckets, keys + buckets[:-1]
     inside = Window.partitionBy(*cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*cols).agg(F.sum(value).alias("_t"))
-    offsets = totals.select(*cols, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    offsets = _running_before(totals, outer, buckets[-1:], "_t", "_offset")
+    if len(buckets) > 1:
+        # Two levels: fine buckets add up inside a coarse one, coarse ones inside the key,
+        # so even a rank over the whole table only lines up the coarse totals (days).
+        coarse = _running_before(totals.groupBy(*outer).agg(F.sum("_t").alias("_c")), keys, buckets[:-1],
+                                 "_c", "_coarse")
+        offsets = offsets.join(coarse, outer).select(*cols, (F.col("_offset") + F.col("_coarse")).alias("_offset"))
     return (df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, cols)
             .withColumn(out, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset"))
 
 
+def _running_before(totals: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, *order, F.coalesce(F.sum(value).over(before), F.lit(0)).alias(out))
+
+
 def ordered_rank(df: DataFrame, lead: list[Column], unique_id: str, out: str,
-                 keys: list[str] = (), prefix: int = 2) -> DataFrame:
+                 keys: list[str] = (), prefix: int = 3) -> DataFrame:
     """Row number by (lead, unique_id) ascending, per key or over the whole table.
 
-    Ids are hashes, so their first ``prefix`` characters (two hex digits, plus any fixed
-    tag before them) split a day that holds most rows into even, ordered parts.
+    Ids are hashes, so their first ``prefix`` characters (three hex digits, plus any fixed
+    tag before them) split a day that holds most rows into 4096 even, ordered parts.
     """
     names = [f"_b{i}" for i in range(len(lead))]
     work = df

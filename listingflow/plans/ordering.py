@@ -37,7 +37,7 @@ def pending_order(spark, sf):
     pending = new.select("event_id", F.lit("new").alias("kind"), "created_at").unionByName(digests)
     # Ids carry a fixed tag before their hash, hence the longer prefix.
     return ordered_rank(pending, [(F.col("kind") != "new").cast("int"), F.col("created_at")], "event_id", "position",
-                        prefix=6).select("event_id", "kind", day("created_at").alias("created_at"), "position")
+                        prefix=7).select("event_id", "kind", day("created_at").alias("created_at"), "position")
 
 
 @query("problem_order", cte(*HEALTH_CTE) + """
