@@ -133,3 +133,8 @@ def is_match(hits: Column, score: Column, role: Column, employment: Column, sour
     if institutions:
         ok = ok & source_id.isin(*institutions)
     return ok
+
+
+def published_match(matches: Column, detail_complete: Column, description: Column) -> Column:
+    """Decision that is published: an incomplete record without any body never matches."""
+    return matches & (detail_complete | (F.coalesce(description, F.lit("")) != ""))

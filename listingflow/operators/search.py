@@ -71,7 +71,7 @@ def split_keywords(text: str) -> list[str]:
 
 def keyword_terms(c: Column) -> Column:
     """Preset list: commas and line breaks separate, blanks inside a term stay."""
-    return F.filter(F.transform(F.split(c, "[,，\n]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, "[,，\n]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def effective_date() -> Column:
