@@ -46,39 +46,36 @@ def listing_evidence(pages: DataFrame, listing: str = "listing_id", page: str =
 def volume_fold(runs: DataFrame, source: str = "source_id", order: str = "run_date",
                 count: str = "n_jobs", complete: str = "listing_complete",
                 explicit_empty: Column | None = None) -> DataFrame:
-    """Which listings are accepted, given that only accepted ones move the reference count.
+    """Runs with ``accepted``, ``guarded`` and the ``reference`` count they were held against.
 
-    The rule is recursive, so ``lag`` cannot state it.  Rows are one per run of a source:
-    a source's array is as long as its calendar, however many records it publishes.
+    Only accepted listings move the reference count, so the rule is recursive and ``lag``
+    cannot state it.  Rows are one per run of a source: a source's array is as long as its
+    calendar, however many records it publishes.  The runs travel through the fold whole,
+    which spares computing them a second time for a join.
     """
     empty = explicit_empty if explicit_empty is not None else F.lit(False)
     run = F.struct(F.col(order).alias("at"), F.col(count).cast("bigint").alias("n"),
-                   F.col(complete).alias("complete"), empty.alias("empty"))
-    step = F.struct(F.lit(0).cast("bigint").alias("last"),
-                    F.expr(f"CAST(array() AS array<struct<at:{_type(runs, order)},accepted:boolean,"
-                           f"guarded:boolean,reference:bigint>>)").alias("out"))
+                   F.col(complete).alias("complete"), empty.alias("empty"), F.struct(*runs.columns).alias("row"))
+    folded = f"array<struct<row:{runs.schema.simpleString()},accepted:boolean,guarded:boolean,reference:bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast(folded).alias("out"))
 
     def fold(acc, r):
         unproved = (r["n"] == 0) & ~r["empty"]
         dropped = ((acc["last"] >= V.DROP_MIN_COUNT) & ~r["empty"]
                    & (r["n"] < acc["last"] * F.lit(V.DROP_KEEP_RATIO)))
         accepted = r["complete"] & ~unproved & ~dropped
-        row = F.struct(r["at"].alias("at"), accepted.alias("accepted"),
+        row = F.struct(r["row"].alias("row"), accepted.alias("accepted"),
                        (dropped | unproved).alias("guarded"), acc["last"].alias("reference"))
         return F.struct(F.when(accepted, r["n"]).otherwise(acc["last"]).alias("last"),
                         F.concat(acc["out"], F.array(row)).alias("out"))
 
-    folded = runs.groupBy(source).agg(F.array_sort(F.collect_list(run)).alias("runs")).select(
-        source, F.inline(F.aggregate("runs", step, fold, lambda acc: acc["out"])))
-    return folded.withColumnRenamed("at", order)
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    calendars = runs.groupBy(source).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    return calendars.select(F.inline_outer(F.aggregate("runs", start, fold, lambda acc: acc["out"]))).select(
+        "row.*", "accepted", "guarded", "reference")
 
 
 def with_acceptance(runs: DataFrame, source: str = "source_id", order: str = "run_date", **kw) -> DataFrame:
-    return runs.join(volume_fold(runs, source, order, **kw), [source, order])
+    return volume_fold(runs, source, order, **kw)
 
 
 def page_profile(pages: DataFrame, listing: str = "listing_id", page: str = "page", ref: str = "ref") -> DataFrame:
