@@ -60,9 +60,10 @@ def carry_forward(obs: DataFrame) -> DataFrame:
 
 
 def source_calendar(runs: DataFrame, complete: str = "accepted") -> DataFrame:
-    """Per source: the dates of all runs and of accepted listings (one row per source)."""
-    return runs.groupBy("source_id").agg(
+    """Per source: the dates of all runs, of accepted listings and of baseline runs (one row)."""
+    return baseline_runs(runs).groupBy("source_id").agg(
         F.array_sort(F.collect_list(F.when(F.col(complete), F.col("run_date")))).alias("accepted_dates"),
+        F.array_sort(F.collect_list(F.when(F.col("baseline"), F.col("run_date")))).alias("baseline_dates"),
         F.array_sort(F.collect_list("run_date")).alias("run_dates"))
 
 
@@ -84,7 +85,8 @@ def absence_spells(records: DataFrame, runs: DataFrame) -> DataFrame:
     return (rows.withColumn("missed_dates", F.coalesce(gap, F.array().cast("array<date>")))
             .withColumn("missed", F.size("missed_dates"))
             .withColumn("missing_since", F.try_element_at("missed_dates", F.lit(V.MISSING_AFTER)))
-            .drop("accepted_dates"))
+            .withColumn("baseline_run", F.coalesce(F.array_contains("baseline_dates", F.col("run_date")), F.lit(False)))
+            .drop("accepted_dates", "baseline_dates"))
 
 
 def with_status(spells: DataFrame) -> DataFrame:
@@ -135,38 +137,36 @@ def timeline(obs: DataFrame, runs: DataFrame) -> DataFrame:
 HISTORY_FIELDS = ["deadline", "deadline_type", "department", "posted_date", "status", "title"]
 
 
-def change_history(line: DataFrame, runs: DataFrame) -> DataFrame:
-    """Append-only log: baseline/new, updated (with field changes), status rows."""
-    first_runs = baseline_runs(runs).filter("baseline").select(
-        "source_id", "run_date", F.lit(True).alias("is_baseline"))
+def change_history(line: DataFrame) -> DataFrame:
+    """Append-only log: baseline/new, updated (with field changes), status rows.
+
+    One observation yields up to three rows: what was seen, then "missing" and "closed"
+    while it stayed away.  They are built in one pass over the timeline.
+    """
+    is_first = F.col("before").isNull()
+    changed = (F.col("before.content_hash") != F.col("content_hash")) | (
+        F.col("before.status") != F.col("seen_status"))
     after = {"status": F.col("seen_status")}
     changes = F.array_compact(F.array(*[
         F.when(~F.col(f"before.{f}").eqNullSafe(after.get(f, F.col(f))), F.struct(
             F.lit(f).alias("field"), F.col(f"before.{f}").cast("string").alias("before"),
             after.get(f, F.col(f)).cast("string").alias("after"))) for f in HISTORY_FIELDS]))
-    seen = line.join(first_runs, ["source_id", "run_date"], "left")
-    is_first = F.col("before").isNull()
-    changed = (F.col("before.content_hash") != F.col("content_hash")) | (
-        F.col("before.status") != F.col("seen_status"))
-    on_sight = seen.filter(is_first | changed).select(
-        *JOB, F.col("run_date").alias("at"),
-        F.when(is_first & F.col("is_baseline"), "baseline").when(is_first, "new").otherwise("updated").alias("kind"),
-        "title", F.when(~is_first, changes).otherwise(
-            F.array().cast("array<struct<field:string,before:string,after:string>>")).alias("changes"))
+    none = F.array().cast("array<struct<field:string,before:string,after:string>>")
+    seen_kind = F.when(~is_first, "updated").when(F.col("baseline_run"), "baseline").otherwise("new")
+
+    def row(at, kind, diff):
+        return F.struct(at.alias("at"), kind.alias("kind"), diff.alias("changes"))
 
     def turn(day, old, new):
-        return F.when(F.col(day).isNotNull(), F.struct(
-            F.col(day).alias("at"),
-            F.array(F.struct(F.lit("status").alias("field"), old.alias("before"),
-                             F.lit(new).alias("after"))).alias("changes")))
-
-    open_ = F.lit("open")
-    turns = line.filter("missing_on IS NOT NULL OR closed_on IS NOT NULL").select(
-        *JOB, "title", F.inline(F.array_compact(F.array(
-            turn("missing_on", open_, "missing"),
-            turn("closed_on", F.when(F.col("missing_on").isNotNull(), "missing").otherwise(open_), "closed")))))
-    absent = turns.select(*JOB, "at", F.lit("status").alias("kind"), "title", "changes")
-    return on_sight.unionByName(absent)
+        diff = F.array(F.struct(F.lit("status").alias("field"), old.alias("before"), F.lit(new).alias("after")))
+        return F.when(F.col(day).isNotNull(), row(F.col(day), F.lit("status"), diff))
+
+    was = F.when(F.col("missing_on").isNotNull(), "missing").otherwise("open")
+    rows = F.array_compact(F.array(
+        F.when(is_first | changed, row(F.col("run_date"), seen_kind, F.when(is_first, none).otherwise(changes))),
+        turn("missing_on", F.lit("open"), "missing"), turn("closed_on", was, "closed")))
+    return line.select(*JOB, "title", F.inline_outer(rows)).filter("kind IS NOT NULL").select(
+        *JOB, "at", "kind", "title", "changes")
 
 
 def current_state(line: DataFrame) -> DataFrame:

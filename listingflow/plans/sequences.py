@@ -148,8 +148,7 @@ history AS (
 
 
 def history_rows(spark, sf):
-    runs = accepted_runs(spark, sf)
-    return lifecycle.change_history(lifecycle.timeline(X.obs(spark, sf), runs), runs)
+    return lifecycle.change_history(obs_timeline(spark, sf))
 
 
 def change_text():

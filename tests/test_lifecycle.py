@@ -102,7 +102,7 @@ def test_closed_outranks_missing(spark):
     o = spark.createDataFrame(obs, OBS)
     runs = listing.with_acceptance(spark.createDataFrame([run(n) for n in range(8)], RUNS))
     line = lifecycle.timeline(o, runs)
-    log = lifecycle.change_history(line, runs).filter("job_key = 1 AND kind = 'status'").orderBy("at").collect()
+    log = lifecycle.change_history(line).filter("job_key = 1 AND kind = 'status'").orderBy("at").collect()
     assert [(r["at"], r["changes"][0]["before"], r["changes"][0]["after"]) for r in log] == [
         (day(3), "open", "missing"), (day(6), "missing", "closed")]
 
@@ -110,7 +110,7 @@ def test_closed_outranks_missing(spark):
 def test_baseline_then_new(spark):
     obs = [seen(1, 0), seen(1, 1), seen(2, 1)]
     runs = listing.with_acceptance(spark.createDataFrame([run(0, 1), run(1, 2)], RUNS))
-    log = lifecycle.change_history(lifecycle.timeline(spark.createDataFrame(obs, OBS), runs), runs)
+    log = lifecycle.change_history(lifecycle.timeline(spark.createDataFrame(obs, OBS), runs))
     assert {(r["job_key"], r["kind"]) for r in log.collect()} == {(1, "baseline"), (2, "new")}
 
 
