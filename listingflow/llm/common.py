@@ -1,12 +1,17 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
 
+# functions of this folder travel to the executors with their code: no path has to be set there
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: Fixed value: a word is a run of characters other than these six white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, pii, quality, sharding
 from .common import table
 
 QUERIES: dict = {}
@@ -48,3 +48,20 @@ def op1(spark, sf_dir):
 @query("op6_shard_ring")
 def op6(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_personal_data")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.learn(docs))
+    text = lambda only: F.array_join(F.transform(only, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"))
