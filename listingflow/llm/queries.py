@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, sharding
+from . import mixing, pii, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op9(spark, sf_dir):
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
                         text(F.col("spans")).alias("spans"))
+
+
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
