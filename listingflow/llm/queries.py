@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, sharding, simhash
+from . import decontaminate, mixing, pii, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def op9(spark, sf_dir):
 @query("op5_simhash_near_dedup")
 def op5(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
