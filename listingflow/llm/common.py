@@ -3,7 +3,10 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -52,3 +55,27 @@ def prefix_sums(df: DataFrame, order: list[str], values: dict[str, str], name: s
     return (summed.join(offsets, part)
             .withColumns({k: F.col(k) + F.col(f"_base_{k}") for k in values})
             .drop(part, *[f"_base_{k}" for k in values]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of complete groups with the start and end of each, from rows sorted by the first ``keys`` columns (integers)."""
+    held = None
+    for batch in _and_end(batches):
+        if batch is not None:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not held.num_rows:
+            continue
+        columns = [c.to_numpy() for c in held.columns[:keys]]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [held.num_rows]))
+        if batch is not None:  # the last group may go on in the next batch
+            starts, ends = starts[:-1], ends[:-1]
+        if len(ends):
+            yield held.slice(0, int(ends[-1])), starts, ends
+            held = held.slice(int(ends[-1])).combine_chunks()
+
+
+def _and_end(batches):
+    yield from batches
+    yield None

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, sharding, simhash
+from . import decontaminate, mixing, neighbours, pii, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def op5(spark, sf_dir):
 @query("op10_benchmark_decontamination")
 def op10(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

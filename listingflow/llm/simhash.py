@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import stored, whole_groups
 from .components import components
 
 RADIUS, SHINGLE, SEED, LARGE, LEAF = 4, 4, 42, 200_000, 64
@@ -151,33 +151,14 @@ def spanning(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.n
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard; the last shard of a batch waits for the next batch."""
-    kept = np.zeros((4, 0), np.int64)
-    for batch in _and_end(batches):
-        if batch is not None:
-            kept = np.concatenate([kept, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-        if not kept.shape[1]:
-            continue
-        new = np.flatnonzero((kept[:3, 1:] != kept[:3, :-1]).any(axis=0)) + 1
-        starts = np.concatenate(([0], new))
-        ends = np.concatenate((new, [kept.shape[1]]))
-        if batch is not None:
-            starts, ends = starts[:-1], ends[:-1]
-        fps = kept[3].view(np.uint64)
-        u, v = [], []
+    for rows, starts, ends in whole_groups(batches, 3):
+        fps = rows.column(3).to_numpy()
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            a, b = spanning(fps[s:e])
-            if len(a):
-                u.append(kept[3, s + a])
-                v.append(kept[3, s + b])
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
-        kept = kept[:, ends[-1] if len(ends) else 0:]
-
-
-def _and_end(batches):
-    yield from batches
-    yield None
+            a, b = spanning(fps[s:e].view(np.uint64))
+            u.append(fps[s + a])
+            v.append(fps[s + b])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
 def near_links(fps: DataFrame) -> DataFrame:
