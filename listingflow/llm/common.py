@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor recomputes nothing that was written, and two
-    branches over the result do not repeat the work before it.
+    branches over the result do not repeat the work before it.  What was shuffled for it is
+    garbage then; collecting it lets Spark delete those files before the next step.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/listingflow-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def prefix_sums(df: DataFrame, order: list[str], values: dict[str, str], name: str) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, pii, quality, sharding, simhash
+from . import decontaminate, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -80,3 +80,23 @@ def op10(spark, sf_dir):
 @query("op8_nearest_neighbours")
 def op8(spark, sf_dir):
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_suffix_array_dedup", r"""
+WITH d AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, strlen(COALESCE(text, '')) AS n_bytes FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s
+      FROM (SELECT doc_id, h, UNNEST(range(0, n_bytes - 99)) AS p FROM d WHERE n_bytes >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, ROW_NUMBER() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, p, SUM(CASE WHEN p <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+      FROM (SELECT doc_id, p, LAG(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+x AS (SELECT doc_id, run, MIN(p) AS lo, MAX(p) + 100 AS hi FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, COUNT(*) AS n_spans, SUM(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM x GROUP BY doc_id)
+SELECT d.doc_id, n_bytes::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed, COALESCE(n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN k.doc_id IS NULL THEN sha256(unhex(h)) ELSE sha256(unhex(
+    array_to_string([substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE his[i - 1] END) + 1,
+       2 * ((CASE WHEN i > n_spans THEN n_bytes ELSE los[i] END) - (CASE WHEN i = 1 THEN 0 ELSE his[i - 1] END)))
+     FOR i IN range(1, n_spans + 2)], ''))) END AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op3(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
