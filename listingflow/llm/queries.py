@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
+from . import decontaminate, lm_scoring, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -100,3 +100,8 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """)
 def op3(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lm_scoring")
+def op7(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
