@@ -225,12 +225,17 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, all columns as they were."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
     for seeds in blocks(docs, benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(vars(seeds))
+        rows = rows.where(_clean(docs.sparkSession, seeds)("text"))
+    return rows.select("row.*")
 
-        def clean(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            known = Seeds.restored(shared.value)
-            for batch in texts:
-                yield pd.Series([not known.matches(t or b"") for t in batch], dtype=bool)
 
-        rows = rows.where(F.pandas_udf(clean, BooleanType())("text"))
-    return rows.select("row.*")
+def _clean(spark, seeds: Seeds):
+    shared = spark.sparkContext.broadcast(vars(seeds))
+
+    @F.pandas_udf(BooleanType())
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Seeds.restored(shared.value)
+        for batch in texts:
+            yield pd.Series([not known.matches(t or b"") for t in batch], dtype=bool)
+
+    return clean

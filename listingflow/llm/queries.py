@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
+from . import decontaminate, licenses, lm_scoring, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,35 @@ def op3(spark, sf_dir):
 @query("op7_lm_scoring")
 def op7(spark, sf_dir):
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+_LICENSE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+
+
+@query("op2_license_scan", rf"""
+WITH t AS (SELECT * FROM (VALUES {_LICENSE_VALUES}) AS v(license, line)),
+tw AS (SELECT license, UNNEST(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM t),
+idf AS (SELECT term, ln((1 + 10)::DOUBLE / (1 + COUNT(DISTINCT license))) + 1 AS idf FROM tw GROUP BY term),
+tf AS (SELECT license, term, COUNT(*) * ANY_VALUE(idf) AS weight FROM tw JOIN idf USING (term) GROUP BY license, term),
+tv AS (SELECT license, term, weight / sqrt(SUM(weight * weight) OVER (PARTITION BY license)) AS unit FROM tf),
+f AS (SELECT doc_id, text, concat_ws('/', COALESCE(source, 'none'), COALESCE(lang, 'none'), COALESCE(floor(doc_id / 50)::BIGINT::VARCHAR, 'none')) AS directory,
+        COALESCE(len(regexp_split_to_array(text, '[ 	-]+')) <= 60 AND regexp_matches(text, '{licenses.HINT}'), FALSE) AS is_license FROM documents),
+l AS (SELECT doc_id, line, ROW_NUMBER() OVER () AS line_no FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM f)
+      WHERE regexp_matches(line, '{licenses.HINT}')),
+w AS (SELECT doc_id, line_no, term, COUNT(*) * COALESCE(ANY_VALUE(idf), ln(11::DOUBLE) + 1) AS weight
+      FROM (SELECT doc_id, line_no, UNNEST(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM l) LEFT JOIN idf USING (term)
+      GROUP BY doc_id, line_no, term),
+n AS (SELECT line_no, sqrt(SUM(weight * weight)) AS norm FROM w GROUP BY line_no),
+s AS (SELECT w.doc_id, tv.license, ROUND(SUM(weight * unit) / ANY_VALUE(norm), 6) AS score
+      FROM w JOIN tv USING (term) JOIN n USING (line_no) GROUP BY w.doc_id, line_no, tv.license),
+o AS (SELECT doc_id, license AS own_license, score AS own_score FROM
+      (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.6) WHERE k = 1),
+m AS (SELECT f.doc_id, directory, is_license, own_license, own_score FROM f LEFT JOIN o USING (doc_id)),
+d AS (SELECT directory AS ancestor, own_license AS license FROM
+      (SELECT *, ROW_NUMBER() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license) AS k FROM m WHERE is_license AND own_license IS NOT NULL) WHERE k = 1)
+SELECT doc_id, directory || '/' || CASE WHEN is_license THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path,
+       own_license, own_score, COALESCE(own_license, license) AS license, CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from
+FROM m LEFT JOIN d ON d.ancestor = m.directory
+""")
+def op2(spark, sf_dir):
+    return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
