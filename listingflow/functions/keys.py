@@ -24,7 +24,8 @@ def url_port(url: Column) -> Column:
 
 
 def _decoded(c: Column) -> Column:
-    return F.coalesce(F.try_url_decode(c), c)
+    """Every valid triplet and plus sign decoded; a percent sign that starts no triplet stays."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _encoded(c: Column) -> Column:

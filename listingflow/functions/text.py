@@ -81,30 +81,30 @@ def normalize_text(c: Column, unicode_forms: bool = True) -> Column:
     return fold_text(nfkc(c) if unicode_forms else c)
 
 
+_PLAIN_DASH = str.maketrans(dict.fromkeys(V.DASHES, "-"))
+_SPLIT_WORDS = re.compile(r"\b(?P<share>part|full)[\s-]*time\b")
+_TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 def normalize_term(term: str) -> str:
-    """The same normalisation for one configured term (plan-time constant)."""
-    value = unicodedata.normalize("NFKC", term or "").lower()
-    value = re.sub(f"[{V.DASHES}]", "-", value)
-    for word in ("part", "full"):
-        value = re.sub(rf"\b{word}[\s-]*time\b", word + "time", value)
-    return " ".join(value.split())
+    """The form a configured term takes in normalised text (plan-time constant)."""
+    folded = unicodedata.normalize("NFKC", term or "").lower().translate(_PLAIN_DASH)
+    return " ".join(_SPLIT_WORDS.sub(r"\g<share>time", folded).split())
 
 
 def term_regex(term: str, plural: bool = False) -> str | None:
-    """Regex for a term in normalised text, or None for a blank term.
+    """Pattern that finds a term in normalised text; None for a blank term.
 
-    A side of the term that is an ASCII letter or digit must end at a token border,
-    so "ai" never matches inside "chair"; other scripts match as substrings.
+    Token characters are a-z and 0-9.  A term that begins (ends) with one must not have
+    another right before (after) it, so "ai" is not found in "chair"; scripts without
+    token characters match anywhere.  A plural also matches with an s after a letter.
     """
     value = normalize_term(term)
     if not value:
         return None
-    body = re.escape(value)
-    starts = re.match("[a-z0-9]", value)
-    ends = re.search("[a-z0-9]$", value)
-    if plural and re.search("[a-z]$", value):
-        body += "s?"
-    return ("(?<![a-z0-9])" if starts else "") + body + ("(?![a-z0-9])" if ends else "")
+    border = {True: r"(?:\A|[^a-z0-9])", False: ""}[value[0] in _TOKEN], {True: r"(?:[^a-z0-9]|\z)", False: ""}[value[-1] in _TOKEN]
+    optional = "s?" if plural and value[-1] in _TOKEN and not value[-1].isdigit() else ""
+    return border[0] + re.escape(value) + optional + border[1]
 
 
 def contains_term(normalized: Column, term: str, plural: bool = False) -> Column:

@@ -11,17 +11,17 @@ from ..functions import html as H
 from ..functions.dates import parse_date
 from ..functions.keys import join_url
 
-_ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
+# The address of an anchor may stand in either kind of quotes or in none.
+_ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per anchor in page order: position, absolute URL, anchor text."""
-    hrefs = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href")
-    texts = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text")
-    rows = pages.select(key, "url", F.posexplode(F.arrays_zip(hrefs, texts)).alias("pos", "a"))
-    href = H.unescape(F.trim(F.col("a.href")), rare_entities=False)
-    return rows.select(key, "url", "pos", href.alias("href"), join_url(F.col("url"), href).alias("target"),
-                       H.inline_text(F.col("a.text"), rare_entities=False).alias("text"))
+    rows = pages.select(key, "url", F.posexplode(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))).alias("pos", "a"))
+    part = lambda n: F.regexp_extract("a", _ANCHOR, n)
+    found = rows.select(key, "url", "pos", H.unescape(F.trim(F.concat(part(1), part(2), part(3)))).alias("href"),
+                        H.inline_text(part(4)).alias("text"))
+    return found.select(key, "url", "pos", "href", join_url(F.col("url"), F.col("href")).alias("target"), "text")
 
 
 def link_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -52,7 +52,7 @@ def sections(pages: DataFrame, key: str = "page_id", split_on: str = r"(?i)<p\b[
     """
     article = F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)
     parts = pages.select(key, F.posexplode(F.split(article, split_on)).alias("pos", "part")).filter("pos > 0")
-    text = H.inline_text(F.col("part"), rare_entities=False)
+    text = H.inline_text(F.col("part"))
     s = parts.select(key, "pos", F.trim(F.regexp_extract(text, r"(?s)\A([^.]*)", 1)).alias("heading"),
                      F.trim(F.regexp_extract(text, r"(?s)\A[^.]*\.(.*)\z", 1)).alias("body"))
     repeats = s.groupBy(key, "heading").agg(F.count("*").alias("n_same"))
@@ -70,7 +70,7 @@ def quality(html: Column, min_text: int = 100) -> Column:
     for mark in V.CHALLENGE_MARKS:
         if mark != "<title>access denied":
             challenge = challenge | low.contains(mark)
-    text = H.markup_to_text(html, rare_entities=False)
+    text = H.markup_to_text(html)
     return (F.when(challenge, "challenge").when(low.contains("<title>access denied"), "denied")
             .when(low.rlike("(?is)" + V.EMPTY_BODY) | (text == ""), "empty")
             .when(F.length(text) < min_text, "short").otherwise("ok"))
@@ -89,7 +89,7 @@ def script_literals(html: Column, function: str) -> Column:
 
 def script_string(html: Column, name: str) -> Column:
     """A quoted string literal of a script, decoded as JSON text."""
-    literal = F.regexp_extract(html, rf'\b{name}\s*=\s*("(?:[^"\\]|\\.)*")', 1)
+    literal = F.regexp_extract(html, rf'(?s)\b{name}\s*=\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")', 1)
     return F.when(literal != "", F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v"))
 
 
@@ -132,7 +132,7 @@ def configured(pages: DataFrame, p: Patterns, key: str = "page_id") -> DataFrame
 
     def value(pattern):
         return F.lit("") if pattern is None else H.inline_text(
-            F.regexp_extract("row", pattern, 1), rare_entities=False)
+            F.regexp_extract("row", pattern, 1))
 
     link = value(p.link)
     return rows.select(
@@ -156,7 +156,7 @@ def run_extractors(pages: DataFrame, adapter: str = "adapter") -> tuple[DataFram
 
 @extractor("headings")
 def _headings(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.lit(0).alias("pos"), H.inline_text(H.heading(F.col("html")), False).alias("title"),
+    return pages.select("page_id", F.lit(0).alias("pos"), H.inline_text(H.heading(F.col("html"))).alias("title"),
                         F.col("url").alias("target"))
 
 

@@ -42,11 +42,11 @@ def pending_order(spark, sf):
 
 @query("problem_order", cte(*HEALTH_CTE) + """
 SELECT CAST(run_date AS VARCHAR) AS day, source_id, severity, ROW_NUMBER() OVER (PARTITION BY run_date ORDER BY CASE WHEN severity = 'error' THEN 0 ELSE 1 END,
-       institution) AS position FROM health WHERE status <> 'ok'""")
+       institution, source_id) AS position FROM health WHERE status <> 'ok'""")
 def problem_order(spark, sf):
     p = health_state(spark, sf).filter("status <> 'ok'")
     grade = F.when(F.col("severity") == "error", 0).otherwise(1)
-    return ordered_rank(p, [grade], "institution", "position", ["run_date"]).select(
+    return ordered_rank(p, [grade, F.col("institution")], "source_id", "position", ["run_date"]).select(
         day("run_date").alias("day"), "source_id", "severity", "position")
 
 

@@ -12,7 +12,7 @@ from ..sources.tables import table
 from ..streaming import health as stream_health_ops
 from ..streaming.reconcile import StreamingState
 from ..streaming.runner import drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
-from .common import ACC, CARRY, DENSE, cte, day
+from .common import ACC, CARRY, DENSE, as_of, cte, day
 from .sequences import STATE
 
 
@@ -29,8 +29,10 @@ def reconciled(spark, sf):
     """Events landed in three steps: the first half, the rest, and a late replay."""
     events = table(spark, sf, "events")
     landing, checkpoint = work_path(spark, "landing"), work_path(spark, "reconcile-checkpoint")
-    state = StreamingState(spark, work_path(spark, "reconcile"), X.observations, X.run_evidence)
-    middle, late = "ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-07 00:00:00'"
+    state = StreamingState(spark, work_path(spark, "reconcile"), X.observations, X.run_evidence,
+                           F.expr("user_id % 10"), F.to_date("ts"))
+    # the first step ends in the middle of a day: that run comes in two batches
+    middle, late = "ts < TIMESTAMP_NTZ '2024-01-16 11:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-07 00:00:00'"
     for step in (middle, f"NOT ({middle})", late):
         events.filter(step).write.mode("append").parquet(landing)
         drain(stream_of(spark, landing, events), state.apply, checkpoint)
@@ -50,9 +52,12 @@ def stream_reconcile(spark, sf):
 
 @query("stream_late", cte(X.OBS) + """
 SELECT late, COUNT(*) AS n FROM (SELECT FALSE AS late FROM obs UNION ALL
+  SELECT FALSE FROM (SELECT user_id % 10, CAST(json_extract_string(props, '$.k') AS INT) % 20 FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-16'
+    GROUP BY 1, 2 HAVING MIN(ts) < TIMESTAMP '2024-01-16 11:00:00' AND MAX(ts) >= TIMESTAMP '2024-01-16 11:00:00') split UNION ALL
   SELECT TRUE FROM obs WHERE run_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-06') x GROUP BY 1""")
 def stream_late(spark, sf):
-    # Runs older than the folded state never regress it; they are dropped and counted.
+    # Runs older than the open one never regress the state; they are left out and counted.
+    # A record of the run that comes in two batches is counted in both.
     return reconciled(spark, sf).late_counts().groupBy("late").agg(F.sum("n").alias("n"))
 
 
@@ -135,10 +140,10 @@ def stream_stale(spark, sf):
                        F.date_format("end", shape).alias("stale_from"), "n_runs")
 
 
-@query("stream_retention", cte(X.ADS) + """, f AS (SELECT id, COALESCE(posted_date, CAST(first_seen + INTERVAL 8 HOUR AS DATE)) AS d FROM ads)
-SELECT id, CAST(d AS VARCHAR) AS effective_date FROM f WHERE d >= (SELECT MAX(d) FROM f) - 29""")
+@query("stream_retention", cte(X.ADS) + f""", f AS (SELECT id, COALESCE(posted_date, CAST(first_seen + INTERVAL 8 HOUR AS DATE)) AS d FROM ads)
+SELECT id, CAST(d AS VARCHAR) AS effective_date FROM f WHERE d > CAST('{X.AS_OF}' AS DATE) - {V.FEED_DAYS}""")
 def stream_retention(spark, sf):
-    """Rolling feed: each batch lands by day, the reader keeps the last thirty days."""
+    """Rolling feed: each batch lands by day, the reader keeps the thirty days up to its as-of day."""
     path = work_path(spark, "feed")
 
     def apply(batch, batch_id):
@@ -148,7 +153,6 @@ def stream_retention(spark, sf):
 
     drain(table_stream(spark, sf, "documents"), apply, path + "-checkpoint")
     feed = spark.read.schema("id string, batch bigint, effective_date date").parquet(path)
-    # One date comes to the driver, so the cut-off prunes folders instead of reading them.
-    newest = feed.agg(F.max("effective_date")).first()[0]
-    return feed.filter(F.col("effective_date") >= F.date_sub(F.lit(newest), V.FEED_DAYS - 1)).select(
+    # The cut-off is a given day, so it prunes folders and a future date moves nothing.
+    return feed.filter(F.col("effective_date") > F.date_sub(as_of(), V.FEED_DAYS)).select(
         "id", day("effective_date").alias("effective_date"))

@@ -8,18 +8,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores, for work that is heavy per row.
-
-    One small file is one scan task.  A large table has more scan tasks than cores
-    already and is returned as it is, so no text is ever shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Session setting: deal the rows of text tables to so many tasks.  Unset (the default) a
+#: table is read as its files and spark.sql.files.maxPartitionBytes cut it, without a shuffle;
+#: the local benchmark sets it, because its tables are single files of one row group.
+DEAL_KEY = "listingflow.text.tasks"
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name))
+    rows, tasks = table(spark, sf_dir, name), spark.conf.get(DEAL_KEY, "")
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 class SnapshotShapeError(ValueError):

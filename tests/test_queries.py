@@ -3,7 +3,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from listingflow.registry import ORACLES, QUERIES
 from tests.compare import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -14,15 +15,15 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    problems, n = compare(spark, con, SF, queries()[name], oracle_sql()[name])
+    problems, n = compare(spark, con, SF, QUERIES[name], ORACLES[name])
     assert not problems
     assert n > 0
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries())
 
 
 def test_entry_has_rows(spark):

@@ -7,6 +7,12 @@ from listingflow import fixtures as X
 from listingflow.operators import lifecycle, listing
 from listingflow.streaming.reconcile import StreamingState
 
+
+
+def place():
+    return F.expr("user_id % 10"), F.to_date("ts")
+
+
 T0 = dt.datetime(2024, 1, 1)
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -28,7 +34,7 @@ def rows(df):
 
 
 def test_daily_batches_equal_one_batch(spark, tmp_path):
-    state = StreamingState(spark, str(tmp_path / "s"), X.observations, X.run_evidence)
+    state = StreamingState(spark, str(tmp_path / "s"), X.observations, X.run_evidence, *place())
     for batch_id, days in enumerate(([0, 1], [2], [3, 4, 5], [6, 7])):
         state.apply(events(spark, days), batch_id)
         state.apply(events(spark, days), batch_id)      # delivered again after a failure
@@ -39,7 +45,7 @@ def test_daily_batches_equal_one_batch(spark, tmp_path):
 
 
 def test_late_runs_are_counted_and_ignored(spark, tmp_path):
-    state = StreamingState(spark, str(tmp_path / "s"), X.observations, X.run_evidence)
+    state = StreamingState(spark, str(tmp_path / "s"), X.observations, X.run_evidence, *place())
     state.apply(events(spark, [0, 1, 2]), 0)
     before = rows(state.read("state"))
     state.apply(events(spark, [1]), 1)
@@ -48,9 +54,19 @@ def test_late_runs_are_counted_and_ignored(spark, tmp_path):
     assert late[True] == X.observations(events(spark, [1])).count()
 
 
+def test_a_run_in_two_batches_equals_one_batch(spark, tmp_path):
+    state = StreamingState(spark, str(tmp_path / "s"), X.observations, X.run_evidence, *place())
+    whole = events(spark, range(5))
+    for batch_id, hours in enumerate(("event_id < 130", "event_id BETWEEN 130 AND 220", "event_id > 220 AND event_id < 431", "event_id >= 431")):
+        state.apply(whole.filter(hours), batch_id)
+    expected = batch_state(whole)
+    assert rows(state.read("state").select(expected.columns)) == rows(expected)
+    assert not state.late_counts().filter("late").count()
+
+
 def test_uncommitted_batch_is_not_read(spark, tmp_path):
     root = str(tmp_path / "s")
-    state = StreamingState(spark, root, X.observations, X.run_evidence)
+    state = StreamingState(spark, root, X.observations, X.run_evidence, *place())
     state.apply(events(spark, [0]), 0)
     before = rows(state.read("state"))
     state.read("state").limit(0).write.parquet(root + "/batch=1/state")     # lost before its commit
