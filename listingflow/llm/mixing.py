@@ -88,20 +88,13 @@ def position(need: Column, pieces: Column) -> Column:
     return F.when(rest <= 0, piece["t0"]).otherwise(piece["t0"] + 2 * rest / (w0 + root))
 
 
-def plan_mix(docs: DataFrame, schedule=cyclic_schedule, max_repeats: int = 3, carry: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, positions; ``row`` too if carried."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
-                       key.alias("order_key"), *([F.struct("*").alias("row")] if carry else []))
+def _planned(rows: DataFrame, schedule, max_repeats: int) -> DataFrame:
+    """Plan of stored rows (doc_id, source, size, copy_no); copy_no is carried along."""
+    order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     # the row number only tells apart rows that agree in everything a result depends on
-    rows = rows.withColumn("copy_no", F.monotonically_increasing_id())
-    if not carry:
-        rows = stored(rows, "mix-sizes")
-    lined = prefix_sums(rows.withColumn("no_source", F.col("source").isNull()),
+    lined = prefix_sums(rows.withColumns({"no_source": F.col("source").isNull(), "order_key": order_key}),
                         ["no_source", "source", "order_key", "size", "copy_no"], {"at": "size"}, "mix-line")
-    if carry:
-        lined = stored(lined, "mix-lined")
-    sizes = stored((lined if carry else rows).groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     plan = stored(targets(sizes, integrated(schedule(sizes)), max_repeats), "mix-targets")
     middle = F.col("at") - F.col("base") + F.col("size") / 2
     joined = (lined.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
@@ -111,13 +104,24 @@ def plan_mix(docs: DataFrame, schedule=cyclic_schedule, max_repeats: int = 3, ca
     spots = F.transform(F.col("passes"), lambda e: position(
         (F.col("middle") + e * F.col("source_size")) / F.col("target") * F.col("weight"), F.col("pieces")))
     return (joined.withColumn("passes", passes).withColumn("positions", spots)
-            .select("doc_id", "size", "source_size", "target", F.size("passes").alias("copies"),
-                    (F.size("passes") * F.col("size")).cast("long").alias("taken"), "positions",
-                    *(["row"] if carry else [])))
+            .select("doc_id", "copy_no", "size", "source_size", "target", F.size("passes").alias("copies"),
+                    (F.size("passes") * F.col("size")).cast("long").alias("taken"), "positions"))
+
+
+def plan_mix(docs: DataFrame, schedule=cyclic_schedule, max_repeats: int = 3) -> DataFrame:
+    """doc_id, copy_no, size, source_size, target, copies, taken, positions of every document."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
+                       F.monotonically_increasing_id().alias("copy_no"))
+    return _planned(stored(rows, "mix-sizes"), schedule, max_repeats)
 
 
 def mix(docs: DataFrame, schedule=cyclic_schedule, max_repeats: int = 3) -> DataFrame:
-    """The mixed documents, each as often as it is taken, range-sorted by training position."""
-    plan = plan_mix(docs, schedule, max_repeats, carry=True)
-    return (plan.select("row", F.explode("positions").alias("position"))
+    """The mixed documents, each as often as it is taken, range-sorted by training position.
+
+    Texts move twice: to the plan of their row, which is made without them, and to their place.
+    """
+    held = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("copy_no")), "mix-documents")
+    rows = held.select("row.doc_id", F.col("row.source").cast("string").alias("source"), word_count("row.text").alias("size"), "copy_no")
+    plan = stored(_planned(stored(rows, "mix-sizes"), schedule, max_repeats).where("copies > 0").select("copy_no", "positions"), "mix-plan")
+    return (held.join(plan, "copy_no").select("row", F.explode("positions").alias("position"))
             .repartitionByRange("position").sortWithinPartitions("position").select("row.*"))
