@@ -5,7 +5,7 @@ every row of a source table takes part, nothing is sampled or cut.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .sources.tables import table, text_table
 
@@ -37,7 +37,13 @@ def observations(events: DataFrame) -> DataFrame:
                "ELSE 'screening-or-closing' END").alias("deadline_type"),
         F.expr("CASE WHEN o.event_id % 4 IN (0, 2) THEN date_add(run_date, CAST(o.event_id % 10 AS INT) - 2) END").alias("deadline"),
         F.expr("o.event_type <> 'error'").alias("detail_complete"),
-        F.expr("o.event_type = 'purchase' AND o.event_id % 5 = 0").alias("source_closed"))
+        F.expr("o.event_type = 'purchase' AND o.event_id % 5 = 0").alias("source_closed"),
+        F.expr("CASE WHEN o.event_id % 6 = 0 THEN '' ELSE concat('Duties ', o.event_id % 6) END").alias("description"),
+        F.expr("concat('m', o.event_id % 4)").alias("match_text"),
+        F.expr("CASE o.event_id % 3 WHEN 0 THEN 'part-time' WHEN 1 THEN 'full-time' ELSE 'unknown' END").alias("employment_type"),
+        F.expr("CASE WHEN o.event_id % 4 IN (0, 2) THEN concat('until ', o.event_id % 10) END").alias("deadline_raw"),
+        F.expr("CASE WHEN o.event_id % 3 <> 0 THEN concat('f', o.event_id % 3) END").alias("listing_fingerprint"),
+        F.expr("o.event_type = 'error' AND o.event_id % 2 = 0").alias("detail_refresh_failed"))
 
 
 OBS = """
@@ -49,7 +55,13 @@ obs AS (
               ELSE 'screening-or-closing' END AS deadline_type,
          CASE WHEN event_id % 4 IN (0, 2) THEN run_date + (CAST(event_id % 10 AS INT) - 2) END AS deadline,
          event_type <> 'error' AS detail_complete,
-         (event_type = 'purchase' AND event_id % 5 = 0) AS source_closed
+         (event_type = 'purchase' AND event_id % 5 = 0) AS source_closed,
+         CASE WHEN event_id % 6 = 0 THEN '' ELSE concat('Duties ', event_id % 6) END AS description,
+         concat('m', event_id % 4) AS match_text,
+         CASE event_id % 3 WHEN 0 THEN 'part-time' WHEN 1 THEN 'full-time' ELSE 'unknown' END AS employment_type,
+         CASE WHEN event_id % 4 IN (0, 2) THEN concat('until ', event_id % 10) END AS deadline_raw,
+         CASE WHEN event_id % 3 <> 0 THEN concat('f', event_id % 3) END AS listing_fingerprint,
+         (event_type = 'error' AND event_id % 2 = 0) AS detail_refresh_failed
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id, job_key, run_date
                                      ORDER BY ts DESC, event_id DESC) AS rn
         FROM (SELECT user_id % 10 AS source_id,
@@ -90,21 +102,63 @@ runs AS (
         FROM events GROUP BY 1, 2) r0)
 """
 
-# accepted: runs after the volume-drop rule, stated as a recursion over the runs
+_CAPABILITY = ("CASE source_id % 5 WHEN 1 THEN 'list_only' WHEN 2 THEN 'partial' WHEN 3 THEN 'manual' "
+               "WHEN 4 THEN 'pending' ELSE 'full' END")
+
+
+def with_zero_runs(runs: DataFrame) -> DataFrame:
+    """Runs with their capability, plus runs without a row before and after a source's calendar.
+
+    Some of those state that the list is empty (``explicit_empty``), some merely found
+    nothing; a few of the latter even claim to be whole.
+    """
+    by_day = Window.partitionBy("source_id").orderBy("run_date")
+    near = runs.withColumns({"_before": F.lag("run_date").over(by_day), "_after": F.lead("run_date").over(by_day)})
+    shifts = F.expr("filter(array(0, -2, -1, 1, 2, 3), o -> o = 0 OR (o < 0 AND _before IS NULL) OR (o > 0 AND _after IS NULL))")
+    s = near.withColumn("_o", F.explode(shifts)).withColumn("explicit_empty", F.expr(
+        "CASE WHEN _o = -1 THEN source_id % 3 = 0 WHEN _o IN (1, 3) THEN source_id % 2 = 0 ELSE FALSE END"))
+    changed = {"run_date": "date_add(run_date, _o)", "n_events": "IF(_o = 0, n_events, 0L)", "n_jobs": "IF(_o = 0, n_jobs, 0L)",
+               "err_ratio": "IF(_o = 0, err_ratio, 0D)", "status": "IF(_o = 0, status, 'ok')",
+               "listing_complete": "IF(_o = 0, listing_complete, explicit_empty OR source_id % 4 = 1)"}
+    return s.select(*[F.expr(changed.get(c, c)).alias(c) for c in runs.columns], "explicit_empty",
+                    F.expr(_CAPABILITY).alias("capability"))
+
+
+def listed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return with_zero_runs(runs(spark, sf))
+
+
+LISTED = f"""
+listed AS (
+  SELECT source_id, run_date, n_events, n_jobs, err_ratio, listing_complete, status, FALSE AS explicit_empty, {_CAPABILITY} AS capability
+  FROM runs
+  UNION ALL
+  SELECT source_id, (CASE WHEN o < 0 THEN lo ELSE hi END) + o, 0, 0, 0.0, said OR source_id % 4 = 1, 'ok', said, {_CAPABILITY}
+  FROM (SELECT *, CASE WHEN o = -1 THEN source_id % 3 = 0 WHEN o IN (1, 3) THEN source_id % 2 = 0 ELSE FALSE END AS said
+        FROM (SELECT source_id, MIN(run_date) AS lo, MAX(run_date) AS hi FROM runs GROUP BY 1) ends
+        CROSS JOIN (VALUES (-2), (-1), (1), (2), (3)) shifts(o)) zero)
+"""
+# the runs of a stream, which sees only runs with rows
+LISTED_ONLY_SEEN = f"""
+listed AS (SELECT *, FALSE AS explicit_empty, {_CAPABILITY} AS capability FROM runs)
+"""
+
+# accepted: runs after the zero-row and volume-drop rules, stated as a recursion over the runs
 ACCEPTED = """
-run_seq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY run_date) AS rn FROM runs),
+run_seq AS (SELECT *, n_jobs = 0 AND NOT explicit_empty AS unproved, capability IN ('manual', 'pending') AS silent,
+                   ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY run_date) AS rn FROM listed),
 fold AS (
-  SELECT source_id, run_date, rn, n_jobs, listing_complete AS accepted, FALSE AS guarded,
-         CASE WHEN listing_complete THEN n_jobs ELSE 0 END AS last_count
+  SELECT source_id, run_date, rn, listing_complete AND NOT unproved AS accepted, unproved AND NOT silent AS guarded,
+         CASE WHEN listing_complete AND NOT unproved THEN n_jobs ELSE 0 END AS last_count
   FROM run_seq WHERE rn = 1
   UNION ALL
-  SELECT s.source_id, s.run_date, s.rn, s.n_jobs,
-         s.listing_complete AND NOT (f.last_count >= 5 AND s.n_jobs < f.last_count * CAST(0.4 AS DOUBLE)),
-         (f.last_count >= 5 AND s.n_jobs < f.last_count * CAST(0.4 AS DOUBLE)),
-         CASE WHEN s.listing_complete AND NOT (f.last_count >= 5 AND s.n_jobs < f.last_count * CAST(0.4 AS DOUBLE))
-              THEN s.n_jobs ELSE f.last_count END
-  FROM fold f JOIN run_seq s ON s.source_id = f.source_id AND s.rn = f.rn + 1),
-accepted AS (SELECT r.*, f.accepted, f.guarded FROM runs r
+  SELECT source_id, run_date, rn, listing_complete AND NOT unproved AND NOT dropped,
+         dropped OR (unproved AND NOT silent),
+         CASE WHEN listing_complete AND NOT unproved AND NOT dropped THEN n_jobs ELSE last_count END
+  FROM (SELECT s.*, f.last_count, f.last_count >= 5 AND NOT s.explicit_empty
+                      AND s.n_jobs < f.last_count * CAST(0.4 AS DOUBLE) AS dropped
+        FROM fold f JOIN run_seq s ON s.source_id = f.source_id AND s.rn = f.rn + 1) step),
+accepted AS (SELECT r.*, f.accepted, f.guarded FROM listed r
              JOIN fold f ON f.source_id = r.source_id AND f.run_date = r.run_date)
 """
 
@@ -126,22 +180,18 @@ vol_runs AS (SELECT user_id % 50 AS source_id, CAST(ts AS DATE) AS run_date,
 
 
 def health_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return runs(spark, sf).select(
-        "*", F.expr("CASE source_id % 5 WHEN 1 THEN 'list_only' WHEN 2 THEN 'partial' WHEN 3 THEN 'manual' "
-                    "WHEN 4 THEN 'pending' ELSE 'full' END").alias("capability"),
-        F.expr("CASE WHEN err_ratio > 0.25D THEN array('list not read', 'details failed') "
+    return listed_runs(spark, sf).select(
+        "*", F.expr("CASE WHEN err_ratio > 0.25D THEN array('list not read', 'details failed') "
                "WHEN err_ratio > 0.15D THEN array('details failed') ELSE array() END").alias("errors"),
         F.concat(F.lit("Institution "), F.char(F.lit(74) - F.col("source_id"))).alias("institution"))
 
 
-HEALTH_RUNS = RUNS + """,
+HEALTH_RUNS = RUNS + "," + LISTED + """,
 health_runs AS (
-  SELECT *, CASE source_id % 5 WHEN 1 THEN 'list_only' WHEN 2 THEN 'partial' WHEN 3 THEN 'manual'
-                 WHEN 4 THEN 'pending' ELSE 'full' END AS capability,
-         CASE WHEN err_ratio > 0.25 THEN 'details failed|list not read'
+  SELECT *, CASE WHEN err_ratio > 0.25 THEN 'details failed|list not read'
               WHEN err_ratio > 0.15 THEN 'details failed' ELSE '' END AS error_set,
          concat('Institution ', chr(CAST(74 - source_id AS INT))) AS institution
-  FROM runs)
+  FROM listed)
 """
 
 # ---------------------------------------------------------------------------

@@ -10,10 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..functions.keys import fields_hash
+from ..functions.keys import CONTENT_FIELDS, content_hash
+from .listing import said_empty
 
 JOB = ["source_id", "job_key"]
-CALENDAR_COPIES = 64
+#: Fields of a record as it is stored; ``HISTORY_FIELDS`` of them are compared in the log.
+FIELDS = ["title", "department", "employment_type", "posted_date", "deadline", "deadline_type", "deadline_raw",
+          "description", "match_text", "listing_fingerprint"]
+FLAGS = ["detail_complete", "detail_refresh_failed", "source_closed"]
+HISTORY_FIELDS = ["deadline", "deadline_type", "department", "description", "employment_type", "posted_date", "status",
+                  "title"]
 SEED_TYPE = "struct<first_seen:date,detail_verified_at:date,changed_at:date>"
 
 
@@ -41,52 +47,77 @@ def carry_forward(obs: DataFrame) -> DataFrame:
     first = F.row_number().over(_job_order()) == 1
     sure = F.col("detail_complete") | first
     strong = sure | ~F.col("deadline_type").isin(*V.WEAK_DEADLINES)
-    closed = F.last(F.when(F.col("detail_complete") | F.col("source_closed"), F.col("source_closed")),
-                    ignorenulls=True).over(over)
     if "seed" not in obs.columns:
         obs = obs.withColumn("seed", F.lit(None).cast(SEED_TYPE))
     read_on = F.when(F.col("seed").isNotNull(), F.col("seed.detail_verified_at")).when(
         F.col("detail_complete"), F.col("run_date"))
-    verified = F.max(read_on).over(over)
+    keep = {"department": sure | (F.col("department") != ""), "posted_date": sure | F.col("posted_date").isNotNull(),
+            "listing_fingerprint": sure | (F.col("listing_fingerprint") != ""),
+            "deadline": strong, "deadline_type": strong, "deadline_raw": strong}
+
+    def latched(flag):
+        # Once set it holds until a complete read says otherwise.
+        said = F.last(F.when(F.col("detail_complete") | F.col(flag), F.col(flag)), ignorenulls=True).over(over)
+        return F.coalesce(said, F.lit(False)).alias(flag)
+
     return obs.select(
         *JOB, "run_date", "event_id", "value", "detail_complete", "seed",
-        _kept(sure, F.col("title"), over).alias("title"),
-        _kept(sure | (F.col("department") != ""), F.col("department"), over).alias("department"),
-        _kept(sure | F.col("posted_date").isNotNull(), F.col("posted_date"), over).alias("posted_date"),
-        _kept(strong, F.col("deadline"), over).alias("deadline"),
-        _kept(strong, F.col("deadline_type"), over).alias("deadline_type"),
-        verified.alias("detail_verified_at"),
-        F.coalesce(closed, F.lit(False)).alias("source_closed"))
+        *[_kept(keep.get(f, sure), F.col(f), over).alias(f) for f in FIELDS],
+        F.max(read_on).over(over).alias("detail_verified_at"), latched("source_closed"), latched("detail_refresh_failed"))
 
 
-def source_calendar(runs: DataFrame, complete: str = "accepted") -> DataFrame:
-    """Per source: the dates of all runs, of accepted listings and of baseline runs (one row)."""
-    return baseline_runs(runs).groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col(complete), F.col("run_date")))).alias("accepted_dates"),
-        F.array_sort(F.collect_list(F.when(F.col("baseline"), F.col("run_date")))).alias("baseline_dates"),
-        F.array_sort(F.collect_list("run_date")).alias("run_dates"))
+def listing_days(runs: DataFrame, complete: str = "accepted") -> DataFrame:
+    """One row per source and day of its calendar, from its first run to its last.
+
+    ``upto`` counts the accepted listings up to the day, ``before`` those before it and
+    ``in_all`` all of the source's; ``next_accepted`` and ``third_accepted`` date the first and the third accepted listing
+    after it, ``baseline`` marks the days of baseline runs.  Bounded by sources times days.
+    """
+    by_day = Window.partitionBy("source_id").orderBy("run_date")
+    by_count = Window.partitionBy("source_id").orderBy("upto")
+    accepted = F.col(complete).cast("int")
+
+    def later(n):
+        # The first run of a count is the accepted one that reached it.
+        return F.min("run_date").over(by_count.rangeBetween(n, n))
+
+    counted = baseline_runs(runs).withColumn("upto", F.sum(accepted).over(by_day)).select(
+        "source_id", "run_date", "upto", (F.col("upto") - accepted).alias("before"), "baseline",
+        F.sum(accepted).over(Window.partitionBy("source_id")).alias("in_all"),
+        later(1).alias("next_accepted"), later(V.MISSING_AFTER).alias("third_accepted"),
+        F.lead("run_date").over(by_day).alias("_next_run"))
+    last = F.greatest(F.coalesce(F.date_sub("_next_run", 1), F.col("run_date")), F.col("run_date"))
+    days = counted.withColumn("day", F.explode(F.sequence("run_date", last)))
+    on_run = F.col("day") == F.col("run_date")
+    return days.select("source_id", "day", "upto", F.when(on_run, F.col("before")).otherwise(F.col("upto")).alias("before"),
+                       "in_all", "next_accepted", "third_accepted", (on_run & F.col("baseline")).alias("baseline"))
 
 
 def absence_spells(records: DataFrame, runs: DataFrame) -> DataFrame:
     """Per observation: accepted listings without the record until it is seen again.
 
     ``missed`` stays as it is through runs that prove nothing and resets on sight; the
-    third missed listing dates the "missing" status.  Dates of a source are looked up
-    once per record instead of multiplying records by runs.
+    third missed listing dates the "missing" status, the first one after a closing date
+    (``closing_missed``) closes the record.  Both come from running counts of the source's
+    accepted listings, so the work per observation does not grow with the calendar.
     """
-    following = F.lead("run_date").over(_job_order())
-    # Records of a hot source are spread over salted copies of its one calendar row.
-    calendar = source_calendar(runs).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CALENDAR_COPIES - 1))))
-    salt = F.pmod(F.xxhash64("job_key"), F.lit(CALENDAR_COPIES)).cast("int")
-    rows = records.withColumn("next_seen", following).withColumn("_salt", salt).join(
-        calendar, ["source_id", "_salt"], "left").drop("_salt")
-    gap = F.filter("accepted_dates", lambda d: (d > F.col("run_date")) &
-                   (F.col("next_seen").isNull() | (d < F.col("next_seen"))))
-    return (rows.withColumn("missed_dates", F.coalesce(gap, F.array().cast("array<date>")))
-            .withColumn("missed", F.size("missed_dates"))
-            .withColumn("missing_since", F.try_element_at("missed_dates", F.lit(V.MISSING_AFTER)))
-            .withColumn("baseline_run", F.coalesce(F.array_contains("baseline_dates", F.col("run_date")), F.lit(False)))
-            .drop("accepted_dates", "baseline_dates"))
+    days = listing_days(runs)
+    seen_on = days.withColumnRenamed("day", "run_date").withColumnRenamed("baseline", "baseline_run")
+    closing = days.select("source_id", F.col("day").alias("deadline"), F.col("next_accepted").alias("closing_missed"))
+    rows = records.join(seen_on, ["source_id", "run_date"], "left").join(closing, ["source_id", "deadline"], "left")
+    order = _job_order()
+    next_seen = F.lead("run_date").over(order)
+    end = F.coalesce(F.lead("before").over(order), F.col("in_all"))
+    rows = rows.withColumns({"next_seen": next_seen, "_end": end})
+
+    def missed_day(c):
+        return F.when(F.col("next_seen").isNull() | (F.col(c) < F.col("next_seen")), F.col(c))
+
+    return rows.withColumns({
+        "missed": F.coalesce(F.col("_end") - F.col("upto"), F.lit(0)).cast("int"),
+        "missing_since": missed_day("third_accepted"), "closing_missed": missed_day("closing_missed"),
+        "baseline_run": F.coalesce("baseline_run", F.lit(False))}).drop(
+        "upto", "before", "next_accepted", "third_accepted", "in_all", "_end")
 
 
 def with_status(spells: DataFrame) -> DataFrame:
@@ -99,8 +130,7 @@ def with_status(spells: DataFrame) -> DataFrame:
     passed = dated & F.col("deadline").isNotNull()
     on_sight = F.when(F.col("source_closed") | (passed & (F.col("deadline") < F.col("run_date"))),
                       "closed").otherwise("open")
-    close_day = F.when(passed, F.try_element_at(
-        F.filter("missed_dates", lambda d: d > F.col("deadline")), F.lit(1)))
+    close_day = F.when(passed, F.col("closing_missed"))
     return (spells.withColumn("seen_status", on_sight)
             .withColumn("closed_on", F.when(F.col("seen_status") == "open", close_day))
             .withColumn("missing_on", F.when(
@@ -111,14 +141,13 @@ def with_status(spells: DataFrame) -> DataFrame:
                         .when(F.col("missing_on").isNotNull(), "missing").otherwise(F.col("seen_status"))))
 
 
-def baseline_runs(runs: DataFrame, explicit_empty: Column | None = None) -> DataFrame:
+def baseline_runs(runs: DataFrame) -> DataFrame:
     """True for runs before which the source had never produced a row or a whole list.
 
     Whether the *previous* runs were productive decides, so a failed empty run keeps the
     baseline pending and an explicit-empty complete run uses it up.
     """
-    empty = explicit_empty if explicit_empty is not None else F.lit(False)
-    productive = (F.col("n_jobs") > 0) | (F.col("listing_complete") & empty)
+    productive = (F.col("n_jobs") > 0) | (F.col("listing_complete") & said_empty(runs))
     earlier = Window.partitionBy("source_id").orderBy("run_date").rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("baseline", ~F.coalesce(F.max(productive).over(earlier), F.lit(False)))
 
@@ -127,16 +156,11 @@ def timeline(obs: DataFrame, runs: DataFrame) -> DataFrame:
     """Every observation with carried fields, status and the state it replaced."""
     t = with_status(absence_spells(carry_forward(obs), runs))
     order = _job_order()
-    t = t.withColumn("content_hash", fields_hash([F.col(c) for c in (
-        "title", "department", "posted_date", "deadline", "deadline_type")]))
-    before = F.struct("title", "department", "posted_date", "deadline", "deadline_type",
-                      F.col("end_status").alias("status"), "content_hash")
+    t = t.withColumn("content_hash", content_hash(**{c: F.col(c) for c in CONTENT_FIELDS}))
+    before = F.struct(*[f for f in HISTORY_FIELDS if f != "status"], F.col("end_status").alias("status"), "content_hash")
     return t.withColumn("before", F.lag(before).over(order))
 
 
-HISTORY_FIELDS = ["deadline", "deadline_type", "department", "posted_date", "status", "title"]
-
-
 def change_history(line: DataFrame) -> DataFrame:
     """Append-only log: baseline/new, updated (with field changes), status rows.
 
@@ -172,9 +196,8 @@ def change_history(line: DataFrame) -> DataFrame:
 def current_state(line: DataFrame) -> DataFrame:
     """Latest state per record, by map-side aggregation over its timeline."""
     last = F.max_by(F.struct(
-        "title", "department", "posted_date", "deadline", "deadline_type", "source_closed",
-        "detail_complete", "detail_verified_at", "missed", "end_status", "closed_on", "missing_on",
-        "run_dates", "value", "content_hash"), "run_date")
+        *FIELDS, *FLAGS, "detail_verified_at", "missed", "end_status", "closed_on", "missing_on",
+        "value", "content_hash"), "run_date")
     changed = F.col("before").isNull() | (F.col("before.content_hash") != F.col("content_hash")) | (
         F.col("before.status") != F.col("seen_status"))
     own_change = F.when(F.col("seed").isNotNull(), F.col("seed.changed_at")).when(changed, F.col("run_date"))

@@ -43,19 +43,30 @@ def listing_evidence(pages: DataFrame, listing: str = "listing_id", page: str =
     return e.withColumn("reasons", reasons).withColumn("whole", F.size("reasons") == 0)
 
 
+def said_empty(runs: DataFrame) -> Column:
+    """Whether a run states that its list is empty; runs without the column never do."""
+    return F.coalesce("explicit_empty", F.lit(False)) if "explicit_empty" in runs.columns else F.lit(False)
+
+
 def volume_fold(runs: DataFrame, source: str = "source_id", order: str = "run_date",
-                count: str = "n_jobs", complete: str = "listing_complete",
-                explicit_empty: Column | None = None) -> DataFrame:
+                count: str = "n_jobs", complete: str = "listing_complete") -> DataFrame:
     """Runs with ``accepted``, ``guarded`` and the ``reference`` count they were held against.
 
     Only accepted listings move the reference count, so the rule is recursive and ``lag``
     cannot state it.  Rows are one per run of a source: a source's array is as long as its
     calendar, however many records it publishes.  The runs travel through the fold whole,
     which spares computing them a second time for a join.
+
+    Two optional columns of the runs count: ``explicit_empty`` (the page says that there
+    is nothing, which proves a list without rows) and ``capability`` (zero rows of a
+    manual or pending source prove nothing, but are no fault either).
     """
-    empty = explicit_empty if explicit_empty is not None else F.lit(False)
+    empty = said_empty(runs)
+    silent = (F.coalesce(F.col("capability").isin(*V.SILENT_CAPABILITIES), F.lit(False))
+              if "capability" in runs.columns else F.lit(False))
     run = F.struct(F.col(order).alias("at"), F.col(count).cast("bigint").alias("n"),
-                   F.col(complete).alias("complete"), empty.alias("empty"), F.struct(*runs.columns).alias("row"))
+                   F.col(complete).alias("complete"), empty.alias("empty"), silent.alias("silent"),
+                   F.struct(*runs.columns).alias("row"))
     folded = f"array<struct<row:{runs.schema.simpleString()},accepted:boolean,guarded:boolean,reference:bigint>>"
     start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast(folded).alias("out"))
 
@@ -65,7 +76,7 @@ def volume_fold(runs: DataFrame, source: str = "source_id", order: str = "run_da
                    & (r["n"] < acc["last"] * F.lit(V.DROP_KEEP_RATIO)))
         accepted = r["complete"] & ~unproved & ~dropped
         row = F.struct(r["row"].alias("row"), accepted.alias("accepted"),
-                       (dropped | unproved).alias("guarded"), acc["last"].alias("reference"))
+                       (dropped | (unproved & ~r["silent"])).alias("guarded"), acc["last"].alias("reference"))
         return F.struct(F.when(accepted, r["n"]).otherwise(acc["last"]).alias("last"),
                         F.concat(acc["out"], F.array(row)).alias("out"))
 
@@ -74,10 +85,6 @@ def volume_fold(runs: DataFrame, source: str = "source_id", order: str = "run_da
         "row.*", "accepted", "guarded", "reference")
 
 
-def with_acceptance(runs: DataFrame, source: str = "source_id", order: str = "run_date", **kw) -> DataFrame:
-    return volume_fold(runs, source, order, **kw)
-
-
 def page_profile(pages: DataFrame, listing: str = "listing_id", page: str = "page", ref: str = "ref") -> DataFrame:
     """Rows per page in page order (a few dozen pages at most), all rows and distinct ids."""
     per_ref = pages.groupBy(listing, page, ref).agg(F.count("*").alias("n"))

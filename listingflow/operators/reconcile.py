@@ -49,13 +49,30 @@ def reuse_detail(joined: DataFrame, today: Column, ttl_days: Column) -> Column:
     age = F.datediff(today, old["detail_verified_at"])
     near = (old["deadline_type"] == "closing") & (
         old["deadline"] <= F.date_add(today, V.DETAIL_NEAR_CLOSING_DAYS))
-    ok = (old["detail_complete"] & ~old["refresh_failed"] & ~old["source_closed"]
+    ok = (old["detail_complete"] & (F.coalesce(old["description"], F.lit("")) != "") & ~old["refresh_failed"] & ~old["source_closed"]
           & ~old["status"].isin("missing", "closed")
           & (old["fingerprint"] == F.col("fingerprint"))
           & (age >= 0) & (age < ttl) & ~F.coalesce(near, F.lit(False)))
     return F.coalesce(ok, F.lit(False))
 
 
+#: What a reused detail brings along from the stored record.
+CACHED_FIELDS = ["title", "department", "description", "match_text", "employment_type", "posted_date", "deadline",
+                 "deadline_type", "deadline_raw", "detail_verified_at"]
+
+
+def with_cached_detail(joined: DataFrame, today: Column, ttl_days: Column) -> DataFrame:
+    """Listing rows whose detail need not be read again, filled from the stored record.
+
+    ``detail_from_cache`` marks them; such a row is complete and its refresh did not fail.
+    """
+    hit = F.col("detail_from_cache")
+    rows = joined.withColumn("detail_from_cache", reuse_detail(joined, today, ttl_days))
+    filled = {f: F.when(hit, F.col("old")[f]).otherwise(F.col(f)) for f in CACHED_FIELDS}
+    return rows.withColumns(filled | {"detail_complete": hit | F.col("detail_complete"),
+                                      "detail_refresh_failed": ~hit & F.col("detail_refresh_failed")})
+
+
 def refresh_priority() -> Column:
     """New, then changed listing, then failed or incomplete, then oldest verified."""
     old = F.col("old")

@@ -13,13 +13,14 @@ from .common import ACC, CARRY, DENSE, cte, day, joined, obs_timeline
 from .sequences import HEALTH_CTE, HISTORY, STATE, health_state, history_rows
 
 
-@query("batch_summary", cte(X.OBS, X.RUNS, "fs AS (SELECT source_id, job_key, MIN(run_date) AS f FROM obs GROUP BY 1, 2)") + """
-SELECT r.source_id, CAST(r.run_date AS VARCHAR) AS run_date, COUNT(DISTINCT o.job_key) AS n_records,
+@query("batch_summary", cte(X.OBS, X.RUNS, X.LISTED, "fs AS (SELECT source_id, job_key, MIN(run_date) AS f FROM obs GROUP BY 1, 2)") + """
+SELECT r.source_id, CAST(r.run_date AS VARCHAR) AS run_date, r.explicit_empty, COUNT(DISTINCT o.job_key) AS n_records,
        SUM(CASE WHEN o.detail_complete THEN 1 ELSE 0 END)::BIGINT AS n_complete,
-       ROUND(CAST(SUM(CASE WHEN o.detail_complete THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*), 4) AS coverage,
+       CASE WHEN COUNT(o.job_key) > 0 THEN ROUND(CAST(SUM(CASE WHEN o.detail_complete THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(o.job_key), 4)
+            WHEN r.explicit_empty AND r.listing_complete THEN 1.0::DOUBLE END AS coverage,
        SUM(CASE WHEN fs.f = o.run_date THEN 1 ELSE 0 END)::BIGINT AS n_new
-FROM runs r JOIN obs o ON o.source_id = r.source_id AND o.run_date = r.run_date
-JOIN fs ON fs.source_id = o.source_id AND fs.job_key = o.job_key GROUP BY 1, 2""")
+FROM listed r LEFT JOIN obs o ON o.source_id = r.source_id AND o.run_date = r.run_date
+LEFT JOIN fs ON fs.source_id = o.source_id AND fs.job_key = o.job_key GROUP BY 1, 2, 3, r.listing_complete""")
 def batch_summary(spark, sf):
     o = X.obs(spark, sf)
     # obs has one row per record and run, so plain counts are distinct counts.
@@ -27,13 +28,13 @@ def batch_summary(spark, sf):
         F.count("*").alias("n_records"), F.count_if("detail_complete").alias("n_complete"))
     new = o.groupBy("source_id", "job_key").agg(F.min("run_date").alias("run_date")).groupBy(
         "source_id", "run_date").agg(F.count("*").alias("n_new"))
-    runs = X.runs(spark, sf).withColumn("explicit_empty", F.lit(False))
+    runs = X.listed_runs(spark, sf)
     covered = F.when(F.col("n_records") > 0, F.round(F.col("n_complete") / F.col("n_records"), 4)).when(
         F.col("explicit_empty") & F.col("listing_complete"), 1.0)
     joined_runs = runs.join(per_run, ["source_id", "run_date"], "left").join(new, ["source_id", "run_date"], "left")
     zero = F.lit(0)
     return joined_runs.select(
-        "source_id", day("run_date").alias("run_date"), F.coalesce("n_records", zero).alias("n_records"),
+        "source_id", day("run_date").alias("run_date"), "explicit_empty", F.coalesce("n_records", zero).alias("n_records"),
         F.coalesce("n_complete", zero).alias("n_complete"), covered.alias("coverage"), F.coalesce("n_new", zero).alias("n_new"))
 
 

@@ -25,7 +25,7 @@ def joined(c: Column, sep: str = "|") -> Column:
 
 
 def accepted_runs(spark, sf: str) -> DataFrame:
-    return listing.with_acceptance(X.runs(spark, sf))
+    return listing.volume_fold(X.listed_runs(spark, sf))
 
 
 def obs_timeline(spark, sf: str) -> DataFrame:
@@ -34,7 +34,7 @@ def obs_timeline(spark, sf: str) -> DataFrame:
 
 # --- SQL statements of the same intermediate results, stated densely ---------
 
-ACC = (X.OBS, X.RUNS, X.ACCEPTED)
+ACC = (X.OBS, X.RUNS, X.LISTED, X.ACCEPTED)
 
 # carried fields by counting kept observations
 CARRY = """
@@ -43,23 +43,29 @@ c1 AS (SELECT *, (detail_complete OR is_first) AS k_sure,
               (detail_complete OR is_first OR department <> '') AS k_dep,
               (detail_complete OR is_first OR posted_date IS NOT NULL) AS k_posted,
               (detail_complete OR is_first OR deadline_type NOT IN ('unknown', 'screening-or-closing')) AS k_dead,
+              (detail_complete OR is_first OR listing_fingerprint <> '') AS k_finger,
+              (detail_complete OR detail_refresh_failed) AS k_failed,
               (detail_complete OR source_closed) AS k_closed FROM c0),
 c2 AS (SELECT *,
    SUM(CASE WHEN k_sure THEN 1 ELSE 0 END) OVER w AS g_sure, SUM(CASE WHEN k_dep THEN 1 ELSE 0 END) OVER w AS g_dep,
    SUM(CASE WHEN k_posted THEN 1 ELSE 0 END) OVER w AS g_posted, SUM(CASE WHEN k_dead THEN 1 ELSE 0 END) OVER w AS g_dead,
-   SUM(CASE WHEN k_closed THEN 1 ELSE 0 END) OVER w AS g_closed,
+   SUM(CASE WHEN k_closed THEN 1 ELSE 0 END) OVER w AS g_closed, SUM(CASE WHEN k_finger THEN 1 ELSE 0 END) OVER w AS g_finger,
+   SUM(CASE WHEN k_failed THEN 1 ELSE 0 END) OVER w AS g_failed,
    MAX(CASE WHEN detail_complete THEN run_date END) OVER w AS verified
    FROM c1 WINDOW w AS (PARTITION BY source_id, job_key ORDER BY run_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 carried AS (
   SELECT o.source_id, o.job_key, o.run_date, o.event_id, o.detail_complete, o.value,
          a.title, d.department, p.posted_date, z.deadline, z.deadline_type, o.verified AS detail_verified_at,
-         COALESCE(q.source_closed, FALSE) AS source_closed
+         COALESCE(q.source_closed, FALSE) AS source_closed, a.description, a.match_text, a.employment_type,
+         z.deadline_raw, i.listing_fingerprint, COALESCE(x.detail_refresh_failed, FALSE) AS detail_refresh_failed
   FROM c2 o
   JOIN c2 a ON a.source_id = o.source_id AND a.job_key = o.job_key AND a.k_sure AND a.g_sure = o.g_sure
   JOIN c2 d ON d.source_id = o.source_id AND d.job_key = o.job_key AND d.k_dep AND d.g_dep = o.g_dep
   JOIN c2 p ON p.source_id = o.source_id AND p.job_key = o.job_key AND p.k_posted AND p.g_posted = o.g_posted
   JOIN c2 z ON z.source_id = o.source_id AND z.job_key = o.job_key AND z.k_dead AND z.g_dead = o.g_dead
-  LEFT JOIN c2 q ON q.source_id = o.source_id AND q.job_key = o.job_key AND q.k_closed AND q.g_closed = o.g_closed)
+  LEFT JOIN c2 q ON q.source_id = o.source_id AND q.job_key = o.job_key AND q.k_closed AND q.g_closed = o.g_closed
+  JOIN c2 i ON i.source_id = o.source_id AND i.job_key = o.job_key AND i.k_finger AND i.g_finger = o.g_finger
+  LEFT JOIN c2 x ON x.source_id = o.source_id AND x.job_key = o.job_key AND x.k_failed AND x.g_failed = o.g_failed)
 """
 
 # one row per (record, run since its first sighting), as a run-by-run reconcile would see it
@@ -67,6 +73,7 @@ DENSE = """
 firsts AS (SELECT source_id, job_key, MIN(run_date) AS first_seen FROM obs GROUP BY 1, 2),
 grid AS (SELECT f.source_id, f.job_key, a.run_date, a.accepted,
                 (c.run_date IS NOT NULL) AS present, c.title, c.department, c.posted_date, c.deadline, c.deadline_type,
+                c.description, c.match_text, c.employment_type, c.deadline_raw,
                 c.source_closed, c.detail_complete, c.event_id, c.value, c.detail_verified_at
          FROM firsts f JOIN accepted a ON a.source_id = f.source_id AND a.run_date >= f.first_seen
          LEFT JOIN carried c ON c.source_id = f.source_id AND c.job_key = f.job_key AND c.run_date = a.run_date),

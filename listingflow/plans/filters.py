@@ -146,31 +146,45 @@ def parttime_filter(spark, sf):
 
 
 @query("detail_reuse", cte(*ACC, CARRY, DENSE, """
-f AS (SELECT source_id, job_key, run_date, title || '|' || department AS fingerprint,
+f AS (SELECT *, title || '|' || department AS fingerprint,
              LAG(run_date) OVER (PARTITION BY source_id, job_key ORDER BY run_date) AS before_date FROM obs),
 fin AS (SELECT source_id, job_key, o_date, arg_max(status, run_date) AS end_status FROM dense GROUP BY 1, 2, 3),
-rj AS (SELECT f.source_id, f.job_key, f.run_date, f.fingerprint, b.fingerprint AS o_finger, c.detail_complete, c.detail_verified_at,
-              c.deadline, c.deadline_type, c.source_closed, n.end_status, LEAST(7, GREATEST(1, f.source_id)) AS ttl, c.title AS o_title
+rj AS (SELECT f.*, c.title AS c_title, c.department AS c_department, c.description AS c_description, c.match_text AS c_match,
+              c.employment_type AS c_employment, c.posted_date AS c_posted, c.deadline AS c_deadline, c.deadline_type AS c_type,
+              c.deadline_raw AS c_raw, c.detail_verified_at AS c_verified,
+              COALESCE(c.detail_complete AND c.description <> '' AND NOT c.detail_refresh_failed AND NOT c.source_closed
+                AND end_status NOT IN ('missing', 'closed') AND b.fingerprint = f.fingerprint
+                AND c.detail_verified_at IS NOT NULL AND f.run_date - c.detail_verified_at >= 0
+                AND f.run_date - c.detail_verified_at < LEAST(7, GREATEST(1, f.source_id))
+                AND NOT COALESCE(c.deadline_type = 'closing' AND c.deadline <= f.run_date + 3, FALSE), FALSE) AS reused
        FROM f LEFT JOIN f b ON b.source_id = f.source_id AND b.job_key = f.job_key AND b.run_date = f.before_date
        LEFT JOIN carried c ON c.source_id = f.source_id AND c.job_key = f.job_key AND c.run_date = f.before_date
        LEFT JOIN fin n ON n.source_id = f.source_id AND n.job_key = f.job_key AND n.o_date = f.before_date)""") + """
-SELECT source_id, job_key, CAST(run_date AS VARCHAR) AS run_date,
-  COALESCE(detail_complete AND NOT source_closed AND end_status NOT IN ('missing', 'closed') AND o_finger = fingerprint
-    AND detail_verified_at IS NOT NULL AND run_date - detail_verified_at >= 0 AND run_date - detail_verified_at < ttl
-    AND NOT COALESCE(deadline_type = 'closing' AND deadline <= run_date + 3, FALSE), FALSE) AS reused
+SELECT source_id, job_key, CAST(run_date AS VARCHAR) AS run_date, reused AS detail_from_cache,
+       reused OR detail_complete AS detail_complete, NOT reused AND detail_refresh_failed AS detail_refresh_failed,
+       CASE WHEN reused THEN c_title ELSE title END AS title, CASE WHEN reused THEN c_department ELSE department END AS department,
+       CASE WHEN reused THEN c_description ELSE description END AS description, CASE WHEN reused THEN c_match ELSE match_text END AS match_text,
+       CASE WHEN reused THEN c_employment ELSE employment_type END AS employment_type,
+       CAST(CASE WHEN reused THEN c_posted ELSE posted_date END AS VARCHAR) AS posted_date,
+       CAST(CASE WHEN reused THEN c_deadline ELSE deadline END AS VARCHAR) AS deadline,
+       CASE WHEN reused THEN c_type ELSE deadline_type END AS deadline_type, CASE WHEN reused THEN c_raw ELSE deadline_raw END AS deadline_raw,
+       CAST(CASE WHEN reused THEN c_verified WHEN detail_complete THEN run_date END AS VARCHAR) AS detail_verified_at
 FROM rj""")
 def detail_reuse(spark, sf):
     line = obs_timeline(spark, sf)
-    # The listing row's own fingerprint, before any verified detail is carried into it.
-    listed = X.obs(spark, sf).select("source_id", "job_key", "run_date",
-                                     F.concat_ws("|", "title", "department").alias("fingerprint"))
-    rows = line.join(listed, ["source_id", "job_key", "run_date"])
+    # The listing row's own fields, before any verified detail is carried into them.
+    listed = X.obs(spark, sf).withColumn("fingerprint", F.concat_ws("|", "title", "department")).withColumn(
+        "detail_verified_at", F.when(F.col("detail_complete"), F.col("run_date")))
+    stored = line.select("source_id", "job_key", "run_date", F.struct(
+        *reconcile.CACHED_FIELDS, "detail_complete", "source_closed", F.col("end_status").alias("status"),
+        F.col("detail_refresh_failed").alias("refresh_failed")).alias("now"))
     w = Window.partitionBy("source_id", "job_key").orderBy("run_date")
-    old = F.lag(F.struct("detail_complete", "detail_verified_at", "deadline", "deadline_type", "source_closed",
-                         F.col("end_status").alias("status"), F.lit(False).alias("refresh_failed"), "fingerprint")).over(w)
-    joined = rows.withColumn("old", old)
-    return joined.select("source_id", "job_key", day("run_date").alias("run_date"), reconcile.reuse_detail(
-        joined, F.col("run_date"), F.col("source_id")).alias("reused"))
+    rows = listed.join(stored, ["source_id", "job_key", "run_date"]).withColumn(
+        "old", F.lag(F.struct("now.*", "fingerprint")).over(w))
+    out = reconcile.with_cached_detail(rows, F.col("run_date"), F.col("source_id"))
+    dates = ("posted_date", "deadline", "detail_verified_at")
+    return out.select("source_id", "job_key", day("run_date").alias("run_date"), "detail_from_cache", "detail_complete",
+                      "detail_refresh_failed", *[day(c).alias(c) if c in dates else c for c in reconcile.CACHED_FIELDS])
 
 
 GATE = """

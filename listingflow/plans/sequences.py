@@ -47,7 +47,7 @@ FROM (SELECT source_id, run_date, listing_complete, n_events % 7 = 1 AS explicit
 def baseline_flag(spark, sf):
     r = X.runs(spark, sf).withColumn("explicit_empty", F.expr("n_events % 7 = 1")).withColumn(
         "n_jobs", F.expr("CASE WHEN n_events % 3 < 2 AND run_date < DATE '2024-01-12' THEN 0 ELSE n_jobs END"))
-    return lifecycle.baseline_runs(r, F.col("explicit_empty")).select(
+    return lifecycle.baseline_runs(r).select(
         "source_id", day("run_date").alias("run_date"), "explicit_empty", "n_jobs", "baseline")
 
 
@@ -62,23 +62,25 @@ def missing_count(spark, sf):
 
 
 @query("volume_drop_guard", cte(X.VOL_RUNS, """
-runs AS (SELECT *, TRUE AS listing_complete FROM vol_runs)""", X.ACCEPTED) + """
+runs AS (SELECT *, n_jobs AS n_events, 0.0 AS err_ratio, 'ok' AS status, TRUE AS listing_complete FROM vol_runs)""", X.LISTED, X.ACCEPTED) + """
 SELECT source_id, CAST(run_date AS VARCHAR) AS run_date, n_jobs, accepted, guarded FROM accepted""")
 def volume_drop_guard(spark, sf):
-    runs = X.vol_runs(spark, sf).withColumn("listing_complete", F.lit(True))
-    return listing.with_acceptance(runs).select(
+    runs = X.with_zero_runs(X.vol_runs(spark, sf).withColumn("listing_complete", F.lit(True)))
+    return listing.volume_fold(runs).select(
         "source_id", day("run_date").alias("run_date"), "n_jobs", "accepted", "guarded")
 
 
 @query("carry_forward", cte(X.OBS, CARRY) + """
 SELECT source_id, job_key, CAST(run_date AS VARCHAR) AS run_date, detail_complete, title, department,
        CAST(posted_date AS VARCHAR) AS posted_date, CAST(deadline AS VARCHAR) AS deadline, deadline_type,
-       CAST(detail_verified_at AS VARCHAR) AS detail_verified_at FROM carried""")
+       CAST(detail_verified_at AS VARCHAR) AS detail_verified_at, description, match_text, employment_type, deadline_raw,
+       listing_fingerprint, detail_refresh_failed FROM carried""")
 def carry_forward(spark, sf):
     return lifecycle.carry_forward(X.obs(spark, sf)).select(
         "source_id", "job_key", day("run_date").alias("run_date"), "detail_complete", "title", "department",
         day("posted_date").alias("posted_date"), day("deadline").alias("deadline"), "deadline_type",
-        day("detail_verified_at").alias("detail_verified_at"))
+        day("detail_verified_at").alias("detail_verified_at"), "description", "match_text", "employment_type", "deadline_raw",
+        "listing_fingerprint", "detail_refresh_failed")
 
 
 @query("closure_latch", cte(X.OBS, CARRY) + """
@@ -101,13 +103,13 @@ state AS (SELECT source_id, job_key, CAST(MIN(run_date) AS VARCHAR) AS first_see
 
 @query("job_status", cte(*ACC, CARRY, DENSE, STATE) + """
 SELECT s.source_id, s.job_key, s.first_seen, s.last_seen, s.missing_count, s.status, c.title, c.department,
-       CAST(c.deadline AS VARCHAR) AS deadline, c.deadline_type, c.source_closed
+       CAST(c.deadline AS VARCHAR) AS deadline, c.deadline_type, c.source_closed, c.description, c.detail_refresh_failed
 FROM state s JOIN carried c ON c.source_id = s.source_id AND c.job_key = s.job_key AND c.run_date = s.last_date""")
 def job_status(spark, sf):
     return lifecycle.current_state(obs_timeline(spark, sf)).select(
         "source_id", "job_key", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"),
         F.col("missing_count").cast("bigint").alias("missing_count"), "status", "title", "department",
-        day("deadline").alias("deadline"), "deadline_type", "source_closed")
+        day("deadline").alias("deadline"), "deadline_type", "source_closed", "description", "detail_refresh_failed")
 
 
 @query("expire_jobs", cte(X.ADS) + """
@@ -122,23 +124,30 @@ def expire_jobs(spark, sf):
 
 HISTORY = """
 seen AS (SELECT source_id, job_key, run_date, title, department, posted_date, deadline, deadline_type, status, prev_status,
+   description, employment_type, match_text, deadline_raw, LAG(description) OVER w AS b_description,
+   LAG(employment_type) OVER w AS b_employment, LAG(match_text) OVER w AS b_match, LAG(deadline_raw) OVER w AS b_raw,
    LAG(title) OVER w AS b_title, LAG(department) OVER w AS b_department, LAG(posted_date) OVER w AS b_posted,
    LAG(deadline) OVER w AS b_deadline, LAG(deadline_type) OVER w AS b_type, ROW_NUMBER() OVER w AS nth
    FROM dense WHERE present WINDOW w AS (PARTITION BY source_id, job_key ORDER BY run_date)),
-src AS (SELECT source_id, MIN(run_date) AS first_run FROM runs GROUP BY 1),
+base AS (SELECT source_id, run_date, COALESCE(SUM(CASE WHEN n_jobs > 0 OR (listing_complete AND explicit_empty) THEN 1 ELSE 0 END)
+   OVER (PARTITION BY source_id ORDER BY run_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS baseline FROM listed),
 history AS (
   SELECT s.source_id, s.job_key, s.run_date AS happened,
-         CASE WHEN nth > 1 THEN 'updated' WHEN s.run_date = r.first_run THEN 'baseline' ELSE 'new' END AS kind, title,
+         CASE WHEN nth > 1 THEN 'updated' WHEN r.baseline THEN 'baseline' ELSE 'new' END AS kind, title,
          CASE WHEN nth = 1 THEN '' ELSE array_to_string(list_filter([
            CASE WHEN deadline IS DISTINCT FROM b_deadline THEN 'deadline:' || COALESCE(CAST(b_deadline AS VARCHAR), '-') || '>' || COALESCE(CAST(deadline AS VARCHAR), '-') END,
            CASE WHEN deadline_type IS DISTINCT FROM b_type THEN 'deadline_type:' || COALESCE(b_type, '-') || '>' || COALESCE(deadline_type, '-') END,
            CASE WHEN department IS DISTINCT FROM b_department THEN 'department:' || COALESCE(b_department, '-') || '>' || COALESCE(department, '-') END,
+           CASE WHEN description IS DISTINCT FROM b_description THEN 'description:' || COALESCE(b_description, '-') || '>' || COALESCE(description, '-') END,
+           CASE WHEN employment_type IS DISTINCT FROM b_employment THEN 'employment_type:' || COALESCE(b_employment, '-') || '>' || COALESCE(employment_type, '-') END,
            CASE WHEN posted_date IS DISTINCT FROM b_posted THEN 'posted_date:' || COALESCE(CAST(b_posted AS VARCHAR), '-') || '>' || COALESCE(CAST(posted_date AS VARCHAR), '-') END,
            CASE WHEN status IS DISTINCT FROM prev_status THEN 'status:' || COALESCE(prev_status, '-') || '>' || status END,
            CASE WHEN title IS DISTINCT FROM b_title THEN 'title:' || COALESCE(b_title, '-') || '>' || COALESCE(title, '-') END
          ], lambda x: x IS NOT NULL), '|') END AS changes
-  FROM seen s JOIN src r ON r.source_id = s.source_id
+  FROM seen s JOIN base r ON r.source_id = s.source_id AND r.run_date = s.run_date
   WHERE nth = 1 OR status <> prev_status OR title IS DISTINCT FROM b_title OR department IS DISTINCT FROM b_department
+     OR description IS DISTINCT FROM b_description OR employment_type IS DISTINCT FROM b_employment
+     OR match_text IS DISTINCT FROM b_match OR deadline_raw IS DISTINCT FROM b_raw
      OR posted_date IS DISTINCT FROM b_posted OR deadline IS DISTINCT FROM b_deadline OR deadline_type IS DISTINCT FROM b_type
   UNION ALL
   SELECT d.source_id, d.job_key, d.run_date, 'status', o.title, 'status:' || d.prev_status || '>' || d.status
@@ -172,7 +181,7 @@ def content_changed_at(spark, sf):
 
 def health_state(spark, sf):
     """Health rows: severity and status by the decision table, plus the signature."""
-    h = listing.with_acceptance(X.health_runs(spark, sf))
+    h = listing.volume_fold(X.health_runs(spark, sf))
     whole = F.col("accepted")
     verdict = health.severity_and_status(F.col("guarded"), whole, whole & (F.col("err_ratio") <= 0.15),
                                          F.col("capability"), F.col("n_jobs"))

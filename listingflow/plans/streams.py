@@ -12,7 +12,7 @@ from ..sources.tables import table
 from ..streaming import health as stream_health_ops
 from ..streaming.reconcile import StreamingState
 from ..streaming.runner import drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
-from .common import ACC, CARRY, DENSE, as_of, cte, day
+from .common import CARRY, DENSE, as_of, cte, day
 from .sequences import STATE
 
 
@@ -39,7 +39,7 @@ def reconciled(spark, sf):
     return state
 
 
-@query("stream_reconcile", cte(*ACC, CARRY, DENSE, STATE) + """
+@query("stream_reconcile", cte(X.OBS, X.RUNS, X.LISTED_ONLY_SEEN, X.ACCEPTED, CARRY, DENSE, STATE) + """
 SELECT s.source_id, s.job_key, s.first_seen, s.last_seen, s.missing_count, s.status, c.title, c.department,
        CAST(c.deadline AS VARCHAR) AS deadline, c.deadline_type, c.source_closed
 FROM state s JOIN carried c ON c.source_id = s.source_id AND c.job_key = s.job_key AND c.run_date = s.last_date""")

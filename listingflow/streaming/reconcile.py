@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import lifecycle, listing
-from ..operators.lifecycle import JOB, SEED_TYPE
+from ..operators.lifecycle import FIELDS, FLAGS, JOB, SEED_TYPE
 
 
 class StreamingState:
@@ -95,6 +95,6 @@ class StreamingState:
     def _as_observations(state: DataFrame) -> DataFrame:
         """Stored state as each record's leading observation."""
         return state.select(
-            *JOB, F.col("last_seen").alias("run_date"), F.lit(None).cast("bigint").alias("event_id"), "title", "value",
-            "department", "posted_date", "deadline_type", "deadline", "detail_complete", "source_closed",
+            *JOB, F.col("last_seen").alias("run_date"), F.lit(None).cast("bigint").alias("event_id"), "value",
+            *FIELDS, *FLAGS,
             F.struct("first_seen", "detail_verified_at", "changed_at").alias("seed"))

@@ -8,7 +8,9 @@ from listingflow.operators import lifecycle, listing, reconcile
 
 D0 = dt.date(2026, 9, 1)
 OBS = ("source_id bigint, job_key int, run_date date, event_id bigint, title string, value double, department string, "
-       "posted_date date, deadline_type string, deadline date, detail_complete boolean, source_closed boolean")
+       "posted_date date, deadline_type string, deadline date, detail_complete boolean, source_closed boolean, "
+       "description string, match_text string, employment_type string, deadline_raw string, listing_fingerprint string, "
+       "detail_refresh_failed boolean")
 RUNS = "source_id bigint, run_date date, n_jobs bigint, listing_complete boolean"
 
 
@@ -17,12 +19,13 @@ def day(n):
 
 
 def seen(job, n, complete=True, title="Lecturer", department="Arts", posted=None, kind="unknown", deadline=None,
-         closed=False, source=1):
-    return (source, job, day(n), n, title, 1.0, department, posted, kind, deadline, complete, closed)
+         closed=False, source=1, text="Duties", match="m", work="part-time", raw=None, finger="f", failed=False):
+    return (source, job, day(n), n, title, 1.0, department, posted, kind, deadline, complete, closed,
+            text, match, work, raw, finger, failed)
 
 
 def state_of(spark, obs, runs):
-    o, r = spark.createDataFrame(obs, OBS), listing.with_acceptance(spark.createDataFrame(runs, RUNS))
+    o, r = spark.createDataFrame(obs, OBS), listing.volume_fold(spark.createDataFrame(runs, RUNS))
     rows = lifecycle.current_state(lifecycle.timeline(o, r)).collect()
     return {row["job_key"]: row for row in rows}
 
@@ -60,8 +63,9 @@ def test_volume_drop_is_recursive(spark):
 
 
 def test_empty_listing_needs_proof(spark):
-    r = spark.createDataFrame([run(0, 3), run(1, 0), run(2, 0)], RUNS).withColumn("empty", F.col("run_date") == day(2))
-    rows = listing.volume_fold(r, explicit_empty=F.col("empty")).orderBy("run_date").collect()
+    r = spark.createDataFrame([run(0, 3), run(1, 0), run(2, 0)], RUNS).withColumn(
+        "explicit_empty", F.col("run_date") == day(2))
+    rows = listing.volume_fold(r).orderBy("run_date").collect()
     assert [x["accepted"] for x in rows] == [True, False, True]
 
 
@@ -100,7 +104,7 @@ def test_deadline_day_is_open(spark):
 def test_closed_outranks_missing(spark):
     obs = [seen(1, 0, kind="closing", deadline=day(5))] + [seen(2, n) for n in range(8)]
     o = spark.createDataFrame(obs, OBS)
-    runs = listing.with_acceptance(spark.createDataFrame([run(n) for n in range(8)], RUNS))
+    runs = listing.volume_fold(spark.createDataFrame([run(n) for n in range(8)], RUNS))
     line = lifecycle.timeline(o, runs)
     log = lifecycle.change_history(line).filter("job_key = 1 AND kind = 'status'").orderBy("at").collect()
     assert [(r["at"], r["changes"][0]["before"], r["changes"][0]["after"]) for r in log] == [
@@ -109,7 +113,7 @@ def test_closed_outranks_missing(spark):
 
 def test_baseline_then_new(spark):
     obs = [seen(1, 0), seen(1, 1), seen(2, 1)]
-    runs = listing.with_acceptance(spark.createDataFrame([run(0, 1), run(1, 2)], RUNS))
+    runs = listing.volume_fold(spark.createDataFrame([run(0, 1), run(1, 2)], RUNS))
     log = lifecycle.change_history(lifecycle.timeline(spark.createDataFrame(obs, OBS), runs))
     assert {(r["job_key"], r["kind"]) for r in log.collect()} == {(1, "baseline"), (2, "new")}
 
@@ -117,13 +121,92 @@ def test_baseline_then_new(spark):
 def test_result_does_not_depend_on_row_order_or_partitions(spark):
     obs = [seen(j, n, complete=(n + j) % 3 > 0, title=f"t{n % 2}", kind="closing" if j % 2 else "unknown",
                 deadline=day(j)) for j in range(8) for n in range(0, 9, 1 + j % 3)]
-    runs = listing.with_acceptance(spark.createDataFrame([run(n, 8, n % 4 > 0) for n in range(9)], RUNS))
+    runs = listing.volume_fold(spark.createDataFrame([run(n, 8, n % 4 > 0) for n in range(9)], RUNS))
     first = lifecycle.current_state(lifecycle.timeline(spark.createDataFrame(obs, OBS), runs))
     second = lifecycle.current_state(lifecycle.timeline(
         spark.createDataFrame(obs[::-1], OBS).repartition(5, F.rand(3)), runs.repartition(4)))
     assert sorted(map(str, first.collect())) == sorted(map(str, second.collect()))
 
 
+def test_zero_rows_are_no_fault_of_a_manual_source(spark):
+    r = spark.createDataFrame([run(0, 3), run(1, 0)], RUNS)
+    for capability, guarded in (("full", True), ("list_only", True), ("manual", False), ("pending", False), (None, True)):
+        rows = listing.volume_fold(r.withColumn("capability", F.lit(capability).cast("string"))).orderBy("run_date").collect()
+        assert (rows[1]["accepted"], rows[1]["guarded"]) == (False, guarded), capability
+
+
+@pytest.mark.parametrize("says_empty, kind", [(True, "new"), (False, "baseline")])
+def test_only_a_stated_empty_list_uses_the_baseline_up(spark, says_empty, kind):
+    runs = spark.createDataFrame([run(0, 0), run(1, 1)], RUNS).withColumn(
+        "explicit_empty", F.lit(says_empty) & (F.col("run_date") == day(0)))
+    line = lifecycle.timeline(spark.createDataFrame([seen(1, 1)], OBS), listing.volume_fold(runs))
+    assert [r["kind"] for r in lifecycle.change_history(line).collect()] == [kind]
+
+
+def test_stated_empty_lists_count_as_absence(spark):
+    runs = spark.createDataFrame([run(0, 1), run(1, 0), run(2, 0), run(3, 0)], RUNS).withColumn(
+        "explicit_empty", F.col("n_jobs") == 0)
+    line = lifecycle.timeline(spark.createDataFrame([seen(1, 0)], OBS), listing.volume_fold(runs))
+    state = lifecycle.current_state(line).first()
+    assert (state["missing_count"], state["status"], state["missing_on"]) == (3, "missing", day(3))
+
+
+def test_all_carried_fields(spark):
+    old = seen(1, 0, kind="closing", deadline=day(9), raw="by day 9")
+    new = seen(1, 1, complete=False, text="", match="", work="unknown", finger=None, failed=True)
+    again = seen(1, 2, complete=False, text="x", finger="g")
+    s = state_of(spark, [old, new, again], [run(n, 1) for n in range(3)])[1]
+    assert (s["description"], s["match_text"], s["employment_type"], s["deadline_raw"]) == (
+        "Duties", "m", "part-time", "by day 9")
+    assert s["listing_fingerprint"] == "g" and s["detail_refresh_failed"]
+    s = state_of(spark, [old, new, again, seen(1, 3, text="")], [run(n, 1) for n in range(4)])[1]
+    assert s["description"] == "" and not s["detail_refresh_failed"] and s["listing_fingerprint"] == "f"
+
+
+@pytest.mark.parametrize("change, fields", [({"text": "Other"}, ["description"]), ({"work": "full-time"}, ["employment_type"]),
+                                            ({"match": "n"}, []), ({"raw": "soon"}, []), ({"finger": "g"}, None)])
+def test_which_fields_make_an_update(spark, change, fields):
+    runs = listing.volume_fold(spark.createDataFrame([run(0, 1), run(1, 1)], RUNS))
+    obs = spark.createDataFrame([seen(1, 0), seen(1, 1, **change)], OBS)
+    log = lifecycle.change_history(lifecycle.timeline(obs, runs)).filter("kind = 'updated'").collect()
+    assert [[c["field"] for c in r["changes"]] for r in log] == ([] if fields is None else [fields])
+
+
+def test_closing_date_between_runs_and_beyond_the_calendar(spark):
+    obs = [seen(1, 0, kind="closing", deadline=day(2)), seen(2, 0, kind="closing", deadline=day(90))]
+    runs = listing.volume_fold(spark.createDataFrame([run(0), run(5, complete=False), run(7), run(8)], RUNS))
+    line = lifecycle.timeline(spark.createDataFrame(obs, OBS), runs)
+    got = {r["job_key"]: (r["status"], r["closed_on"]) for r in lifecycle.current_state(line).collect()}
+    assert got == {1: ("closed", day(7)), 2: ("open", None)}
+
+
+def test_life_cycle_has_no_calendar_arrays(spark):
+    line = lifecycle.timeline(spark.createDataFrame([seen(1, 0)], OBS),
+                              listing.volume_fold(spark.createDataFrame([run(0)], RUNS)))
+    assert not [f.name for f in line.schema.fields if f.dataType.typeName() == "array"]
+
+
+def test_reuse_needs_a_body_and_brings_the_cached_fields(spark):
+    kinds = {"description": "string", "detail_complete": "boolean", "refresh_failed": "boolean", "source_closed": "boolean",
+             "status": "string", "fingerprint": "string", "detail_verified_at": "date", "deadline": "date",
+             "deadline_type": "string", "title": "string", "department": "string", "match_text": "string",
+             "employment_type": "string", "posted_date": "date", "deadline_raw": "string"}
+
+    def old(text):
+        return (text, True, False, False, "open", "f", day(0), None, "unknown", "Stored", "Arts", "m", "part-time", None, None)
+
+    row = (1, "f", "Listed", "", None, "", "unknown", None, None, "unknown", None, None, False, True)
+    shape = ("id int, fingerprint string, title string, department string, description string, match_text string, "
+             "employment_type string, posted_date date, deadline date, deadline_type string, deadline_raw string, "
+             "detail_verified_at date, detail_complete boolean, detail_refresh_failed boolean, old struct<"
+             + ", ".join(f"{k}: {v}" for k, v in kinds.items()) + ">")
+    rows = spark.createDataFrame([(*row, old("Body")), (2, *row[1:], old("")), (3, *row[1:], None)], shape)
+    out = reconcile.with_cached_detail(rows, F.lit(day(1)), F.lit(7)).orderBy("id").collect()
+    assert [(r["detail_from_cache"], r["title"], r["description"], r["detail_complete"], r["detail_refresh_failed"])
+            for r in out] == [(True, "Stored", "Body", True, False), (False, "Listed", None, False, True),
+                              (False, "Listed", None, False, True)]
+
+
 def test_upsert_from_empty_state(spark):
     batch = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "source_id int, job_key int, title string")
     rows = reconcile.upsert(batch.limit(0), batch, ["source_id", "job_key"], ["title"]).collect()

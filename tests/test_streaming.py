@@ -25,7 +25,7 @@ def events(spark, days):
 
 
 def batch_state(e):
-    runs = listing.with_acceptance(X.run_evidence(e))
+    runs = listing.volume_fold(X.run_evidence(e))
     return lifecycle.current_state(lifecycle.timeline(X.observations(e), runs))
 
 
