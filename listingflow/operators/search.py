@@ -2,23 +2,18 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
 from ..functions.dates import utc_to_local_date
 from ..functions.rules import without_boilerplate
-from ..functions.text import contains_any, contains_term, normalize_text
-
-# A quoted phrase or a bare word, each with an optional leading minus.
-_QUERY_TOKEN = r'(-?)"([^"]+)"|(-?)([^\s,，"]+)'
-
+from ..functions.text import normalize_text
 
 @dataclass(frozen=True)
 class SavedSearch:
-    """Criteria of one saved search; configuration, not data."""
+    """Criteria of one saved search, a row of the table of searches."""
     name: str
     institutions: tuple[str, ...] | None = None     # empty selects nothing, None everything
     status: str = "all"
@@ -36,23 +31,6 @@ class SavedSearch:
     part_time_only: bool = False
 
 
-@dataclass
-class ParsedQuery:
-    positive: list[str] = field(default_factory=list)
-    negative: list[str] = field(default_factory=list)
-    unclosed_quote: bool = False
-
-
-def parse_criteria(text: str) -> ParsedQuery:
-    """Terms of one configured query (plan-time); ``parse_query`` is the column form."""
-    out = ParsedQuery(unclosed_quote=(text or "").count('"') % 2 == 1)
-    for minus_q, phrase, minus_w, word in re.findall(_QUERY_TOKEN, text or ""):
-        term = (phrase or word).strip()
-        if term and term != "-":
-            (out.negative if minus_q or minus_w else out.positive).append(term)
-    return out
-
-
 def parse_query(c: Column) -> Column:
     """Struct (positive, negative, unclosed_quote) of a query text column."""
     tokens = F.regexp_extract_all(c, F.lit(r'(-?"[^"]+"|[^\s,，"]+)'), F.lit(1))
@@ -65,10 +43,6 @@ def parse_query(c: Column) -> Column:
         (F.regexp_count(c, F.lit('"')) % 2 == 1).alias("unclosed_quote"))
 
 
-def split_keywords(text: str) -> list[str]:
-    return [t.strip() for t in re.split("[,，\n]", text or "") if t.strip()]
-
-
 def keyword_terms(c: Column) -> Column:
     """Preset list: commas and line breaks separate, blanks inside a term stay."""
     return F.filter(F.transform(F.split(c, "[,，\n]"), lambda t: F.trim(t)), lambda t: t != "")
@@ -122,55 +96,146 @@ def part_time_filter() -> Column:
     return F.col("employment_type").isin(*V.PART_TIME_KINDS)
 
 
-def with_search_text(ads: DataFrame, unicode_forms: bool = True) -> DataFrame:
-    """Normalise each searched text once per record, whatever the number of searches."""
-    optional = [c for c in ("subjects", "employment_type") if c in ads.columns]
-    everything = F.concat_ws("\n", "title", "department", *optional, "description")
-    cleaned = F.concat_ws("\n", "title", "department", without_boilerplate(F.col("description")))
-    return (ads.withColumn("_all", normalize_text(everything, unicode_forms))
-            .withColumn("_subject", normalize_text(cleaned, unicode_forms))
-            .withColumn("_title", normalize_text(F.col("title"), unicode_forms)))
-
-
-def predicate(s: SavedSearch, today: Column) -> Column:
-    """One search as a boolean column; search terms tolerate a plural "s"."""
-    ok = institution_filter(s.institutions) & status_filter(s.status)
-    ok = ok & in_range(date_basis(s.date_basis), s.date_from, s.date_to)
-    ok = ok & in_recent_window(effective_date(), today, None if s.recent_days == "all" else int(s.recent_days))
-    q, text = parse_criteria(s.query), F.col("_all")
-    if q.positive:
-        tests = [contains_term(text, t, plural=True) for t in q.positive]
-        both = tests[0]
-        for t in tests[1:]:
-            both = (both | t) if s.mode == "OR" else (both & t)
-        ok = ok & both
-    # "-word" in the query and every term of the exclusion box stay mandatory under OR.
-    banned = q.negative + parse_criteria(s.exclude).positive + parse_criteria(s.exclude).negative
-    if banned:
-        ok = ok & ~contains_any(text, banned, plural=True)
-    if s.preset_enabled:
-        if split_keywords(s.subject_keywords):
-            ok = ok & contains_any(F.col("_subject"), split_keywords(s.subject_keywords), plural=True)
-        if split_keywords(s.role_keywords):
-            ok = ok & contains_any(F.col("_title"), split_keywords(s.role_keywords), plural=True)
-        if split_keywords(s.preset_exclude):
-            ok = ok & ~contains_any(text, split_keywords(s.preset_exclude), plural=True)
-        if s.part_time_only:
-            ok = ok & part_time_filter()
-    return ok
+def with_search_text(ads: DataFrame, unicode_forms: bool = True, only=None) -> DataFrame:
+    """Normalise each searched text once per record, whatever the number of searches.
 
-
-def match_saved_searches(ads: DataFrame, searches: list[SavedSearch], today: Column,
+    ``only`` tells per text whether a record needs it; others get an empty one.  Every step
+    is a projection of its own, or the optimiser would repeat it in the next one.
+    """
+    optional = [c for c in ("subjects", "employment_type") if c in ads.columns]
+    texts = {"_all": F.concat_ws("\n", "title", "department", *optional, "description"),
+             "_subject": F.concat_ws("\n", "title", "department", without_boilerplate(F.col("description"))),
+             "_title": F.col("title")}
+    if only is not None:
+        texts = {t: F.when(only(t), c) for t, c in texts.items()}
+    joined = ads.withColumns(texts)
+    return joined.withColumns({t: normalize_text(F.col(t), unicode_forms) for t in texts})
+
+
+SEARCH_SCHEMA = ("name string, institutions array<string>, status string, date_basis string, recent_days string, "
+                 "date_from string, date_to string, mode string, query string, exclude string, preset_enabled boolean, "
+                 "subject_keywords string, role_keywords string, preset_exclude string, part_time_only boolean")
+#: Runs of token characters, and every other character that is no blank, of normalised text.
+_PIECES = "[a-z0-9]+|[^a-z0-9 ]"
+
+
+def searches_table(spark: SparkSession, searches: list[SavedSearch]) -> DataFrame:
+    """Configured searches as the table that ``match_saved_searches`` takes."""
+    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in astuple(s)) for s in searches]
+    return spark.createDataFrame(rows, SEARCH_SCHEMA)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+
+
+def search_terms(searches: DataFrame) -> DataFrame:
+    """One row per search and term: name, kind (want, ban, subject, role), the text it is looked
+    for in, the term as it stands in normalised text, its pattern and the pieces of which a text
+    that holds it has one (its longest, also with a plural s where that is the last)."""
+    def of(kind, text, terms, wanted=None):
+        rows = F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text"), t.alias("raw")))
+        return rows if wanted is None else F.when(wanted, rows).otherwise(F.slice(rows, 1, 0))
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    asked, boxed, preset = parse_query(text("query")), parse_query(text("exclude")), F.coalesce("preset_enabled", F.lit(False))
+    terms = F.concat(
+        of("want", "_all", asked["positive"]), of("ban", "_all", asked["negative"]),
+        # "-word" in the query and every term of the exclusion box stay mandatory under OR.
+        of("ban", "_all", boxed["positive"]), of("ban", "_all", boxed["negative"]),
+        of("subject", "_subject", keyword_terms(text("subject_keywords")), preset),
+        of("role", "_title", keyword_terms(text("role_keywords")), preset),
+        of("ban", "_all", keyword_terms(text("preset_exclude")), preset))
+    rows = searches.select("name", F.inline(terms)).withColumn("term", normalize_text(F.col("raw"))).filter("term <> ''")
+    starts, ends = F.col("term").rlike(r"\A[a-z0-9]"), F.col("term").rlike(r"[a-z0-9]\z")
+    plural = F.col("term").rlike(r"[a-z]\z")
+    pattern = F.concat(  # the term is in lower case, so it cannot hold the mark that ends a quotation
+        F.when(starts, r"(?:\A|[^a-z0-9])").otherwise(""), F.lit(r"\Q"), "term", F.lit(r"\E"),
+        F.when(plural, "s?").otherwise(""), F.when(ends, r"(?:[^a-z0-9]|\z)").otherwise(""))
+    pieces = _pieces(F.col("term"))
+    longest = F.array_max(F.transform(pieces, lambda piece, i: F.struct(
+        F.length(piece).alias("n"), (-i).alias("at"), piece.alias("piece"))))
+    plural_piece = F.when(plural & (-longest["at"] == F.size(pieces) - 1), F.concat(longest["piece"], F.lit("s")))
+    return rows.select("name", "kind", "text", "term", pattern.alias("pattern"), (longest["piece"] == F.col("term")).alias("single"),
+                       F.array_compact(F.array(longest["piece"], plural_piece)).alias("pieces")).distinct()
+
+
+def term_hits(ads: DataFrame, terms: DataFrame, key: str, unicode_forms: bool = True) -> DataFrame:
+    """(key, text, term): which terms occur in which of a record's three texts.
+
+    Texts meet terms by an equi-join on pieces.  A term that is one piece is thereby found; the
+    others are looked for in the candidates by their patterns, all terms of a record at once.
+    """
+    texts = ("_all", "_subject", "_title")
+    distinct = terms.select("text", "term", "pattern", "single", F.explode("pieces").alias("piece")).distinct()
+    prepared = with_search_text(ads, unicode_forms)
+    marked = lambda t: lambda piece: F.struct(F.lit(t).alias("text"), piece.alias("piece"))
+    held = F.concat(*[F.transform(F.array_distinct(_pieces(F.col(t))), marked(t)) for t in texts])
+    # The outer forms, because a derived "not empty" filter would be pushed below the
+    # normalising projection and fold every text again.
+    met = (prepared.select(key, F.explode_outer(held).alias("h")).select(key, "h.*")
+           .join(distinct, ["text", "piece"]).select(key, "text", "term", "pattern", "single").distinct())
+    sure, term = F.col("single"), F.struct("text", "term", "pattern")
+    lists = met.groupBy(key).agg(F.collect_list(F.when(sure, term)).alias("_sure"), F.collect_list(F.when(~sure, term)).alias("_maybe"))
+    sought = lambda text: F.exists("_maybe", lambda t: t["text"] == text)
+    rows = with_search_text(ads.join(lists, key), unicode_forms, sought)
+    found = lambda t: F.when(t["text"] == "_title", F.col("_title")).when(t["text"] == "_subject", F.col("_subject")).otherwise(F.col("_all"))
+    proved = F.filter("_maybe", lambda t: F.contains(found(t), t["term"]) & F.rlike(found(t), t["pattern"]))
+    hits = rows.select(key, F.explode_outer(F.concat("_sure", proved)).alias("t")).filter("t IS NOT NULL")
+    return hits.select(key, "t.text", "t.term").distinct()
+
+
+def compiled(searches: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per search: the struct ``s`` of its typed bounds and the number of its terms."""
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    totals = terms.groupBy("name").agg(F.struct(*map(count, ("want", "subject", "role"))).alias("n"),
+                                       F.collect_set(F.when(F.col("kind") == "ban", F.col("pattern"))).alias("ban"))
+    total = lambda kind: F.coalesce("n." + kind, F.lit(0)).alias(kind)
+    date = lambda c: F.when(F.col(c) != "", F.col(c).cast("date")).alias(c)
+    return searches.join(totals, "name", "left").select("name", F.struct(
+        "name", "institutions", F.coalesce("status", F.lit("all")).alias("status"), "date_basis",
+        F.when(F.col("recent_days") != "all", F.col("recent_days").cast("int")).alias("recent_days"),
+        date("date_from"), date("date_to"), F.coalesce(F.col("mode") == "OR", F.lit(False)).alias("any"),
+        total("want"), total("subject"), total("role"), F.coalesce("ban", F.array().cast("array<string>")).alias("ban"),
+        (F.coalesce("preset_enabled", F.lit(False)) & F.coalesce("part_time_only", F.lit(False))).alias("part_time")).alias("s"))
+
+
+def within_bounds(s: Column, today: Column) -> Column:
+    """Whether a record meets institutions, status, dates and employment of the search ``s``."""
+    effective = effective_date()
+    day = (F.when(s["date_basis"] == "deadline", date_basis("deadline"))
+           .when(s["date_basis"] == "first_seen", date_basis("first_seen")).otherwise(effective))
+    ok = ((s["institutions"].isNull() | F.array_contains(s["institutions"], F.col("source_id").cast("string")))
+          & ((s["status"] == "all") | (F.col("status") == s["status"]))
+          & (s["date_from"].isNull() | (day >= s["date_from"])) & (s["date_to"].isNull() | (day <= s["date_to"]))
+          & (s["recent_days"].isNull() | effective.between(F.date_sub(today, s["recent_days"] - 1), today))
+          & (~s["part_time"] | part_time_filter()))
+    return F.coalesce(ok, F.lit(False))
+
+
+def match_saved_searches(ads: DataFrame, searches: DataFrame, today: Column, key: str = "id",
                          unicode_forms: bool = True) -> DataFrame:
-    """(search, record) pairs that match, in one pass over the records.
+    """(search, record) pairs that match; the plan does not grow with the number of searches.
 
-    Searches are configuration, so each becomes a compiled predicate and only matches
-    are emitted; records are never multiplied by searches, and nothing is shuffled.
+    Terms are found in the texts once, whatever number of searches shares them; the searches are
+    then counted out on narrow (key, search) rows.  Searches that need no term (institution, date
+    or status only) travel as one array, a configured handful, and are tested inside the record.
+    ``name`` identifies a search and ``key`` a record; the texts are the matched record's own.
     """
-    prepared = with_search_text(ads, unicode_forms)
-    hits = F.array_compact(F.array(*[
-        F.when(predicate(s, today), F.lit(s.name)) for s in searches]))
-    # The outer form, because a derived "has matches" filter would be pushed below the
-    # normalising projection and fold every text once per term.
-    return prepared.withColumn("search", F.explode_outer(hits)).filter("search IS NOT NULL").drop(
-        "_all", "_subject", "_title")
+    terms = search_terms(searches)
+    named = compiled(searches, terms)
+    hits = term_hits(ads, terms, key, unicode_forms).join(terms.select("name", "kind", "text", "term"), ["text", "term"])
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias("has_" + kind)
+    pairs = hits.groupBy(key, "name").agg(*map(count, ("want", "ban", "subject", "role")))
+    needs = F.col("s.want") + F.col("s.subject") + F.col("s.role") > 0
+    enough = (F.when(F.col("s.any"), F.col("has_want") >= F.least(F.col("s.want"), F.lit(1))).otherwise(F.col("has_want") == F.col("s.want"))
+              & ((F.col("s.subject") == 0) | (F.col("has_subject") > 0)) & ((F.col("s.role") == 0) | (F.col("has_role") > 0)))
+    chosen = pairs.filter("has_ban = 0").join(named.filter(needs), "name").filter(enough).select(key, "s")
+    by_term = ads.join(chosen, key).filter(within_bounds(F.col("s"), today)).select(*ads.columns, F.col("s.name").alias("search"))
+    free = named.filter(~needs).agg(F.collect_list("s").alias("open")).scalar()
+    # Its own pass over the texts, so that the term hits are needed once.
+    rest = with_search_text(ads, unicode_forms, lambda text: F.lit(text == "_all")).withColumn("_open", free)
+    passes = lambda s: within_bounds(s, today) & ~F.exists(s["ban"], lambda pattern: F.rlike(F.col("_all"), pattern))
+    by_rest = (rest.withColumn("_s", F.explode_outer(F.filter("_open", passes))).filter("_s IS NOT NULL")
+               .select(*ads.columns, F.col("_s.name").alias("search")))
+    return by_term.unionByName(by_rest)

@@ -261,6 +261,26 @@ SEARCHES = [
 ]
 
 
+_WORDS = ["philosophy", "tutor", "ethics", "lecturer", "literacy"]
+
+
+def nation_searches(spark, sf):
+    """A saved search of every nation: two words (all or any), some with bounds or an exclusion."""
+    def word(n):
+        return F.element_at(F.array(*map(F.lit, _WORDS)), (F.pmod(n, F.lit(len(_WORDS))) + 1).cast("int"))
+
+    n = F.col("n_nationkey")
+    none = F.lit("")
+    return table(spark, sf, "nation").select(
+        F.concat(F.lit("nation-"), n).alias("name"),
+        F.when(n % 6 == 0, F.array(F.lit("src1"), F.lit("src2"))).alias("institutions"), F.lit("all").alias("status"),
+        F.lit("effective").alias("date_basis"), F.when(n % 4 == 0, "30").otherwise("all").alias("recent_days"),
+        none.alias("date_from"), none.alias("date_to"), F.when(n % 2 == 0, "OR").otherwise("AND").alias("mode"),
+        F.concat_ws(" ", word(n), word(n + 1 + n % 3)).alias("query"), F.when(n % 3 == 0, "hourly").otherwise("").alias("exclude"),
+        F.lit(False).alias("preset_enabled"), none.alias("subject_keywords"), none.alias("role_keywords"),
+        none.alias("preset_exclude"), F.lit(False).alias("part_time_only"))
+
+
 def _has(text: str, *terms: str) -> str:
     return "regexp_matches({}, '(^|[^a-z0-9])({})s?([^a-z0-9]|$)')".format(text, "|".join(terms))
 
@@ -270,7 +290,17 @@ s0 AS (SELECT a.id, a.status, a.source_id, a.employment_type, a.deadline_type, a
        FROM ads a JOIN adverts v ON v.doc_id = a.doc_id),
 s AS (SELECT *, {sql_fold("title || chr(10) || department || chr(10) || employment_type || chr(10) || description")} AS f,
              {sql_fold("title || chr(10) || department || chr(10) || " + SQL_BOILERPLATE.format('description'))} AS fs,
-             {sql_fold('title')} AS ft FROM s0)""") + f"""
+             {sql_fold('title')} AS ft FROM s0),
+words AS (SELECT {_WORDS} AS w),
+n AS (SELECT n_nationkey AS k, w[n_nationkey % 5 + 1] AS a, w[(n_nationkey + 1 + n_nationkey % 3) % 5 + 1] AS b FROM nation, words),
+x AS (SELECT id, f, source_id, eff, {", ".join(_has('f', t) + f" AS has_{t}" for t in _WORDS)}, {_has('f', 'hourly')} AS has_hourly FROM s),
+y AS (SELECT *, list_filter(list_transform({_WORDS}, lambda t, i: CASE WHEN [{", ".join("has_" + t for t in _WORDS)}][i] THEN t END),
+             lambda t: t IS NOT NULL) AS held FROM x)""") + f"""
+SELECT 'nation-' || k AS search, id FROM n JOIN y ON (CASE WHEN k % 2 = 0 THEN list_contains(held, a) OR list_contains(held, b)
+       ELSE list_contains(held, a) AND list_contains(held, b) END)
+WHERE (k % 6 <> 0 OR source_id IN ('src1', 'src2')) AND (k % 4 <> 0 OR eff BETWEEN DATE '2024-03-20' - 29 AND DATE '2024-03-20')
+  AND (k % 3 <> 0 OR NOT has_hourly)
+UNION ALL
 SELECT 'and' AS search, id FROM s WHERE {_has('f', 'philosophy')} AND {_has('f', 'lecturer')}
 UNION ALL SELECT 'or', id FROM s WHERE eff BETWEEN DATE '2024-03-20' - 29 AND DATE '2024-03-20'
   AND ({_has('f', 'tutor')} OR {_has('f', 'ai literacy')}) AND NOT {_has('f', 'hourly')}
@@ -281,7 +311,8 @@ UNION ALL SELECT 'dated', id FROM s WHERE source_id IN ('src1', 'src2', 'src3')
 UNION ALL SELECT 'without', id FROM s WHERE {_has('ft', 'teacher', 'tutor')} AND NOT contains(f, '通識') AND NOT {_has('f', 'ai and humanities')}""")
 def saved_search_match(spark, sf):
     ads = X.search_ads(spark, sf)
-    return search.match_saved_searches(ads, SEARCHES, F.lit("2024-03-20").cast("date")).select("search", "id")
+    searches = search.searches_table(spark, SEARCHES).unionByName(nation_searches(spark, sf))
+    return search.match_saved_searches(ads, searches, F.lit("2024-03-20").cast("date")).select("search", "id")
 
 
 @query("known_ads_fallback", cte(*ACC, CARRY, DENSE, STATE) + """

@@ -139,7 +139,7 @@ SCHEMA = ("id string, source_id string, title string, department string, descrip
           "posted_date date, first_seen timestamp_ntz, deadline_type string, deadline date")
 
 
-@pytest.mark.parametrize("criteria, ids", [
+CRITERIA = [
     ({"query": "philosophy, parttime, lecturer"}, "a"), ({"query": "philosophy tutor", "mode": "OR"}, "ab"),
     ({"query": "philosophy tutor -fulltime", "mode": "OR"}, "a"), ({"query": "philosophy", "exclude": '"AI literacy"'}, ""),
     ({"institutions": ()}, ""), ({"institutions": ("b",), "query": "philosophy"}, ""),
@@ -150,18 +150,54 @@ SCHEMA = ("id string, source_id string, title string, department string, descrip
       "part_time_only": True}, "a"),
     ({"preset_enabled": True, "preset_exclude": "machine learning，護理\nAI literacy"}, ""),
     ({"preset_enabled": False, "preset_exclude": "machine learning"}, "ab"),
-    ({"query": '-"machine learning"'}, "a")])
-def test_saved_search(spark, criteria, ids):
-    df = spark.createDataFrame(ADS, SCHEMA)
-    found = search.match_saved_searches(df, [search.SavedSearch("s", **criteria)], F.lit("2026-09-05").cast("date"))
-    assert "".join(sorted(r["id"] for r in found.collect())) == ids
+    ({"query": '-"machine learning"'}, "a")]
+
+
+def test_saved_searches(spark):
+    table = search.searches_table(spark, [search.SavedSearch(str(n), **c) for n, (c, _) in enumerate(CRITERIA)])
+    found = search.match_saved_searches(spark.createDataFrame(ADS, SCHEMA), table, F.lit("2026-09-05").cast("date"))
+    got = {(r["search"], r["id"]) for r in found.collect()}
+    assert got == {(str(n), i) for n, (_, ids) in enumerate(CRITERIA) for i in ids}
+
+
+def test_query_text(spark):
+    df = spark.createDataFrame([('philosophy，"AI literacy" -"machine learning"', "AI literacy, 哲學\ncritical thinking"),
+                                ('"unfinished', "")], "q string, k string")
+    rows = df.select(search.parse_query(F.col("q")).alias("q"), search.keyword_terms(F.col("k")).alias("k")).collect()
+    assert (rows[0].q.positive, rows[0].q.negative, rows[0].q.unclosed_quote) == (
+        ["philosophy", "AI literacy"], ["machine learning"], False)
+    assert rows[1].q.unclosed_quote and rows[0].k == ["AI literacy", "哲學", "critical thinking"]
 
 
-def test_query_text():
-    q = search.parse_criteria('philosophy，"AI literacy" -"machine learning"')
-    assert (q.positive, q.negative, q.unclosed_quote) == (["philosophy", "AI literacy"], ["machine learning"], False)
-    assert search.parse_criteria('"unfinished').unclosed_quote
-    assert search.split_keywords("AI literacy, 哲學\ncritical thinking") == ["AI literacy", "哲學", "critical thinking"]
+FORMS = [
+    ("tutors", True), ("tutor", True), ("tut", False), ("café", True), ("c++", True), ("通識", True), ('"a.b"', False), ("part-time", True),
+    ('"teaches in"', True), ("teache", True), ("teach", False), ("r&d", True), ("-tutor", False), ("-absent", True), ('"\\e x"', False)]
+
+
+def test_every_form_of_term_finds_its_records(spark):
+    """Terms meet records by pieces of text; none of their forms may be lost on the way."""
+    row = dict(zip([c.strip().split()[0] for c in SCHEMA.split(",")], ADS[0]))
+    row |= {"title": "Part", "department": "time", "description": "Tutors at the CAFÉ teache\u2010s in C++, R&D: 通識課; aXb; teaches in\nteams"}
+    df = spark.createDataFrame([tuple(row.values())], SCHEMA)
+    table = search.searches_table(spark, [search.SavedSearch(q, query=q, recent_days="all") for q, _ in FORMS])
+    found = search.match_saved_searches(df, table, F.lit("2026-09-05").cast("date"))
+    assert {r["search"] for r in found.collect()} == {q for q, hit in FORMS if hit}
+
+
+def test_plan_does_not_grow_with_searches(spark):
+    df = spark.createDataFrame(ADS, SCHEMA)
+    sizes = []
+    for n in (2, 200):
+        table = spark.range(n).select(F.concat(F.lit("s"), "id").alias("name"), *[
+            F.lit(v).cast(t).alias(c) for c, t, v in (
+                ("institutions", "array<string>", None), ("status", "string", "all"), ("date_basis", "string", "effective"),
+                ("recent_days", "string", "all"), ("date_from", "string", ""), ("date_to", "string", ""), ("mode", "string", "AND"),
+                ("query", "string", "philosophy"), ("exclude", "string", ""), ("preset_enabled", "boolean", False),
+                ("subject_keywords", "string", ""), ("role_keywords", "string", ""), ("preset_exclude", "string", ""),
+                ("part_time_only", "boolean", False))])
+        found = search.match_saved_searches(df, table, F.lit("2026-09-05").cast("date"))
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert sizes[0] == sizes[1]
 
 
 def test_source_requests():
