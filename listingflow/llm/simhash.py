@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
+from . import near_copies
 from .common import stored, whole_groups
 from .components import components
 
@@ -187,12 +188,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest id; all columns as they were."""
-    marked = stored(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), fingerprint_of(F.col("text")).alias("fp"))
-                    .withColumn("copy_no", F.monotonically_increasing_id()), "simhash-documents")
-    slim = marked.select("doc_id", "fp", "copy_no")
-    nodes = stored(classes(slim), "simhash-classes")
+    """One row of each set of near copies, the one with the smallest id; all columns as they were.
+
+    Near copies are those of ``near_copies`` (five words, similarity 0.8); the contract of the
+    fingerprints binds the query only.
+    """
+    marked = stored(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), near_copies.mark_of(F.col("text")).alias("mark"))
+                    .withColumn("copy_no", F.monotonically_increasing_id()), "copies-documents")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy_no")
-    first = slim.groupBy("fp").agg(F.min(place).alias("first"))
-    winners = nodes.join(first, "fp").groupBy("node").agg(F.min("first").alias("first")).select("first.copy_no")
+    nodes = stored(marked.select("doc_id", "copy_no", "mark.*").groupBy("key")
+                   .agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "copies-nodes")
+    texts = (marked.select("copy_no", F.col("mark.key").alias("key"), F.col("row.text").cast("binary").alias("text"))
+             .join(nodes.select("first.copy_no"), "copy_no", "left_semi").select("key", "text"))
+    roots = near_copies.linked_sets(nodes.select("key", "n", "buckets"), texts)
+    winners = (nodes.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").groupBy(F.coalesce("v", "key").alias("node"))
+               .agg(F.min("first").alias("first")).select("first.copy_no"))
     return marked.select("copy_no", "row").join(winners, "copy_no", "left_semi").select("row.*")

@@ -246,3 +246,38 @@ def test_pipeline_stages_return_documents(spark):
         docs = corpus_pipeline.stored(stage(spark, docs, SF), "test")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_near_copies_of_five_words_and_similarity_08_are_dropped(spark):
+    rng = np.random.default_rng(17)
+    names = [f"w{k}" for k in range(4000)]
+    rows, expected = [], []
+    for base in range(40):
+        words = rng.choice(names, 150 + 20 * base).tolist()
+        rows.append((10 * base, " ".join(words)))
+        expected.append(10 * base)
+        for copy, share in ((1, 0.01), (2, 0.018), (3, 0.08)):
+            edited = [f"new{base}x{copy}x{k}" if e else w for k, (w, e) in enumerate(zip(words, rng.random(len(words)) < share))]
+            rows.append((10 * base + copy, " ".join(edited)))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    group = {i: i for i, _ in rows}
+    for _ in range(4):
+        for i in sets:
+            for j in range(i // 10 * 10, i // 10 * 10 + 4):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    assert 50 < len(set(group.values())) < 110
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == sorted(set(group.values()))
+    assert simhash.keep_one(table.where("false")).count() == 0
+
+
+def test_near_copies_do_not_depend_on_the_first_member_of_a_bucket(spark):
+    from listingflow.llm import near_copies
+    words = passage(23, 400).split()
+    texts = [words[:380], words[:340], words[40:380], words[20:360], [f"n{k}" for k in range(300)]]
+    keys = [5, 1, 3, 2, 4]  # every key shares a bucket; only some pairs are similar
+    nodes = spark.createDataFrame([(k, len(near_copies.shingles(" ".join(t).encode())), [7]) for k, t in zip(keys, texts)], "key long, n long, buckets array<long>")
+    table = spark.createDataFrame([(k, " ".join(t).encode()) for k, t in zip(keys, texts)], "key long, text binary")
+    got = {r.u: r.v for r in near_copies.linked_sets(nodes, table).collect()}
+    assert got == {2: 1, 3: 1, 5: 1}
