@@ -34,6 +34,8 @@ from .common import stored, whole_groups
 from .components import components
 
 RADIUS, SHINGLE, SEED, LARGE, LEAF = 4, 4, 42, 200_000, 64
+#: Comparisons held at a time.
+BLOCK = 1 << 20
 #: Vantage points of shard rings: any fixed bit patterns do.
 VANTAGE = [0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F]
 
@@ -102,22 +104,25 @@ def shards(fps: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFram
             .unionByName(cut.select("shard", "bits", ring.cast("long").alias("ring"), "fp")))
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (into a, into b) within the radius, in blocks of bounded size."""
-    left, right = [], []
-    step = max(1, (1 << 20) // max(1, len(b)))
-    for k in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[k:k + step, None] ^ b[None, :]) <= radius)
-        left.append(i + k)
-        right.append(j)
-    return np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-
-
-def vantage_pairs(points: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius of distinct points, by a vantage-point tree."""
+    for m in range(0, len(b), BLOCK):
+        part = b[m:m + BLOCK]
+        step = max(1, BLOCK // len(part))
+        for k in range(0, len(a), step):
+            i, j = np.nonzero(np.bitwise_count(a[k:k + step, None] ^ part[None, :]) <= radius)
+            if len(i):
+                yield i + k, j + m
+
+
+def vantage_pairs(points: np.ndarray, radius: int = RADIUS, joined=lambda at: False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius of distinct points, by a vantage-point tree; points that
+    ``joined`` says are of one set already are not compared with each other."""
     todo = [np.arange(len(points))]
     while todo:
         at = todo.pop()
+        if joined(at):
+            continue
         here = points[at]
         if len(at) > LEAF:
             d = np.bitwise_count(here ^ here[len(at) // 2]).astype(int)
@@ -127,30 +132,54 @@ def vantage_pairs(points: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np
                 todo += [at[inner], at[~inner]]
                 # triangle bound: only points near the boundary can have partners across it
                 low, high = at[inner & (d > middle - radius)], at[~inner & (d <= middle + radius)]
-                i, j = _near(points[low], points[high], radius)
-                yield low[i], high[j]
+                if not joined(np.concatenate((low, high))):
+                    for i, j in _near(points[low], points[high], radius):
+                        yield low[i], high[j]
                 continue
-        i, j = _near(here, here, radius)
-        yield at[i[i < j]], at[j[i < j]]
+        for i, j in _near(here, here, radius):
+            yield at[i[i < j]], at[j[i < j]]
 
 
 def spanning(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked point and the smallest index of its linked set."""
-    found = list(vantage_pairs(points, radius))
-    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    """Each linked point and the smallest index of its linked set.
+
+    Every block of pairs is joined to the labels as it comes and dropped, so the memory is that
+    of the points and one block.
+    """
     label = np.arange(len(points))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = np.minimum(label, label[label])
-        if (label == before).all():
-            break
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            i, j = _root(label, i), _root(label, j)
+            low, high = np.minimum(i, j), np.maximum(i, j)
+            apart = low < high
+            i, j = high[apart], low[apart]
+            np.minimum.at(label, i, j)
+
+    def joined(at: np.ndarray) -> bool:
+        roots = _root(label, at)
+        return len(at) > 1 and bool((roots == roots[0]).all())
+
+    if len(points) > LEAF:  # stars around some points first, so that the tree can pass over dense sets
+        for p in np.linspace(0, len(points) - 1, LEAF).astype(int):
+            near = np.flatnonzero(np.bitwise_count(points ^ points[p]) <= radius)
+            join(near, np.full(len(near), p))
+    for i, j in vantage_pairs(points, radius, joined):
+        join(i, j)
+    label = _root(label, np.arange(len(points)))
     moved = np.flatnonzero(label != np.arange(len(points)))
     return moved, label[moved]
 
 
+def _root(label: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ends of the label chains from the given points; the points are hung on them."""
+    root = label[at]
+    while (label[root] != root).any():
+        root = label[root]
+    label[at] = root
+    return root
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, starts, ends in whole_groups(batches, 3):
         fps = rows.column(3).to_numpy()

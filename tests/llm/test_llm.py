@@ -281,3 +281,23 @@ def test_near_copies_do_not_depend_on_the_first_member_of_a_bucket(spark):
     table = spark.createDataFrame([(k, " ".join(t).encode()) for k, t in zip(keys, texts)], "key long, text binary")
     got = {r.u: r.v for r in near_copies.linked_sets(nodes, table).collect()}
     assert got == {2: 1, 3: 1, 5: 1}
+
+
+def test_dense_shards_are_joined_without_holding_their_pairs():
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    points = np.zeros(6000, np.uint64)
+    for _ in range(5):
+        points ^= np.uint64(1) << rng.integers(0, 20, len(points), dtype=np.uint64)
+    points = rng.permutation(np.unique(np.concatenate([points, rng.integers(0, 1 << 63, 300, dtype=np.uint64), points[:40] << np.uint64(30)])))
+    tracemalloc.start()
+    moved, low = simhash.spanning(points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    label = np.arange(len(points))
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 4
+    for _ in range(60):
+        label = np.array([label[n].min() for n in near])
+    got = np.arange(len(points))
+    got[moved] = low
+    assert (got == label).all() and peak < 30e6
