@@ -1,13 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared in lower case (A-Z) without ASCII punctuation.  A test item longer than
-``PASSAGE`` words is cut into passages.  A copy in which at least ``SIMILARITY`` of the
-passage's words stand in order keeps a computable number of its three-word grams (the
-q-gram lemma), so it must hold one of the passage's rarest grams: with g grams of which t
-must survive, one of the g - t + 1 rarest, by their counts over all documents.  Documents
-that hold such a seed and enough grams of the passage are aligned; score 1 for an equal
-word, -1/2 for a different one or a gap.  A match needs ``SIMILARITY`` of the passage's
-words equal on the best path.
+``PASSAGE`` words is cut into passages.  A copy keeps at least ``SIMILARITY`` of the
+passage's words in order and inserts at most ``INSERTED`` of its length.  With g grams of
+which t must survive such edits, it holds one of the g - t + 1 rarest by their counts over
+all documents; at these shares t is 1, so every gram is a seed and each document that holds
+one is aligned.  Score 1 for an equal word, -1/2 for a different one or a gap.  A match needs
+``SIMILARITY`` of the passage's words equal on the best path.
 
 The benchmark is a stated query set: it is read in blocks of at most about ``BLOCK`` words
 and each block is broadcast and held against all documents.  Defined results: null or
@@ -29,8 +28,10 @@ from pyspark.sql.types import BooleanType
 
 GRAM, SIMILARITY, PASSAGE, BLOCK = 3, 0.8, 200, 500_000
 MISS, GAP = -0.5, -0.5
-#: Least score of a copy: a fifth of the words replaced, each a lost match and a miss.
-LEAST = SIMILARITY + (1 - SIMILARITY) * MISS
+#: Words that a copy may insert, as a share of the passage.
+INSERTED = 0.2
+#: Least score of a copy: a fifth of the words replaced, each a lost match and a miss, and the inserted words.
+LEAST = SIMILARITY + (1 - SIMILARITY) * MISS + INSERTED * GAP
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = punctuation.encode()

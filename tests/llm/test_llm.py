@@ -301,3 +301,12 @@ def test_dense_shards_are_joined_without_holding_their_pairs():
     got = np.arange(len(points))
     got[moved] = low
     assert (got == label).all() and peak < 30e6
+
+
+def test_decontamination_allows_for_inserted_words(spark):
+    names = [f"w{k}" for k in range(3000)]
+    item = np.random.default_rng(12).choice(names, 40, replace=False).tolist()
+    doubled = lambda every: " ".join(f"new{k}a new{k}b" if k % every == 2 else w for k, w in enumerate(item))
+    table = spark.createDataFrame([(1, doubled(5)), (2, doubled(4)), (3, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert sorted((r.doc_id, r.equal_words) for r in decontaminate.leaks(table, bench).collect()) == [(1, 32), (3, 40)]
