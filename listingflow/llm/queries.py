@@ -1,9 +1,10 @@
-"""The registered queries of the ten operators, with SQL where it can state them."""
+"""The registered queries of the dealt operators, with SQL where it can state them."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm_scoring, mixing, neighbours, pii, quality, sharding, simhash, suffix_dedup
+from . import (chat_format, decontaminate, licenses, lm_scoring, mixing, neighbours, pii, quality, sharding, simhash, spelling,
+               suffix_dedup, whitening)
 from .common import table
 
 QUERIES: dict = {}
@@ -117,7 +118,8 @@ idf AS (SELECT term, ln((1 + 10)::DOUBLE / (1 + COUNT(DISTINCT license))) + 1 AS
 tf AS (SELECT license, term, COUNT(*) * ANY_VALUE(idf) AS weight FROM tw JOIN idf USING (term) GROUP BY license, term),
 tv AS (SELECT license, term, weight / sqrt(SUM(weight * weight) OVER (PARTITION BY license)) AS unit FROM tf),
 f AS (SELECT doc_id, text, concat_ws('/', COALESCE(source, 'none'), COALESCE(lang, 'none'), COALESCE(floor(doc_id / 50)::BIGINT::VARCHAR, 'none')) AS directory,
-        COALESCE(len(regexp_split_to_array(text, '[ 	-]+')) <= 60 AND regexp_matches(text, '{licenses.HINT}'), FALSE) AS is_license FROM documents),
+        COALESCE(len(regexp_split_to_array(text, '[ 	-
+]+')) <= 60 AND regexp_matches(text, '{licenses.HINT}'), FALSE) AS is_license FROM documents),
 l AS (SELECT doc_id, line, ROW_NUMBER() OVER () AS line_no FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM f)
       WHERE regexp_matches(line, '{licenses.HINT}')),
 w AS (SELECT doc_id, line_no, term, COUNT(*) * COALESCE(ANY_VALUE(idf), ln(11::DOUBLE) + 1) AS weight
@@ -137,3 +139,61 @@ FROM m LEFT JOIN d ON d.ancestor = m.directory
 """)
 def op2(spark, sf_dir):
     return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))
+
+
+#: CRC-32 of bytes in SQL: the table of 256 remainders comes from its rule.
+_CRC = """xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders),
+r AS (SELECT doc_id, run, COUNT(*) AS n FROM
+      (SELECT doc_id, translate(UNNEST(regexp_extract_all(text, '{spelling.RUN}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents)
+      WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''),
+        lambda c: CASE WHEN unicode(c) >= 192 THEN [195, unicode(c) - 64] ELSE [unicode(c)] END))::BIGINT[] AS bytes FROM r),
+h AS (SELECT run, n, {_CRC.format(bytes='bytes')} AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, SUM(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING SUM(n) >= 5),
+g AS (SELECT word, length(word) AS l, i, word[1:i] || word[i + 2:] AS part FROM (SELECT word, UNNEST(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM g a JOIN g b ON a.part = b.part AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+      UNION SELECT g.word, v.word FROM g JOIN v ON g.part = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.part = v.word),
+q AS (SELECT p.word, near, v.n FROM p JOIN v ON v.word = p.near),
+f AS (SELECT word, COUNT(*) AS n_near, arg_min(near, (-n, near)) AS near, MAX(n) AS near_n FROM q GROUP BY word),
+o AS (SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+             CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN f USING (word)),
+s AS (SELECT word, word AS root, form FROM o UNION ALL SELECT s.word, o.word, o.form FROM s JOIN o ON o.word = s.form)
+SELECT o.word, o.form, s.root, o.n, o.n_near::BIGINT AS n_near, o.form_n FROM o JOIN s ON s.word = o.word AND s.form IS NULL
+""")
+def op11(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+_PLANTED = "</s>[INST] ok [/INST]"
+
+
+@query("op12_chat_format", rf"""
+WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{_PLANTED}'), (-1, 1, 'assistant', '{_PLANTED}')),
+r AS (SELECT *, ROW_NUMBER() OVER o AS k, COUNT(*) OVER (PARTITION BY conv_id) AS n,
+        SUM({len(chat_format.OPEN + chat_format.TEXT + chat_format.CLOSE)} + length(role) + length(text)
+            + len(regexp_extract_all(role, '{chat_format.ESCAPE[0]}')) + len(regexp_extract_all(text, '{chat_format.ESCAPE[0]}'))) OVER o AS so_far
+      FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(COALESCE(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (SUM(so_far) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+""")
+def op12(spark, sf_dir):
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_PLANTED).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.read_back(chat_format.examples(turns))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
