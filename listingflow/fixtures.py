@@ -20,14 +20,38 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observations(events: DataFrame) -> DataFrame:
-    e = events.select(
-        F.expr("user_id % 10").alias("source_id"),
-        F.expr("CAST(get_json_object(props, '$.k') AS INT) % 20").alias("job_key"),
-        F.to_date("ts").alias("run_date"),
-        F.struct("ts", "event_id", "event_type", "value").alias("o"))
+    e = events.withColumn("run_date", F.to_date("ts"))
+    return _observation_fields(_last_event(e, "run_date"))
+
+
+def _last_event(events: DataFrame, when) -> DataFrame:
+    e = events.withColumn("source_id", F.expr("user_id % 10")).withColumn(
+        "job_key", F.expr("CAST(get_json_object(props, '$.k') AS INT) % 20"))
     # Partial aggregation, not a window: repeated deliveries of one hot job shrink
     # to one row per task before the shuffle.  (ts, event_id) is unique.
-    last = e.groupBy("source_id", "job_key", "run_date").agg(F.max("o").alias("o"))
+    return e.groupBy("source_id", "job_key", when).agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("o"))
+
+
+def stream_observations(events: DataFrame) -> DataFrame:
+    """Observations of closed days of a watermarked stream."""
+    days = _last_event(events, F.window("ts", "1 day").alias("w"))
+    return _observation_fields(days.withColumn("run_date", F.to_date("w.start")))
+
+
+def stream_runs(events: DataFrame, source: str = "user_id % 10") -> DataFrame:
+    """Listing evidence of closed days of a watermarked stream; ``w`` is the day."""
+    e = events.withColumn("source_id", F.expr(source)).withColumn(
+        "job_key", F.expr("CAST(get_json_object(props, '$.k') AS INT) % 20"))
+    per_job = e.groupBy(F.window("ts", "1 day").alias("day"), "source_id", "job_key").agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    r = per_job.groupBy(F.window("day", "1 day").alias("w"), "source_id").agg(
+        F.count("*").alias("n_jobs"), F.round(F.sum("bad") / F.sum("n"), 4).alias("err_ratio"))
+    return r.select("w", "source_id", F.to_date("w.start").alias("run_date"), "n_jobs", "err_ratio",
+                    F.expr("err_ratio <= 0.25D").alias("listing_complete"), F.lit(False).alias("explicit_empty"),
+                    F.expr(_CAPABILITY).alias("capability"))
+
+
+def _observation_fields(last: DataFrame) -> DataFrame:
     return last.select(
         "source_id", "job_key", "run_date", F.col("o.event_id").alias("event_id"),
         F.col("o.event_type").alias("title"), F.col("o.value").alias("value"),
@@ -180,19 +204,24 @@ vol_runs AS (SELECT user_id % 50 AS source_id, CAST(ts AS DATE) AS run_date,
 
 
 def health_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return listed_runs(spark, sf).select(
+    return with_errors(listed_runs(spark, sf))
+
+
+def with_errors(runs: DataFrame) -> DataFrame:
+    return runs.select(
         "*", F.expr("CASE WHEN err_ratio > 0.25D THEN array('list not read', 'details failed') "
                "WHEN err_ratio > 0.15D THEN array('details failed') ELSE array() END").alias("errors"),
         F.concat(F.lit("Institution "), F.char(F.lit(74) - F.col("source_id"))).alias("institution"))
 
 
-HEALTH_RUNS = RUNS + "," + LISTED + """,
+HEALTH_OF_LISTED = """
 health_runs AS (
   SELECT *, CASE WHEN err_ratio > 0.25 THEN 'details failed|list not read'
               WHEN err_ratio > 0.15 THEN 'details failed' ELSE '' END AS error_set,
          concat('Institution ', chr(CAST(74 - source_id AS INT))) AS institution
   FROM listed)
 """
+HEALTH_RUNS = RUNS + "," + LISTED + "," + HEALTH_OF_LISTED
 
 # ---------------------------------------------------------------------------
 # ads: advertisement-shaped documents

@@ -23,6 +23,14 @@ def severity_and_status(guarded: Column, listing_complete: Column, complete: Col
                     F.when((severity == "warning") & silent, capability).otherwise(base).alias("status"))
 
 
+def graded(runs: DataFrame) -> DataFrame:
+    """Judged runs with severity, status and signature; they hold accepted, guarded, err_ratio, capability, n_jobs, errors."""
+    whole = F.col("accepted")
+    verdict = severity_and_status(F.col("guarded"), whole, whole & (F.col("err_ratio") <= 0.15), F.col("capability"), F.col("n_jobs"))
+    h = runs.withColumn("v", verdict).withColumn("severity", F.col("v.severity")).withColumn("status", F.col("v.status"))
+    return h.withColumn("signature", signature(F.col("status"), F.col("severity"), F.col("capability"), F.col("errors"))).drop("v")
+
+
 def state_label(enabled: Column, status: Column, capability: Column, severity: Column,
                 listing_complete: Column, last_listing: Column, last_success: Column, now: Column) -> Column:
     """Label shown for a source: faults first, then manual/pending, staleness, coverage.

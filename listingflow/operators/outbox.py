@@ -19,6 +19,18 @@ def new_events(state: DataFrame, outbox: DataFrame | None = None) -> DataFrame:
     return wanted.join(held, "event_id", "left_anti")
 
 
+def enqueue(line: DataFrame, matches: Column) -> DataFrame:
+    """One event per record of a timeline: its first sighting that is whole, open and matching.
+
+    Records first seen in a baseline run never queue one.  Only two aggregates per record.
+    """
+    good = F.col("detail_complete") & (F.col("seen_status") == "open") & matches
+    first = line.groupBy("source_id", "job_key").agg(
+        F.min(F.when(good, F.col("run_date"))).alias("created_at"),
+        F.min_by("baseline_run", "run_date").alias("baseline"))
+    return first.where("created_at IS NOT NULL AND NOT baseline").drop("baseline")
+
+
 def gate(events: DataFrame, jobs: DataFrame, key: str = "id") -> DataFrame:
     """Pending events with their current record: send, defer until details recover, suppress."""
     j = jobs.select(key, F.struct("matches", "status", "detail_complete").alias("job"))

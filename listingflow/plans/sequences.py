@@ -181,13 +181,7 @@ def content_changed_at(spark, sf):
 
 def health_state(spark, sf):
     """Health rows: severity and status by the decision table, plus the signature."""
-    h = listing.volume_fold(X.health_runs(spark, sf))
-    whole = F.col("accepted")
-    verdict = health.severity_and_status(F.col("guarded"), whole, whole & (F.col("err_ratio") <= 0.15),
-                                         F.col("capability"), F.col("n_jobs"))
-    h = h.withColumn("v", verdict).withColumn("severity", F.col("v.severity")).withColumn("status", F.col("v.status"))
-    return h.withColumn("signature", health.signature(
-        F.col("status"), F.col("severity"), F.col("capability"), F.col("errors"))).drop("v")
+    return health.graded(listing.volume_fold(X.health_runs(spark, sf)))
 
 
 HEALTH = """

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from .. import fixtures as X
-from ..operators import search
+from ..operators import health, outbox, search
 from ..registry import query
 from ..session import work_path
 from ..sources.tables import table
-from ..streaming import health as stream_health_ops
+from ..streaming import health as stream_health_ops, records
 from ..streaming.reconcile import StreamingState
-from ..streaming.runner import drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
-from .common import CARRY, DENSE, as_of, cte, day
-from .sequences import STATE
+from ..streaming.runner import add_to_table, drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
+from .common import ACC, CARRY, DENSE, as_of, cte, day, obs_timeline
+from .sequences import HEALTH, HISTORY, STATE, change_text
 
 
 @query("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")
@@ -39,15 +39,67 @@ def reconciled(spark, sf):
     return state
 
 
-@query("stream_reconcile", cte(X.OBS, X.RUNS, X.LISTED_ONLY_SEEN, X.ACCEPTED, CARRY, DENSE, STATE) + """
+# A run is closed, and judged, once the watermark (an hour behind the newest event) has passed its day.
+LANDED = "landed AS (SELECT * FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(MAX(ts) - INTERVAL 1 HOUR AS DATE) FROM events))"
+_OBS, _RUNS = (x.replace("FROM events", "FROM landed") for x in (X.OBS, X.RUNS))
+CLOSED_RUNS = (LANDED, _OBS, _RUNS, X.LISTED_ONLY_SEEN, X.ACCEPTED, CARRY, DENSE)
+#: Events land in steps that end within a day; such a run comes in two batches.
+CUTS = ["2024-01-10 07:00:00", "2024-01-20 19:00:00"]
+_STEP = "+".join(f"IF(ts >= TIMESTAMP_NTZ '{c}', 1, 0)" for c in CUTS)
+#: Rule of the stream's new-record events, on carried fields.
+MATCHING = ("m1", "m3")
+
+
+def stream_outputs(spark, sf):
+    """Outputs of the keyed reconcile over events that land in three steps, cut within days."""
+    events = table(spark, sf, "events")
+    landing, out = work_path(spark, "landing"), work_path(spark, "records")
+    with with_rocksdb(spark):
+        for step in range(len(CUTS) + 1):
+            events.filter(F.expr(_STEP) == step).write.mode("append").parquet(landing)
+            e = utc_events(stream_of(spark, landing, events)).withWatermark("ts", "1 hour")
+            rows = records.reconcile_stream(X.stream_observations(e), X.stream_runs(e), lambda r: r["match_text"] in MATCHING, buckets=2)
+            outputs = add_to_table(rows, out, ["part"])
+    return outputs
+
+
+@query("stream_reconcile", cte(*CLOSED_RUNS, STATE) + """
 SELECT s.source_id, s.job_key, s.first_seen, s.last_seen, s.missing_count, s.status, c.title, c.department,
        CAST(c.deadline AS VARCHAR) AS deadline, c.deadline_type, c.source_closed
 FROM state s JOIN carried c ON c.source_id = s.source_id AND c.job_key = s.job_key AND c.run_date = s.last_date""")
 def stream_reconcile(spark, sf):
-    return reconciled(spark, sf).read("state").select(
-        "source_id", "job_key", day("first_seen").alias("first_seen"), day("last_seen").alias("last_seen"),
-        F.col("missing_count").cast("bigint").alias("missing_count"), "status", "title", "department",
-        day("deadline").alias("deadline"), "deadline_type", "source_closed")
+    return records.state_of(stream_outputs(spark, sf)).select(
+        "source_id", "job_key", "first_seen", "last_seen", "missing_count", "status", "title", "department",
+        "deadline", "deadline_type", "source_closed")
+
+
+QUEUED = f"""
+first_runs AS (SELECT source_id, run_date, COALESCE(SUM(CASE WHEN n_jobs > 0 OR (listing_complete AND explicit_empty) THEN 1 ELSE 0 END)
+   OVER (PARTITION BY source_id ORDER BY run_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS baseline FROM listed),
+queued AS (SELECT d.source_id, d.job_key, MIN(d.run_date) AS created_at FROM dense d
+   JOIN firsts f ON f.source_id = d.source_id AND f.job_key = d.job_key
+   JOIN first_runs b ON b.source_id = d.source_id AND b.run_date = f.first_seen AND NOT b.baseline
+   WHERE d.present AND d.detail_complete AND d.status = 'open' AND d.match_text IN {MATCHING} GROUP BY 1, 2)
+"""
+
+
+@query("stream_history", cte(*CLOSED_RUNS, HISTORY, QUEUED) + """
+SELECT source_id, job_key, CAST(happened AS VARCHAR) AS happened, kind, title, changes FROM history
+UNION ALL SELECT source_id, job_key, CAST(created_at AS VARCHAR), 'queued', NULL, '' FROM queued""")
+def stream_history(spark, sf):
+    """History and new-record events, which the keyed state gives in the same pass."""
+    rows = stream_outputs(spark, sf).where("part IN ('history', 'outbox')")
+    queued = F.col("part") == "outbox"
+    return rows.select("source_id", "job_key", F.col("at").alias("happened"), F.when(queued, "queued").otherwise(F.col("kind")).alias("kind"),
+                       "title", F.when(queued, "").otherwise(change_text()).alias("changes"))
+
+
+@query("outbox_enqueue", cte(*ACC, CARRY, DENSE, QUEUED) + """
+SELECT 'new:' || source_id || '-' || job_key AS event_id, CAST(created_at AS VARCHAR) AS created_at FROM queued""")
+def outbox_enqueue(spark, sf):
+    """Events of every record's first sighting that is whole, open and matching, unless it belongs to a baseline."""
+    return outbox.enqueue(obs_timeline(spark, sf), F.col("match_text").isin(*MATCHING)).select(
+        F.concat(F.lit("new:"), "source_id", F.lit("-"), "job_key").alias("event_id"), day("created_at").alias("created_at"))
 
 
 @query("stream_late", cte(X.OBS) + """
@@ -104,14 +156,24 @@ h AS (SELECT *, CASE WHEN err_ratio <= 0.15 THEN 'ok' WHEN err_ratio <= 0.25 THE
 """
 
 
-@query("stream_health", "WITH " + _CLOSED.strip() + """,
-p AS (SELECT *, LAG(status) OVER (PARTITION BY source_id ORDER BY d) AS before FROM h)
-SELECT source_id, CAST(d AS VARCHAR) AS day, status, err_ratio, CASE WHEN status = 'ok' THEN 'recovered' WHEN before IS NULL THEN 'started' ELSE 'changed' END AS change
-FROM p WHERE status IS DISTINCT FROM before AND NOT (before IS NULL AND status = 'ok')""")
-def stream_health(spark, sf):
-    e = utc_events(table_stream(spark, sf, "events")).select(F.expr("user_id % 10").alias("source_id"), "ts", "event_type")
+def in_steps(spark, sf, name, make):
+    """The rows a stream gives while events land in three steps, cut within days."""
+    events = table(spark, sf, "events")
+    landing, out = work_path(spark, "landing"), work_path(spark, name)
     with with_rocksdb(spark):
-        return to_table(stream_health_ops.transitions(e), "stream-health")
+        for step in range(len(CUTS) + 1):
+            events.filter(F.expr(_STEP) == step).write.mode("append").parquet(landing)
+            rows = add_to_table(make(utc_events(stream_of(spark, landing, events)).withWatermark("ts", "1 hour")), out, [])
+    return rows
+
+
+@query("stream_health", cte(LANDED, _RUNS, X.LISTED_ONLY_SEEN, X.HEALTH_OF_LISTED, X.ACCEPTED, HEALTH) + """
+SELECT event_id, source_id, CAST(created_at AS VARCHAR) AS created_at, status, severity, capability, change FROM trans""")
+def stream_health(spark, sf):
+    def events(e):
+        runs = X.with_errors(records.judged(X.stream_runs(e)))
+        return stream_health_ops.transitions(health.graded(runs))
+    return in_steps(spark, sf, "stream-health", events)
 
 
 @query("stream_digest", "WITH " + _CLOSED.strip() + """
@@ -124,20 +186,17 @@ def stream_digest(spark, sf):
 
 
 @query("stream_stale", f"""
-WITH g AS (SELECT user_id AS source_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {V.STALE_AFTER_HOURS} HOUR THEN 0 ELSE 1 END AS starts FROM events),
-s AS (SELECT *, SUM(starts) OVER (PARTITION BY source_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g),
-w AS (SELECT source_id, n, MIN(ts) AS first_run, MAX(ts) AS last_run, COUNT(*) AS n_runs FROM s GROUP BY 1, 2)
-SELECT source_id, strftime(first_run, '%Y-%m-%d %H:%M:%S') AS first_run, strftime(last_run + INTERVAL {V.STALE_AFTER_HOURS} HOUR, '%Y-%m-%d %H:%M:%S') AS stale_from, n_runs
-FROM w WHERE last_run + INTERVAL {V.STALE_AFTER_HOURS} HOUR <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM events)""")
+WITH wm AS (SELECT MAX(ts) - INTERVAL 1 HOUR AS wm FROM events),
+r AS (SELECT user_id AS source_id, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) AS listed FROM events GROUP BY 1, 2
+      HAVING ROUND(CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*), 4) <= 0.25),
+c AS (SELECT *, LEAD(listed) OVER (PARTITION BY source_id ORDER BY listed) AS again FROM r WHERE listed <= (SELECT wm FROM wm))
+SELECT source_id, strftime(listed, '%Y-%m-%d %H:%M:%S') AS last_listing, strftime(listed + INTERVAL {V.STALE_AFTER_HOURS} HOUR, '%Y-%m-%d %H:%M:%S') AS stale_from
+FROM c WHERE COALESCE(again > listed + INTERVAL {V.STALE_AFTER_HOURS} HOUR, listed + INTERVAL {V.STALE_AFTER_HOURS} HOUR <= (SELECT wm FROM wm))""")
 def stream_stale(spark, sf):
-    """Spells of fresh listings; a spell that ended names the time its source went stale."""
-    e = utc_events(table_stream(spark, sf, "events")).withWatermark("ts", "1 hour")
-    spells = e.groupBy(F.session_window("ts", f"{V.STALE_AFTER_HOURS} hours").alias("w"), F.col("user_id").alias("source_id")).agg(
-        F.count("*").alias("n_runs"))
-    rows = to_table(spells.select("source_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_runs"), "stream-stale")
-    shape = "yyyy-MM-dd HH:mm:ss"
-    return rows.select("source_id", F.date_format("start", shape).alias("first_run"),
-                       F.date_format("end", shape).alias("stale_from"), "n_runs")
+    """Times at which sources went stale: no complete listing for so long, silent sources included."""
+    rows = in_steps(spark, sf, "stream-stale", lambda e: stream_health_ops.stale_spells(X.stream_runs(e, "user_id")))
+    at = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("source_id", at("last_listing"), at("stale_from"))
 
 
 @query("stream_retention", cte(X.ADS) + f""", f AS (SELECT id, COALESCE(posted_date, CAST(first_seen + INTERVAL 8 HOUR AS DATE)) AS d FROM ads)

@@ -1,41 +1,96 @@
-"""Streaming health: transitions with keyed state over closed local days."""
+"""Streaming health: transitions by signature and staleness by timers, on keyed state."""
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-EVENTS = "source_id bigint, day string, status string, err_ratio double, change string"
+from .. import fixed_values as V
+
+EVENTS = "event_id string, source_id bigint, created_at string, status string, severity string, capability string, change string"
 
 
 class Transitions(StatefulProcessor):
-    """Keeps one source's last status; emits a row when a closed day differs from it.
+    """Keeps one source's last signature; a run that differs from it is an event.
 
-    Rows reach it already aggregated to one per source and day, so a key's batch is as
-    long as its calendar whatever the volume of events behind it.
+    Rows reach it as one per source and run, so a key's batch is as long as its calendar whatever the
+    volume of events behind it.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string")
+        self.last = handle.getValueState("last", "signature string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        days = pd.concat(list(rows)).sort_values("day")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in days.itertuples():
-            if row.status != before and not (before is None and row.status == "ok"):
-                change = "recovered" if row.status == "ok" else ("started" if before is None else "changed")
-                out.append((key[0], row.day, row.status, row.err_ratio, change))
-            before = row.status
+        for r in sorted(rows, key=lambda r: r.run_date):
+            if r.signature != before and not (before is None and r.status == "ok"):
+                yield Row(event_id=f"health:{key[0]}:{r.run_date}:{r.signature}", source_id=key[0], created_at=r.run_date,
+                          status=r.status, severity=r.severity, capability=r.capability,
+                          change="recovered" if r.status == "ok" else "started" if before is None else "changed")
+            before = r.signature
         self.last.update((before,))
-        yield pd.DataFrame(out, columns=["source_id", "day", "status", "err_ratio", "change"])
 
     def close(self) -> None:
         pass
 
 
+def transitions(health: DataFrame) -> DataFrame:
+    """Health events of a stream of runs with signature, status, severity and capability."""
+    return health.select("source_id", "run_date", "signature", "status", "severity", "capability").groupBy(
+        "source_id").transformWithState(Transitions(), outputStructType=EVENTS, outputMode="Append", timeMode="None")
+
+
+class Freshness(StatefulProcessor):
+    """When a source went stale: so many hours after its last complete listing without another.
+
+    A timer per source tells of a source that says nothing more; a gap between two listings that come in
+    one batch is told when the later one is read.  ``told`` keeps both from telling it twice.
+    """
+
+    def __init__(self, hours: int):
+        self.wait = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "listed bigint, told boolean")
+
+    def _stale(self, key, listed: int) -> Row:
+        return Row(source_id=key[0], last_listing=listed, stale_from=listed + self.wait)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, told = self.last.get() if self.last.exists() else (None, False)
+        if before is not None and not told:
+            self.handle.deleteTimer(before + self.wait)
+        for listed in sorted(r.listed for r in rows):
+            if before is not None and not told and listed - before > self.wait:
+                yield self._stale(key, before)
+            before, told = listed, False
+        self.last.update((before, told))
+        self.handle.registerTimer(before + self.wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before, told = self.last.get()
+        if not told and expiredTimerInfo.getExpiryTimeInMs() == before + self.wait:
+            self.last.update((before, True))
+            yield self._stale(key, before)
+
+    def close(self) -> None:
+        pass
+
+
+def stale_spells(runs: DataFrame, hours: int = V.STALE_AFTER_HOURS) -> DataFrame:
+    """source_id, last_listing and stale_from (milliseconds) of every time a source went stale.
+
+    ``runs`` are closed runs of a watermarked stream; only complete listings keep a source fresh.  A listing counts
+    from the end of its run, when it is known to be whole.
+    """
+    whole = runs.where("listing_complete").select("source_id", "w", F.unix_millis("w.end").alias("listed"))
+    return whole.groupBy("source_id").transformWithState(
+        Freshness(hours), outputStructType="source_id bigint, last_listing bigint, stale_from bigint",
+        outputMode="Append", timeMode="EventTime")
+
+
 def daily_health(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Health of each source per local day (days start at 16:00 UTC), once the day is closed."""
     w = F.window("ts", "1 day", "1 day", "16 hours")
@@ -46,8 +101,3 @@ def daily_health(events: DataFrame, delay: str = "1 hour") -> DataFrame:
         "source_id", F.to_date(F.col("w.start") + F.expr("INTERVAL '8' HOUR")).cast("string").alias("day"),
         F.when(ratio <= 0.15, "ok").when(ratio <= 0.25, "partial").otherwise("error").alias("status"),
         ratio.alias("err_ratio"), F.col("w.end").alias("closed_at"))
-
-
-def transitions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return daily_health(events, delay).groupBy("source_id").transformWithStateInPandas(
-        Transitions(), outputStructType=EVENTS, outputMode="Append", timeMode="None")

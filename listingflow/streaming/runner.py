@@ -35,6 +35,14 @@ def to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def add_to_table(stream: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
+    """Drain what has landed since the last call into a partitioned table; each batch counts exactly once."""
+    query = (stream.writeStream.format("parquet").outputMode("append").partitionBy(*partition_by)
+             .option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start(path))
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def drain(stream: DataFrame, handle, checkpoint: str) -> None:
     """Drain a stream batch by batch; a later call goes on from the same checkpoint."""
     query = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -42,18 +50,21 @@ def drain(stream: DataFrame, handle, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+#: Keyed state on the executors' disks; a batch commits its changes, not a snapshot of everything.
+STATE_SETTINGS = {STATE_PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
 class with_rocksdb:
-    """Keyed state on the executors' disks while the stream is running."""
+    """The state settings while the stream is running."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        self.before = self.spark.conf.get(STATE_PROVIDER, None)
-        self.spark.conf.set(STATE_PROVIDER, ROCKSDB)
+        self.before = {k: self.spark.conf.get(k, None) for k in STATE_SETTINGS}
+        for k, v in STATE_SETTINGS.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *exc):
-        if self.before is None:
-            self.spark.conf.unset(STATE_PROVIDER)
-        else:
-            self.spark.conf.set(STATE_PROVIDER, self.before)
+        for k, v in self.before.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)

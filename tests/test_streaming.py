@@ -73,3 +73,28 @@ def test_uncommitted_batch_is_not_read(spark, tmp_path):
     assert rows(state.read("state")) == before
     state.apply(events(spark, [1]), 1)
     assert rows(state.read("state")) == rows(batch_state(events(spark, [0, 1])).select(state.read("state").columns))
+
+
+def landed(spark, folder, make, steps):
+    """What a stream gives over files that land step by step."""
+    from listingflow.streaming.runner import add_to_table, stream_of, utc_events, with_rocksdb
+    with with_rocksdb(spark):
+        for step in steps:
+            step.write.mode("append").parquet(str(folder / "in"))
+            e = utc_events(stream_of(spark, str(folder / "in"), step)).withWatermark("ts", "1 hour")
+            out = add_to_table(make(e), str(folder / "out"), [])
+    return out
+
+
+def test_a_source_that_stops_or_never_lists_goes_stale_once(spark, tmp_path):
+    from listingflow.streaming import health
+    at = lambda day: T0 + dt.timedelta(days=day, hours=3)
+    row = lambda n, day, user, kind: (n, at(day), user, kind, 0.0, '{"k": 1}')
+    # 1 lists every day, 2 stops after day 1, 3 never lists whole, 4 misses days 2 and 3, 5 lists again within the time
+    step = lambda days: spark.createDataFrame([row(day * 10 + u, day, u, kind) for day in days for u, kind in (
+        (1, "view"), (2, "view" if day < 2 else None), (3, "error"), (4, "error" if day in (2, 3) else "view"),
+        (5, "view" if day % 2 == 0 or day > 4 else None)) if kind], EVENTS)
+    got = landed(spark, tmp_path, lambda e: health.stale_spells(X.stream_runs(e, "user_id")), [step([0, 1]), step([2, 3]), step([4, 5, 6, 7])])
+    hours = lambda ms: (ms / 3_600_000 - 24 * 19723)  # 2024-01-01
+    found = sorted((r.source_id, hours(r.last_listing), hours(r.stale_from)) for r in got.collect())
+    assert found == [(2, 48, 84), (4, 48, 84), (5, 24, 60), (5, 72, 108)]
