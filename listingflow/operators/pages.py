@@ -93,6 +93,48 @@ def script_string(html: Column, name: str) -> Column:
     return F.when(literal != "", F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v"))
 
 
+#: Parts of a literal that matter for its end, and everything between them; none of them loops inside.
+_SCAN = r"""(?s)\\.|["{}\[\]]|[^"\\{}\[\]]++|\\"""
+
+
+def balanced_prefix(text: Column) -> Column:
+    """The object or array literal a text begins with, null if it never closes.
+
+    A fold over the text's brackets, quotes and escapes: brackets inside strings and escaped quotes do not
+    count, and the text between is one step however long it is.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(acc, t):
+        opens, closes = ~acc["quoted"] & t.isin("{", "["), ~acc["quoted"] & t.isin("}", "]")
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        after = F.struct(depth.alias("depth"), F.when(t == '"', ~acc["quoted"]).otherwise(acc["quoted"]).alias("quoted"),
+                         (acc["size"] + F.char_length(t)).alias("size"), (closes & (depth <= 0)).alias("done"))
+        return F.when(acc["done"], acc).otherwise(after)
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(_SCAN), F.lit(0)), start, step,
+                      lambda acc: F.when(acc["done"] & (acc["depth"] == 0), acc["size"]))
+    return F.substring(text, F.lit(1), end)
+
+
+def assigned_literals(pages: DataFrame, name: str, key: str = "page_id") -> DataFrame:
+    """Every object or array literal that a page's scripts assign to a name: position, name, literal.
+
+    ``name`` is a regular expression.  The literal is read as data, never run; one that does not close or is no JSON
+    is refused with a reason, like a page whose layout changed.
+    """
+    head = rf"\b(?:{name})\s*=\s*(?=[\[{{])"
+    at = pages.select(key, "html", F.split("html", head).alias("between"),
+                      F.posexplode(F.regexp_extract_all("html", F.lit(head), F.lit(0))).alias("pos", "head"),
+                      F.regexp_extract_all("html", F.lit(head), F.lit(0)).alias("heads"))
+    chars = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.char_length(x))
+    start = chars(F.slice("between", F.lit(1), F.col("pos") + 1)) + chars(F.slice("heads", F.lit(1), F.col("pos") + 1))
+    rows = at.select(key, "pos", F.regexp_extract("head", r"\A([\w.$]+)", 1).alias("name"),
+                     balanced_prefix(F.substring("html", start + 1, F.char_length("html"))).alias("literal"))
+    valid = F.try_parse_json("literal").isNotNull()
+    return rows.withColumn("reject", F.when(F.col("literal").isNull(), "literal does not close").when(~valid, "literal is no data"))
+
+
 def zipped_literals(keys: Column, values: Column) -> Column:
     """Two parallel literal arrays as (key, value) pairs; unequal lengths are no data."""
     return F.when(F.size(keys) == F.size(values), F.arrays_zip(keys.alias("k"), values.alias("v")))
@@ -143,6 +185,29 @@ def configured(pages: DataFrame, p: Patterns, key: str = "page_id") -> DataFrame
         "reject", F.when(F.col("target") == "", "missing link").when(F.col("title") == "", "missing title"))
 
 
+def configured_by_table(pages: DataFrame, config: DataFrame, site: str = "site", key: str = "page_id") -> DataFrame:
+    """Rows of pages by a table of patterns: site, row, title, link, reference.
+
+    Pages meet their source's patterns by an equi-join and the patterns are applied as column values, so the plan is
+    the same for any number of sources.  A page of an unknown site, a page without a row and a row without link or title
+    come back with the reason they are refused.
+    """
+    patterns = config.select(site, F.struct("row", "title", "link", "reference").alias("_p"))
+    met = pages.select(key, site, "url", "html").join(patterns, site, "left")
+    found = F.when(F.col("_p").isNotNull(), F.regexp_extract_all("html", F.col("_p.row"), F.lit(0)))
+    rows = met.select(key, site, "url", "_p", F.posexplode_outer(found).alias("pos", "part"))
+
+    def value(field):
+        cell = F.expr(f"regexp_extract(part, _p.{field}, 1)")
+        return F.coalesce(F.when(F.col(f"_p.{field}") != "", H.inline_text(cell)), F.lit(""))
+
+    cells = rows.select(key, site, "url", "_p", "pos", *[value(f).alias(f) for f in ("title", "link", "reference")])
+    return cells.select(
+        key, site, "pos", "title", F.when(F.col("link") != "", join_url(F.col("url"), F.col("link"))).otherwise("").alias("target"),
+        "reference", F.when(F.col("_p").isNull(), "unknown source").when(F.col("pos").isNull(), "no rows")
+        .when(F.col("link") == "", "missing link").when(F.col("title") == "", "missing title").alias("reject"))
+
+
 def run_extractors(pages: DataFrame, adapter: str = "adapter") -> tuple[DataFrame, DataFrame]:
     """Route pages to their named extractor; pages naming an unknown one are rejects."""
     parts = [fn(pages.filter(F.col(adapter) == name)).withColumn("extractor", F.lit(name))

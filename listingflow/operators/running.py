@@ -1,55 +1,14 @@
-"""Running sums and ranks that never put one key into one task.
+"""Ranks and streaks that never put one key into one task.
 
-A window over a hot source would sort a third of all rows in a single task.  Here a
-key's rows are cut into ordered buckets (days, hash prefixes): the window runs inside a
-bucket and the few bucket totals, aggregated map-side, supply the offsets.
+A window over a hot source would sort a third of all rows in a single task.  Here rows are cut into ranges
+of their order and written once; windows run inside a range and only counts or summaries per range and key
+are lined up.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-def bucketed_running_sum(df: DataFrame, keys: list[str], buckets: list[str], order: list[Column],
-                         value: Column, out: str) -> DataFrame:
-    """Exact running sum of ``value`` per key in (buckets, order) order.
-
-    ``buckets`` are non-null columns, ascending, that precede ``order`` in the sort; their
-    number per key must be bounded (calendar days, three hex digits of a hash).  The join
-    uses the window's own partitioning, so the rows are shuffled once.
-    """
-    cols, outer = keys + buckets, keys + buckets[:-1]
-    inside = Window.partitionBy(*cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*cols).agg(F.sum(value).alias("_t"))
-    offsets = _running_before(totals, outer, buckets[-1:], "_t", "_offset")
-    if len(buckets) > 1:
-        # Two levels: fine buckets add up inside a coarse one, coarse ones inside the key,
-        # so even a rank over the whole table only lines up the coarse totals (days).
-        coarse = _running_before(totals.groupBy(*outer).agg(F.sum("_t").alias("_c")), keys, buckets[:-1],
-                                 "_c", "_coarse")
-        offsets = offsets.join(coarse, outer).select(*cols, (F.col("_offset") + F.col("_coarse")).alias("_offset"))
-    return (df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, cols)
-            .withColumn(out, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset"))
-
-
-def _running_before(totals: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*keys, *order, F.coalesce(F.sum(value).over(before), F.lit(0)).alias(out))
-
-
-def ordered_rank(df: DataFrame, lead: list[Column], unique_id: str, out: str,
-                 keys: list[str] = (), prefix: int = 3) -> DataFrame:
-    """Row number by (lead, unique_id) ascending, per key or over the whole table.
-
-    Ids are hashes, so their first ``prefix`` characters (three hex digits, plus any fixed
-    tag before them) split a day that holds most rows into 4096 even, ordered parts.
-    """
-    names = [f"_b{i}" for i in range(len(lead))]
-    work = df
-    for name, col in zip(names, lead):
-        work = work.withColumn(name, col)
-    work = work.withColumn("_b_hex", F.substring(unique_id, 1, prefix))
-    ranked = bucketed_running_sum(work, list(keys), names + ["_b_hex"], [F.col(unique_id)], F.lit(1), out)
-    return ranked.drop("_b_hex", *names)
+from ..session import work_path
 
 
 def newest_first(day: Column) -> Column:
@@ -62,3 +21,57 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, out
     and task before the shuffle, so a hot key sends n rows per task, not all of them."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+
+
+def into_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows cut into ranges of ``order`` and written once, with the number of their range.
+
+    Equal values share a range and ranges follow the order, so a window may run inside a range whatever the
+    skew; the input is read twice, once to find the cuts and once to be written.
+    """
+    path = work_path(df.sparkSession, name)
+    cut = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    cut.write.parquet(path)
+    return df.sparkSession.read.schema(cut.schema).parquet(path)
+
+
+def range_rank(df: DataFrame, order: list[Column], out: str, keys: list[str] = ()) -> DataFrame:
+    """Row number in ascending ``order``, per key or over the whole table; the last order column tells rows apart.
+
+    Only the counts per range and key are lined up, so neither a hot key nor the whole table meets in one task.
+    """
+    keys, names = list(keys), [f"_o{i}" for i in range(len(order))]
+    rows = into_ranges(df.withColumns(dict(zip(names, order))), keys + names, f"rank-{out}")
+    counts = rows.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys],
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*names))
+    return rows.withColumn("_in", inside).join(offsets, same).withColumn(out, F.col("_in") + F.col("_before")).drop(
+        "_range", "_r", "_in", "_before", *names, *[f"_k_{k}" for k in keys])
+
+
+def longest_streaks(df: DataFrame, keys: list[str], order: list[str], bad: Column) -> DataFrame:
+    """Longest run of bad rows per key, in order.
+
+    Each range of a key gives a summary (bad rows at its head and tail, longest inside, all bad) and the summaries,
+    as many as ranges hold the key, are folded in order: a streak across ranges is tail plus head.
+    """
+    rows = into_ranges(df.withColumn("_bad", bad), keys + order, "streaks")
+    w = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    islands = rows.withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w)).groupBy(
+        "_range", *keys, "_island").agg(F.count_if("_bad").alias("_n"))
+    part = islands.groupBy("_range", *keys).agg(
+        F.coalesce(F.max(F.when(F.col("_island") == 0, F.col("_n"))), F.lit(0)).alias("head"),
+        F.max_by("_n", "_island").alias("tail"), F.max("_n").alias("longest"), (F.max("_island") == 0).alias("whole"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("best"))
+
+    def fold(acc, p):
+        return F.struct(F.when(p["whole"], acc["open"] + p["head"]).otherwise(p["tail"]).alias("open"),
+                        F.greatest(acc["best"], acc["open"] + p["head"], p["longest"]).alias("best"))
+
+    return part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_range", "head", "tail", "longest", "whole"))).alias("_p")).select(
+        *keys, F.aggregate("_p", zero, fold, lambda acc: acc["best"]).alias("longest"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .. import fixtures as X
 from ..operators import health, search
-from ..operators.running import newest_first, ordered_rank, top_per_key
+from ..operators.running import newest_first, range_rank, top_per_key
 from ..registry import query
 from ..sources.tables import table
 from .common import ACC, CARRY, DENSE, cte, day
@@ -20,9 +20,9 @@ SELECT id, CAST({SQL_EFFECTIVE} AS VARCHAR) AS effective_date, ROW_NUMBER() OVER
 def sort_newest(spark, sf):
     a = X.ads(spark, sf).select("id", search.effective_date().alias("effective"),
                                 search.date_basis("deadline").alias("closing"))
-    a = ordered_rank(a, [newest_first(F.col("effective"))], "id", "by_newest")
     soonest = F.coalesce(F.datediff("closing", F.lit("1970-01-01").cast("date")), F.lit(2**31 - 1))
-    return ordered_rank(a, [soonest], "id", "by_deadline").select(
+    a = range_rank(a, [newest_first(F.col("effective")), F.col("id")], "by_newest")
+    return range_rank(a, [soonest, F.col("id")], "by_deadline").select(
         "id", day("effective").alias("effective_date"), "by_newest", "by_deadline")
 
 
@@ -35,18 +35,22 @@ def pending_order(spark, sf):
     digests = health.transitions(health_state(spark, sf)).select("created_at").distinct().select(
         F.concat(F.lit("health-digest:"), day("created_at")).alias("event_id"), F.lit("health_digest").alias("kind"), "created_at")
     pending = new.select("event_id", F.lit("new").alias("kind"), "created_at").unionByName(digests)
-    # Ids carry a fixed tag before their hash, hence the longer prefix.
-    return ordered_rank(pending, [(F.col("kind") != "new").cast("int"), F.col("created_at")], "event_id", "position",
-                        prefix=7).select("event_id", "kind", day("created_at").alias("created_at"), "position")
+    order = [(F.col("kind") != "new").cast("int"), F.col("created_at"), F.col("event_id")]
+    return range_rank(pending, order, "position").select("event_id", "kind", day("created_at").alias("created_at"), "position")
 
 
-@query("problem_order", cte(*HEALTH_CTE) + """
+@query("problem_order", cte(*HEALTH_CTE) + """,
+p AS (SELECT run_date, source_id * 3 + 2 AS source_id, severity, 'Institution ' || source_id % 4 AS institution FROM health WHERE status <> 'ok')
 SELECT CAST(run_date AS VARCHAR) AS day, source_id, severity, ROW_NUMBER() OVER (PARTITION BY run_date ORDER BY CASE WHEN severity = 'error' THEN 0 ELSE 1 END,
-       institution, source_id) AS position FROM health WHERE status <> 'ok'""")
+       institution, source_id) AS position FROM p""")
 def problem_order(spark, sf):
-    p = health_state(spark, sf).filter("status <> 'ok'")
+    # Several sources of one institution; ids of one and of two digits follow as numbers.
+    p = health_state(spark, sf).filter("status <> 'ok'").withColumn(
+        "institution", F.concat(F.lit("Institution "), (F.col("source_id") % 4).cast("string"))).withColumn(
+        "source_id", F.col("source_id") * 3 + 2)
     grade = F.when(F.col("severity") == "error", 0).otherwise(1)
-    return ordered_rank(p, [grade, F.col("institution")], "source_id", "position", ["run_date"]).select(
+    return range_rank(p.select("run_date", "source_id", "severity", "institution"),
+                      [grade, F.col("institution"), F.col("source_id")], "position", ["run_date"]).select(
         day("run_date").alias("day"), "source_id", "severity", "position")
 
 

@@ -146,3 +146,31 @@ def embedded_literal(spark, sf):
         P.script_string(F.col("html"), "t").alias("literal"), P.zipped_literals(keys, values).alias("pairs"))
     return p.select("page_id", "tracked", "literal", F.size("pairs").cast("bigint").alias("n_pairs"),
                     F.coalesce(F.try_element_at("pairs", F.lit(1))["v"], F.lit("")).alias("first_value"))
+
+
+def _with_script(pages):
+    """Pages with a script of nested literals: brackets, quotes and backslashes inside strings, several per page, some broken."""
+    n = F.col("page_id").cast("string")
+    first = F.concat(F.lit("<script>window.df_option_"), n, F.lit(' = {"source":"https://x/'), n,
+                     F.lit(r'.pdf","o":{"a":[1,{"b":"]}\"{\\"}],"n":'), (F.col("page_id") % 7).cast("string"), F.lit("}};rows="))
+    kind = F.col("page_id") % 4
+    second = (F.when(kind == 0, '[[1,"]"],[2,"["]]').when(kind == 1, "[]")
+              .when(kind == 2, F.concat(F.lit('[{"k":"'), n, F.lit('"}'))).otherwise("{not data}"))
+    return pages.select("page_id", F.concat("html", first, second, F.lit(';df_option_x={"source":null}</script>')).alias("html"))
+
+
+@query("script_data", """
+WITH v AS (SELECT page_id, UNNEST([
+  struct_pack(pos := 0, name := 'window.df_option_' || page_id, source := 'https://x/' || page_id || '.pdf', n := CAST(page_id % 7 AS VARCHAR), n_items := 2, reject := ''),
+  struct_pack(pos := 1, name := 'rows', source := NULL, n := NULL, n_items := CASE page_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END,
+    reject := CASE page_id % 4 WHEN 2 THEN 'literal does not close' WHEN 3 THEN 'literal is no data' ELSE '' END),
+  struct_pack(pos := 2, name := 'df_option_x', source := NULL, n := NULL, n_items := NULL, reject := '')]) AS x FROM pages)
+SELECT page_id, x.pos, x.name, x.source, x.n, CAST(x.n_items AS INT) AS n_items, x.reject FROM v""")
+def script_data(spark, sf):
+    """Data literals that page scripts assign, nested ones whole."""
+    pages = _with_script(table(spark, sf, "pages"))
+    found = P.assigned_literals(pages, r"(?:window\.)?df_option_\w+|rows")
+    at = lambda path: F.get_json_object("literal", path)
+    items = F.coalesce(F.json_array_length(at("$.o.a")), F.json_array_length("literal"))
+    return found.select("page_id", "pos", "name", *[F.when(F.col("reject").isNull(), v).alias(n) for n, v in (
+        ("source", at("$.source")), ("n", at("$.o.n")), ("n_items", items))], F.coalesce("reject", F.lit("")).alias("reject"))

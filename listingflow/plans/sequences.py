@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from .. import fixed_values as V
 from .. import fixtures as X
 from ..operators import health, lifecycle, listing, reconcile
-from ..operators.running import bucketed_running_sum, newest_first, ordered_rank
+from ..operators.running import longest_streaks, range_rank
 from ..registry import query
 from ..sources.tables import table
 from .common import ACC, CARRY, DENSE, accepted_runs, cte, day, joined, obs_timeline
@@ -239,14 +239,8 @@ s AS (SELECT source_id, run_date, island, SUM(CASE WHEN bad THEN 1 ELSE 0 END)::
 SELECT source_id, CAST(run_date AS VARCHAR) AS run_date, MAX(n)::BIGINT AS longest, MAX(n) >= 3 AS stopped FROM s GROUP BY 1, 2""")
 def failure_streaks(spark, sf):
     e = table(spark, sf, "events").select(
-        F.expr("user_id % 10").alias("source_id"), F.to_date("ts").alias("run_date"),
-        F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
-    # The number of successes so far names the streak; it is summed hour by hour, so one
-    # busy source and day is never a single window.
-    streak = bucketed_running_sum(e, ["source_id", "run_date"], ["hour"], [F.col("ts"), F.col("event_id")],
-                                  F.when(F.col("bad"), 0).otherwise(1), "island")
-    lengths = streak.groupBy("source_id", "run_date", "island").agg(F.count_if("bad").alias("n"))
-    return lengths.groupBy("source_id", "run_date").agg(F.max("n").alias("longest")).select(
+        F.expr("user_id % 10").alias("source_id"), F.to_date("ts").alias("run_date"), "ts", "event_id", "event_type")
+    return longest_streaks(e, ["source_id", "run_date"], ["ts", "event_id"], F.col("event_type") == "error").select(
         "source_id", day("run_date").alias("run_date"), "longest", (F.col("longest") >= V.FAILURE_STOP).alias("stopped"))
 
 
@@ -287,5 +281,5 @@ def refresh_priority(spark, sf):
         "priority", reconcile.refresh_priority()).withColumn(
         "id", F.substring(F.sha2(F.concat_ws(":", "source_id", "job_key"), 256), 1, 24))
     never = F.lit("1970-01-01").cast("date")
-    lead = [F.col("priority"), F.coalesce(F.when(F.col("priority") == 3, F.col("verified")), never)]
-    return ordered_rank(rows, lead, "id", "position", ["source_id"]).select("source_id", "job_key", "priority", "position")
+    order = [F.col("priority"), F.coalesce(F.when(F.col("priority") == 3, F.col("verified")), never), F.col("id")]
+    return range_rank(rows, order, "position", ["source_id"]).select("source_id", "job_key", "priority", "position")

@@ -4,7 +4,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import Window, functions as F
 
-from listingflow.operators.running import bucketed_running_sum, ordered_rank, top_per_key
+from listingflow.operators.running import longest_streaks, range_rank, top_per_key
 
 
 def hot(spark):
@@ -18,16 +18,33 @@ def same(a, b):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_bucketed_sum_equals_plain_window(spark):
-    w = Window.partitionBy("source_id").orderBy("day", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    plain = hot(spark).select("event_id", F.sum("v").over(w).alias("s"))
-    same(bucketed_running_sum(hot(spark), ["source_id"], ["day"], [F.col("event_id")], F.col("v"), "s").select("event_id", "s"), plain)
-
-
 def test_rank_equals_plain_window(spark):
-    w = Window.partitionBy("source_id").orderBy("day", "hex")
+    w = Window.partitionBy("source_id").orderBy("day", "event_id")
     plain = hot(spark).select("event_id", F.row_number().over(w).cast("bigint").alias("r"))
-    same(ordered_rank(hot(spark), [F.col("day")], "hex", "r", ["source_id"]).select("event_id", "r"), plain)
+    same(range_rank(hot(spark), [F.col("day"), F.col("event_id")], "r", ["source_id"]).select("event_id", "r"), plain)
+
+
+def test_rank_over_the_table_orders_numbers_as_numbers_and_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "k") for i in (2, 9, 10, 11, 100, 3)], "id long, k string")
+    got = {r.id: r.r for r in range_rank(rows, [F.col("id")], "r").collect()}
+    assert got == {2: 1, 3: 2, 9: 3, 10: 4, 11: 5, 100: 6}
+    got = {r.id: r.r for r in range_rank(rows, [F.col("id")], "r", ["k"]).collect()}
+    assert got == {2: 1, 10: 2, 11: 3, 100: 4, 3: 1, 9: 2}
+    assert range_rank(rows.where("false"), [F.col("id")], "r").count() == 0
+
+
+def test_streaks_across_ranges(spark):
+    bad = lambda s, i: (i % 11 != 0 or 2000 < i < 5000) if s == 0 else i % 4 > 0
+    rows = [(r.source_id, r.event_id, bad(r.source_id, r.event_id)) for r in hot(spark).collect()]
+    want = {}
+    for s in {r[0] for r in rows}:
+        best = run = 0
+        for _, _, b in sorted(r for r in rows if r[0] == s):
+            run = run + 1 if b else 0
+            best = max(best, run)
+        want[s] = best
+    frame = spark.createDataFrame(rows, "source_id long, event_id long, bad boolean").repartition(7)
+    assert {r.source_id: r.longest for r in longest_streaks(frame, ["source_id"], ["event_id"], F.col("bad")).collect()} == want
 
 
 def plan_of(df):
@@ -38,7 +55,7 @@ def plan_of(df):
 
 
 def test_rank_never_sorts_a_key_in_one_partition(spark):
-    plan = plan_of(ordered_rank(hot(spark), [F.col("day")], "hex", "r", ["source_id"]))
+    plan = plan_of(range_rank(hot(spark), [F.col("day"), F.col("event_id")], "r", ["source_id"]))
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
