@@ -81,6 +81,54 @@ def settle_pending(events: DataFrame, current: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).drop("newest", "now_status")
 
 
+def digests(health: DataFrame, events: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Digest of every delivery attempt, in the order of the attempts.
+
+    ``health`` has one row per source and run day, ``events`` its transitions, ``attempts`` one row per attempt: number
+    (``attempt``, rising with time), ``day``, the last run day it knows of (``as_of``) and whether it was ``acked``.
+
+    An event goes into the digests of its source's newest event until one of them is acknowledged.  The first acknowledged
+    digest of a day names all problems; later ones of that day only the sources that changed, and only if one did.
+    An attempt without problems and recoveries gives none.  A digest that was not acknowledged is replaced by the next one
+    of the same id or superseded by any other attempt.  Work: sources times days and attempts, both bounded.
+    """
+    w = Window.partitionBy("source_id").orderBy("run_date")
+    found = health.select("source_id", "run_date", "status", "institution").join(
+        events.select("source_id", F.col("created_at").alias("run_date"), F.struct("event_id", "created_at", "change").alias("event")),
+        ["source_id", "run_date"], "left")
+    last_known = attempts.agg(F.max("as_of").alias("last_known"))
+    spans = (found.withColumn("newest", F.last("event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("next_run", F.lead("run_date").over(w)).withColumn("_one", F.lit(1))
+             .join(last_known.withColumn("_one", F.lit(1)), "_one"))
+    until = F.coalesce(F.date_sub("next_run", 1), F.col("last_known"))
+    known = spans.where(until >= F.col("run_date")).select(
+        "source_id", "status", "newest", F.explode(F.sequence("run_date", until)).alias("as_of"))
+    before = Window.orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    seen = attempts.withColumn("acked_as_of", F.max(F.when(F.col("acked"), F.col("as_of"))).over(before))
+    rows = seen.join(known, "as_of")
+    well = F.col("status") == "ok"
+    recovered = F.col("newest.change") == "recovered"
+    unsent = F.col("newest").isNotNull() & (F.col("acked_as_of").isNull() | (F.col("newest.created_at") > F.col("acked_as_of")))
+    rows = rows.withColumn("turned", F.coalesce(unsent & ~(well & ~recovered), F.lit(False))).withColumn(
+        "back", F.col("turned") & recovered)
+    per = rows.groupBy("attempt", "day", "acked").agg(
+        F.count_if(~well).alias("n_all"), F.count_if(~well & F.col("turned")).alias("n_changed"), F.count_if("back").alias("n_recoveries"),
+        F.array_sort(F.collect_list(F.when(F.col("turned"), F.col("newest.event_id")))).alias("events"))
+    spoke = F.col("acked") & ((F.col("n_all") > 0) | (F.col("n_recoveries") > 0))
+    same_day = Window.partitionBy("day").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("daily_sent", F.coalesce(F.max(spoke).over(same_day), F.lit(False)))
+    made = per.where(((F.col("n_all") > 0) | (F.col("n_recoveries") > 0)) & ~(F.col("daily_sent") & (F.size("events") == 0)))
+    made = made.withColumn("summary_id", aggregate_id(F.col("day"), F.col("daily_sent"), F.col("events")))
+    again = F.lead("attempt").over(Window.partitionBy("summary_id").orderBy("attempt")).isNotNull()
+    final = attempts.agg(F.max("attempt").alias("final")).withColumn("_one", F.lit(1))
+    outcome = (F.when(F.col("acked"), "sent").when(again, "replaced")
+               .when(F.col("attempt") < F.col("final"), "superseded").otherwise("pending"))
+    return made.withColumn("_one", F.lit(1)).join(final, "_one").select(
+        "attempt", "day", "summary_id", F.when(F.col("daily_sent"), "health_changes").otherwise("health_digest").alias("kind"),
+        F.when(F.col("daily_sent"), F.col("n_changed")).otherwise(F.col("n_all")).alias("n_problems"), "n_recoveries", "events",
+        outcome.alias("outcome"))
+
+
 def digest_lines(health: DataFrame, events: DataFrame) -> DataFrame:
     """Lines of each daily digest in order: recoveries, then problems, errors first."""
     problems = health.filter((F.col("status") != "ok") & F.col("status").isNotNull()).select(

@@ -53,21 +53,29 @@ def metadata(jobs: DataFrame, generation: str) -> DataFrame:
         F.max("last_seen").alias("last_run")).withColumn("generation_id", F.lit(generation))
 
 
-def consistency(feed: DataFrame, archive: DataFrame, declared: DataFrame, key: str = "id",
-                by: str = "variant") -> DataFrame:
-    """One row of proofs per publication: same generation, declared count, unique ids, feed in archive.
+def publication(records: DataFrame, health: DataFrame, today: Column, generation: str, posted: str = "posted_date") -> dict[str, DataFrame]:
+    """Archive, recent feed, sources and metadata of one generation; every table carries its id."""
+    stamp = lambda df: df.withColumn("generation_id", F.lit(generation))
+    archive = public_columns(records)
+    feed = recent_feed(archive.withColumn("_posted", F.col(posted).cast("string")), today, "_posted").drop("_posted")
+    return {"archive": stamp(archive), "feed": stamp(feed), "sources": stamp(health),
+            "metadata": metadata(records, generation)}
 
-    ``declared`` has one row per publication: feed and archive generation and the count.
+
+def proof(archive: DataFrame, feed: DataFrame, meta: DataFrame, key: str = "id") -> DataFrame:
+    """One row of proofs, read from published tables: one generation, the declared count, unique ids, feed within archive.
+
+    An empty table has no generation of its own and contradicts none.
     """
-    a = archive.groupBy(by, key).agg(F.count("*").alias("n_a"))
-    f = feed.groupBy(by, key).agg(F.count("*").alias("n_f"))
-    both = a.join(f, [by, key], "full_outer").groupBy(by).agg(
+    a = archive.groupBy(key).agg(F.count("*").alias("n_a"), F.min("generation_id").alias("a_lo"), F.max("generation_id").alias("a_hi"))
+    f = feed.groupBy(key).agg(F.count("*").alias("n_f"), F.min("generation_id").alias("f_lo"), F.max("generation_id").alias("f_hi"))
+    both = a.join(f, key, "full_outer").agg(
         F.coalesce(F.sum("n_a"), F.lit(0)).alias("archive_rows"), F.coalesce(F.sum("n_f"), F.lit(0)).alias("feed_rows"),
-        F.count_if((F.col("n_a") > 1) | (F.col("n_f") > 1)).alias("n_duplicate"),
-        F.count_if(F.col("n_a").isNull()).alias("n_outside"))
-    p = declared.join(both, by, "left").select(
-        by, (F.col("feed_generation") == F.col("archive_generation")).alias("same_generation"),
-        (F.col("declared_count") == F.coalesce("archive_rows", F.lit(0))).alias("count_ok"),
-        (F.coalesce("n_duplicate", F.lit(0)) == 0).alias("unique_ok"),
-        (F.coalesce("n_outside", F.lit(0)) == 0).alias("subset_ok"))
-    return p.withColumn("consistent", F.expr("same_generation AND count_ok AND unique_ok AND subset_ok"))
+        F.count_if((F.col("n_a") > 1) | (F.col("n_f") > 1)).alias("n_duplicate"), F.count_if(F.col("n_a").isNull()).alias("n_outside"),
+        F.least(F.min("a_lo"), F.min("f_lo")).alias("lo"), F.greatest(F.max("a_hi"), F.max("f_hi")).alias("hi"))
+    told = meta.agg(F.max("total_jobs").alias("declared"), F.min("generation_id").alias("m_lo"), F.max("generation_id").alias("m_hi"))
+    checks = both.withColumn("_one", F.lit(1)).join(told.withColumn("_one", F.lit(1)), "_one").select(
+        "archive_rows", "feed_rows", "n_duplicate", "n_outside",
+        F.coalesce(F.least("lo", "m_lo") == F.greatest("hi", "m_hi"), F.lit(False)).alias("same_generation"),
+        F.coalesce(F.col("declared") == F.col("archive_rows"), F.lit(False)).alias("count_ok"))
+    return checks.withColumn("consistent", F.expr("same_generation AND count_ok AND n_duplicate = 0 AND n_outside = 0"))

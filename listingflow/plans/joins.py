@@ -7,9 +7,10 @@ from .. import fixed_values as V
 from .. import fixtures as X
 from ..functions import rules
 from ..functions.text import clean_text
-from ..operators import health, lifecycle, outbox, reconcile, search
+from ..operators import health, landing, lifecycle, outbox, reconcile, search
 from ..operators.search import SavedSearch
 from ..registry import query
+from ..session import work_path
 from ..sources.tables import table
 from .common import ACC, CARRY, DENSE, accepted_runs, cte, day, joined, obs_timeline, sql_fold
 from .filters import GATE, SQL_BOILERPLATE, SQL_EFFECTIVE, gate_inputs
@@ -18,11 +19,15 @@ from .sequences import HEALTH_CTE, STATE, health_state
 KEY = ["source_id", "job_key"]
 
 
-def last_day_split(obs):
-    """State before the newest run day, and that day's batch."""
-    last = obs.agg(F.max("run_date").alias("run_date"))
-    batch = obs.join(last, "run_date", "left_semi")
-    earlier = obs.join(last, "run_date", "left_anti")
+def landed_obs(spark, sf):
+    """Observations landed by day, and the newest day, which is the batch."""
+    rows = landing.land(X.obs(spark, sf), work_path(spark, "observations"), "run_date", "source_id", "job_key")
+    return rows, landing.newest_day(rows, "run_date")
+
+
+def last_day_split(rows, at):
+    """State before the batch day, and that day's batch."""
+    earlier, batch = landing.split_at(rows, "run_date", at)
     return reconcile.latest_state(earlier, KEY, F.col("run_date")), batch
 
 
@@ -41,7 +46,7 @@ SELECT COALESCE(o.source_id, b.source_id) AS source_id, COALESCE(o.job_key, b.jo
        COALESCE(b.title, o.title) AS title, COALESCE(b.department, o.department) AS department
 FROM old o FULL OUTER JOIN batch b ON b.source_id = o.source_id AND b.job_key = o.job_key""")
 def reconcile_upsert(spark, sf):
-    state, batch = last_day_split(X.obs(spark, sf))
+    state, batch = last_day_split(*landed_obs(spark, sf))
     return reconcile.upsert(state, batch, KEY, ["title", "department"])
 
 
@@ -50,9 +55,9 @@ SELECT o.source_id, o.job_key, CAST(o.run_date AS VARCHAR) AS last_seen FROM old
 WHERE EXISTS (SELECT 1 FROM accepted a WHERE a.source_id = o.source_id AND a.accepted AND a.run_date = (SELECT d FROM lastday))
   AND NOT EXISTS (SELECT 1 FROM batch b WHERE b.source_id = o.source_id AND b.job_key = o.job_key)""")
 def absent_from_batch(spark, sf):
-    o = X.obs(spark, sf)
-    state, batch = last_day_split(o)
-    runs = accepted_runs(spark, sf).join(o.agg(F.max("run_date").alias("run_date")), "run_date", "left_semi")
+    rows, at = landed_obs(spark, sf)
+    state, batch = last_day_split(rows, at)
+    runs = accepted_runs(spark, sf).where(F.col("run_date") == F.lit(at))
     return reconcile.absent_from_batch(state, batch, runs, KEY).select(*KEY, day("run_date").alias("last_seen"))
 
 
@@ -64,11 +69,10 @@ SELECT source_id, COUNT(*) AS n_rows FROM e WHERE d = (SELECT d FROM l)
 def source_known(spark, sf):
     e = table(spark, sf, "events").select(
         F.expr("user_id * 100 + CAST(get_json_object(props, '$.k') AS BIGINT)").alias("source_id"), F.to_date("ts").alias("d"))
-    last = e.agg(F.max("d").alias("d"))
-    batch = e.join(last, "d", "left_semi").groupBy("source_id").agg(F.count("*").alias("n_rows"))
-    # Any earlier record makes a source known; the distinct ids are what is joined.
-    earlier = e.join(last, "d", "left_anti").select("source_id").distinct()
-    return batch.join(earlier, "source_id", "left_semi")
+    rows = landing.land(e.groupBy("source_id", "d").agg(F.count("*").alias("n_rows")), work_path(spark, "sources"), "d", "source_id")
+    earlier, batch = landing.split_at(rows, "d", landing.newest_day(rows, "d"))
+    # Any earlier record makes a source known.
+    return batch.select("source_id", "n_rows").join(earlier.select("source_id").distinct(), "source_id", "left_semi")
 
 
 @query("listing_detail_identity", """
@@ -246,6 +250,38 @@ def digest_ack(spark, sf):
     return outbox.acknowledge(held, acked).select("event_id", "state", F.coalesce("summary_id", F.lit("")).alias("summary_id"))
 
 
+@query("digest_attempts", cte(*HEALTH_CTE, """
+days AS (SELECT DISTINCT run_date AS day FROM health),
+attempts AS (SELECT datediff('day', DATE '2024-01-01', day) * 2 + slot AS attempt, day, day - 1 + slot AS as_of,
+               CASE WHEN slot = 0 THEN datediff('day', DATE '2024-01-01', day) % 3 <> 0 ELSE datediff('day', DATE '2024-01-01', day) % 2 = 0 END AS acked
+             FROM days CROSS JOIN (VALUES (0), (1)) s(slot)),
+state_at AS (SELECT a.attempt, h.source_id, arg_max(h.status, h.run_date) AS status FROM attempts a JOIN health h ON h.run_date <= a.as_of GROUP BY 1, 2),
+event_at AS (SELECT a.attempt, t.source_id, arg_max(t.event_id, t.created_at) AS event_id, MAX(t.created_at) AS created_at, arg_max(t.change, t.created_at) AS change
+             FROM attempts a JOIN trans t ON t.created_at <= a.as_of GROUP BY 1, 2),
+pend AS (SELECT e.*, s.status FROM event_at e JOIN state_at s ON s.attempt = e.attempt AND s.source_id = e.source_id
+         WHERE NOT EXISTS (SELECT 1 FROM attempts j WHERE j.attempt < e.attempt AND j.acked AND j.as_of >= e.created_at)
+           AND NOT (s.status = 'ok' AND e.change <> 'recovered')),
+per AS (SELECT a.*, (SELECT COUNT(*) FROM state_at s WHERE s.attempt = a.attempt AND s.status <> 'ok') AS n_all,
+               (SELECT COUNT(*) FROM pend p WHERE p.attempt = a.attempt AND p.status <> 'ok') AS n_changed,
+               (SELECT COUNT(*) FROM pend p WHERE p.attempt = a.attempt AND p.change = 'recovered') AS n_recoveries,
+               (SELECT string_agg(p.event_id, '|' ORDER BY p.event_id) FROM pend p WHERE p.attempt = a.attempt) AS events FROM attempts a),
+said AS (SELECT p.*, EXISTS (SELECT 1 FROM per j WHERE j.day = p.day AND j.attempt < p.attempt AND j.acked AND (j.n_all > 0 OR j.n_recoveries > 0)) AS daily_sent FROM per p),
+made AS (SELECT *, CASE WHEN daily_sent THEN 'health-changes:' || substr(sha256(events), 1, 20) ELSE 'health-digest:' || CAST(day AS VARCHAR) END AS summary_id
+         FROM said WHERE (n_all > 0 OR n_recoveries > 0) AND NOT (daily_sent AND events IS NULL))""") + """
+SELECT attempt, CAST(day AS VARCHAR) AS day, summary_id, CASE WHEN daily_sent THEN 'health_changes' ELSE 'health_digest' END AS kind,
+  CASE WHEN daily_sent THEN n_changed ELSE n_all END AS n_problems, n_recoveries, COALESCE(events, '') AS events,
+  CASE WHEN acked THEN 'sent' WHEN EXISTS (SELECT 1 FROM made j WHERE j.summary_id = m.summary_id AND j.attempt > m.attempt) THEN 'replaced'
+       WHEN attempt < (SELECT MAX(attempt) FROM attempts) THEN 'superseded' ELSE 'pending' END AS outcome FROM made m""")
+def digest_attempts(spark, sf):
+    """Two delivery attempts a day, before and after the day's run; some are acknowledged."""
+    h = health_state(spark, sf)
+    nth = F.datediff("day", F.lit("2024-01-01").cast("date"))
+    attempts = h.select(F.col("run_date").alias("day")).distinct().withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        (nth * 2 + F.col("slot")).cast("bigint").alias("attempt"), "day", F.date_add(F.date_sub("day", 1), F.col("slot")).alias("as_of"),
+        F.when(F.col("slot") == 0, nth % 3 != 0).otherwise(nth % 2 == 0).alias("acked"))
+    return health.digests(h, health.transitions(h), attempts).withColumn("day", day("day")).withColumn("events", joined(F.col("events")))
+
+
 # --- saved searches ------------------------------------------------------------
 
 SEARCHES = [

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions.keys import fields_hash
-from ..operators import publish, reconcile
+from ..operators import generations, publish
 from ..registry import query
 from ..session import work_path
 from .common import ACC, CARRY, DENSE, as_of, cte, day
@@ -19,14 +19,21 @@ def records(spark, sf):
         "eligible_new_notification", F.lit(True)).withColumn("listing_fingerprint", F.lit("x"))
 
 
+def publish_all(spark, sf, root, generation=X.AS_OF, built_from=None, change=lambda tables: tables):
+    """One generation of archive, feed, sources and metadata."""
+    jobs = records(spark, sf).withColumn("last_seen", F.to_date("first_seen"))
+    sources = jobs.groupBy("source_id").agg(F.count("*").alias("n_jobs"))
+    return generations.publish(root, change(publish.publication(jobs, sources, as_of(), generation)), generation, built_from)
+
+
 @query("publish_archive", cte(X.ADS) + """
 SELECT id, doc_id, source_id, lang, title, text, status, employment_type, deadline_type,
-       CAST(deadline AS VARCHAR) AS deadline, CAST(posted_date AS VARCHAR) AS posted_date, detail_complete FROM ads""")
+       CAST(deadline AS VARCHAR) AS deadline, CAST(posted_date AS VARCHAR) AS posted_date, detail_complete, '2024-04-01' AS generation_id FROM ads""")
 def publish_archive(spark, sf):
-    root = work_path(spark, "archive")
-    reconcile.commit_generation(publish.public_columns(records(spark, sf)), root, X.AS_OF)
-    a = reconcile.read_current(spark, root)
-    return a.drop("first_seen").withColumn("deadline", day("deadline")).withColumn("posted_date", day("posted_date"))
+    root = work_path(spark, "publication")
+    publish_all(spark, sf, root)
+    a = generations.read(spark, root, "archive")
+    return a.drop("first_seen", "last_seen").withColumn("deadline", day("deadline")).withColumn("posted_date", day("posted_date"))
 
 
 # A stated date that no reader can parse must not fall back to the first sighting.
@@ -48,10 +55,13 @@ def publish_recent_feed(spark, sf):
 @query("publish_history", cte(*ACC, CARRY, DENSE, HISTORY) + """
 SELECT source_id, job_key, CAST(happened AS VARCHAR) AS happened, kind, title, changes FROM history""")
 def publish_history(spark, sf):
+    # Appended in two publications, by day: a reader of some days opens only their folders.
     path = work_path(spark, "history")
     rows = history_rows(spark, sf).select("source_id", "job_key", day("at").alias("happened"), "kind", "title",
                                           change_text().alias("changes"))
-    rows.write.mode("append").partitionBy("kind").parquet(path)
+    middle = "2024-01-16"
+    for part in (rows.where(F.col("happened") < middle), rows.where(F.col("happened") >= middle)):
+        part.repartitionByRange("happened", "source_id", "job_key").write.mode("append").partitionBy("happened").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -88,34 +98,44 @@ SELECT COUNT(*) AS total_jobs, SUM(CASE WHEN status = 'open' THEN 1 ELSE 0 END):
        SUM(CASE WHEN status = 'missing' THEN 1 ELSE 0 END)::BIGINT AS n_missing,
        CAST(MAX(CAST(first_seen AS DATE)) AS VARCHAR) AS last_run, '2024-04-01' AS generation_id FROM ads""")
 def publish_metadata(spark, sf):
-    jobs = X.ads(spark, sf).withColumn("last_seen", F.to_date("first_seen"))
-    return publish.metadata(jobs, X.AS_OF).withColumn("last_run", day("last_run"))
-
-
-@query("snapshot_consistency", """
-WITH n AS (SELECT COUNT(*) > 0 AS has FROM documents)
-SELECT variant, same_generation, count_ok, unique_ok, subset_ok, same_generation AND count_ok AND unique_ok AND subset_ok AS consistent
-FROM (VALUES ('good', TRUE, TRUE, TRUE, TRUE), ('other generation', FALSE, TRUE, TRUE, TRUE), ('short', TRUE, FALSE, TRUE, FALSE),
-             ('repeated', TRUE, FALSE, FALSE, TRUE), ('replaced', TRUE, TRUE, TRUE, FALSE)) v(variant, same_generation, count_ok, unique_ok, subset_ok)
-WHERE (SELECT has FROM n)""")
+    root = work_path(spark, "publication")
+    publish_all(spark, sf, root)
+    return generations.read(spark, root, "metadata").withColumn("last_run", day("last_run"))
+
+
+_TAMPERED = """
+feed AS (SELECT id FROM ads WHERE COALESCE(posted_date, CAST(first_seen + INTERVAL 8 HOUR AS DATE)) >= DATE '2024-04-01' - 29),
+variant AS (SELECT * FROM (VALUES ('good'), ('other generation'), ('short'), ('repeated'), ('replaced')) v(variant)),
+arch AS (SELECT variant, CASE WHEN variant = 'replaced' AND id < '8' THEN id || '-' ELSE id END AS id FROM ads, variant WHERE NOT (variant = 'short' AND id < '8')
+         UNION ALL SELECT 'repeated', id FROM ads WHERE id < '8'),
+cnt AS (SELECT variant, id, COUNT(*) AS n FROM arch GROUP BY 1, 2)
+"""
+
+
+@query("snapshot_consistency", cte(X.ADS, _TAMPERED) + """
+SELECT *, same_generation AND count_ok AND n_duplicate = 0 AND n_outside = 0 AS consistent FROM (
+  SELECT variant, (SELECT COUNT(*) FROM arch a WHERE a.variant = v.variant) AS archive_rows, (SELECT COUNT(*) FROM feed) AS feed_rows,
+    (SELECT COUNT(*) FROM cnt c WHERE c.variant = v.variant AND n > 1) AS n_duplicate,
+    (SELECT COUNT(*) FROM feed WHERE id NOT IN (SELECT id FROM arch a WHERE a.variant = v.variant)) AS n_outside,
+    variant <> 'other generation' AS same_generation, (SELECT COUNT(*) FROM arch a WHERE a.variant = v.variant) = (SELECT COUNT(*) FROM ads) AS count_ok
+  FROM variant v) x""")
 def snapshot_consistency(spark, sf):
-    a = X.ads(spark, sf)
-    feed = publish.recent_feed(a.withColumn("posted", F.col("posted_date").cast("string")), as_of(), "posted")
-    # The lower half of the hash ids is lost, doubled or renamed in the tampered archives.
-    tagged = a.select("id", (F.col("id") < "8").alias("hit"))
-    variants = F.expr("""filter(array(
-        named_struct('variant', 'good', 'id', id), named_struct('variant', 'other generation', 'id', id),
-        IF(hit, NULL, named_struct('variant', 'short', 'id', id)),
-        named_struct('variant', 'repeated', 'id', id), IF(hit, named_struct('variant', 'repeated', 'id', id), NULL),
-        named_struct('variant', 'replaced', 'id', IF(hit, concat(id, '-'), id))), x -> x IS NOT NULL)""")
-    archive = tagged.select(F.inline(variants))
-    names = ["good", "other generation", "short", "repeated", "replaced"]
-    feeds = feed.select("id", F.explode(F.array(*[F.lit(n) for n in names])).alias("variant"))
-    declared = a.agg(F.count("*").alias("declared_count")).select(
-        "declared_count", F.explode(F.array(*[F.lit(n) for n in names])).alias("variant")).withColumn(
-        "feed_generation", F.lit("g1")).withColumn(
-        "archive_generation", F.when(F.col("variant") == "other generation", "g0").otherwise("g1"))
-    return publish.consistency(feeds, archive, declared)
+    """A reader's proof over published tables, and over publications in which one table was tampered with."""
+    hit = F.col("id") < "8"
+    damage = {
+        "good": lambda t: t,
+        "other generation": lambda t: t | {"feed": t["feed"].withColumn("generation_id", F.lit("2024-03-31"))},
+        "short": lambda t: t | {"archive": t["archive"].where(~hit)},
+        "repeated": lambda t: t | {"archive": t["archive"].unionByName(t["archive"].where(hit))},
+        "replaced": lambda t: t | {"archive": t["archive"].withColumn("id", F.when(hit, F.concat("id", F.lit("-"))).otherwise(F.col("id")))}}
+    out = None
+    for variant, change in damage.items():
+        root = work_path(spark, "publication")
+        publish_all(spark, sf, root, change=change)
+        part = publish.proof(*[generations.read(spark, root, name) for name in ("archive", "feed", "metadata")])
+        part = part.withColumn("variant", F.lit(variant))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("state_commit", cte(X.OBS) + """
@@ -130,9 +150,9 @@ def state_commit(spark, sf):
         return df.groupBy("source_id", "job_key").agg(F.max("last_seen").alias("last_seen"), F.sum("n_seen").alias("n_seen"))
 
     rows = o.select("source_id", "job_key", F.col("run_date").alias("last_seen"), F.lit(1).cast("bigint").alias("n_seen"))
-    reconcile.commit_generation(folded(rows.filter(F.col("last_seen") < middle)), root, "g1", ["source_id"])
-    merged = folded(reconcile.read_current(spark, root).select(rows.columns).unionByName(
-        rows.filter(F.col("last_seen") >= middle)))
-    reconcile.commit_generation(merged, root, "g2", ["source_id"])
-    return reconcile.read_current(spark, root).select(
+    place = {"state": ["source_id"]}
+    first = generations.publish(root, {"state": folded(rows.filter(F.col("last_seen") < middle))}, "g1", None, place)
+    merged = folded(generations.read(spark, root, "state").select(rows.columns).unionByName(rows.filter(F.col("last_seen") >= middle)))
+    generations.publish(root, {"state": merged}, "g2", first, place)
+    return generations.read(spark, root, "state").select(
         F.col("source_id").cast("bigint").alias("source_id"), "job_key", day("last_seen").alias("last_seen"), "n_seen")

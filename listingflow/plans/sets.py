@@ -1,12 +1,13 @@
 """Set operations."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import fixtures as X
-from ..operators import pages as P
+from ..operators import crawl, pages as P
 from ..operators import reconcile
 from ..registry import query
+from ..session import work_path
 from ..sources.tables import table
 from .common import joined
 from .extraction import LINKS
@@ -60,3 +61,35 @@ SELECT DISTINCT target FROM links WHERE target NOT IN (SELECT url FROM pages)"""
 def frontier_diff(spark, sf):
     p = table(spark, sf, "pages")
     return P.frontier(P.links(p), p.select(F.col("url").alias("target")))
+
+
+SITE_LINKS = """
+o AS (SELECT o_orderkey, o_custkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+site_links AS (SELECT a.o_custkey || '/' || a.r AS url, a.o_custkey || '/' || ((2 * a.r + b.k) % a.n + 1) AS target FROM o a CROSS JOIN (VALUES (0), (1)) b(k)
+  UNION SELECT o_custkey || '/1', (o_custkey + 1) || '/1' FROM o WHERE r = 1 AND o_custkey % 8 <> 7)
+"""
+
+
+def site_links(spark, sf):
+    """Sites of customers whose pages (orders) link on within the site, in cycles, and from some first pages to the next site."""
+    w = Window.partitionBy("o_custkey")
+    o = table(spark, sf, "orders").select("o_custkey", F.row_number().over(w.orderBy("o_orderkey")).alias("r"), F.count("*").over(w).alias("n"))
+    page = lambda site, r: F.concat_ws("/", site.cast("string"), r.cast("string"))
+    site, r = F.col("o_custkey"), F.col("r")
+    to = F.array(*[page(site, (2 * r + k) % F.col("n") + 1) for k in (0, 1)],
+                 F.when((r == 1) & (site % 8 != 7), page(site + 1, F.lit(1))))
+    return o.select(page(site, r).alias("url"), F.explode(F.array_distinct(F.array_compact(to))).alias("target"))
+
+
+@query("crawl_depth", "WITH RECURSIVE " + SITE_LINKS.strip() + """,
+reached AS (SELECT o_custkey || '/1' AS target, 0 AS depth FROM o WHERE r = 1 AND o_custkey % 8 = 0
+            UNION SELECT l.target, x.depth + 1 FROM reached x JOIN site_links l ON l.url = x.target WHERE x.depth < 40)
+SELECT target, MIN(depth) AS depth, TRUE AS complete FROM reached GROUP BY 1""")
+def crawl_depth(spark, sf):
+    """Least number of links from the seeds to every page that can be reached; also targets no table holds."""
+    landed = work_path(spark, "links")
+    site_links(spark, sf).write.parquet(landed)
+    links = spark.read.schema("url string, target string").parquet(landed)
+    seeds = table(spark, sf, "orders").where("o_custkey % 8 = 0").select(
+        F.concat_ws("/", F.col("o_custkey").cast("string"), F.lit("1")).alias("target"))
+    return crawl.discover(links, seeds)

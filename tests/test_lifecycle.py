@@ -4,7 +4,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from listingflow.operators import lifecycle, listing, reconcile
+from listingflow.operators import crawl, generations, landing, lifecycle, listing, pages, publish, reconcile
 
 D0 = dt.date(2026, 9, 1)
 OBS = ("source_id bigint, job_key int, run_date date, event_id bigint, title string, value double, department string, "
@@ -218,9 +218,55 @@ def test_upsert_from_empty_state(spark):
 def test_generation_switch_is_the_last_step(spark, tmp_path):
     root = str(tmp_path / "state")
     one = spark.createDataFrame([(1,)], "id int")
-    reconcile.commit_generation(one, root, "g1")
-    # A job lost before its commit record leaves files nobody reads.
-    one.union(one).write.parquet(root + "/generation=g2")
-    assert reconcile.read_current(spark, root).count() == 1
-    reconcile.commit_generation(reconcile.read_current(spark, root).union(one).union(one), root, "g3")
-    assert reconcile.read_current(spark, root).count() == 3
+    first = generations.publish(root, {"state": one}, "g1", None)
+    # A job lost before its manifest leaves files nobody reads.
+    one.union(one).write.parquet(root + "/data/1-lost/state")
+    assert generations.read(spark, root, "state").count() == 1
+    held = generations.read(spark, root, "state")
+    assert generations.publish(root, {"state": held.union(one).union(one)}, "g2", first) == 1
+    assert generations.read(spark, root, "state").count() == 3
+    with pytest.raises(generations.GenerationConflict):  # built from the first one, which has a successor by now
+        generations.publish(root, {"state": one}, "g2b", first)
+    assert generations.read(spark, root, "state").count() == 3 and generations.read(spark, root, "state", first).count() == 1
+    with pytest.raises(LookupError):
+        generations.read(spark, str(tmp_path / "nothing"), "state")
+
+
+def test_publication_of_unequal_generations_or_half_a_table_is_not_consistent(spark):
+    table = lambda rows: spark.createDataFrame(rows, "id string, generation_id string")
+    meta = lambda n, g="g1": spark.createDataFrame([(n, g)], "total_jobs long, generation_id string")
+    good, feed = table([("a", "g1"), ("b", "g1")]), table([("a", "g1")])
+    judge = lambda *t: publish.proof(*t).first().consistent
+    assert judge(good, feed, meta(2)) and judge(good, feed.limit(0), meta(2)) and judge(good.limit(0), feed.limit(0), meta(0))
+    assert not judge(good, table([("a", "g0")]), meta(2)) and not judge(good, feed, meta(2, "g2")) and not judge(good, feed, meta(3))
+    assert not judge(good, table([("c", "g1")]), meta(2)) and not judge(good.union(good), feed, meta(4))
+
+
+def test_one_day_is_read_from_its_own_files(spark, tmp_path):
+    rows = spark.createDataFrame([(d, k) for d in range(5) for k in range(4)], "d int, k int")
+    held = landing.land(rows, str(tmp_path / "days"), "d", "k")
+    earlier, batch = landing.split_at(held, "d", landing.newest_day(held, "d"))
+    assert earlier.count() == 16 and batch.count() == 4 and all("/d=4/" in f for r in batch.select("_metadata.file_path").collect() for f in r)
+    assert "PartitionFilters: [isnotnull(d" in batch._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crawl_ends_at_cycles_and_goes_on_where_it_stopped(spark, tmp_path):
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d"), ("x", "y"), ("c", None)], "url string, target string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,)], "target string")
+    rows = lambda df: sorted((r.target, r.depth, r.complete) for r in df.collect())
+    assert rows(crawl.discover(links, seeds, 2, str(tmp_path / "c"))) == [("a", 0, False), ("b", 1, False), ("c", 2, False)]
+    assert rows(crawl.discover(links, seeds, 9, str(tmp_path / "c"))) == [("a", 0, True), ("b", 1, True), ("c", 2, True), ("d", 3, True)]
+    assert rows(crawl.discover(links, seeds.limit(0))) == []
+
+
+def test_literals_end_at_their_own_bracket(spark):
+    big = "x" * 1_000_000
+    cases = [('{"a":"}"}rest', '{"a":"}"}'), ('[[1],[2]] ]', '[[1],[2]]'), ('{"q":"\\"}{"}', '{"q":"\\"}{"}'), ('{"q":"\\\\"}x', '{"q":"\\\\"}'),
+             ('{"open":[1}', None), ('{"open":"', None), ('{"b":"' + big + '"} tail {', '{"b":"' + big + '"}'), ('{"e":"' + '\\"' * 50_000 + '"}', '{"e":"' + '\\"' * 50_000 + '"}')]
+    frame = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.p for r in frame.select("i", pages.balanced_prefix(F.col("t")).alias("p")).collect()}
+    for i, (text, want) in enumerate(cases):
+        if i != 4:  # a closing brace of the wrong kind closes the count; the JSON check refuses it
+            assert got[i] == want, text[:40]
+    made = pages.assigned_literals(frame.select(F.col("i").alias("page_id"), F.concat(F.lit("v = "), "t").alias("html")), "v")
+    assert {r.page_id for r in made.where("reject IS NOT NULL").collect()} == {4, 5}
