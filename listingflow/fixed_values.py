@@ -76,8 +76,8 @@ SKILL_WORDS = ["critical thinking", "批判思考", "批判性思維"]
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2212"
 
 # --- dates -----------------------------------------------------------------
-MONTH_NAMES = ("january february march april may june july august september october "
-               "november december").split()
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+               "november", "december"]
 HYPHEN_DATE = r"(\d{1,2})-([A-Za-z]{3,9})-(20\d{2})"
 YMD_DATE = r"(?<!\d)(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})(?:日)?(?!\d)"
 DMY_DATE = r"\b(\d{1,2})\s+([A-Za-z]{3,9})\s+(20\d{2})\b"

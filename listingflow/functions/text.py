@@ -102,9 +102,10 @@ def term_regex(term: str, plural: bool = False) -> str | None:
     value = normalize_term(term)
     if not value:
         return None
-    border = {True: r"(?:\A|[^a-z0-9])", False: ""}[value[0] in _TOKEN], {True: r"(?:[^a-z0-9]|\z)", False: ""}[value[-1] in _TOKEN]
+    before = r"(?:\A|[^a-z0-9])" if value[0] in _TOKEN else ""
+    after = r"(?:[^a-z0-9]|\z)" if value[-1] in _TOKEN else ""
     optional = "s?" if plural and value[-1] in _TOKEN and not value[-1].isdigit() else ""
-    return border[0] + re.escape(value) + optional + border[1]
+    return before + re.escape(value) + optional + after
 
 
 def contains_term(normalized: Column, term: str, plural: bool = False) -> Column:

@@ -24,6 +24,14 @@ def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return found.select(key, "url", "pos", "href", join_url(F.col("url"), F.col("href")).alias("target"), "text")
 
 
+def with_targets(pages: DataFrame) -> DataFrame:
+    """Pages with ``targets``, the absolute addresses of their anchors in page order, inside the row."""
+    anchors = F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))
+    href = lambda a: H.unescape(F.trim(F.regexp_replace(a, rf"{_ANCHOR}", "$1$2$3")))
+    hrefs = pages.withColumn("_hrefs", F.transform(anchors, href))
+    return hrefs.withColumn("targets", F.transform("_hrefs", lambda h: join_url(F.col("url"), h))).drop("_hrefs")
+
+
 def link_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Links with the reason a listing row would be refused: no address or no title."""
     return links(pages, key).withColumn(
@@ -45,21 +53,26 @@ def trim_body(html: Column, marker: str | None = None, blocks: tuple[str, ...] =
 
 def sections(pages: DataFrame, key: str = "page_id", split_on: str = r"(?i)<p\b[^>]*>",
              min_body: int = 100) -> DataFrame:
-    """Many records of one page: heading up to the first full stop, body after it.
+    """Many records of one page, of all its articles: heading up to the first full stop, body after it.
 
     ``ok`` needs a heading and a long enough body; ``duplicate`` marks a heading that the
     page repeats, because the heading is the record's only identity.
     """
-    article = F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1)
-    parts = pages.select(key, F.posexplode(F.split(article, split_on)).alias("pos", "part")).filter("pos > 0")
-    text = H.inline_text(F.col("part"))
-    s = parts.select(key, "pos", F.trim(F.regexp_extract(text, r"(?s)\A([^.]*)", 1)).alias("heading"),
-                     F.trim(F.regexp_extract(text, r"(?s)\A[^.]*\.(.*)\z", 1)).alias("body"))
-    repeats = s.groupBy(key, "heading").agg(F.count("*").alias("n_same"))
-    return s.join(repeats, [key, "heading"]).select(
-        key, "pos", "heading", "body",
-        ((F.col("heading") != "") & (F.length("body") >= min_body)).alias("ok"),
-        (F.col("n_same") > 1).alias("duplicate"))
+    articles = F.regexp_extract_all("html", F.lit(r"(?is)<article[^>]*>(.*?)</article>"), F.lit(1))
+    # what stands before an article's first mark is no section
+    parts = F.flatten(F.transform(articles, lambda a: F.slice(F.split(a, split_on), F.lit(2), F.size(F.split(a, split_on)))))
+    # a projection of its own, or the optimiser would clean every part again for each use
+    texts = pages.select(key, parts.alias("_parts")).select(key, F.transform("_parts", lambda x: H.inline_text(x)).alias("_texts"))
+    heads = texts.withColumn("_heads", F.transform("_texts", lambda t: F.trim(F.regexp_extract(t, r"(?s)\A([^.]*)", 1))))
+    # headings that stand next to an equal one once sorted: the page repeats them, and no other row has to be asked
+    heads = heads.withColumn("_sorted", F.sort_array("_heads"))
+    again = F.filter("_sorted", lambda h, i: (i > 0) & (h == F.try_element_at("_sorted", i)))
+    rows = heads.withColumn("_again", again).select(
+        key, "_again", F.posexplode(F.arrays_zip(F.col("_texts").alias("text"), F.col("_heads").alias("heading"))).alias("pos", "s"))
+    body = F.trim(F.regexp_extract("s.text", r"(?s)\A[^.]*\.(.*)\z", 1))
+    return rows.select(key, (F.col("pos") + 1).alias("pos"), F.col("s.heading").alias("heading"), body.alias("body"), "_again").select(
+        key, "pos", "heading", "body", ((F.col("heading") != "") & (F.length("body") >= min_body)).alias("ok"),
+        F.array_contains("_again", F.col("heading")).alias("duplicate"))
 
 
 def quality(html: Column, min_text: int = 100) -> Column:

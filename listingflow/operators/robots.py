@@ -41,7 +41,9 @@ def effective_rules(rules: DataFrame, agent: str) -> DataFrame:
     scored = rules.withColumn("score", score).filter("score IS NOT NULL")
     rule = F.when(F.col("pattern") != "", F.struct(
         F.length(F.regexp_replace(robot_path(F.col("pattern")), r"\*|\$\z", "")).alias("len"),
-        F.col("allow").alias("allow"), _pattern_regex(robot_path(F.col("pattern"))).alias("regex")))
+        F.col("allow").alias("allow"), robot_path(F.col("pattern")).alias("prefix"),
+        # most rules are plain prefixes; only the others need a pattern compiled for them
+        F.when(F.col("pattern").rlike(r"\*|\$\z"), _pattern_regex(robot_path(F.col("pattern")))).alias("regex")))
     best = scored.groupBy("site", "score").agg(F.collect_list(rule).alias("rules")).groupBy("site").agg(
         F.max_by("rules", "score").alias("rules"))
     return best
@@ -52,6 +54,7 @@ def can_fetch(pages: DataFrame, rules: DataFrame, agent: str, url: str = "url",
     path = F.concat(F.coalesce(F.nullif(url_part(F.col(url), "path"), F.lit("")), F.lit("/")),
                     F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     joined = pages.withColumn("_path", robot_path(path)).join(effective_rules(rules, agent), site, "left")
-    hits = F.transform(F.filter("rules", lambda r: F.regexp_like(F.col("_path"), r["regex"])),
+    meets = lambda r: F.when(r["regex"].isNull(), F.startswith(F.col("_path"), r["prefix"])).otherwise(F.regexp_like(F.col("_path"), r["regex"]))
+    hits = F.transform(F.filter("rules", meets),
                        lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow")))
     return joined.withColumn("allowed", F.coalesce(F.array_max(hits)["allow"], F.lit(True))).drop("_path", "rules")

@@ -68,27 +68,38 @@ _WORDS = "regexp_extract_all(text, '[a-z]+'{})"
 
 def _words(spark, sf):
     w = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", *[
+    return table(spark, sf, "documents").select("doc_id", "text", *[
         F.coalesce(F.try_element_at(w, F.lit(i)), F.lit("none")).alias(f"w{i}") for i in (1, 2, 3, 4)])
 
 
-_W = "w AS (SELECT doc_id, " + ", ".join(f"COALESCE(regexp_extract_all(text, '[a-z]+')[{i}], 'none') AS w{i}" for i in (1, 2, 3, 4)) + " FROM documents)"
+_TYPED = """'"' || w1 || ' ' || w2 || '" -' || w3 || '，-"' || w1 || ' x",' || w4 || CASE WHEN doc_id % 4 = 0 THEN ' "open' ELSE '' END || ' ' || text"""
 
 
-@query("parse_query", f"""WITH {_W}
-SELECT doc_id, w1 || ' ' || w2 || '|' || w4 || CASE WHEN doc_id % 4 = 0 THEN '|open' ELSE '' END AS positive,
-       w3 || '|' || w1 || ' x' AS negative, doc_id % 4 = 0 AS unclosed_quote FROM w""")
+def _typed(spark, sf):
+    """A query of every kind of term, followed by the whole text of the document."""
+    return _words(spark, sf).withColumn("q", F.concat(
+        F.lit('"'), "w1", F.lit(" "), "w2", F.lit('" -'), "w3", F.lit("，-\""), "w1", F.lit(' x",'), "w4",
+        F.when(F.col("doc_id") % 4 == 0, ' "open').otherwise(""), F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
+@query("parse_query", f"""WITH w0 AS (SELECT doc_id, COALESCE(text, '') AS text, {", ".join(f"COALESCE(regexp_extract_all(text, '[a-z]+')[{i}], 'none') AS w{i}" for i in (1, 2, 3, 4))} FROM documents),
+q AS (SELECT doc_id, {_TYPED} AS q FROM w0),
+t AS (SELECT doc_id, q, list_filter(list_transform(regexp_extract_all(q, '(-?"[^"]+"|[^\\s,，"]+)', 1),
+        lambda x: {{'minus': starts_with(x, '-'), 'term': trim(replace(regexp_replace(x, '^-', ''), '"', ''), ' ')}}), lambda x: x.term <> '') AS t FROM q)
+SELECT doc_id, array_to_string(list_transform(list_filter(t, lambda x: NOT x.minus), lambda x: x.term), '|') AS positive,
+  array_to_string(list_transform(list_filter(t, lambda x: x.minus), lambda x: x.term), '|') AS negative,
+  (length(q) - length(replace(q, '"', ''))) % 2 = 1 AS unclosed_quote FROM t""")
 def parse_query(spark, sf):
-    q = F.concat(F.lit('"'), "w1", F.lit(" "), "w2", F.lit('" -'), "w3", F.lit("，-\""), "w1", F.lit(' x",'), "w4",
-                 F.when(F.col("doc_id") % 4 == 0, ' "open').otherwise(""))
-    return _words(spark, sf).select("doc_id", search.parse_query(q).alias("p")).select(
+    return _typed(spark, sf).select("doc_id", search.parse_query(F.col("q")).alias("p")).select(
         "doc_id", joined(F.col("p.positive")).alias("positive"), joined(F.col("p.negative")).alias("negative"), "p.unclosed_quote")
 
 
-@query("keyword_terms", f"""WITH {_W} SELECT doc_id, w1 || ' ' || w2 || '|' || w3 || '|' || w4 AS terms FROM w""")
+@query("keyword_terms", """
+SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(' a b, ，' || COALESCE(text, '') || chr(10) || chr(10) || ' c ,', '[,，\n]'),
+  lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS terms FROM documents""")
 def keyword_terms(spark, sf):
-    raw = F.concat(F.lit(" "), "w1", F.lit(" "), "w2", F.lit(", ，"), "w3", F.lit("\n\n"), "w4", F.lit(" ,"))
-    return _words(spark, sf).select("doc_id", joined(search.keyword_terms(raw)).alias("terms"))
+    raw = F.concat(F.lit(" a b, ，"), F.coalesce("text", F.lit("")), F.lit("\n\n c ,"))
+    return table(spark, sf, "documents").select("doc_id", joined(search.keyword_terms(raw)).alias("terms"))
 
 
 # --- dates -------------------------------------------------------------------
@@ -295,15 +306,16 @@ _MARKED = "text || '*_`~>|[x](y) {b}'".replace("{b}", "\\")
 
 
 @query("escape_text", r"""
-SELECT doc_id, substr(regexp_replace(right(text, 200) || '*_`~>|[x](y) ' || chr(92), '([\\*_`~>|\[\]])', chr(92) || chr(92) || chr(92) || '1', 'g'), 1, 240) AS escaped,
+WITH c AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN '=' ELSE '' END || text || '"q"' AS cell FROM documents)
+SELECT doc_id, regexp_replace(text || '*_`~>|[x](y) ' || chr(92), '([\\*_`~>|\[\]])', chr(92) || chr(92) || chr(92) || '1', 'g') AS escaped,
   CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://e.org/%28' || doc_id || '%29%20x' END AS link,
-  '"' || CASE WHEN doc_id % 2 = 0 THEN '''=' ELSE '' END || replace(substr(text, 1, 40), '"', '""') || '""q""' || '"' AS cell FROM documents""")
+  '"' || replace(CASE WHEN regexp_matches(cell, '^\s*[=+@-]') THEN '''' || cell ELSE cell END, '"', '""') || '"' AS cell FROM c""")
 def escape_text(spark, sf):
-    raw = F.concat(F.expr("right(text, 200)"), F.lit("*_`~>|[x](y) \\"))
+    raw = F.concat("text", F.lit("*_`~>|[x](y) \\"))
     url = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("http://e.org/"), "doc_id")).otherwise(
         F.concat(F.lit("https://e.org/("), "doc_id", F.lit(") x")))
-    cell = F.concat(F.when(F.col("doc_id") % 2 == 0, "=").otherwise(""), F.substring("text", 1, 40), F.lit('"q"'))
-    return table(spark, sf, "documents").select("doc_id", text.escape_markdown(raw).alias("escaped"),
+    cell = F.concat(F.when(F.col("doc_id") % 2 == 0, "=").otherwise(""), "text", F.lit('"q"'))
+    return table(spark, sf, "documents").select("doc_id", text.escape_markdown(raw, 2**31 - 1).alias("escaped"),
                                                 text.safe_link(url).alias("link"), text.csv_cell(cell).alias("cell"))
 
 

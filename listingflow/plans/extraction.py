@@ -57,15 +57,19 @@ def page_body_trim(spark, sf):
 
 
 @query("inline_sections", f"""
-WITH a AS (SELECT page_id, string_split(regexp_extract(html, '(?is)<article>(.*?)</article>', 1), '<p>') AS parts FROM pages),
-u AS (SELECT page_id, parts, unnest(range(len(parts))) AS pos FROM a),
-t AS (SELECT page_id, CAST(pos AS INT) AS pos, {sql_inline("parts[pos + 1]")} AS txt FROM u WHERE pos > 0),
+WITH two AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html || '<article>' || page_id || '<p>' || substr(html, 1, 300) || '</article>' || html ELSE html END AS html FROM pages),
+a AS (SELECT page_id, flatten(list_transform(regexp_extract_all(html, '(?is)<article>(.*?)</article>', 1), lambda x: string_split(x, '<p>')[2:])) AS parts FROM two),
+u AS (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM a),
+t AS (SELECT page_id, CAST(pos AS INT) AS pos, {sql_inline("parts[pos]")} AS txt FROM u),
 s AS (SELECT page_id, pos, trim(regexp_extract(txt, '(?s)^([^.]*)', 1)) AS heading,
              trim(regexp_extract(txt, '(?s)^[^.]*\\.(.*)$', 1)) AS body FROM t)
 SELECT page_id, pos, heading, body, heading <> '' AND length(body) >= 100 AS ok,
        COUNT(*) OVER (PARTITION BY page_id, heading) > 1 AS duplicate FROM s""")
 def inline_sections(spark, sf):
-    return P.sections(text_table(spark, sf, "pages"))
+    # Every other page holds further articles, one of them with the sections of the first.
+    more = F.concat("html", F.lit("<article>"), "page_id", F.lit("<p>"), F.substring("html", 1, 300), F.lit("</article>"), "html")
+    pages = text_table(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, more).otherwise(F.col("html")))
+    return P.sections(pages)
 
 
 # Damaged variants of the pages: challenge, denial, challenge resource with and without text.

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from .. import fixed_values as V
 from .. import fixtures as X
+from ..functions import rules
 from ..functions.keys import url_host, url_part, url_port
 from ..functions.rules import without_boilerplate
 from ..operators import lifecycle, outbox, reconcile, robots, search
@@ -131,12 +133,15 @@ def status_filter(spark, sf):
 
 
 @query("institution_filter", cte(X.ADS) + """
-SELECT id, source_id IN ('src1', 'src4') AS chosen, FALSE AS none_chosen, TRUE AS rule_without_institutions FROM ads""")
+SELECT id, source_id IN ('src1', 'src4') AS chosen, FALSE AS none_chosen, employment_type IN ('part-time', 'hourly') AS rule_without_institutions,
+       employment_type IN ('part-time', 'hourly') AND source_id IN ('src1', 'src4') AS rule_with_institutions FROM ads""")
 def institution_filter(spark, sf):
     # An empty list selects nothing in a search, but every institution in a notification rule.
+    rule = lambda chosen: rules.is_match(F.array(F.lit(1)), F.lit(V.MIN_SCORE), F.lit(V.NOTIFY_ROLES[0]), F.col("employment_type"),
+                                         F.col("source_id"), F.lit(""), institutions=chosen)
     return X.ads(spark, sf).select(
-        "id", search.institution_filter(("src1", "src4")).alias("chosen"),
-        search.institution_filter(()).alias("none_chosen"), F.lit(True).alias("rule_without_institutions"))
+        "id", search.institution_filter(("src1", "src4")).alias("chosen"), search.institution_filter(()).alias("none_chosen"),
+        rule([]).alias("rule_without_institutions"), rule(["src1", "src4"]).alias("rule_with_institutions"))
 
 
 @query("parttime_filter", cte(X.ADS) + """

@@ -96,20 +96,28 @@ def listing_detail_identity(spark, sf):
     return listing.join(d, "listing_id", "left").select("listing_id", "line", "detail_ref", identity.alias("identity"))
 
 
-@query("language_coalesce", """
-WITH e AS (SELECT doc_id // 2 AS ref, doc_id % 2 AS side, text, n_chars >= 1000 AS detail_complete, lang FROM documents),
-m AS (SELECT * FROM e WHERE side = 0), o AS (SELECT * FROM e WHERE side = 1)
-SELECT m.ref, NOT m.detail_complete AND COALESCE(o.detail_complete, FALSE) AS filled,
-       CASE WHEN NOT m.detail_complete AND COALESCE(o.detail_complete, FALSE) THEN o.text ELSE m.text END AS text,
-       CASE WHEN NOT m.detail_complete AND COALESCE(o.detail_complete, FALSE) THEN o.lang ELSE m.lang END AS lang,
-       m.detail_complete OR COALESCE(o.detail_complete, FALSE) AS detail_complete
-FROM m LEFT JOIN o ON o.ref = m.ref""")
+#: What a parallel edition fills, beside the mark that the detail is complete.
+EDITION_FIELDS = ["description", "match_text", "posted_date", "deadline", "deadline_type", "deadline_raw"]
+
+
+@query("language_coalesce", cte(X.ADS, """
+e AS (SELECT doc_id // 2 AS ref, doc_id % 2 AS side, title, text AS description, 'm' || doc_id AS match_text, posted_date, deadline, deadline_type,
+        CASE WHEN deadline IS NOT NULL THEN 'until ' || doc_id END AS deadline_raw, length(text) >= 1000 AS detail_complete FROM ads),
+j AS (SELECT m.*, o.description AS o_description, o.match_text AS o_match, o.posted_date AS o_posted, o.deadline AS o_deadline, o.deadline_type AS o_type,
+        o.deadline_raw AS o_raw, COALESCE(o.detail_complete, FALSE) AS o_complete, NOT m.detail_complete AND COALESCE(o.detail_complete, FALSE) AS filled
+      FROM (SELECT * FROM e WHERE side = 0) m LEFT JOIN (SELECT * FROM e WHERE side = 1) o ON o.ref = m.ref)""") + """
+SELECT ref, title, filled, CASE WHEN filled THEN o_description ELSE description END AS description, CASE WHEN filled THEN o_match ELSE match_text END AS match_text,
+  CAST(CASE WHEN filled THEN o_posted ELSE posted_date END AS VARCHAR) AS posted_date,
+  CAST(CASE WHEN filled THEN o_deadline ELSE deadline END AS VARCHAR) AS deadline, CASE WHEN filled THEN o_type ELSE deadline_type END AS deadline_type,
+  CASE WHEN filled THEN o_raw ELSE deadline_raw END AS deadline_raw, detail_complete OR o_complete AS detail_complete FROM j""")
 def language_coalesce(spark, sf):
-    e = table(spark, sf, "documents").select(
-        F.expr("doc_id DIV 2").alias("ref"), F.expr("doc_id % 2").alias("side"), "text", "lang",
-        (F.col("n_chars") >= 1000).alias("detail_complete"))
-    return reconcile.fill_from_edition(e.filter("side = 0").drop("side"), e.filter("side = 1").drop("side"), "ref",
-                                       ["text", "lang"])
+    e = X.ads(spark, sf).select(
+        F.expr("doc_id DIV 2").alias("ref"), F.expr("doc_id % 2").alias("side"), "title", F.col("text").alias("description"),
+        F.concat(F.lit("m"), "doc_id").alias("match_text"), "posted_date", "deadline", "deadline_type",
+        F.when(F.col("deadline").isNotNull(), F.concat(F.lit("until "), "doc_id")).alias("deadline_raw"),
+        (F.length("text") >= 1000).alias("detail_complete"))
+    rows = reconcile.fill_from_edition(e.filter("side = 0").drop("side"), e.filter("side = 1").drop("side", "title"), "ref", EDITION_FIELDS)
+    return rows.withColumns({c: day(c) for c in ("posted_date", "deadline")})
 
 
 # --- matching ---------------------------------------------------------------
@@ -193,6 +201,17 @@ def score_max(spark, sf):
                                     "score", "matches")
 
 
+@query("published_decision", cte(X.ADS, X.ADVERTS, MATCH, SCORE_SQL) + """
+SELECT s.doc_id, m.matches, m.matches AND (a.detail_complete OR s.doc_id % 3 <> 0) AS published
+FROM scored s JOIN ads a ON a.doc_id = s.doc_id
+JOIN (SELECT doc_id, n > 0 AND score >= 60 AND role <> 'other' AND employment IN ('part-time', 'hourly', 'mixed') AND doc_id % 11 <> 10 AS matches FROM scored) m ON m.doc_id = s.doc_id""")
+def published_decision(spark, sf):
+    """Stored records judged again under the rules of today; one without detail and body is never published as a match."""
+    known = X.ads(spark, sf).select("doc_id", "detail_complete")
+    rows = scored(spark, sf).select("doc_id", "matches", F.when(F.col("doc_id") % 3 != 0, F.col("description")).alias("body")).join(known, "doc_id")
+    return rows.select("doc_id", "matches", rules.published_match(F.col("matches"), F.col("detail_complete"), F.col("body")).alias("published"))
+
+
 # --- health and outbox joins -------------------------------------------------
 
 @query("source_health_join", cte(*HEALTH_CTE, """

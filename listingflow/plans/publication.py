@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from .. import fixtures as X
 from ..functions.keys import fields_hash
 from ..operators import generations, publish
@@ -80,16 +81,17 @@ def _guard(expr: str) -> str:
 
 
 @query("publish_csv", cte(X.ADS, f"c AS (SELECT *, {_CELLS['title'].format(t='title')} AS t2 FROM ads)") + f"""
-SELECT source_id AS institution, {_guard('t2')} AS title, COALESCE(CAST(posted_date AS VARCHAR), '') AS posted_date,
-       CASE WHEN doc_id % 2 = 0 THEN 'A' || lang || ', B' ELSE 'A' || lang END AS subjects,
-       CAST(doc_id % 100 AS VARCHAR) AS score, '' AS department, {_guard('text')} AS description FROM c""")
+SELECT source_id AS institution, {_guard('t2')} AS title, '' AS department, employment_type, COALESCE(CAST(posted_date AS VARCHAR), '') AS posted_date,
+       COALESCE(CAST(deadline AS VARCHAR), '') AS deadline, deadline_type, '' AS deadline_raw, '' AS url, '' AS reference,
+       CASE WHEN doc_id % 2 = 0 THEN 'A' || lang || ', B' ELSE 'A' || lang END AS subjects, CAST(doc_id % 100 AS VARCHAR) AS score, '' AS matches,
+       '' AS first_seen, '' AS last_seen, status, {_guard('text')} AS description FROM c""")
 def publish_csv(spark, sf):
     path = work_path(spark, "csv")
     publish.write_csv(csv_records(spark, sf), path)
     back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
         "emptyValue", "").option("nullValue", "\u0000").csv(path)
     back = back.withColumnRenamed(back.columns[0], "institution")
-    return back.select("institution", "title", "posted_date", "subjects", "score", "department", "description")
+    return back.select(*V.CSV_COLUMNS)
 
 
 @query("publish_metadata", cte(X.ADS) + """

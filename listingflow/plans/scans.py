@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pages as P
 from ..registry import query
+from ..session import work_path
 from ..sources import payloads
 from ..sources.tables import read_snapshot, require_version, table, text_table
 
@@ -14,9 +15,12 @@ from ..sources.tables import read_snapshot, require_version, table, text_table
 @query("scan_snapshot", """
 SELECT event_id, user_id, event_type, value, 1 AS version, TRUE AS version_ok FROM events""")
 def scan_snapshot(spark, sf):
-    declared = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double"}
-    snapshot = read_snapshot(spark, f"{sf}/events.parquet", declared).withColumn("version", F.lit(1))
-    return require_version(snapshot, "version", 1)
+    # The version is a stored column; rows of two writers stand in one snapshot.
+    declared = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "version": "int"}
+    path = work_path(spark, "snapshot")
+    for rest in (0, 1):
+        table(spark, sf, "events").where(F.col("event_id") % 2 == rest).withColumn("version", F.lit(1)).write.mode("append").parquet(path)
+    return require_version(read_snapshot(spark, path, declared), "version", 1)
 
 
 REQUIRED = ["id", "grp", "name"]

@@ -1,10 +1,12 @@
 """Set operations."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixtures as X
-from ..operators import crawl, pages as P
+from ..operators import crawl, landing, pages as P
 from ..operators import reconcile
 from ..registry import query
 from ..session import work_path
@@ -14,13 +16,14 @@ from .extraction import LINKS
 
 
 @query("batch_union", """
-SELECT id, event_id, value FROM (SELECT user_id AS id, event_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
-  FROM events WHERE event_type IN ('view', 'click', 'error')) x WHERE rn = 1""")
+SELECT id, event_id, event_type, value FROM (SELECT user_id AS id, event_id, event_type, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
+  FROM events) x WHERE rn = 1""")
 def batch_union(spark, sf):
+    # Five lists, landed in folders of their own; each is read once and a record of several lists counts once.
     e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id", "value", "event_type")
-    lists = [e.filter(F.col("event_type") == t).drop("event_type") for t in ("view", "click", "error")]
-    union = lists[0].unionByName(lists[1]).unionByName(lists[2])
-    return reconcile.dedupe(union, "id", "event_id", "last")
+    lists = landing.land(e, work_path(spark, "lists"), "event_type", "event_id")
+    parts = [lists.filter(F.col("event_type") == t) for t in ("view", "click", "error", "purchase", "signup")]
+    return reconcile.dedupe(reduce(DataFrame.unionByName, parts), "id", "event_id", "last")
 
 
 @query("page_overlap", """
@@ -50,10 +53,9 @@ def link_set_equal(spark, sf):
 f AS (SELECT page_id, target, MIN(pos) AS first_pos FROM links GROUP BY 1, 2)
 SELECT page_id, string_agg(target, ' ' ORDER BY first_pos) AS targets FROM f GROUP BY 1""")
 def distinct_ordered(spark, sf):
-    firsts = P.links(table(spark, sf, "pages")).groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
-    # As many links as one page holds.
-    lists = firsts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "target"))).alias("t"))
-    return lists.select("page_id", joined(F.transform("t", lambda x: x["target"]), " ").alias("targets"))
+    # A page's targets stand in its row, in page order; the first of equal ones stays.
+    pages = P.with_targets(table(spark, sf, "pages"))
+    return pages.where(F.size("targets") > 0).select("page_id", joined(F.array_distinct("targets"), " ").alias("targets"))
 
 
 @query("frontier_diff", f"""WITH {LINKS}

@@ -17,7 +17,6 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
         .appName("listingflow")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("listingflow.text.tasks", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LISTINGFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -33,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.startswith("local-") or not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="listingflow-")
         spark.conf.set(CHECKPOINT_KEY, path)

@@ -8,15 +8,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Session setting: deal the rows of text tables to so many tasks.  Unset (the default) a
-#: table is read as its files and spark.sql.files.maxPartitionBytes cut it, without a shuffle;
-#: the local benchmark sets it, because its tables are single files of one row group.
-DEAL_KEY = "listingflow.text.tasks"
-
-
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows, tasks = table(spark, sf_dir, name), spark.conf.get(DEAL_KEY, "")
-    return rows.repartition(int(tasks)) if tasks else rows
+    """A table whose rows are dear to work on: one that comes in fewer parts than the session has cores is dealt to all of
+    them, on a laptop as on a cluster.  A table of many files is read as they are, without a shuffle."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 class SnapshotShapeError(ValueError):
