@@ -10,6 +10,7 @@ from .. import fixed_values as V
 from ..functions.dates import utc_to_local_date
 from ..functions.rules import without_boilerplate
 from ..functions.text import normalize_text
+from ..session import work_path
 
 @dataclass(frozen=True)
 class SavedSearch:
@@ -117,6 +118,9 @@ SEARCH_SCHEMA = ("name string, institutions array<string>, status string, date_b
                  "subject_keywords string, role_keywords string, preset_exclude string, part_time_only boolean")
 #: Runs of token characters, and every other character that is no blank, of normalised text.
 _PIECES = "[a-z0-9]+|[^a-z0-9 ]"
+TEXTS = ("_all", "_subject", "_title")
+#: Pieces of terms that are looked up inside the row; the look-up travels with every task.
+FEW_PIECES = 1000
 
 
 def searches_table(spark: SparkSession, searches: list[SavedSearch]) -> DataFrame:
@@ -160,29 +164,38 @@ def search_terms(searches: DataFrame) -> DataFrame:
                        F.array_compact(F.array(longest["piece"], plural_piece)).alias("pieces")).distinct()
 
 
-def term_hits(ads: DataFrame, terms: DataFrame, key: str, unicode_forms: bool = True) -> DataFrame:
-    """(key, text, term): which terms occur in which of a record's three texts.
-
-    Texts meet terms by an equi-join on pieces.  A term that is one piece is thereby found; the
-    others are looked for in the candidates by their patterns, all terms of a record at once.
-    """
-    texts = ("_all", "_subject", "_title")
+def _joined_hits(prepared: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, hits) for any number of terms: texts meet terms by an equi-join on pieces, and the texts of records that may
+    hold a term of several pieces come back once to prove it."""
     distinct = terms.select("text", "term", "pattern", "single", F.explode("pieces").alias("piece")).distinct()
-    prepared = with_search_text(ads, unicode_forms)
     marked = lambda t: lambda piece: F.struct(F.lit(t).alias("text"), piece.alias("piece"))
-    held = F.concat(*[F.transform(F.array_distinct(_pieces(F.col(t))), marked(t)) for t in texts])
-    # The outer forms, because a derived "not empty" filter would be pushed below the
-    # normalising projection and fold every text again.
-    met = (prepared.select(key, F.explode_outer(held).alias("h")).select(key, "h.*")
-           .join(distinct, ["text", "piece"]).select(key, "text", "term", "pattern", "single").distinct())
-    sure, term = F.col("single"), F.struct("text", "term", "pattern")
-    lists = met.groupBy(key).agg(F.collect_list(F.when(sure, term)).alias("_sure"), F.collect_list(F.when(~sure, term)).alias("_maybe"))
-    sought = lambda text: F.exists("_maybe", lambda t: t["text"] == text)
-    rows = with_search_text(ads.join(lists, key), unicode_forms, sought)
-    found = lambda t: F.when(t["text"] == "_title", F.col("_title")).when(t["text"] == "_subject", F.col("_subject")).otherwise(F.col("_all"))
-    proved = F.filter("_maybe", lambda t: F.contains(found(t), t["term"]) & F.rlike(found(t), t["pattern"]))
-    hits = rows.select(key, F.explode_outer(F.concat("_sure", proved)).alias("t")).filter("t IS NOT NULL")
-    return hits.select(key, "t.text", "t.term").distinct()
+    held = F.concat(*[F.transform(F.array_distinct(_pieces(F.col(t))), marked(t)) for t in TEXTS])
+    # The outer form, because a derived "not empty" filter would be pushed below the normalising projection.
+    met = (prepared.select(key, F.explode_outer(held).alias("h")).select(key, "h.*").join(distinct, ["text", "piece"])
+           .groupBy(key).agg(F.collect_set(F.struct("text", "term", "pattern", "single")).alias("met")))
+    return prepared.join(met, key).select(key, _proved(F.col("met")).alias("hits"))
+
+
+def _proved(candidates: Column) -> Column:
+    """The candidates that a record's texts hold; a term that is one piece needs no proof."""
+    text = lambda t: F.when(t["text"] == "_title", F.col("_title")).when(t["text"] == "_subject", F.col("_subject")).otherwise(F.col("_all"))
+    sure = lambda t: t["single"] | (F.contains(text(t), t["term"]) & F.rlike(text(t), t["pattern"]))
+    return F.transform(F.filter(candidates, sure), lambda t: F.struct(t["text"].alias("text"), t["term"].alias("term")))
+
+
+def _hits_in_row(prepared: DataFrame, terms: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """Rows with a look-up of pieces to terms (bounded by ``FEW_PIECES``), and the hits of a row: no text leaves its row."""
+    by_piece = terms.select("text", F.struct("text", "term", "pattern", "single").alias("t"), F.explode("pieces").alias("piece")).groupBy(
+        "text", "piece").agg(F.collect_set("t").alias("terms"))
+    look_up = lambda column: lambda piece: F.element_at(column, piece)
+    rows, found = prepared, []
+    for name in TEXTS:
+        entries = by_piece.where(F.col("text") == name).agg(F.map_from_entries(F.collect_list(F.struct("piece", "terms"))).alias("m")).scalar()
+        rows = rows.withColumn("_by" + name, entries)
+    for name in TEXTS:
+        known = F.array_intersect(_pieces(F.col(name)), F.map_keys("_by" + name))
+        found.append(F.flatten(F.transform(known, look_up("_by" + name))))
+    return rows, _proved(F.array_distinct(F.concat(*found)))
 
 
 def compiled(searches: DataFrame, terms: DataFrame) -> DataFrame:
@@ -217,25 +230,37 @@ def match_saved_searches(ads: DataFrame, searches: DataFrame, today: Column, key
                          unicode_forms: bool = True) -> DataFrame:
     """(search, record) pairs that match; the plan does not grow with the number of searches.
 
-    Terms are found in the texts once, whatever number of searches shares them; the searches are
-    then counted out on narrow (key, search) rows.  Searches that need no term (institution, date
-    or status only) travel as one array, a configured handful, and are tested inside the record.
-    ``name`` identifies a search and ``key`` a record; the texts are the matched record's own.
+    The texts are normalised once; what they hold is written as narrow rows (the terms found, the open searches met), and the
+    searches are counted out on those.  Up to ``FEW_PIECES`` pieces of terms are looked up inside the row; more of them meet
+    the texts by a join.  Searches that need no term (institution, date or status only) travel as one array, a configured
+    handful, and are tested inside the record.  ``name`` identifies a search and ``key`` a record; the texts are the matched
+    record's own.
     """
     terms = search_terms(searches)
     named = compiled(searches, terms)
-    hits = term_hits(ads, terms, key, unicode_forms).join(terms.select("name", "kind", "text", "term"), ["text", "term"])
+    needs = F.col("s.want") + F.col("s.subject") + F.col("s.role") > 0
+    free = named.filter(~needs).agg(F.collect_list("s").alias("open")).scalar()
+    passes = lambda s: within_bounds(s, today) & ~F.exists(s["ban"], lambda pattern: F.rlike(F.col("_all"), pattern))
+    opened = F.transform(F.filter("_open", passes), lambda s: s["name"]).alias("open")
+    prepared = with_search_text(ads, unicode_forms)
+    if terms.select("text", F.explode("pieces").alias("piece")).distinct().count() <= FEW_PIECES:
+        rows, hits = _hits_in_row(prepared, terms, key)
+        narrow = _written(rows.withColumn("_open", free).select(key, hits.alias("hits"), opened))
+    else:
+        prepared = _written(prepared)
+        narrow = _written(prepared.withColumn("_open", free).select(key, opened).join(_joined_hits(prepared, terms, key), key, "left"))
+    hits = narrow.select(key, F.explode("hits").alias("h")).select(key, "h.*").join(terms.select("name", "kind", "text", "term"), ["text", "term"])
     count = lambda kind: F.count_if(F.col("kind") == kind).alias("has_" + kind)
     pairs = hits.groupBy(key, "name").agg(*map(count, ("want", "ban", "subject", "role")))
-    needs = F.col("s.want") + F.col("s.subject") + F.col("s.role") > 0
     enough = (F.when(F.col("s.any"), F.col("has_want") >= F.least(F.col("s.want"), F.lit(1))).otherwise(F.col("has_want") == F.col("s.want"))
               & ((F.col("s.subject") == 0) | (F.col("has_subject") > 0)) & ((F.col("s.role") == 0) | (F.col("has_role") > 0)))
     chosen = pairs.filter("has_ban = 0").join(named.filter(needs), "name").filter(enough).select(key, "s")
     by_term = ads.join(chosen, key).filter(within_bounds(F.col("s"), today)).select(*ads.columns, F.col("s.name").alias("search"))
-    free = named.filter(~needs).agg(F.collect_list("s").alias("open")).scalar()
-    # Its own pass over the texts, so that the term hits are needed once.
-    rest = with_search_text(ads, unicode_forms, lambda text: F.lit(text == "_all")).withColumn("_open", free)
-    passes = lambda s: within_bounds(s, today) & ~F.exists(s["ban"], lambda pattern: F.rlike(F.col("_all"), pattern))
-    by_rest = (rest.withColumn("_s", F.explode_outer(F.filter("_open", passes))).filter("_s IS NOT NULL")
-               .select(*ads.columns, F.col("_s.name").alias("search")))
+    by_rest = ads.join(narrow.select(key, F.explode("open").alias("search")), key).select(*ads.columns, "search")
     return by_term.unionByName(by_rest)
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    path = work_path(rows.sparkSession, "search")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
