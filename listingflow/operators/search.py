@@ -119,8 +119,8 @@ SEARCH_SCHEMA = ("name string, institutions array<string>, status string, date_b
 #: Runs of token characters, and every other character that is no blank, of normalised text.
 _PIECES = "[a-z0-9]+|[^a-z0-9 ]"
 TEXTS = ("_all", "_subject", "_title")
-#: Pieces of terms that are looked up inside the row; the look-up travels with every task.
-FEW_PIECES = 1000
+#: So many terms are looked for inside the row; they travel with every task.
+FEW_TERMS = 200
 
 
 def searches_table(spark: SparkSession, searches: list[SavedSearch]) -> DataFrame:
@@ -176,26 +176,13 @@ def _joined_hits(prepared: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     return prepared.join(met, key).select(key, _proved(F.col("met")).alias("hits"))
 
 
-def _proved(candidates: Column) -> Column:
-    """The candidates that a record's texts hold; a term that is one piece needs no proof."""
+def _proved(candidates: Column, surely: bool = True) -> Column:
+    """The candidates that a record's texts hold.  Plain substring tests spare most of them the pattern; a term that is
+    one piece and met as such (``surely``) needs no proof."""
     text = lambda t: F.when(t["text"] == "_title", F.col("_title")).when(t["text"] == "_subject", F.col("_subject")).otherwise(F.col("_all"))
-    sure = lambda t: t["single"] | (F.contains(text(t), t["term"]) & F.rlike(text(t), t["pattern"]))
-    return F.transform(F.filter(candidates, sure), lambda t: F.struct(t["text"].alias("text"), t["term"].alias("term")))
-
-
-def _hits_in_row(prepared: DataFrame, terms: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """Rows with a look-up of pieces to terms (bounded by ``FEW_PIECES``), and the hits of a row: no text leaves its row."""
-    by_piece = terms.select("text", F.struct("text", "term", "pattern", "single").alias("t"), F.explode("pieces").alias("piece")).groupBy(
-        "text", "piece").agg(F.collect_set("t").alias("terms"))
-    look_up = lambda column: lambda piece: F.element_at(column, piece)
-    rows, found = prepared, []
-    for name in TEXTS:
-        entries = by_piece.where(F.col("text") == name).agg(F.map_from_entries(F.collect_list(F.struct("piece", "terms"))).alias("m")).scalar()
-        rows = rows.withColumn("_by" + name, entries)
-    for name in TEXTS:
-        known = F.array_intersect(_pieces(F.col(name)), F.map_keys("_by" + name))
-        found.append(F.flatten(F.transform(known, look_up("_by" + name))))
-    return rows, _proved(F.array_distinct(F.concat(*found)))
+    held = lambda t: F.contains(text(t), t["term"]) & F.rlike(text(t), t["pattern"])
+    return F.transform(F.filter(candidates, lambda t: (t["single"] | held(t)) if surely else held(t)),
+                       lambda t: F.struct(t["text"].alias("text"), t["term"].alias("term")))
 
 
 def compiled(searches: DataFrame, terms: DataFrame) -> DataFrame:
@@ -231,8 +218,8 @@ def match_saved_searches(ads: DataFrame, searches: DataFrame, today: Column, key
     """(search, record) pairs that match; the plan does not grow with the number of searches.
 
     The texts are normalised once; what they hold is written as narrow rows (the terms found, the open searches met), and the
-    searches are counted out on those.  Up to ``FEW_PIECES`` pieces of terms are looked up inside the row; more of them meet
-    the texts by a join.  Searches that need no term (institution, date or status only) travel as one array, a configured
+    searches are counted out on those.  Up to ``FEW_TERMS`` terms are looked for inside the row; more of them meet
+    the texts by a join on pieces.  Searches that need no term (institution, date or status only) travel as one array, a configured
     handful, and are tested inside the record.  ``name`` identifies a search and ``key`` a record; the texts are the matched
     record's own.
     """
@@ -243,9 +230,12 @@ def match_saved_searches(ads: DataFrame, searches: DataFrame, today: Column, key
     passes = lambda s: within_bounds(s, today) & ~F.exists(s["ban"], lambda pattern: F.rlike(F.col("_all"), pattern))
     opened = F.transform(F.filter("_open", passes), lambda s: s["name"]).alias("open")
     prepared = with_search_text(ads, unicode_forms)
-    if terms.select("text", F.explode("pieces").alias("piece")).distinct().count() <= FEW_PIECES:
-        rows, hits = _hits_in_row(prepared, terms, key)
-        narrow = _written(rows.withColumn("_open", free).select(key, hits.alias("hits"), opened))
+    wanted = terms.select("text", "term", "pattern").distinct()
+    if wanted.count() <= FEW_TERMS:
+        # substring tests of a few terms are cheaper than cutting every text into pieces; no text leaves its row
+        known = wanted.agg(F.collect_list(F.struct("text", "term", "pattern"))).scalar()
+        rows = prepared.withColumns({"_open": free, "_terms": known})
+        narrow = _written(rows.select(key, _proved(F.col("_terms"), surely=False).alias("hits"), opened))
     else:
         prepared = _written(prepared)
         narrow = _written(prepared.withColumn("_open", free).select(key, opened).join(_joined_hits(prepared, terms, key), key, "left"))
