@@ -2,17 +2,19 @@
 
 Words are compared in lower case (A-Z) without ASCII punctuation.  A test item longer than
 ``PASSAGE`` words is cut into passages.  A copy keeps at least ``SIMILARITY`` of the
-passage's words in order and inserts at most ``INSERTED`` of its length.  With g grams of
-which t must survive such edits, it holds one of the g - t + 1 rarest by their counts over
-all documents; at these shares t is 1, so every gram is a seed and each document that holds
-one is aligned.  Score 1 for an equal word, -1/2 for a different one or a gap.  A match needs
-``SIMILARITY`` of the passage's words equal on the best path.
+passage's words in order and inserts at most ``INSERTED`` of its length.  A lost word costs two
+of the passage's two-word grams and an inserted one costs one, so of the g = w - 1 grams of w words
+t = g - 3 * 0.2 * w survive: 15 of 39 for 40 words.  A copy therefore holds one of the g - t + 1 rarest
+grams by their counts over all documents; a document meets a passage by such a seed, has to hold t of
+its grams close together, and only then is aligned.  Score 1 for an equal word, -1/2 for a different one or a gap.
+A match needs ``SIMILARITY`` of the passage's words equal on the best path.
 
 The benchmark is a stated query set: it is read in blocks of at most about ``BLOCK`` words
 and each block is broadcast and held against all documents.  Defined results: null or
 empty texts and items match nothing, nor do items of fewer than three words; repeated rows
 match each for itself; an item that stands several times in a document counts once, with
-its best alignment.
+its best alignment (of equal ones the first); an empty table of documents or items gives no row; texts of
+any length are read whole; other columns are left out, or carried in a struct where rows are kept, so names cannot clash.
 """
 from __future__ import annotations
 
@@ -26,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
-GRAM, SIMILARITY, PASSAGE, BLOCK = 3, 0.8, 200, 500_000
+GRAM, SIMILARITY, PASSAGE, BLOCK = 2, 0.8, 200, 500_000
+#: Words of the shortest item that is looked for.
+SHORTEST = 3
 MISS, GAP = -0.5, -0.5
 #: Words that a copy may insert, as a share of the passage.
 INSERTED = 0.2
@@ -51,9 +55,9 @@ def gram_codes(codes: np.ndarray) -> np.ndarray:
 
 
 def surviving(words: int) -> int:
-    """Grams that a passage keeps at least: the cheapest way to lose them at the least score is inserted words."""
-    lost = int((1 - LEAST) * words / -GAP) * (GRAM - 1)
-    return max(1, words - GRAM + 1 - lost)
+    """Grams that a copy of a passage keeps at least."""
+    lost, inserted = int((1 - SIMILARITY) * words + 1e-9), int(INSERTED * words + 1e-9)
+    return max(1, words - GRAM + 1 - GRAM * lost - (GRAM - 1) * inserted)
 
 
 class Seeds:
@@ -63,7 +67,7 @@ class Seeds:
         self.item, self.codes, grams, owner, place = [], [], [], [], []
         for item_id, text in items:
             codes = word_codes(text or b"")
-            parts = -(-len(codes) // PASSAGE) if len(codes) >= GRAM else 0
+            parts = -(-len(codes) // PASSAGE) if len(codes) >= SHORTEST else 0
             for part in np.array_split(codes, parts) if parts else []:
                 g = gram_codes(part)
                 grams.append(g)
@@ -80,6 +84,7 @@ class Seeds:
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.rare = np.ones(len(self.grams), bool)
+        self.need = np.array([surviving(len(c)) for c in self.codes], np.int64)
 
     @classmethod
     def restored(cls, state: dict) -> Seeds:
@@ -103,8 +108,7 @@ class Seeds:
         starts = np.searchsorted(self.owner[order], np.arange(len(self.codes)))
         rank = np.arange(len(order)) - starts[self.owner[order]]
         words = np.array([len(c) for c in self.codes], np.int64)
-        needed = np.array([surviving(w) for w in words], np.int64)
-        self.rare[order] = rank < ((words - GRAM + 1) - needed + 1)[self.owner[order]]
+        self.rare[order] = rank < ((words - GRAM + 1) - self.need + 1)[self.owner[order]]
 
     def matches(self, text: bytes) -> list[tuple[object, float, int, int, int, int]]:
         """(item, similarity, equal words, words, first word, end word) of the items in a text."""
@@ -117,10 +121,15 @@ class Seeds:
         place = np.repeat(at, count)
         best: dict = {}
         owners = self.owner[entry]
-        for p in np.unique(owners[self.rare[entry]]):
+        # passages with a seed here and enough different grams in the text; most end at this count
+        seeded = np.unique(owners[self.rare[entry]])
+        if not len(seeded):
+            return []
+        held = np.bincount(self.owner[np.unique(entry)], minlength=len(self.codes))
+        for p in seeded[held[seeded] >= self.need[seeded]]:
             mine = owners == p
             passage = self.codes[p]
-            need = surviving(len(passage))
+            need = self.need[p]
             spots, grams = place[mine], self.place[entry[mine]]
             if len(np.unique(grams)) < need:
                 continue

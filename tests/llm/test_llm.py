@@ -310,3 +310,44 @@ def test_decontamination_allows_for_inserted_words(spark):
     table = spark.createDataFrame([(1, doubled(5)), (2, doubled(4)), (3, " ".join(item))], "doc_id long, text string")
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert sorted((r.doc_id, r.equal_words) for r in decontaminate.leaks(table, bench).collect()) == [(1, 32), (3, 40)]
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    rng = np.random.default_rng(31)
+    names = [f"w{k}" for k in range(60)]  # few words: grams repeat and common ones are no seeds
+    items = [(i, " ".join(rng.choice(names, int(n)))) for i, n in enumerate([3, 4, 7, 12, 20, 40, 40, 90])] + [(8, "one two"), (9, None), (10, "")]
+    items += [items[5]]
+
+    def edited(words, lost, added):
+        out = list(words)
+        for at in rng.permutation(len(out))[:lost]:
+            out[at] = f"x{at}" if rng.random() < 0.5 else None
+        out = [w for w in out if w]
+        for at in sorted(rng.integers(1, len(out), added), reverse=True):
+            out.insert(int(at), f"y{at}")
+        return out
+    docs = [(None, None), (1, ""), (1, "one two"), (2, passage(5, 20_000))]
+    for i, text in items[:8]:
+        words = text.split()
+        for share in (0.0, 0.1, 0.2, 0.3):
+            copy = edited(words, int(share * len(words)), int(share * len(words)))
+            docs.append((len(docs), " ".join([*rng.choice(names, 30), *copy, *rng.choice(names, 30)])))
+    docs += docs[5:8]
+    assert decontaminate.surviving(40) == 15
+    want = set()
+    for k, (doc_id, text) in enumerate(docs):
+        codes = decontaminate.word_codes((text or "").encode())
+        for item_id, item in items:
+            part = decontaminate.word_codes((item or "").encode())
+            if len(part) >= 3 and len(codes):
+                found = decontaminate.align(part, codes)
+                if found and found[0] >= 0.8 * len(part):
+                    want.add((doc_id, item_id, found[0]))
+    table = spark.createDataFrame([(d, t, 1, "c") for d, t in docs], "doc_id long, text string, item_id int, similarity string")
+    bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, doc_id string")
+    rows = decontaminate.leaks(table, bench).collect()
+    assert {(r.doc_id, r.item_id, r.equal_words) for r in rows} == want and len(want) > 20
+    assert sum(r.doc_id == docs[5][0] and r.item_id == 0 for r in rows) == 2  # repeated rows match each for itself
+    kept = decontaminate.without_leaks(table, bench)
+    hit = {d for d, *_ in want}
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.where("doc_id > 2").collect()) == sorted(d for d, _ in docs if d and d > 2 and d not in hit)
