@@ -96,10 +96,9 @@ def digests(health: DataFrame, events: DataFrame, attempts: DataFrame) -> DataFr
     found = health.select("source_id", "run_date", "status", "institution").join(
         events.select("source_id", F.col("created_at").alias("run_date"), F.struct("event_id", "created_at", "change").alias("event")),
         ["source_id", "run_date"], "left")
-    last_known = attempts.agg(F.max("as_of").alias("last_known"))
+    last_known = attempts.agg(F.max("as_of")).scalar()
     spans = (found.withColumn("newest", F.last("event", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("next_run", F.lead("run_date").over(w)).withColumn("_one", F.lit(1))
-             .join(last_known.withColumn("_one", F.lit(1)), "_one"))
+             .withColumn("next_run", F.lead("run_date").over(w)).withColumn("last_known", last_known))
     until = F.coalesce(F.date_sub("next_run", 1), F.col("last_known"))
     known = spans.where(until >= F.col("run_date")).select(
         "source_id", "status", "newest", F.explode(F.sequence("run_date", until)).alias("as_of"))
@@ -120,10 +119,10 @@ def digests(health: DataFrame, events: DataFrame, attempts: DataFrame) -> DataFr
     made = per.where(((F.col("n_all") > 0) | (F.col("n_recoveries") > 0)) & ~(F.col("daily_sent") & (F.size("events") == 0)))
     made = made.withColumn("summary_id", aggregate_id(F.col("day"), F.col("daily_sent"), F.col("events")))
     again = F.lead("attempt").over(Window.partitionBy("summary_id").orderBy("attempt")).isNotNull()
-    final = attempts.agg(F.max("attempt").alias("final")).withColumn("_one", F.lit(1))
+    made = made.withColumn("final", attempts.agg(F.max("attempt")).scalar())
     outcome = (F.when(F.col("acked"), "sent").when(again, "replaced")
                .when(F.col("attempt") < F.col("final"), "superseded").otherwise("pending"))
-    return made.withColumn("_one", F.lit(1)).join(final, "_one").select(
+    return made.select(
         "attempt", "day", "summary_id", F.when(F.col("daily_sent"), "health_changes").otherwise("health_digest").alias("kind"),
         F.when(F.col("daily_sent"), F.col("n_changed")).otherwise(F.col("n_all")).alias("n_problems"), "n_recoveries", "events",
         outcome.alias("outcome"))

@@ -73,9 +73,9 @@ def proof(archive: DataFrame, feed: DataFrame, meta: DataFrame, key: str = "id")
         F.coalesce(F.sum("n_a"), F.lit(0)).alias("archive_rows"), F.coalesce(F.sum("n_f"), F.lit(0)).alias("feed_rows"),
         F.count_if((F.col("n_a") > 1) | (F.col("n_f") > 1)).alias("n_duplicate"), F.count_if(F.col("n_a").isNull()).alias("n_outside"),
         F.least(F.min("a_lo"), F.min("f_lo")).alias("lo"), F.greatest(F.max("a_hi"), F.max("f_hi")).alias("hi"))
-    told = meta.agg(F.max("total_jobs").alias("declared"), F.min("generation_id").alias("m_lo"), F.max("generation_id").alias("m_hi"))
-    checks = both.withColumn("_one", F.lit(1)).join(told.withColumn("_one", F.lit(1)), "_one").select(
+    told = meta.agg(F.struct(F.max("total_jobs").alias("declared"), F.min("generation_id").alias("lo"), F.max("generation_id").alias("hi"))).scalar()
+    checks = both.withColumn("told", told).select(
         "archive_rows", "feed_rows", "n_duplicate", "n_outside",
-        F.coalesce(F.least("lo", "m_lo") == F.greatest("hi", "m_hi"), F.lit(False)).alias("same_generation"),
-        F.coalesce(F.col("declared") == F.col("archive_rows"), F.lit(False)).alias("count_ok"))
+        F.coalesce(F.least("lo", "told.lo") == F.greatest("hi", "told.hi"), F.lit(False)).alias("same_generation"),
+        F.coalesce(F.col("told.declared") == F.col("archive_rows"), F.lit(False)).alias("count_ok"))
     return checks.withColumn("consistent", F.expr("same_generation AND count_ok AND n_duplicate = 0 AND n_outside = 0"))
