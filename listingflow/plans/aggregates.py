@@ -1,13 +1,14 @@
 """Aggregations."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import fixed_values as V
 from .. import fixtures as X
 from ..operators import health, lifecycle, listing
 from ..operators.running import top_per_key
 from ..registry import query
+from ..sources import payloads
 from ..sources.tables import table
 from .common import ACC, CARRY, DENSE, cte, day, joined, obs_timeline
 from .sequences import HEALTH_CTE, HISTORY, STATE, health_state, history_rows
@@ -68,6 +69,42 @@ def listing_completeness_declared(spark, sf):
         "listing_id", "n_rows", "whole")
 
 
+_PAYLOAD_PAGES = """
+l AS (SELECT l_orderkey AS listing_id, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r, COUNT(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+g AS (SELECT listing_id, (r - 1) // 2 + 1 AS page, n, CASE WHEN listing_id % 7 = 3 AND r = 3 THEN 1 ELSE r END AS ref FROM l),
+r AS (SELECT *, n + CASE WHEN listing_id % 7 = 1 OR (listing_id % 7 = 0 AND page > 1) THEN 1 ELSE 0 END AS declared FROM g WHERE NOT (listing_id % 7 = 2 AND page = 1)),
+lost AS (SELECT DISTINCT listing_id FROM g WHERE listing_id % 7 = 2 AND page = 1),
+ov AS (SELECT listing_id, COUNT(*) AS n_overlap FROM (SELECT listing_id, ref FROM r GROUP BY 1, 2 HAVING COUNT(DISTINCT page) > 1) x GROUP BY 1),
+e AS (SELECT listing_id, COUNT(*) AS n_rows, COUNT(DISTINCT page) AS n_pages, COUNT(DISTINCT ref) AS n_refs, MIN(page) AS lo_page, MAX(page) AS hi_page,
+             MIN(declared) AS lo, MAX(declared) AS hi FROM r GROUP BY 1)
+"""
+
+
+@query("listing_payload_totals", cte(_PAYLOAD_PAGES) + """
+SELECT i.listing_id, COALESCE(n_rows, 0) AS n_rows, COALESCE(n_pages, 0) AS n_pages, array_to_string(list_filter([
+    CASE WHEN lo <> hi THEN 'total changed' END, CASE WHEN lo_page <> 1 OR hi_page <> n_pages THEN 'pages missing' END,
+    CASE WHEN n_overlap > 0 THEN 'id repeated across pages' END, CASE WHEN n_refs <> hi THEN 'count differs from total' END,
+    CASE WHEN (hi + 1) // 2 <> n_pages THEN 'page size inconsistent' END, CASE WHEN t.listing_id IS NOT NULL THEN 'page refused' END], lambda x: x IS NOT NULL), '; ') AS reasons
+FROM (SELECT DISTINCT listing_id FROM g) i LEFT JOIN e USING (listing_id) LEFT JOIN ov USING (listing_id) LEFT JOIN lost t USING (listing_id)""")
+def listing_payload_totals(spark, sf):
+    """Orders as listings of JSON pages of two rows: totals that change or do not hold, ids on two pages, refused pages."""
+    w = Window.partitionBy("listing_id")
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("listing_id"), "l_linenumber")
+    l = l.withColumn("r", F.row_number().over(w.orderBy("l_linenumber"))).withColumn("n", F.count("*").over(w))
+    case, page = F.col("listing_id") % 7, F.floor((F.col("r") - 1) / 2) + 1
+    ref = F.when((case == 3) & (F.col("r") == 3), 1).otherwise(F.col("r"))
+    # a page holds two rows
+    pages = l.withColumn("page", page).groupBy("listing_id", "page", "n").agg(
+        F.collect_list(F.struct(ref.cast("string").alias("id"), F.lit("").alias("title"))).alias("requisitions"))
+    declared = F.col("n") + F.when((case == 1) | ((case == 0) & (F.col("page") > 1)), 1).otherwise(0)
+    payload = F.to_json(F.struct(F.when((case == 2) & (F.col("page") == 1), "Busy").otherwise("Success").alias("status"),
+                                 F.struct(declared.alias("totalCount"), "requisitions").alias("data")))
+    e = payloads.proved_listings(pages.select("listing_id", "page", payload.alias("payload")), "payload", F.lit(2).cast("bigint"))
+    zero = F.lit(0)
+    return e.select("listing_id", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_pages", zero).alias("n_pages"),
+                    joined(F.col("reasons"), "; ").alias("reasons"))
+
+
 @query("page_size_profile", """
 WITH g AS (SELECT l_orderkey AS listing_id, l_linenumber AS page, COUNT(*) AS n FROM lineitem GROUP BY 1, 2),
 r AS (SELECT l_orderkey AS listing_id, COUNT(DISTINCT l_partkey) AS n_refs FROM lineitem GROUP BY 1)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import listing
+
 LISTING_SCHEMA = ("struct<status:string,data:struct<totalCount:bigint,"
                   "requisitions:array<struct<id:string,title:string>>>>")
 DETAIL_SCHEMA = ("struct<category:string,key:string,"
@@ -21,6 +23,20 @@ def listing_rows(pages: DataFrame, payload: str, key: str) -> tuple[DataFrame, D
     return rows, parsed.filter(~F.coalesce(good, F.lit(False))).drop("_p")
 
 
+def proved_listings(pages: DataFrame, payload: str, page_size: Column | None = None) -> DataFrame:
+    """Evidence of listings that come as payload pages (listing_id, page): the totals that their pages declare count, and a
+    page that was refused is a reason of its own, also where no page of the listing could be read."""
+    keyed = pages.select(F.struct("listing_id", "page").alias("_k"), payload)
+    rows, refused = listing_rows(keyed, payload, "_k")
+    flat = rows.select("_k.listing_id", "_k.page", F.col("reference").alias("ref"), "declared_total")
+    e = listing.listing_evidence(flat, total=F.col("declared_total"), page_size=page_size)
+    lost = refused.groupBy(F.col("_k.listing_id").alias("listing_id")).agg(F.count("*").alias("n_refused"))
+    both = e.join(lost, "listing_id", "full_outer").withColumn("n_refused", F.coalesce("n_refused", F.lit(0)))
+    told = F.when(F.col("n_refused") > 0, F.array(F.lit("page refused"))).otherwise(F.array().cast("array<string>"))
+    return both.withColumn("reasons", F.concat(F.coalesce("reasons", F.array().cast("array<string>")), told)).withColumn(
+        "whole", F.size("reasons") == 0)
+
+
 def merged_body(payload: Column, text_kind: str = "CustomText", skip_kind: str = "CustomSpace") -> Column:
     """Struct (key, body, unknown): text components joined in order; an unrecognised
     component kind makes the body unusable rather than silently shorter."""
