@@ -11,18 +11,45 @@ from ..session import work_path
 from ..sources.tables import table
 from ..streaming import health as stream_health_ops, records
 from ..streaming.reconcile import StreamingState
-from ..streaming.runner import add_to_table, drain, stream_of, table_stream, to_table, utc_events, with_rocksdb
+from ..streaming.runner import add_to_table, drain, stream_of, utc_events, with_rocksdb
 from .common import ACC, CARRY, DENSE, as_of, cte, day, obs_timeline
 from .sequences import HEALTH, HISTORY, STATE, change_text
 
 
+#: Events land in steps that end within a day; such a run comes in two batches.
+CUTS = ["2024-01-10 07:00:00", "2024-01-20 19:00:00"]
+_STEP = "+".join(f"IF(ts >= TIMESTAMP_NTZ '{c}', 1, 0)" for c in CUTS)
+
+
+def landings(spark, sf, again: str = "0 hours"):
+    """The folder in which events land step by step; each step also brings once more what came ``again`` before its cut."""
+    events, landing = table(spark, sf, "events"), work_path(spark, "landing")
+    for step in range(len(CUTS) + 1):
+        new = F.expr(_STEP) == step
+        if step:
+            cut = f"TIMESTAMP_NTZ '{CUTS[step - 1]}'"
+            new = new | F.expr(f"ts >= {cut} - INTERVAL {again} AND ts < {cut}")
+        events.filter(new).write.mode("append").parquet(landing)
+        yield stream_of(spark, landing, events)
+
+
+def in_steps(spark, sf, name, make, delay="1 hour", again="0 hours", partition_by=()):
+    """The rows a stream gives while events land in three steps, cut within days."""
+    out = work_path(spark, name)
+    with with_rocksdb(spark):
+        for landed in landings(spark, sf, again):
+            rows = add_to_table(make(utc_events(landed).withWatermark("ts", delay)), out, list(partition_by))
+    return rows
+
+
 @query("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_dedupe(spark, sf):
-    # Every event is delivered twice; the state forgets ids once the watermark passed them.
-    e = utc_events(table_stream(spark, sf, "events")).withWatermark("ts", "1 day")
-    twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = twice.dropDuplicatesWithinWatermark(["event_id"])
-    return to_table(once.select("event_id", "user_id", "event_type", "value"), "stream-dedupe")
+    # Every event is delivered twice at once, and the last 20 hours of each step come again with the next one; the state
+    # forgets ids once the watermark passed them.
+    def once(e):
+        twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+        return twice.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type", "value")
+    return in_steps(spark, sf, "stream-dedupe", once, "1 day", "20 hours")
 
 
 def reconciled(spark, sf):
@@ -43,24 +70,14 @@ def reconciled(spark, sf):
 LANDED = "landed AS (SELECT * FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(MAX(ts) - INTERVAL 1 HOUR AS DATE) FROM events))"
 _OBS, _RUNS = (x.replace("FROM events", "FROM landed") for x in (X.OBS, X.RUNS))
 CLOSED_RUNS = (LANDED, _OBS, _RUNS, X.LISTED_ONLY_SEEN, X.ACCEPTED, CARRY, DENSE)
-#: Events land in steps that end within a day; such a run comes in two batches.
-CUTS = ["2024-01-10 07:00:00", "2024-01-20 19:00:00"]
-_STEP = "+".join(f"IF(ts >= TIMESTAMP_NTZ '{c}', 1, 0)" for c in CUTS)
 #: Rule of the stream's new-record events, on carried fields.
 MATCHING = ("m1", "m3")
 
 
 def stream_outputs(spark, sf):
-    """Outputs of the keyed reconcile over events that land in three steps, cut within days."""
-    events = table(spark, sf, "events")
-    landing, out = work_path(spark, "landing"), work_path(spark, "records")
-    with with_rocksdb(spark):
-        for step in range(len(CUTS) + 1):
-            events.filter(F.expr(_STEP) == step).write.mode("append").parquet(landing)
-            e = utc_events(stream_of(spark, landing, events)).withWatermark("ts", "1 hour")
-            rows = records.reconcile_stream(X.stream_observations(e), X.stream_runs(e), lambda r: r["match_text"] in MATCHING, buckets=2)
-            outputs = add_to_table(rows, out, ["part"])
-    return outputs
+    """Outputs of the keyed reconcile."""
+    return in_steps(spark, sf, "records", lambda e: records.reconcile_stream(
+        X.stream_observations(e), X.stream_runs(e), lambda r: r["match_text"] in MATCHING, buckets=2), partition_by=["part"])
 
 
 @query("stream_reconcile", cte(*CLOSED_RUNS, STATE) + """
@@ -143,7 +160,8 @@ def stream_outbox(spark, sf):
         # Named by the batch, so a repeated batch replaces its own rows.
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    drain(table_stream(spark, sf, "events"), apply, path + "-checkpoint")
+    for landed in landings(spark, sf):
+        drain(landed, apply, path + "-checkpoint")
     return current(2**62).withColumn("created_at", day("created_at"))
 
 
@@ -156,17 +174,6 @@ h AS (SELECT *, CASE WHEN err_ratio <= 0.15 THEN 'ok' WHEN err_ratio <= 0.25 THE
 """
 
 
-def in_steps(spark, sf, name, make):
-    """The rows a stream gives while events land in three steps, cut within days."""
-    events = table(spark, sf, "events")
-    landing, out = work_path(spark, "landing"), work_path(spark, name)
-    with with_rocksdb(spark):
-        for step in range(len(CUTS) + 1):
-            events.filter(F.expr(_STEP) == step).write.mode("append").parquet(landing)
-            rows = add_to_table(make(utc_events(stream_of(spark, landing, events)).withWatermark("ts", "1 hour")), out, [])
-    return rows
-
-
 @query("stream_health", cte(LANDED, _RUNS, X.LISTED_ONLY_SEEN, X.HEALTH_OF_LISTED, X.ACCEPTED, HEALTH) + """
 SELECT event_id, source_id, CAST(created_at AS VARCHAR) AS created_at, status, severity, capability, change FROM trans""")
 def stream_health(spark, sf):
@@ -180,8 +187,8 @@ def stream_health(spark, sf):
 SELECT CAST(d AS VARCHAR) AS day, COUNT(*) AS n_problems FROM h WHERE status <> 'ok' GROUP BY 1""")
 def stream_digest(spark, sf):
     """One digest per closed local day: sources that were not well."""
-    e = utc_events(table_stream(spark, sf, "events")).select(F.expr("user_id % 10").alias("source_id"), "ts", "event_type")
-    rows = to_table(stream_health_ops.daily_health(e), "stream-digest")
+    rows = in_steps(spark, sf, "stream-digest", lambda e: stream_health_ops.daily_health(
+        e.select(F.expr("user_id % 10").alias("source_id"), "ts", "event_type")))
     return rows.filter("status <> 'ok'").groupBy("day").agg(F.count("*").alias("n_problems"))
 
 
@@ -210,7 +217,10 @@ def stream_retention(spark, sf):
         # Replacing the batch's own folder makes a repeated delivery harmless.
         rows.write.mode("overwrite").partitionBy("effective_date").parquet(f"{path}/batch={batch_id}")
 
-    drain(table_stream(spark, sf, "documents"), apply, path + "-checkpoint")
+    documents, landing = table(spark, sf, "documents"), work_path(spark, "landing")
+    for step in range(3):
+        documents.filter(F.pmod("doc_id", F.lit(3)) == step).write.mode("append").parquet(landing)
+        drain(stream_of(spark, landing, documents), apply, path + "-checkpoint")
     feed = spark.read.schema("id string, batch bigint, effective_date date").parquet(path)
     # The cut-off is a given day, so it prunes folders and a future date moves nothing.
     return feed.filter(F.col("effective_date") > F.date_sub(as_of(), V.FEED_DAYS)).select(

@@ -91,10 +91,10 @@ def stale_spells(runs: DataFrame, hours: int = V.STALE_AFTER_HOURS) -> DataFrame
         outputMode="Append", timeMode="EventTime")
 
 
-def daily_health(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Health of each source per local day (days start at 16:00 UTC), once the day is closed."""
+def daily_health(events: DataFrame) -> DataFrame:
+    """Health of each source per local day (days start at 16:00 UTC) of a watermarked stream, once the day is closed."""
     w = F.window("ts", "1 day", "1 day", "16 hours")
-    per_day = events.withWatermark("ts", delay).groupBy(w.alias("w"), "source_id").agg(
+    per_day = events.groupBy(w.alias("w"), "source_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
     ratio = F.round(F.col("bad") / F.col("n"), 4)
     return per_day.select(

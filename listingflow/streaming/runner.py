@@ -3,9 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import work_path
-from ..sources.tables import table
-
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -15,26 +12,11 @@ def stream_of(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
-def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    # A pattern, because a plain path must be a folder and a table may be a single file.
-    return stream_of(spark, f"{sf.rstrip('/')}/{name}.parque[t]", table(spark, sf, name))
-
-
 def utc_events(events: DataFrame) -> DataFrame:
     """Event time as an instant; the tables hold UTC wall clocks."""
     return events.withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
 
 
-def to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a stream into files (each batch exactly once) and read them back."""
-    spark = stream.sparkSession
-    out = work_path(spark, name)
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-checkpoint")
-             .trigger(availableNow=True).start(out))
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 def add_to_table(stream: DataFrame, path: str, partition_by: list[str]) -> DataFrame:
     """Drain what has landed since the last call into a partitioned table; each batch counts exactly once."""
     query = (stream.writeStream.format("parquet").outputMode("append").partitionBy(*partition_by)
