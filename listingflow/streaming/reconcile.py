@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import lifecycle, listing
@@ -28,19 +29,19 @@ class StreamingState:
         self.source, self.run = source, run
 
     def _commits(self) -> DataFrame | None:
-        # An empty folder list is the very first batch; nothing is collected but one number.
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root + "/commits")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        try:
+            return self.spark.read.schema("batch_id bigint").json(self.root + "/commits")
+        except AnalysisException as missing:  # the very first batch
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
             return None
-        return self.spark.read.schema("batch_id bigint").json(self.root + "/commits")
 
     def last_batch(self) -> int | None:
         commits = self._commits()
         return None if commits is None else commits.agg(F.max("batch_id")).first()[0]
 
-    def read(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/batch={self.last_batch()}/{part}")
+    def read(self, part: str, batch: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/batch={self.last_batch() if batch is None else batch}/{part}")
 
     def late_counts(self) -> DataFrame:
         """Applied and dropped rows of every committed batch."""
@@ -60,12 +61,12 @@ class StreamingState:
             keep(seen.groupBy(F.lit(False).alias("late")).agg(F.count("*").alias("n")), "counts")
         else:
             # One row per source: its open run.
-            newest = self.read("runs").groupBy("source_id").agg(F.max("run_date").alias("open_run"))
+            newest = self.read("runs", done).groupBy("source_id").agg(F.max("run_date").alias("open_run"))
             late = F.coalesce(F.col("run_date") < F.col("open_run"), F.lit(False)).alias("late")
             keep(seen.join(newest, "source_id", "left").groupBy(late).agg(F.count("*").alias("n")), "counts")
             landed = (landed.join(newest, F.col("_source") == F.col("source_id"), "left")
                       .where("open_run IS NULL OR _run >= open_run").select(landed.columns))
-            landed = self.read("open").select(landed.columns).unionByName(landed)
+            landed = self.read("open", done).select(landed.columns).unionByName(landed)
         keep(landed, "landed")
         landed = back("landed")
         newest = landed.groupBy("_source").agg(F.max("_run").alias("_newest"))
@@ -78,8 +79,8 @@ class StreamingState:
         seed = F.lit(None).cast(SEED_TYPE)
         closed = closed.withColumn("seed", seed)
         if done is not None:
-            closed_runs = self.read("closed_runs").select(closed_runs.columns).unionByName(closed_runs)
-            closed = self._as_observations(self.read("closed_state")).select(closed.columns).unionByName(closed)
+            closed_runs = self.read("closed_runs", done).select(closed_runs.columns).unionByName(closed_runs)
+            closed = self._as_observations(self.read("closed_state", done)).select(closed.columns).unionByName(closed)
         # The run logs have one row per source and run; later steps read them from storage.
         keep(closed_runs, "closed_runs")
         keep(back("closed_runs").unionByName(runs.where("_open").drop("_open")), "runs")
