@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Empty stored tables that nothing reads any more: what was made of them must be written before."""
+    for used in tables:
+        spark, files = used.sparkSession, used.inputFiles()
+        for path in {file.rsplit("/", 1)[0] for file in files}:
+            spark.createDataFrame([], used.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def prefix_sums(df: DataFrame, order: list[str], values: dict[str, str], name: str) -> DataFrame:
     """Exclusive running totals over the whole table in the given order.
 

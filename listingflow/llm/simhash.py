@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
 from . import near_copies
-from .common import stored, whole_groups
+from .common import removed, stored, whole_groups
 from .components import components
 
 RADIUS, SHINGLE, SEED, LARGE, LEAF = 4, 4, 42, 200_000, 64
@@ -220,7 +220,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each set of near copies, the one with the smallest id; all columns as they were.
 
     Near copies are those of ``near_copies`` (five words, similarity 0.8); the contract of the
-    fingerprints binds the query only.
+    fingerprints binds the query only.  A null id comes after all others, equal ids are taken in the
+    order of the table; all texts without words are copies of each other; other columns are carried
+    along, whatever their names; an empty table stays empty.
     """
     marked = stored(docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), near_copies.mark_of(F.col("text")).alias("mark"))
                     .withColumn("copy_no", F.monotonically_increasing_id()), "copies-documents")
@@ -232,4 +234,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = near_copies.linked_sets(nodes.select("key", "n", "buckets"), texts)
     winners = (nodes.join(roots.select(F.col("u").alias("key"), "v"), "key", "left").groupBy(F.coalesce("v", "key").alias("node"))
                .agg(F.min("first").alias("first")).select("first.copy_no"))
+    winners = stored(winners, "copies-kept")
+    removed(nodes, roots)
     return marked.select("copy_no", "row").join(winners, "copy_no", "left_semi").select("row.*")

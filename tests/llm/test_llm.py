@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
@@ -272,6 +273,40 @@ def test_near_copies_of_five_words_and_similarity_08_are_dropped(spark):
     assert simhash.keep_one(table.where("false")).count() == 0
 
 
+def test_a_large_group_of_edited_copies_is_linked_as_by_brute_force_and_makes_few_pairs(spark):
+    from listingflow.llm import near_copies
+    rng = np.random.default_rng(29)
+    base = rng.choice([f"w{k}" for k in range(5000)], 200).tolist()
+    texts = []
+    for copy in range(160):
+        share = (0.0 if copy == 0 else rng.uniform(0.005, 0.06))
+        texts.append(" ".join(f"e{copy}x{k}" if e else w for k, (w, e) in enumerate(zip(base, rng.random(200) < share))))
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    root = list(range(160))
+    for i in range(160):
+        for j in range(i):
+            if root[i] != root[j] and near_copies.similar(sets[i], sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) > 5
+    nodes = spark.createDataFrame([(k, len(s), [1]) for k, s in enumerate(sets)], "key long, n long, buckets array<long>")
+    table = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "key long, text binary")
+    got = {r.u: r.v for r in near_copies.linked_sets(nodes, table).collect()}
+    assert [got.get(k, k) for k in range(160)] == root
+    alone = spark.createDataFrame([(k, len(s), k, [int(x) for x in s.view(np.int64)]) for k, s in enumerate(sets) if root.count(root[k]) == 1],
+                                  "key long, n long, root long, shingles array<long>")
+    assert near_copies.prefix_pairs(alone).count() <= alone.count()
+
+
+def test_near_copies_handle_nulls_ties_repeats_and_clashing_names(spark):
+    text = passage(31, 60)
+    rows = [(None, text, 1), (4, text, 2), (4, text, 3), (2, text + " more", 4), (7, None, 5), (6, "", 6), (9, "one two", 7), (9, "One  two", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long").withColumnRenamed("key", "copy_no").withColumn("root", F.lit(1))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 9]
+
+
 def test_near_copies_do_not_depend_on_the_first_member_of_a_bucket(spark):
     from listingflow.llm import near_copies
     words = passage(23, 400).split()
