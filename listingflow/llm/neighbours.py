@@ -11,13 +11,17 @@ every shard greedily: the ``BEAM`` best unexpanded nodes are followed to their n
 until the ``POOL`` best are all expanded.  The best of all shards are rescored exactly in
 double precision on the original vectors.
 
+Equal vectors are one node, asked once.  A found node stands for its rows: the smallest ids
+of each, one more than asked for, are enough for every query, its own row left out.
+
 Bounds: a shard (vectors and lists) fits one task by its size; at most ``PIVOTS`` pivots and
 one block of queries are collected.  Lists hold ``WIDTH`` neighbours.  Every row is indexed.
 Reverse lists of hubs are sampled, which NN-descent allows; measured recall is in the README.
 
 Defined results: vectors null, empty, zero, or with null or non-finite components take no
 part, nor do those of another length than most; rows that share an id are rows of their
-own; ties go to the smaller id; with fewer rows than asked for all candidates are returned.
+own; ties go to the smaller id; with fewer rows than asked for all candidates are returned; an empty table gives no row;
+other columns are left out, so their names cannot clash.
 """
 from __future__ import annotations
 
@@ -35,22 +39,22 @@ POOL, BEAM, HOPS, ENTRIES, ASKED = 128, 16, 40, 128, 8192
 
 
 def _matrix(column, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float16).reshape(-1, dims).astype(np.float32)
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, dims)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """node, vec_id, embedding (double) of the rows that take part."""
+    """row, vec_id, embedding (double) of the rows that take part."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = (vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
             .where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite)
                    & F.exists("embedding", lambda x: x != 0)))
     lengths = rows.groupBy(F.size("embedding").alias("dims")).count()
     common = lengths.orderBy(F.desc("count"), "dims").limit(1).select("dims")
-    return rows.join(common, F.size("embedding") == F.col("dims"), "left_semi").withColumn("node", F.monotonically_increasing_id())
+    return rows.join(common, F.size("embedding") == F.col("dims"), "left_semi").withColumn("row", F.monotonically_increasing_id())
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """node, vec: scaled vectors with the levelling component, as 16-bit floats."""
+    """node, vec: scaled vectors with the levelling component, as 32-bit floats."""
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     largest = rows.select(F.max(square)).first()[0] or 1.0  # one number
 
@@ -58,7 +62,7 @@ def packed(rows: DataFrame) -> DataFrame:
     def pack(vectors: pd.Series, square: pd.Series) -> pd.Series:
         flat = np.stack(vectors.to_list()) / np.sqrt(largest)
         level = np.sqrt(np.maximum(0.0, 1.0 - square.to_numpy() / largest))
-        return pd.Series([v.tobytes() for v in np.column_stack([flat, level]).astype(np.float16)])
+        return pd.Series([v.tobytes() for v in np.column_stack([flat, level]).astype(np.float32)])
 
     shards = max(1, -(-rows.count() // SHARD))
     return rows.select("node", F.pmod(F.xxhash64(F.col("node")), F.lit(shards)).alias("shard"), pack("embedding", square).alias("vec"))
@@ -83,7 +87,7 @@ def seeded(points: DataFrame, dims: int, trials: int = TRIALS) -> DataFrame:
     def cell(trial: int) -> Column:
         @F.pandas_udf(IntegerType())
         def nearest(vecs: pd.Series) -> pd.Series:
-            mine = np.frombuffer(shared.value, np.float16).reshape(-1, dims).astype(np.float32)[trial::trials]
+            mine = np.frombuffer(shared.value, np.float32).reshape(-1, dims)[trial::trials]
             return pd.Series((_matrix(vecs, dims) @ mine.T).argmax(axis=1).astype(np.int32))
         return nearest("vec")
 
@@ -219,7 +223,7 @@ def search(queries: DataFrame, graph: DataFrame, points: DataFrame, dims: int, c
 
         def walks(batches, shared=shared):
             ids, packed_queries = shared.value
-            ask = np.frombuffer(packed_queries, np.float16).reshape(-1, dims).astype(np.float32).copy()
+            ask = np.frombuffer(packed_queries, np.float32).reshape(-1, dims).copy()
             ask[:, -1] = 0.0  # the levelling component counts on the side of the candidates only
             for rows, starts, ends in whole_groups(batches, 1):
                 nodes = rows.column(1).to_numpy()
@@ -248,15 +252,25 @@ def search(queries: DataFrame, graph: DataFrame, points: DataFrame, dims: int, c
 def nearest(vectors: DataFrame, is_query: Column, count: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows found for the rows that are queries."""
     rows = stored(usable(vectors), "neighbours-rows")
-    points = stored(packed(rows), "neighbours-points")
+    nodes = stored(rows.select("embedding").distinct().withColumn("node", F.monotonically_increasing_id()), "neighbours-nodes")
+    members = stored(rows.join(nodes, "embedding").select("node", "row", "vec_id", is_query.alias("asks")), "neighbours-members")
+    points = stored(packed(nodes), "neighbours-points")
     first = points.select(F.octet_length("vec")).first()
-    dims = first[0] // 2 if first else 1
-    queries = rows.where(is_query)
-    pool = search(queries, build(points, dims), points, dims, count)
-    asked = queries.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
+    dims = first[0] // 4 if first else 1
+    queries = members.where("asks").select("node").distinct()
+    pool = search(queries, build(points, dims), points, dims, count).select("query", "node")
+    own = queries.select(F.col("node").alias("query"), "node")
+    asked = nodes.join(queries, "node", "left_semi").select(F.col("node").alias("query"), F.col("embedding").alias("a"))
     product = F.aggregate(F.zip_with("a", "embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = (pool.select("query", "node").join(rows, "node").join(asked, "query")
-             .select("query", "query_id", "node", "vec_id", product.alias("score")))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "node")
-    return (exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
-            .select("query_id", "rank", "vec_id", "score"))
+    exact = pool.union(own).join(nodes, "node").join(asked, "query").select("query", "node", product.alias("score"))
+    # one row more than asked for: the query's own may be among them
+    by_id = Window.partitionBy("node").orderBy("vec_id", "row")
+    smallest = members.withColumn("_place", F.row_number().over(by_id)).where(F.col("_place") <= count + 1).select("node", "row", "vec_id")
+    near = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    listed = (exact.join(smallest, "node").withColumn("_place", F.row_number().over(near)).where(F.col("_place") <= count + 1)
+              .select("query", "row", "vec_id", "score"))
+    listed = stored(listed, "neighbours-listed")
+    asking = members.where("asks").select(F.col("node").alias("query"), F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return (asking.join(listed, "query").where("row <> query_row").withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score"))

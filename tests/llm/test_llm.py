@@ -234,6 +234,32 @@ def test_neighbours_reach_the_brute_force_recall(spark):
     assert len(few) == 3 and neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_vectors_and_beside_a_long_one(spark):
+    rng = np.random.default_rng(41)
+    points = rng.normal(size=(3000, 16))
+    points[::3] = points[0]  # a third of the rows are equal
+    points[1] *= 1000
+    ids = rng.permutation(3000)
+    rows = [(int(i), p.tolist(), 1) for i, p in zip(ids, points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int").withColumn("row", F.lit(0))
+    found = neighbours.nearest(table, F.col("vec_id") % 20 == 0, 20).collect()
+    by_query = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        by_query.setdefault(r.query_id, []).append(r.vec_id)
+    place, hits = {int(i): k for k, i in enumerate(ids)}, 0
+    assert sorted(by_query) == list(range(0, 3000, 20))
+    # equal vectors have equal products in every order of summation that both sides use
+    products = points @ points.T
+    products[:, ::3] = products[:, :1]
+    for query, got in by_query.items():
+        score = products[place[query]]
+        best = sorted((i for i in map(int, ids) if i != query), key=lambda i: (-score[place[i]], i))[:20]
+        assert len(got) == 20 and query not in got
+        hits += len(set(got) & set(best))
+    assert hits >= 0.98 * 20 * len(by_query)
+    assert neighbours.nearest(table.where("false"), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
 def test_licenses_are_inherited_from_the_nearest_directory(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "code"), (3, "a/b/c/y.txt", "Licensed under CC BY-NC 4.0.\nmore"),
             (4, "a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."), (5, "a/b/c/d/z.txt", None), (6, "q/z.txt", ""), (7, None, "license to nothing at all, says he")]
