@@ -3,24 +3,38 @@
 The base patterns find email, ip, card and phone spans; failing matches are dropped.  The
 field cuts the surroundings of digits and at signs into pieces (runs of letters or digits,
 single signs) and scores whole segments of at most ``LONGEST`` pieces: shape, digit count
-and groups, check sum, byte ranges, neighbours.  Dynamic programming over segments chooses
-boundaries and types together.  It learns from the base spans of a bounded sample of
-documents (``SAMPLE`` documents by hash of the id) and adds spans that no base span
-touches and whose posterior probability is at least ``CERTAIN``.
+and groups, check sum, byte ranges, first signs, neighbours.  Dynamic programming over
+segments chooses boundaries and types together.  Spans that no base span touches are added
+if their posterior probability is at least ``CERTAIN``.
+
+What it learns from: the windows around every mark of every document, grouped by their form
+(letters and digits masked), so a frequent form is one row.  Each base span is also shown in
+other ways of writing (``rewritten``) under its own kind: a telephone number without plus or with other
+separators, a card in dotted groups, an address with spaced or bracketed signs; broken check
+sums, broken byte ranges, cut numbers and everyday numbers are shown as no data.  Forms are fitted in shards of about ``SHARD``
+forms and averaged.  Features are hashed into ``BUCKETS`` numbers, which bounds the model.
+A window teaches nothing if its base spans do not begin and end with pieces, or if a base
+pattern ran over several numbers there and failed for having too many digits.
 
 Every whole text is searched.  Offsets are code points, ends exclusive.  Defined results:
-null and empty texts have no spans; equal texts have equal spans; rows are kept one to one.
+null and empty texts have no spans; equal texts have equal spans; rows, repeated ones too, are kept one to
+one; an empty table gives an empty one and a field that adds nothing; of equal segmentations the first found
+counts; only doc_id and text are read, so further columns of any name do not matter.
 """
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
+
 #: The kinds in their order and the patterns of the base spans.
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,9 +42,12 @@ LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[\[(]\x20?[Aa][Tt]\x20?[\])]")
+#: Numbers of everyday texts that are no personal data.
+CLEAN = ["2024-01-15", "15.01.2024", "01/15/2024", "12:30:45", "1,234,567.89", "3.11.2", "1990-2000", "pp. 112-118", "(3)", "10 000 000",
+         "2024-01-15 12:30", "12 345 678", "123456789", "No. 4512-7", "5 x 10", "3.14159265358979"]
 
-SAMPLE, LONGEST, CERTAIN = 3000, 14, 0.95
+SHARD, BUCKETS, LONGEST, CERTAIN = 400, 1 << 18, 14, 0.9
 _PIECE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 _AROUND = 24  # characters of context on both sides of a trigger
 
@@ -104,28 +121,54 @@ _TO_SHAPE = {**{ord(c): "9" for c in "0123456789"}, **{c: "a" for c in [*range(6
 _RUNS = re.compile(r"(.)\1+")
 
 
-def span_features(text: str, start: int, end: int) -> list[str]:
-    """Features of a whole candidate segment."""
+def _number(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+def span_features(text: str, start: int, end: int) -> list[int]:
+    """Hashed features of a whole candidate segment."""
     piece = text[start:end]
-    shape = _RUNS.sub(r"\1", piece.translate(_TO_SHAPE))
+    masked = piece.translate(_TO_SHAPE)
+    shape = _RUNS.sub(r"\1", masked)
     groups = re.findall("[0-9]+", piece)
     count = sum(map(len, groups))
-    out = [f"shape={shape[:24]}", f"digits={min(count, 21)}", f"groups={'-'.join(str(min(len(g), 20)) for g in groups[:6])}",
-           f"at={piece.count('@')}", f"signs={''.join(sorted(set(shape) - set('9a')))[:8]}"]
-    if 13 <= count <= 19 and "a" not in shape:
+    letters = "a" in shape
+    signs = "".join(sorted(set(shape) - set("9a")))[:8]
+    lead = "00" if piece.startswith("00") else piece[0] if piece[0] in "+(0" else masked[0]
+    out = [f"shape={shape[:24]}", f"digits={min(count, 21)}", f"groups={letters}{'-'.join(str(min(len(g), 20)) for g in groups[:6])}",
+           f"at={piece.count('@')}{bool(_AT.search(piece))}{'.' in piece}", f"signs={letters}{signs}",
+           f"lead={lead}{len(groups)}{letters}", f"band={letters}{(count > 8) + (count > 12) + (count > 15) + (count > 19)}{lead}"]
+    if letters:  # names and hosts of any parts look alike
+        out.append("parts=" + _DOTTED.sub("x", re.sub("[9a]+", "x", shape))[:24])
+    if 13 <= count <= 19 and not letters:
         out.append(f"luhn={luhn(''.join(groups))}")
-    if len(groups) == 4 and shape == "9.9.9.9":
-        out.append(f"bytes={all(len(g) < 4 and int(g) < 256 for g in groups)}")
+    if len(groups) == 4 and not letters:
+        out.append(f"bytes={all(len(g) < 4 and int(g) < 256 for g in groups)}{signs}")
     before, after = text[start - 1:start], text[end:end + 1]
     out.append(f"before={before.translate(_TO_SHAPE) if not before.isspace() else ' '}")
     out.append(f"after={after.translate(_TO_SHAPE) if not after.isspace() else ' '}")
-    return out
+    return [_number(f) for f in out]
+
+
+_DOTTED = re.compile(r"x(?:[._%+-]x)+")
+_AT = re.compile(r"[\[(]\x20?[Aa][Tt]\x20?[\])]")
+
+
+def _marked(text: str, start: int, end: int) -> bool:
+    """A piece with a digit, an at sign, or the word at in brackets."""
+    if text[start:end] in ("at", "At", "AT"):
+        return bool(_AT.search(text, max(0, start - 2), end + 2))
+    return bool(_DIGIT.search(text, start, end))
+
 
+_DIGIT = re.compile("[0-9@]")
+_ANY = _number("any")
 
-def segments(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    """(first piece, end piece, features) of all candidates: they hold a digit or at sign and end in a letter or digit."""
+
+def segments(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(first piece, end piece, features) of all candidates: they hold a mark and end in a letter or digit."""
     found = []
-    marked = [bool(TRIGGER.search(text, s, e)) for s, e in pieces]
+    marked = [_marked(text, s, e) for s, e in pieces]
     for i, (start, _) in enumerate(pieces):
         if not (text[start].isalnum() or text[start] in "+("):
             continue
@@ -139,20 +182,24 @@ def segments(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, l
     return found
 
 
-def _outside(text: str, span: tuple[int, int]) -> str:
+def _outside(text: str, span: tuple[int, int]) -> int:
     c = text[span[0]]
-    return "out=" + ("digit" if TRIGGER.search(text, *span) else "word" if c.isalnum() else c)
+    return _number("out=" + ("digit" if _DIGIT.search(text, *span) else "word" if c.isalnum() else c))
+
 
+def _candidates(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, tuple, list[int]]]:
+    """(first piece, end piece, kinds it may have, features); None is the kind of a single piece outside."""
+    return ([(k, k + 1, (None,), [_outside(text, span)]) for k, span in enumerate(pieces)]
+            + [(i, j, tuple(KINDS), features + [_ANY]) for i, j, features in segments(text, pieces)])
 
-def _scored(text, pieces, weights):
+
+def _scored(size: int, candidates, weights):
     """Edges by end piece: (first piece, kind or None, score, features)."""
-    edges = [[] for _ in range(len(pieces) + 1)]
-    for k, span in enumerate(pieces):
-        f = [_outside(text, span)]
-        edges[k + 1].append((k, None, weights.get((None, f[0]), 0.0), f))
-    for i, j, features in segments(text, pieces):
-        for kind in KINDS:
-            edges[j].append((i, kind, sum(weights.get((kind, f), 0.0) for f in features) + weights.get((kind, "any"), 0.0), features))
+    edges = [[] for _ in range(size + 1)]
+    get = weights.get
+    for i, j, kinds, features in candidates:
+        for kind in kinds:
+            edges[j].append((i, kind, sum([get((kind, f), 0.0) for f in features]), features))
     return edges
 
 
@@ -175,43 +222,163 @@ def _forward_backward(edges):
     return ahead, behind
 
 
-def train(texts: list[str], epochs: int = 4, rate: float = 0.3, longest: int = 60) -> dict:
-    """Weights (kind, feature) by stochastic gradient on the likelihood of the base segmentation."""
+# --- what the field learns from -------------------------------------------------------
+
+def _by_kind(spans) -> dict[str, list[tuple[int, int]]]:
+    found: dict = {}
+    for kind, start, end in spans:
+        found.setdefault(kind, []).append((start, end))
+    return {kind: sorted(places) for kind, places in found.items()}
+
+
+def _touching(by_kind: dict, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Spans that share a character with start..end; spans of one kind do not overlap."""
+    found = []
+    for kind, places in by_kind.items():
+        k = max(0, bisect.bisect_left(places, (start,)) - 1)
+        while k < len(places) and places[k][0] < end:
+            if places[k][1] > start:
+                found.append((*places[k], kind))
+            k += 1
+    return sorted(found)
+
+
+def _run_together(window: str) -> bool:
+    """Whether a base pattern took too many digits at once, so that its failing says nothing."""
+    digits = lambda m: sum(c.isdigit() for c in m[0])
+    return any(digits(m) > 15 for m in PHONE.finditer(window)) or any(digits(m) > 19 for m in CARD.finditer(window))
+
+
+def windows(text: str, longest: int = 40, beside: int = 2) -> Iterator[tuple[str, str, list[tuple[str, int, int]]]]:
+    """(form, window, its base spans) around all marks; a stretch of marks is cut after ``longest`` pieces, never inside a base span."""
+    if not TRIGGER.search(text):
+        return
+    base = _by_kind(base_spans(text))
+    for pieces in regions(text):
+        marks = [k for k, (s, e) in enumerate(pieces) if _marked(text, s, e)]
+        stretches = []
+        for m in marks:
+            if stretches and m - stretches[-1][1] <= 2 * beside:
+                first, last = stretches[-1]
+                ends, starts = pieces[last][1], pieces[m][0]
+                if m - first <= longest or any(s < ends and starts < e for s, e, _ in _touching(base, ends - 1, starts + 1)):
+                    stretches[-1] = (first, m)
+                    continue
+            stretches.append((m, m))
+        for first, last in stretches:
+            start, end = pieces[first][0], pieces[last][1]
+            for s, e, _ in _touching(base, start, end):
+                start, end = min(start, s), max(end, e)
+            low = max(0, bisect.bisect_left(pieces, (start,)) - beside)
+            high = min(len(pieces), bisect.bisect_left(pieces, (end,)) + beside)
+            left, right = max(0, min(start, pieces[low][0]) - 1), max(end, pieces[high - 1][1]) + 1
+            spans = [(kind, s - left, e - left) for s, e, kind in _touching(base, left, right) if left <= s and e <= right]
+            window = text[left:right]
+            if _run_together(window):
+                continue
+            form = re.sub(r"\s", " ", re.sub("[0-9]", "9", re.sub(r"[^\W\d_]+", "a", window)))
+            yield f"{','.join(k for k, _, _ in spans)}|{form}", window, spans
+
+
+def rewritten(kind: str, surface: str) -> list[tuple[bool, str]]:
+    """(still personal data, other way of writing it) of a base span."""
+    groups = re.findall("[0-9]+", surface)
+    digits = "".join(groups)
+    if kind == "phone":
+        here = groups[1:] if len(groups) > 2 and len(groups[0]) < 4 else []
+        good = ["00" + " ".join(groups), "00" + "-".join(groups)] if len(groups) > 1 else []
+        if sum(map(len, here)) >= 9:
+            good += [sign.join(here) for sign in " -."] + [f"({here[0]}) {sign.join(here[1:])}" for sign in " -"]
+            good += ["0" + sign.join(here) for sign in " -"]
+        bad = [digits, "-".join(groups[-2:]), " ".join(groups[-2:]), groups[-1]]
+    elif kind == "card":
+        wrong = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+        fours = lambda d: [d[k:k + 4] for k in range(0, len(d), 4)]
+        signs = [".", "/", "_", " - ", " / "]
+        good = [sign.join(fours(digits)) for sign in signs]
+        bad = [sign.join(fours(wrong)) for sign in [*signs, "", " ", "-"]]
+    elif kind == "ip":
+        signs = ["[.]", "(.)", " . ", " [.] "]
+        good = [sign.join(groups) for sign in signs]
+        bad = [sign.join([*groups[:3], str(int(groups[3][-3:]) + 256)]) for sign in [*signs, "."]] + [".".join(groups[:3])]
+    else:
+        name, _, host = surface.partition("@")
+        plain = re.sub("[._%+-]*[0-9]+", "", name) or "me", re.sub("-?[0-9]+", "", host)
+        good = [f"{n}{sign}{h}" for n, h in {(name, host), plain} for sign in [" @ ", "[at]", " [at] ", "(at)", " (at) "]]
+        bad = [f"{name} @ {host.split('.')[0]}", f"@{name}", host, f"{plain[0]} (at) {plain[1].split('.')[0]}"]
+    return [(True, g) for g in good if not base_spans(g)] + [(False, b) for b in bad if b and not base_spans(b)]
+
+
+def examples(window: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """The window, and each of its base spans rewritten among its neighbours."""
+    yield window, spans
+    ordered = sorted(spans, key=lambda s: s[1])
+    for k, (kind, start, end) in enumerate(ordered):
+        left = window[max([e for _, _, e in ordered[:k] if e <= start], default=0):start]
+        right = window[end:min([s for _, s, _ in ordered[k + 1:] if s >= end], default=len(window))]
+        place = lambda text: (left + text + right, [(kind, len(left), len(left) + len(text))])
+        for good, text in rewritten(kind, window[start:end]):
+            yield place(text)[0], place(text)[1] if good else []
+        first = zlib.crc32(window.encode())
+        for text in [CLEAN[(first + step) % len(CLEAN)] for step in (0, 5, 10)]:
+            yield place(text)[0], []
+
+
+def _prepared(text: str, truth: list[tuple[str, int, int]]):
+    """(pieces, candidates, features of the true segmentation), None if a true span does not fit the pieces."""
+    pieces = _pieces(text, 0, len(text))
+    candidates = _candidates(text, pieces)
+    wanted, covered, gold = {(s, e): kind for kind, s, e in truth}, set(), []
+    for i, j, kinds, features in candidates:
+        kind = wanted.get((pieces[i][0], pieces[j - 1][1])) if kinds[0] else None
+        if kind and not covered & set(range(i, j)):
+            gold.append((kind, features))
+            covered |= set(range(i, j))
+    if len(gold) < len(wanted):
+        return None
+    gold += [(None, features) for i, _, kinds, features in candidates if kinds[0] is None and i not in covered]
+    return len(pieces), candidates, gold
+
+
+def fit(learned: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 8, rate: float = 0.3) -> dict:
+    """Weights (kind, feature) by stochastic gradient on the likelihood of the true segmentations of windows."""
     weights: dict = {}
-    cases = []
-    for text in texts:
-        truth = {(s, e): k for k, s, e in base_spans(text)}
-        for pieces in regions(text):
-            if 0 < len(pieces) <= longest:
-                cases.append((text, pieces, truth))
+    cases = sorted({(zlib.crc32(t.encode()), t, tuple(truth)) for window in learned for t, truth in examples(*window)})
+    cases = [c for c in (_prepared(t, list(truth)) for _, t, truth in cases) if c and c[0]]
     for epoch in range(epochs):
-        step = rate / (1 + epoch)
-        for text, pieces, truth in cases:
-            edges = _scored(text, pieces, weights)
+        step = rate / (1 + epoch / 2)
+        for size, candidates, gold in cases:
+            edges = _scored(size, candidates, weights)
             ahead, behind = _forward_backward(edges)
             total, change = ahead[-1], {}
-            gold, covered = [], set()
             for j, into in enumerate(edges):
                 for i, kind, s, features in into:
-                    if kind and truth.get((pieces[i][0], pieces[j - 1][1])) == kind and not covered & set(range(i, j)):
-                        gold.append((kind, features))
-                        covered |= set(range(i, j))
                     chance = math.exp(min(0.0, ahead[i] + s + behind[j] - total))
                     if chance > 1e-4:
-                        for f in features + ["any"] * (kind is not None):
+                        for f in features:
                             change[kind, f] = change.get((kind, f), 0.0) - chance
-            gold += [(None, [_outside(text, p)]) for k, p in enumerate(pieces) if k not in covered]
             for kind, features in gold:
-                for f in features + ["any"] * (kind is not None):
+                for f in features:
                     change[kind, f] = change.get((kind, f), 0.0) + 1.0
             for key, c in change.items():
                 weights[key] = weights.get(key, 0.0) * (1 - 1e-3 * step) + step * c
     return weights
 
 
+def train(texts: list[str]) -> dict:
+    """The field of a few texts, without Spark; ``learn`` does the same for a table."""
+    forms: dict = {}
+    for text in texts:
+        for form, window, spans in windows(text):
+            forms[form] = min(forms.get(form, (window, spans)), (window, spans))
+    return fit(list(forms.values()))
+
+
+# --- search ---------------------------------------------------------------------------
+
 def best_segments(text: str, pieces: list[tuple[int, int]], weights: dict) -> list[tuple[str, int, int, float]]:
     """The best segmentation: (kind, start, end, posterior) of its entities."""
-    edges = _scored(text, pieces, weights)
+    edges = _scored(len(pieces), _candidates(text, pieces), weights)
     best = [(0.0, None)] + [(-math.inf, None)] * len(pieces)
     for j in range(1, len(edges)):
         best[j] = max(((best[i][0] + s, (i, kind, s)) for i, kind, s, _ in edges[j]), key=lambda x: x[0])
@@ -233,29 +400,45 @@ def all_spans(text: str, weights: dict) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     spans = [(*b, True) for b in base]
     if weights and TRIGGER.search(text):
-        taken = sorted((s, e) for _, s, e in base)
+        taken = _by_kind(base)
         for pieces in regions(text):
             if not pieces:
                 continue
             for kind, start, end, chance in best_segments(text, pieces, weights):
-                if chance >= CERTAIN and not any(s < end and start < e for s, e in taken):
+                if chance >= CERTAIN and not _touching(taken, start, end):
                     spans.append((kind, start, end, False))
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on about ``sample`` documents that hold a digit or at sign, in one task; the weights are a few thousand numbers."""
-    total = docs.count()
-    share = min(1.0, 8 * sample / max(total, 1))
-    chosen = (docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-              .where(F.col("text").rlike("[0-9@]")).withColumn("place", F.xxhash64("doc_id", "text"))
-              .orderBy("place").limit(sample).select("text", "place"))
+WINDOW = "window: string, spans: array<struct<kind: string, start: int, end: int>>"
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        found = train(list(rows.sort_values(["place", "text"]).text))
+
+def learn(docs: DataFrame, shard: int = SHARD) -> dict:
+    """Fit on the forms around all marks of all documents, in shards; at most ``BUCKETS`` weights a kind come to the driver."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def cut(batches):
+        for batch in batches:
+            forms: dict = {}  # the first reduction, before the shuffle
+            for text in batch.column(0):
+                for form, window, spans in windows(text.as_py() or ""):
+                    forms[form] = min(forms.get(form, (window, spans)), (window, spans))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(forms), pa.string()), pa.array([w for w, _ in forms.values()], pa.string()),
+                 pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for _, spans in forms.values()], kind)],
+                ["form", "window", "spans"])
+
+    def fit_shard(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("form")
+        found = fit([(w, [(s["kind"], s["start"], s["end"]) for s in spans]) for w, spans in zip(rows.window, rows.spans)])
         return pd.DataFrame([(k or "", f, w) for (k, f), w in found.items()], columns=["kind", "feature", "weight"])
 
-    rows = chosen.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "kind string, feature string, weight double").toPandas()
+    forms = stored(docs.select("text").mapInArrow(cut, f"form string, {WINDOW}").groupBy("form")
+                   .agg(F.min(F.struct("window", "spans")).alias("least")).select("form", "least.*"), "pii-forms")
+    shards = max(1, math.ceil(forms.count() / shard))
+    fitted = (forms.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards))).groupBy("shard")
+              .applyInPandas(fit_shard, "kind string, feature int, weight double"))
+    rows = stored(fitted, "pii-weights").groupBy("kind", "feature").agg(F.avg("weight").alias("weight")).toPandas()
     return {(k or None, f): w for k, f, w in rows.itertuples(index=False)}
 
 

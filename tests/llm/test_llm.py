@@ -177,6 +177,64 @@ def test_field_learns_the_base_spans(docs, empty):
     assert len(got) == len(ROWS) and pii.find_spans(empty, weights).count() == 0
 
 
+def _calls(n):
+    rng = np.random.default_rng(4)
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    for k in range(n):
+        card = digits(15)
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        ip = ".".join(str(x) for x in rng.integers(1, 256, 4))
+        yield (f"call +1 ({rng.integers(200, 999)}) 555-{digits(4)} or +{rng.integers(31, 50)} {rng.integers(10, 99)} {digits(4)} {digits(4)} "
+               f"today, room {k}. mail ann{k}@host{k % 9}.example.org from {ip} or eve.lee@mail.example.com{",.; "[k % 4]} pay {"with: (on"[k % 3 * 3:k % 3 * 3 + 4]} {card}{" ,.;)"[k % 5]} until 3.{k % 12 + 1}.2024")
+
+
+def test_field_adds_other_ways_of_writing_and_leaves_clean_numbers(spark):
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*_calls(150), None, ""])], "doc_id long, text string, spans string")
+    weights = pii.learn(docs)
+    found = lambda text: [(k, text[s:e]) for k, s, e, _ in pii.all_spans(text, weights)]
+    for kind, surface in [("phone", "555-123-4567"), ("phone", "(212) 555 0100"), ("phone", "0044 20 7946 0958"), ("card", "4111.1111.1111.1111"),
+                          ("ip", "24[.]88[.]50[.]48"), ("email", "joe.doe [at] mail.example.org"), ("email", "kim77(at)host4.example.org")]:
+        assert found(f"please use {surface} for it") == [(kind, surface)], surface
+    for clean in ["4111.1111.1111.1112", "at 12:30 on 2024-01-15", "1,234,567 of 10 000 000", "pages 112-118 of version 3.11.2", "order 12345678",
+                  "1999 2000 2001 2002 2003", "3.141592653589793", "24[.]88[.]50[.]300", "meet me [at] home"]:
+        assert found(f"we saw {clean} there") == [], clean
+    joined = "ring +1 (269) 555-3296 452413227 now"  # the pattern runs on and fails
+    assert pii.base_spans(joined) == [] and found(joined)[:1] == [("phone", "+1 (269) 555-3296")]
+    assert {(r.doc_id, len(r.spans)) for r in pii.find_spans(docs, weights).where("doc_id >= 150").collect()} == {(150, 0), (151, 0)}
+    assert pii.learn(docs.where("false")) == {}
+
+
+def test_segments_are_the_best_of_all_segmentations():
+    weights = pii.train(list(_calls(30)))
+    for text in ["at +1 (212) 555-0100 x", "a@b.org 7", "10[.]2[.]3[.]4", "5 555-123-4567"]:
+        pieces = pii._pieces(text, 0, len(text))
+        edges = pii._scored(len(pieces), pii._candidates(text, pieces), weights)
+
+        def paths(j):
+            return [((), 0.0)] if j == 0 else [((*p, (i, j, kind)), total + s) for i, kind, s, _ in edges[j] for p, total in paths(i)]
+        every = paths(len(pieces))
+        best = max(every, key=lambda p: p[1])
+        assert [(k, s, e) for k, s, e, _ in pii.best_segments(text, pieces, weights)] == [
+            (kind, pieces[i][0], pieces[j - 1][1]) for i, j, kind in best[0] if kind]
+        top = max(s for _, s in every)
+        whole = top + np.log(sum(np.exp(s - top) for _, s in every))
+        assert pii._forward_backward(edges)[0][-1] == pytest.approx(whole)
+
+
+def test_base_spans_equal_a_plain_search():
+    rng = np.random.default_rng(8)
+    alphabet = list("0123456789" * 3 + ".-+() @ab%\u00e9\n")
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet, 60)) + rng.choice(["4111 1111-11111111", "+1 (212) 555-0100", "1.22.3.255", "a@b.co"])
+        digits = lambda m: [int(c) for c in m[0] if c in "0123456789"]
+        check = lambda d: sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and check(digits(m))]
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
+        assert pii.base_spans(text) == want, text
+
+
 def test_decontamination_finds_edited_copies(spark, docs, empty):
     rng = np.random.default_rng(9)
     names = [f"w{k}" for k in range(3000)]
