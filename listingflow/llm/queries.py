@@ -108,34 +108,44 @@ def op7(spark, sf_dir):
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
-_LICENSE_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in sorted(licenses.TEMPLATES.items()))
+_LICENSE_VALUES = ", ".join("({}, '{}', '{}')".format(k, name, line.replace("'", "''")) for k, (name, line) in enumerate(licenses.TEMPLATES))
+_FOLDERS = ", ".join(f"COALESCE(floor(doc_id / {size})::BIGINT::VARCHAR, 'none')" for size in licenses.FOLDERS)
 
 
 @query("op2_license_scan", rf"""
-WITH t AS (SELECT * FROM (VALUES {_LICENSE_VALUES}) AS v(license, line)),
-tw AS (SELECT license, UNNEST(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM t),
-idf AS (SELECT term, ln((1 + 10)::DOUBLE / (1 + COUNT(DISTINCT license))) + 1 AS idf FROM tw GROUP BY term),
-tf AS (SELECT license, term, COUNT(*) * ANY_VALUE(idf) AS weight FROM tw JOIN idf USING (term) GROUP BY license, term),
-tv AS (SELECT license, term, weight / sqrt(SUM(weight * weight) OVER (PARTITION BY license)) AS unit FROM tf),
-f AS (SELECT doc_id, text, concat_ws('/', COALESCE(source, 'none'), COALESCE(lang, 'none'), COALESCE(floor(doc_id / 50)::BIGINT::VARCHAR, 'none')) AS directory,
+WITH RECURSIVE t AS (SELECT * FROM (VALUES {_LICENSE_VALUES}) AS v(template, license, line)),
+tw AS (SELECT template, license, UNNEST(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM t),
+idf AS (SELECT term, ln((1 + {len(licenses.TEMPLATES)})::DOUBLE / (1 + COUNT(DISTINCT template))) + 1 AS idf FROM tw GROUP BY term),
+tf AS (SELECT template, license, term, COUNT(*) * ANY_VALUE(idf) AS weight FROM tw JOIN idf USING (term) GROUP BY template, license, term),
+tv AS (SELECT template, license, term, weight / sqrt(SUM(weight * weight) OVER (PARTITION BY template)) AS unit FROM tf),
+f0 AS (SELECT doc_id, text, COALESCE(source, 'none') || '/' || COALESCE(lang, 'none') AS top, [{_FOLDERS}] AS levels,
         COALESCE(len(regexp_split_to_array(text, '[ 	-
 ]+')) <= 60 AND regexp_matches(text, '{licenses.HINT}'), FALSE) AS is_license FROM documents),
-l AS (SELECT doc_id, line, ROW_NUMBER() OVER () AS line_no FROM (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line FROM f)
-      WHERE regexp_matches(line, '{licenses.HINT}')),
-w AS (SELECT doc_id, line_no, term, COUNT(*) * COALESCE(ANY_VALUE(idf), ln(11::DOUBLE) + 1) AS weight
+f AS (SELECT doc_id, text, is_license, array_to_string(list_concat([top],
+        levels[1:{len(licenses.FOLDERS)} - CASE WHEN is_license THEN COALESCE(doc_id % {len(licenses.FOLDERS) + 1}, 0) ELSE 0 END]), '/') AS directory FROM f0),
+x AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM f WHERE regexp_matches(text, '{licenses.HINT}')),
+y AS (SELECT doc_id, lines, i, UNNEST(range(1, {licenses.BLOCK + 1})) AS size FROM (SELECT doc_id, lines, UNNEST(range(1, len(lines) + 1)) AS i FROM x)),
+z AS (SELECT doc_id, size, lines[i:i + size - 1] AS part FROM y WHERE i + size - 1 <= len(lines)),
+l AS (SELECT doc_id, array_to_string(part, ' ') AS line, ROW_NUMBER() OVER () AS line_no FROM z
+      WHERE len(list_filter(part, lambda x: regexp_matches(x, '{licenses.HINT}'))) > 0
+        AND (size = 1 OR len(list_filter(part, lambda x: length(x) > {licenses.WRAPPED})) = 0)),
+w AS (SELECT doc_id, line_no, term, COUNT(*) * COALESCE(ANY_VALUE(idf), ln({1 + len(licenses.TEMPLATES)}::DOUBLE) + 1) AS weight
       FROM (SELECT doc_id, line_no, UNNEST(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM l) LEFT JOIN idf USING (term)
       GROUP BY doc_id, line_no, term),
 n AS (SELECT line_no, sqrt(SUM(weight * weight)) AS norm FROM w GROUP BY line_no),
 s AS (SELECT w.doc_id, tv.license, ROUND(SUM(weight * unit) / ANY_VALUE(norm), 6) AS score
-      FROM w JOIN tv USING (term) JOIN n USING (line_no) GROUP BY w.doc_id, line_no, tv.license),
+      FROM w JOIN tv USING (term) JOIN n USING (line_no) GROUP BY w.doc_id, line_no, tv.template, tv.license),
 o AS (SELECT doc_id, license AS own_license, score AS own_score FROM
-      (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= 0.6) WHERE k = 1),
+      (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM s WHERE score >= {licenses.THRESHOLD}) WHERE k = 1),
 m AS (SELECT f.doc_id, directory, is_license, own_license, own_score FROM f LEFT JOIN o USING (doc_id)),
 d AS (SELECT directory AS ancestor, own_license AS license FROM
-      (SELECT *, ROW_NUMBER() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license) AS k FROM m WHERE is_license AND own_license IS NOT NULL) WHERE k = 1)
-SELECT doc_id, directory || '/' || CASE WHEN is_license THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path,
+      (SELECT *, ROW_NUMBER() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license) AS k FROM m WHERE is_license AND own_license IS NOT NULL) WHERE k = 1),
+up AS (SELECT DISTINCT directory, directory AS ancestor FROM m
+       UNION ALL SELECT directory, regexp_replace(ancestor, '/?[^/]*$', '') FROM up WHERE ancestor <> ''),
+near AS (SELECT directory, arg_max(ancestor, length(ancestor)) AS ancestor FROM up SEMI JOIN d USING (ancestor) GROUP BY directory)
+SELECT doc_id, m.directory || '/' || CASE WHEN is_license THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path,
        own_license, own_score, COALESCE(own_license, license) AS license, CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from
-FROM m LEFT JOIN d ON d.ancestor = m.directory
+FROM m LEFT JOIN near ON near.directory = m.directory LEFT JOIN d USING (ancestor)
 """)
 def op2(spark, sf_dir):
     return licenses.scan(licenses.document_files(table(spark, sf_dir, "documents")))

@@ -325,6 +325,32 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("CC-BY-NC-4.0", None), 4: ("Apache-2.0", None), 5: ("Apache-2.0", "a/b/c"), 6: (None, None), 7: (None, None)}
 
 
+def test_license_headers_wrapped_notices_and_files(spark):
+    own = {"SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "// SPDX-License-Identifier: BSD-3-Clause\nint x;": "BSD-3-Clause",
+           "You can redistribute it and/or modify it\nunder the terms of the GNU General Public License as\npublished by the Free Software Foundation, either version 3 of\nthe License, or later.": "GPL-3.0",
+           "* Licensed under the Apache\n* License, Version 2.0.\n* more": "Apache-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0",
+           "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:": "BSD-3-Clause",
+           "we talk of a license to fish in the river": None, "SPDX-License-Identifier: ISC": None, "cc me on this": None,
+           "\n".join(["plain words here"] * 50000 + ["Released under the", "MIT License."]): "MIT"}
+    rows = [(k, f"p{k}/x.c", text, "row", 0) for k, text in enumerate(own)]
+    files = spark.createDataFrame([*rows, rows[0], (None, None, None, None, None)], "doc_id long, path string, text string, row_no string, score int")
+    got = licenses.scan(files).collect()
+    assert sorted((r.doc_id, r.own_license) for r in got if r.doc_id is not None) == sorted([*enumerate(own.values()), (0, "MIT")], key=lambda x: x[0])
+    assert len(got) == len(rows) + 2 and licenses.scan(files.where("false")).count() == 0
+
+
+def test_license_files_stand_above_leaf_folders_and_ties_are_settled(spark, docs):
+    notice = {n: t for n, t in reversed(licenses.NOTICES)}
+    rows = [(0, "code"), (3, notice["MIT"]), (49, "code"), (51, "code"), (1001, "code"), (2, notice["GPL-3.0"]), (6, notice["Apache-2.0"]), (50001, "code")]
+    table = spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.path, r.license, r.inherited_from) for r in licenses.scan(licenses.document_files(table)).collect()}
+    # id 3: three levels up; ids 2 and 6: two levels up, of equal score
+    assert got[3][0] == "web/en/LICENSE-3" and got[2][0] == "web/en/0/LICENSE-2"
+    assert got[0] == got[0][:1] + ("Apache-2.0", "web/en/0") and got[51][1:] == got[1001][1:] == ("Apache-2.0", "web/en/0")
+    assert got[50001] == ("web/en/1/50/1000/50001.txt", "MIT", "web/en")
+    assert licenses.scan(licenses.document_files(docs)).count() == len(ROWS)
+
+
 def test_pipeline_stages_return_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
