@@ -98,3 +98,16 @@ def test_a_source_that_stops_or_never_lists_goes_stale_once(spark, tmp_path):
     hours = lambda ms: (ms / 3_600_000 - 24 * 19723)  # 2024-01-01
     found = sorted((r.source_id, hours(r.last_listing), hours(r.stale_from)) for r in got.collect())
     assert found == [(2, 48, 84), (4, 48, 84), (5, 24, 60), (5, 72, 108)]
+
+
+def test_state_has_no_more_partitions_than_cores(spark):
+    """Every partition of every keyed operator costs a store and a worker in each batch, also an empty one."""
+    from listingflow.streaming.runner import PARTITIONS, with_rocksdb
+    before = spark.conf.get(PARTITIONS)
+    try:
+        spark.conf.set(PARTITIONS, "200")
+        with with_rocksdb(spark):
+            assert int(spark.conf.get(PARTITIONS)) == max(spark.sparkContext.defaultParallelism, 8)
+        assert spark.conf.get(PARTITIONS) == "200"
+    finally:
+        spark.conf.set(PARTITIONS, before)
