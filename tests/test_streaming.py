@@ -111,3 +111,13 @@ def test_state_has_no_more_partitions_than_cores(spark):
         assert spark.conf.get(PARTITIONS) == "200"
     finally:
         spark.conf.set(PARTITIONS, before)
+
+
+def test_staleness_needs_no_python_worker(spark, tmp_path):
+    from listingflow.streaming import health
+    from listingflow.streaming.runner import stream_of, utc_events
+    step = events(spark, range(2))
+    step.write.parquet(str(tmp_path / "in"))
+    e = utc_events(stream_of(spark, str(tmp_path / "in"), step)).withWatermark("ts", "1 hour")
+    plan = health.stale_spells(X.stream_runs(e, "user_id"))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan
