@@ -121,3 +121,13 @@ def test_staleness_needs_no_python_worker(spark, tmp_path):
     e = utc_events(stream_of(spark, str(tmp_path / "in"), step)).withWatermark("ts", "1 hour")
     plan = health.stale_spells(X.stream_runs(e, "user_id"))._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in plan
+
+
+def test_reconcile_covers_the_last_day(spark, tmp_path):
+    from listingflow.plans.streams import stream_reconcile
+    whole = events(spark, [8, 9, 20])
+    whole.write.parquet(str(tmp_path / "events.parquet"))
+    got = stream_reconcile(spark, str(tmp_path)).select("source_id", "job_key", "last_seen", "status")
+    expected = batch_state(whole).selectExpr("source_id", "job_key", "CAST(last_seen AS STRING) AS last_seen", "status")
+    assert rows(got) == rows(expected)
+    assert got.filter("last_seen = '2024-01-21'").count()
