@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import fixed_values as V
 from ..functions.dates import utc_to_local_date
 from ..functions.rules import without_boilerplate
-from ..functions.text import normalize_text
+from ..functions.text import let, normalize_text
 from ..session import work_path
 
 @dataclass(frozen=True)
@@ -33,15 +33,20 @@ class SavedSearch:
 
 
 def parse_query(c: Column) -> Column:
-    """Struct (positive, negative, unclosed_quote) of a query text column."""
-    tokens = F.regexp_extract_all(c, F.lit(r'(-?"[^"]+"|[^\s,，"]+)'), F.lit(1))
-    terms = F.filter(F.transform(tokens, lambda t: F.struct(
-        t.startswith("-").alias("minus"),
-        F.trim(F.regexp_replace(t, r'\A-|"', "")).alias("term"))), lambda t: t["term"] != "")
-    return F.struct(
-        F.transform(F.filter(terms, lambda t: ~t["minus"]), lambda t: t["term"]).alias("positive"),
-        F.transform(F.filter(terms, lambda t: t["minus"]), lambda t: t["term"]).alias("negative"),
-        (F.regexp_count(c, F.lit('"')) % 2 == 1).alias("unclosed_quote"))
+    """Struct (positive, negative, unclosed_quote) of a query text column.  The text and its terms are computed once: as a
+    plain struct the optimiser would put them into every field that is read."""
+    def parsed(q):
+        tokens = F.regexp_extract_all(q, F.lit(r'(-?"[^"]+"|[^\s,，"]+)'), F.lit(1))
+        terms = F.filter(F.transform(tokens, lambda t: F.struct(
+            t.startswith("-").alias("minus"),
+            F.trim(F.replace(F.when(t.startswith("-"), F.substr(t, F.lit(2))).otherwise(t), F.lit('"'), F.lit(""))).alias("term"))),
+            lambda t: t["term"] != "")
+        return let(terms, lambda ts: F.struct(
+            F.transform(F.filter(ts, lambda t: ~t["minus"]), lambda t: t["term"]).alias("positive"),
+            F.transform(F.filter(ts, lambda t: t["minus"]), lambda t: t["term"]).alias("negative"),
+            (F.regexp_count(q, F.lit('"')) % 2 == 1).alias("unclosed_quote")))
+
+    return let(c, parsed)
 
 
 def keyword_terms(c: Column) -> Column:

@@ -67,9 +67,11 @@ _WORDS = "regexp_extract_all(text, '[a-z]+'{})"
 
 
 def _words(spark, sf):
-    w = F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", "text", *[
-        F.coalesce(F.try_element_at(w, F.lit(i)), F.lit("none")).alias(f"w{i}") for i in (1, 2, 3, 4)])
+    # the words are cut out once, and only from the piece that holds the first four
+    head = F.regexp_extract("text", r"\A(?:[^a-z]*+[a-z]++){0,4}", 0)
+    w = text_table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract_all(head, F.lit("[a-z]+"), F.lit(0)).alias("_w"))
+    return w.select("doc_id", "text", *[
+        F.coalesce(F.try_element_at("_w", F.lit(i)), F.lit("none")).alias(f"w{i}") for i in (1, 2, 3, 4)])
 
 
 _TYPED = """'"' || w1 || ' ' || w2 || '" -' || w3 || '，-"' || w1 || ' x",' || w4 || CASE WHEN doc_id % 4 = 0 THEN ' "open' ELSE '' END || ' ' || text"""

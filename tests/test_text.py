@@ -239,3 +239,12 @@ def test_explicit_empty(spark):
     df = spark.createDataFrame([(0, True, 0), (0, True, 1), (0, False, 0), (3, True, 0)], "n int, notice boolean, bad int")
     rows = df.select(pages.explicit_empty(F.col("n"), F.col("notice"), F.col("bad")).alias("v")).collect()
     assert [r["v"] for r in rows] == [True, False, False, False]
+
+
+def test_a_parsed_query_is_computed_once(spark):
+    from listingflow.operators import search
+    rows = spark.createDataFrame([('a -b "c d" -"e f",--g "h',), (None,), ("",), ('-" " - ""',)], "q string")
+    parsed = rows.select(search.parse_query(F.concat("q", F.lit(""))).alias("p")).select("p.positive", "p.negative", "p.unclosed_quote")
+    assert [tuple(r) for r in parsed.collect()] == [
+        (["a", "c d", "h"], ["b", "e f", "-g"], True), (None, None, None), ([], [], False), ([], [], False)]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
