@@ -8,39 +8,50 @@ from .. import fixed_values as V
 
 def listing_evidence(pages: DataFrame, listing: str = "listing_id", page: str = "page",
                      ref: str = "ref", total: Column | None = None,
-                     page_size: Column | None = None) -> DataFrame:
+                     page_size: Column | None = None, refused: Column | None = None) -> DataFrame:
     """One row per listing: reasons why its pages do not prove it whole (none = whole).
 
     Rows first shrink to (listing, page, ref) counts map-side, so neither a hot listing
     nor a distinct count over it meets one task.  ``total`` is the total that each page
-    declares; without it the page range itself is the claim.
+    declares; without it the page range itself is the claim.  Every cell then counts once for its page and
+    once for its ref in the same grouping, so the rows are computed once and not joined to themselves.
+
+    ``refused`` marks rows that stand for a page that could not be read: a reason of its own, also of a listing without any other page.
     """
     claim = total if total is not None else F.lit(None).cast("bigint")
     size = page_size if page_size is not None else F.lit(None).cast("bigint")
+    lost = refused if refused is not None else F.lit(False)
     cells = pages.select(
-        F.col(listing).alias("listing_id"), F.col(page).alias("page"), F.col(ref).alias("ref"),
+        F.col(listing).alias("listing_id"), F.col(page).alias("page"), F.col(ref).alias("ref"), lost.alias("refused"),
         claim.alias("declared"), size.alias("size")
-    ).groupBy("listing_id", "page", "ref").agg(
+    ).filter("refused OR listing_id IS NOT NULL").groupBy("listing_id", "page", "ref", "refused").agg(
         F.count("*").alias("n"), F.min("declared").alias("lo"), F.max("declared").alias("hi"),
         F.max("size").alias("size"))
-    by_page = cells.groupBy("listing_id", "page").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"))
-    by_ref = cells.groupBy("listing_id", "ref").agg(F.count("*").alias("n_on"))
-    listing_pages = by_page.groupBy("listing_id").agg(
-        F.sum("n").alias("n_rows"), F.count("*").alias("n_pages"), F.min("page").alias("first_page"),
-        F.max("page").alias("last_page"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.max("size").alias("size"), F.max("n").alias("largest_page"))
-    listing_refs = by_ref.groupBy("listing_id").agg(
-        F.count("*").alias("n_refs"), F.count_if(F.col("n_on") > 1).alias("n_overlap"))
-    e = listing_pages.join(listing_refs, "listing_id")
+    sides = F.when(F.col("refused"), F.array(F.lit("refused"))).otherwise(F.array(F.lit("page"), F.lit("ref")))
+    by_side = cells.withColumn("side", F.explode(sides)).select(
+        "listing_id", "side", F.when(F.col("side") != "ref", F.col("page")).alias("page"),
+        F.when(F.col("side") == "ref", F.col("ref")).alias("ref"), "n", "lo", "hi", "size"
+    ).groupBy("listing_id", "side", "page", "ref").agg(
+        F.count("*").alias("n_on"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("size").alias("size"))
+    of_page = lambda c: F.when(F.col("side") == "page", F.col(c))
+    e = by_side.groupBy("listing_id").agg(
+        F.sum(of_page("n")).alias("n_rows"), F.count_if(F.col("side") == "page").alias("n_pages"), F.min(of_page("page")).alias("first_page"),
+        F.max(of_page("page")).alias("last_page"), F.min(of_page("lo")).alias("lo"), F.max(of_page("hi")).alias("hi"),
+        F.max(of_page("size")).alias("size"), F.max(of_page("n")).alias("largest_page"),
+        F.count_if(F.col("side") == "ref").alias("n_refs"), F.count_if((F.col("side") == "ref") & (F.col("n_on") > 1)).alias("n_overlap"),
+        F.coalesce(F.sum(F.when(F.col("side") == "refused", F.col("n"))), F.lit(0)).alias("n_refused"))
+    read = F.col("n_rows").isNotNull()
+    e = e.withColumns({c: F.when(read, F.col(c)) for c in ("n_pages", "n_refs", "n_overlap")})
     reasons = F.array_compact(F.array(
         F.when(F.col("lo") != F.col("hi"), "total changed"),
         F.when((F.col("first_page") != 1) | (F.col("last_page") != F.col("n_pages")), "pages missing"),
         F.when(F.col("n_overlap") > 0, "id repeated across pages"),
         F.when(F.col("n_refs") != F.coalesce("hi", "n_rows"), "count differs from total"),
         F.when((F.col("largest_page") > F.col("size"))
-               | (F.ceil(F.col("hi") / F.col("size")) != F.col("n_pages")), "page size inconsistent")))
-    return e.withColumn("reasons", reasons).withColumn("whole", F.size("reasons") == 0)
+               | (F.ceil(F.col("hi") / F.col("size")) != F.col("n_pages")), "page size inconsistent"),
+        F.when(F.col("n_refused") > 0, "page refused")))
+    e = e.withColumn("reasons", reasons).withColumn("whole", F.size("reasons") == 0)
+    return e if refused is not None else e.drop("n_refused")
 
 
 def said_empty(runs: DataFrame) -> Column:

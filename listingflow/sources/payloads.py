@@ -11,12 +11,17 @@ DETAIL_SCHEMA = ("struct<category:string,key:string,"
                  "components:array<struct<type:string,content:struct<text:string>>>>")
 
 
-def listing_rows(pages: DataFrame, payload: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of successful payload pages with the total each page declares; the rest are rejects."""
-    parsed = pages.withColumn("_p", F.from_json(payload, LISTING_SCHEMA))
+def _parsed(pages: DataFrame, payload: str) -> tuple[DataFrame, Column, Column]:
+    """Pages with their payload read (``_p``), the total a page declares and whether it can be used."""
     total = F.col("_p.data.totalCount")
     good = (F.col("_p.status") == "Success") & total.isNotNull() & (total >= 0) & F.col(
         "_p.data.requisitions").isNotNull()
+    return pages.withColumn("_p", F.from_json(payload, LISTING_SCHEMA)), total, good
+
+
+def listing_rows(pages: DataFrame, payload: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of successful payload pages with the total each page declares; the rest are rejects."""
+    parsed, total, good = _parsed(pages, payload)
     rows = parsed.filter(good).select(
         key, total.alias("declared_total"), F.posexplode("_p.data.requisitions").alias("pos", "r")).select(
         key, "declared_total", "pos", F.col("r.id").alias("reference"), F.col("r.title").alias("title"))
@@ -26,15 +31,14 @@ def listing_rows(pages: DataFrame, payload: str, key: str) -> tuple[DataFrame, D
 def proved_listings(pages: DataFrame, payload: str, page_size: Column | None = None) -> DataFrame:
     """Evidence of listings that come as payload pages (listing_id, page): the totals that their pages declare count, and a
     page that was refused is a reason of its own, also where no page of the listing could be read."""
-    keyed = pages.select(F.struct("listing_id", "page").alias("_k"), payload)
-    rows, refused = listing_rows(keyed, payload, "_k")
-    flat = rows.select("_k.listing_id", "_k.page", F.col("reference").alias("ref"), "declared_total")
-    e = listing.listing_evidence(flat, total=F.col("declared_total"), page_size=page_size)
-    lost = refused.groupBy(F.col("_k.listing_id").alias("listing_id")).agg(F.count("*").alias("n_refused"))
-    both = e.join(lost, "listing_id", "full_outer").withColumn("n_refused", F.coalesce("n_refused", F.lit(0)))
-    told = F.when(F.col("n_refused") > 0, F.array(F.lit("page refused"))).otherwise(F.array().cast("array<string>"))
-    return both.withColumn("reasons", F.concat(F.coalesce("reasons", F.array().cast("array<string>")), told)).withColumn(
-        "whole", F.size("reasons") == 0)
+    parsed, total, good = _parsed(pages.select("listing_id", "page", payload), payload)
+    # one row per reference, and one for a refused page, so that pages are read once
+    ref = lambda r: F.struct(F.lit(False).alias("refused"), r["id"].alias("ref"))
+    lost = F.array(F.struct(F.lit(True).alias("refused"), F.lit(None).cast("string").alias("ref")))
+    rows = parsed.select("listing_id", "page", F.when(good, total).alias("declared_total"), F.explode(
+        F.when(F.coalesce(good, F.lit(False)), F.transform("_p.data.requisitions", ref)).otherwise(lost)).alias("_r"))
+    flat = rows.select("listing_id", F.when(~F.col("_r.refused"), F.col("page")).alias("page"), "_r.ref", "_r.refused", "declared_total")
+    return listing.listing_evidence(flat, total=F.col("declared_total"), page_size=page_size, refused=F.col("refused"))
 
 
 def merged_body(payload: Column, text_kind: str = "CustomText", skip_kind: str = "CustomSpace") -> Column:
