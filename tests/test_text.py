@@ -247,4 +247,22 @@ def test_a_parsed_query_is_computed_once(spark):
     parsed = rows.select(search.parse_query(F.concat("q", F.lit(""))).alias("p")).select("p.positive", "p.negative", "p.unclosed_quote")
     assert [tuple(r) for r in parsed.collect()] == [
         (["a", "c d", "h"], ["b", "e f", "-g"], True), (None, None, None), ([], [], False), ([], [], False)]
-    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count(r"[^\s") == 1  # the pattern of the tokens
+
+
+def test_payload_pages_are_read_once(spark):
+    from listingflow.sources.payloads import proved_listings
+    page = lambda status, total, *ids: '{"status":"%s","data":{"totalCount":%d,"requisitions":[%s]}}' % (
+        status, total, ",".join('{"id":"%s","title":""}' % i for i in ids))
+    rows = [(1, 1, page("Success", 3, "a", "b")), (1, 2, page("Success", 3, "c")), (2, 1, page("Busy", 2, "a", "b")),
+            (3, 1, page("Success", 3, "a", "b")), (3, 2, page("Success", 3, "a")), (4, 1, page("Busy", 1)), (4, 2, page("Success", 3, "c")),
+            (None, 1, page("Busy", 1)), (None, 2, page("Success", 1, "a")), (5, 1, page("Success", 0))]
+    e = proved_listings(spark.createDataFrame(rows, "listing_id int, page int, payload string"), "payload", F.lit(2).cast("bigint"))
+    got = {r.listing_id: (r.n_rows, r.n_pages, r.reasons, r.whole) for r in e.collect()}
+    assert got == {
+        1: (3, 2, [], True), 2: (None, None, ["page refused"], False),
+        3: (3, 2, ["id repeated across pages", "count differs from total"], False),
+        4: (1, 1, ["pages missing", "count differs from total", "page size inconsistent", "page refused"], False),
+        None: (None, None, ["page refused"], False)}
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("from_json") == 1
