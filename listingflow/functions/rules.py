@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
-from .text import (contains_any, fold_text, holds, let, line_holds_any, matched_terms, nfkc, normalize_text, rx,
-                   text_lines)
+from .text import (fold_text, holds, let, line_holds_any, matched_terms, nfkc, normalize_term, normalize_text, rx,
+                   shared_pieces, text_lines)
 
 
 def role_of(title: Column, unicode_forms: bool = True) -> Column:
@@ -92,14 +92,19 @@ def with_subject_hits(df: DataFrame, text: Column, unicode_forms: bool = True) -
 
     The dictionary is configuration, so its terms are literals of the plan: no join and
     no shuffle.  A text is normalised once (a projection of its own, or the optimiser
-    would repeat it per term); a term costs a plain substring scan and only texts that
-    hold it pay for the bounded pattern; lines are folded only where a term may be.
+    would repeat it per term); pieces that several terms share are looked for once, a term
+    only where its piece is, and only texts that hold it pay for the bounded pattern; lines
+    are folded only where a term may be.
     """
     out = df.withColumn("_raw", text)
     out = out.withColumn("_formed", nfkc(F.col("_raw")) if unicode_forms else F.col("_raw"))
     out = out.withColumn("_folded", fold_text(F.col("_formed")))
+    pieces = shared_pieces(normalize_term(t) for *_, terms in V.SUBJECTS for t in terms)
+    held = {piece: f"_held_{i}" for i, piece in enumerate(dict.fromkeys(pieces.values()))}
+    out = out.withColumns({name: F.col("_folded").contains(piece) for piece, name in held.items()})
     found = {sid: f"_terms_{i}" for i, (sid, *_) in enumerate(V.SUBJECTS)}
-    out = out.withColumns({found[sid]: matched_terms(F.col("_folded"), terms) for sid, _, _, terms in V.SUBJECTS})
+    may_hold = lambda t: F.col(held[pieces[normalize_term(t)]]) if normalize_term(t) else F.lit(False)
+    out = out.withColumns({found[sid]: matched_terms(F.col("_folded"), terms, may_hold) for sid, _, _, terms in V.SUBJECTS})
     any_hit = F.lit(False)
     for name in found.values():
         any_hit = any_hit | (F.size(name) > 0)
@@ -111,7 +116,7 @@ def with_subject_hits(df: DataFrame, text: Column, unicode_forms: bool = True) -
         F.col(found[sid]).alias("terms"), _snippet(terms, F.col(found[sid])[0]).alias("snippet")))
         for sid, label, weight, terms in V.SUBJECTS]
     return out.withColumn("hits", F.array_compact(F.array(*hits))).drop(
-        "_raw", "_formed", "_folded", "_lines", *found.values())
+        "_raw", "_formed", "_folded", "_lines", *held.values(), *found.values())
 
 
 def score_of(hits: Column, role: Column, employment: Column) -> Column:
@@ -129,7 +134,8 @@ def is_match(hits: Column, score: Column, role: Column, employment: Column, sour
     if require_part_time:
         ok = ok & employment.isin(*V.PART_TIME_KINDS)
     if exclude:
-        ok = ok & ~let(normalize_text(searchable), lambda text: contains_any(text, list(exclude)))
+        lowered = F.lower(nfkc(F.coalesce(searchable, F.lit(""))))
+        ok = ok & ~let(lowered, lambda low: line_holds_any(low, list(exclude)))
     if institutions:
         ok = ok & source_id.isin(*institutions)
     return ok

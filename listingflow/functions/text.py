@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import Column, functions as F
 
@@ -11,10 +12,10 @@ from .. import fixed_values as V
 # Unicode white space plus the separators that also end a line.
 _WS = r"[\s\x1c-\x1f]"
 _BREAK = "[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
-# Characters that compatibility normalisation leaves alone when they stand in
-# precomposed text: ASCII, Latin-1 letters, general dashes/quotes, common Han.
-_NFKC_STABLE = ("[^\\x00-\\x7F\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u00FF\\u2010\\u2012-\\u2014"
-                "\\u2018\\u2019\\u201C\\u201D\\u3001\\u3002\\u4E00-\\u9FFF]")
+# The same characters one by one, behind a plain range that turns letters and Han away at once.
+_BLANK = ("[\\x00-\\x20\\x80-\\u3000&&[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]")
+# A run of them that is not already one blank.
+_BLANK_RUN = f"{_BLANK}(?:(?<! )|(?={_BLANK})){_BLANK}*"
 
 
 def rx(pattern: str, ignore_case: bool = True) -> str:
@@ -39,27 +40,61 @@ def clean_text(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility normalisation inside the JVM, by the ICU library Spark ships; only
-    texts it could change are handed over (never plain ASCII or everyday Latin text).
+    """Compatibility normalisation inside the JVM, by the ICU library Spark ships; plain ASCII
+    is not handed over, and the library passes normal text through faster than a pattern tests it.
 
     Spark counts a reflective call as non-deterministic, so use the result in a
     projection.  That also keeps the optimiser from repeating what is built on it.
     """
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    ascii_only = F.octet_length(c) == F.length(c)
-    return F.when(ascii_only, c).when(c.rlike(_NFKC_STABLE), composed).otherwise(c)
+    return F.when(~ascii_only(c), composed).otherwise(c)
 
 
-def holds(c: Column, pieces) -> Column:
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+#: The commonest characters of running text first; others are rarer.
+_COMMON_FIRST = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def shared_pieces(terms) -> dict[str, str]:
+    """For every term a piece of it, chosen (at plan time) so that few pieces serve all terms: a text
+    without the piece cannot hold the term.  Pieces under five bytes would spare few texts; of equal
+    ones the best is that whose first character is rare, as the search stops at each of those."""
+    def pieces(term):
+        return {term[i:j] for i in range(len(term)) for j in range(i + 1, len(term) + 1)
+                if len(term[i:j].encode()) >= 5} or {term}
+
+    left, chosen = {t: pieces(t) for t in terms if t}, {}
+    while left:
+        held = Counter(p for ps in left.values() for p in ps)
+        best = max(held, key=lambda p: (held[p], _COMMON_FIRST.find(p[0]) % 99, len(p), p))
+        chosen |= {t: best for t in left if best in left[t]}
+        left = {t: ps for t, ps in left.items() if best not in ps}
+    return chosen
+
+
+def _any_of(c: Column, pieces) -> Column:
     hit = F.lit(False)
     for piece in pieces:
         hit = hit | c.contains(piece)
     return hit
 
 
+def holds(c: Column, pieces) -> Column:
+    """Whether the text holds one of the pieces; what they share is looked for first."""
+    pieces = list(pieces)
+    shared = sorted(set(shared_pieces(pieces).values()))
+    exact = _any_of(c, pieces)
+    return _any_of(c, shared) & exact if "" not in pieces and len(shared) < len(pieces) else exact
+
+
 def _one_word(c: Column) -> Column:
+    # the patterns begin with plain characters, which Java looks for in leaps
     for word in ("part", "full"):
-        c = F.regexp_replace(c, rx(rf"\b{word}[\s-]*time\b", False), word + "time")
+        c = let(c, lambda v: F.when(v.contains(word), F.regexp_replace(
+            v, rx(rf"{word}(?<=\b{word})[\s-]*time\b", False), word + "time")).otherwise(v))
     return c
 
 
@@ -68,10 +103,15 @@ def fold_text(c: Column) -> Column:
 
     Substring tests decide whether a rewrite can change a text before it runs over it.
     """
-    c = let(F.lower(c), lambda v: F.when(
-        holds(v, V.DASHES), F.translate(v, V.DASHES, "-" * len(V.DASHES))).otherwise(v))
+    return fold_lowered(F.lower(c))
+
+
+def fold_lowered(c: Column) -> Column:
+    """``fold_text`` of a text that is in lower case already."""
+    c = let(c, lambda v: F.when(
+        ~ascii_only(v) & holds(v, V.DASHES), F.translate(v, V.DASHES, "-" * len(V.DASHES))).otherwise(v))
     c = let(c, lambda v: F.when(v.contains("time"), _one_word(v)).otherwise(v))
-    return F.trim(F.regexp_replace(c, f"(?U){_WS}+", " "))
+    return F.trim(F.regexp_replace(c, _BLANK_RUN, " "))
 
 
 def normalize_text(c: Column, unicode_forms: bool = True) -> Column:
@@ -98,14 +138,17 @@ def term_regex(term: str, plural: bool = False) -> str | None:
     Token characters are a-z and 0-9.  A term that begins (ends) with one must not have
     another right before (after) it, so "ai" is not found in "chair"; scripts without
     token characters match anywhere.  A plural also matches with an s after a letter.
+    The term stands first in the pattern, so Java looks for it in leaps; what comes before is
+    tested where it was found.
     """
     value = normalize_term(term)
     if not value:
         return None
-    before = r"(?:\A|[^a-z0-9])" if value[0] in _TOKEN else ""
-    after = r"(?:[^a-z0-9]|\z)" if value[-1] in _TOKEN else ""
+    term = re.escape(value)
+    before = f"(?<![a-z0-9]{term})" if value[0] in _TOKEN else ""
+    after = "(?![a-z0-9])" if value[-1] in _TOKEN else ""
     optional = "s?" if plural and value[-1] in _TOKEN and not value[-1].isdigit() else ""
-    return before + re.escape(value) + optional + after
+    return term + before + optional + after
 
 
 def contains_term(normalized: Column, term: str, plural: bool = False) -> Column:
@@ -126,7 +169,7 @@ def anchor(term: str) -> str:
 def line_holds_any(lowered: Column, terms: list[str]) -> Column:
     """Whether a lower-case line holds one of the terms; only candidate lines are folded."""
     pieces = sorted({anchor(t) for t in terms if normalize_term(t)})
-    return holds(lowered, pieces) & let(fold_text(lowered), lambda f: contains_any(f, terms))
+    return holds(lowered, pieces) & let(fold_lowered(lowered), lambda f: contains_any(f, terms))
 
 
 def contains_any(normalized: Column, terms: list[str], plural: bool = False) -> Column:
@@ -136,9 +179,9 @@ def contains_any(normalized: Column, terms: list[str], plural: bool = False) ->
     return hit
 
 
-def matched_terms(normalized: Column, terms: list[str]) -> Column:
-    """The terms that occur, in dictionary order."""
-    hits = [F.when(contains_term(normalized, t), F.lit(t)) for t in terms]
+def matched_terms(normalized: Column, terms: list[str], may_hold=lambda term: F.lit(True)) -> Column:
+    """The terms that occur, in dictionary order; ``may_hold`` is a cheaper test that they pass."""
+    hits = [F.when(may_hold(t) & contains_term(normalized, t), F.lit(t)) for t in terms]
     return F.array_compact(F.array(*hits))
 
 

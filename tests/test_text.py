@@ -266,3 +266,52 @@ def test_payload_pages_are_read_once(spark):
         None: (None, None, ["page refused"], False)}
     plan = e._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("from_json") == 1
+
+
+def test_terms_are_looked_for_by_shared_pieces_and_plain_characters(spark):
+    """score_max: a text is scanned once for the piece of several terms, and a pattern begins with its term."""
+    terms = ["philosophy", "philosophical", "moral philosophy", "ethics", "AI ethics", "", "通識", "c++"]
+    pieces = text.shared_pieces(map(text.normalize_term, terms))
+    assert all(piece in term for term, piece in pieces.items()) and len(pieces) == 7 and len(set(pieces.values())) == 4
+    assert all(text.term_regex(t).startswith(t) for t in ("philosophy", "通識"))
+    df = spark.createDataFrame([("Ethics of AI\nphilosophy",), ("bioethics, ethics2",), ("part\u2013\ntime Ethics",), (None,)], "t string")
+    hits = rules.with_subject_hits(df, F.coalesce("t", F.lit("")))
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [[(h.subject, h.terms, h.snippet) for h in r.hits] for r in hits.collect()] == [
+        [("philosophy", ["philosophy"], "philosophy"), ("ethics", ["ethics"], "Ethics of AI"), ("ai-humanities", ["ethics of AI"], "Ethics of AI")],
+        [], [("ethics", ["ethics"], "time Ethics")], []]
+    assert plan.count("AS _held_") == len(set(text.shared_pieces(
+        text.normalize_term(t) for *_, ts in rules.V.SUBJECTS for t in ts).values())) < 20
+
+
+def test_bounded_terms_as_stated_one_by_one(spark):
+    """The pattern that begins with the term finds what the statement of the rule finds."""
+    import itertools
+    import re
+    around = ["", " ", "a", "s", "s.", "ss", "9", "-", "é", "ai", "\n"]
+    texts = [b + t + a for b, t, a in itertools.product(around, ("ai", "c++", "通識", "aiai", "ai ai"), around)]
+    for term in ("ai", "c++", "通識", "ai ai"):
+        begins, ends = (r"(\A|[^a-z0-9])" if term[0].isascii() else ""), (r"([^a-z0-9]|\Z)" if term[-1] in "ai" else "")
+        for plural in (False, True):
+            stated = re.compile(begins + re.escape(term) + ("s?" if plural and term[-1] in "ai" else "") + ends)
+            rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.contains_term(F.col("t"), term, plural).alias("hit"))
+            assert [r.t for r in rows.collect() if r.hit != bool(stated.search(r.t))] == []
+
+
+def test_every_blank_folds_to_one(spark):
+    """normalize_text: runs of all white space become one blank, and nothing else does."""
+    blanks = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    df = spark.range(1, 0x3100).select("id", F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8").alias("c"))
+    folded = df.select("id", text.fold_text(F.concat(F.lit("x"), "c", F.lit("y"))).alias("one"),
+                       text.fold_text(F.concat(F.lit("x "), "c", "c", F.lit("y"))).alias("run")).collect()
+    assert [r.id for r in folded if r.one == "x y"] == blanks and [r.id for r in folded if r.run == "x y"] == blanks
+
+
+def test_an_exclusion_folds_only_texts_that_may_hold_it(spark):
+    """score_max: words in either form exclude; a text without their longest word is never folded."""
+    rows = spark.createDataFrame([("SEMINARS",), ("seminars2",), ("part\u2013\ntime",), ("Ｓｅｍｉｎａｒｓ here",), (None,)], "t string")
+    ok = rules.is_match(F.array(F.lit(1)), F.lit(100), F.lit("tutor"), F.lit("hourly"), F.lit("a"), F.col("t"), exclude=["seminars", "part-time"])
+    assert [r.m for r in rows.select(ok.alias("m")).collect()] == [False, True, False, False, True]
+    only = rules.is_match(F.array(F.lit(1)), F.lit(100), F.lit("tutor"), F.lit("hourly"), F.lit("a"), F.col("t"), exclude=["seminars"])
+    plan = rows.select(only.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index(", seminars)") < plan.index("regexp_replace")
