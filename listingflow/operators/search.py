@@ -158,9 +158,10 @@ def search_terms(searches: DataFrame) -> DataFrame:
     rows = searches.select("name", F.inline(terms)).withColumn("term", normalize_text(F.col("raw"))).filter("term <> ''")
     starts, ends = F.col("term").rlike(r"\A[a-z0-9]"), F.col("term").rlike(r"[a-z0-9]\z")
     plural = F.col("term").rlike(r"[a-z]\z")
-    pattern = F.concat(  # the term is in lower case, so it cannot hold the mark that ends a quotation
-        F.when(starts, r"(?:\A|[^a-z0-9])").otherwise(""), F.lit(r"\Q"), "term", F.lit(r"\E"),
-        F.when(plural, "s?").otherwise(""), F.when(ends, r"(?:[^a-z0-9]|\z)").otherwise(""))
+    quoted = F.concat(F.lit(r"\Q"), "term", F.lit(r"\E"))  # in lower case, so it cannot hold the mark that ends a quotation
+    pattern = F.concat(  # the term first: Java looks for plain characters in leaps, and tests there what comes before
+        quoted, F.when(starts, F.concat(F.lit("(?<![a-z0-9]"), quoted, F.lit(")"))).otherwise(""),
+        F.when(plural, "s?").otherwise(""), F.when(ends, "(?![a-z0-9])").otherwise(""))
     pieces = _pieces(F.col("term"))
     longest = F.array_max(F.transform(pieces, lambda piece, i: F.struct(
         F.length(piece).alias("n"), (-i).alias("at"), piece.alias("piece"))))

@@ -315,3 +315,20 @@ def test_an_exclusion_folds_only_texts_that_may_hold_it(spark):
     only = rules.is_match(F.array(F.lit(1)), F.lit(100), F.lit("tutor"), F.lit("hourly"), F.lit("a"), F.col("t"), exclude=["seminars"])
     plan = rows.select(only.alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index(", seminars)") < plan.index("regexp_replace")
+
+
+def test_patterns_of_searched_terms_begin_with_the_term(spark):
+    """saved_search_match: Java leaps through a text only for a pattern that begins with plain characters."""
+    table = search.searches_table(spark, [search.SavedSearch("s", query='ai c++ "r&d x" 通識 9z9')])
+    terms = search.search_terms(table).select("term", "pattern")
+    patterns = {r.term: r.pattern for r in terms.collect()}
+    assert set(patterns) == {"ai", "c++", "r&d x", "通識", "9z9"}
+    assert all(p.startswith(rf"\Q{t}\E") for t, p in patterns.items())
+    texts = {"ai": {"ai", "x ais", "ai."}, "c++": {"c++", " c++x"}, "通識": {"大通識課"}, "9z9": {"9z9"}, "r&d x": {"-r&d xs"}}
+    other = ["chair", "aisle", "9ai", "ai9", "xc++", "9z9s", "r&d xy", "通 識"]
+    held = [(t, v) for t in texts for v in sorted(set().union(*texts.values())) + other]
+    rows = spark.createDataFrame(held, "term string, t string").join(terms, "term").filter(F.rlike("t", F.col("pattern"))).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.term, set()).add(r.t)
+    assert got == texts
