@@ -131,3 +131,30 @@ def test_reconcile_covers_the_last_day(spark, tmp_path):
     expected = batch_state(whole).selectExpr("source_id", "job_key", "CAST(last_seen AS STRING) AS last_seen", "status")
     assert rows(got) == rows(expected)
     assert got.filter("last_seen = '2024-01-21'").count()
+
+
+def test_runs_without_rows_are_known_by_their_reports(spark):
+    e = events(spark, [3, 4, 7])
+    # a report beside rows is no record and changes nothing of its run
+    beside = spark.createDataFrame([(None, T0 + dt.timedelta(days=4, hours=5), u, X.REPORT, None, '{"explicit_empty": true, "listing_complete": true}')
+                                    for u in range(10)], EVENTS)
+    fields = ["source_id", "run_date", "n_jobs", "err_ratio", "listing_complete", "explicit_empty", "capability"]
+    got = X.stream_runs(e.unionByName(X.zero_run_reports(e)).unionByName(beside)).select(fields)
+    assert rows(got) == rows(X.with_zero_runs(X.run_evidence(e)).select(fields))
+    assert {(r.listing_complete, r.explicit_empty) for r in got.filter("n_jobs = 0").collect()} == {(True, True), (True, False), (False, False)}
+
+
+def test_stream_health_covers_runs_without_rows_and_the_last_day(spark, tmp_path):
+    from listingflow.operators import health
+    from listingflow.plans.streams import stream_health
+    # the sources of odd number stop after the first day
+    whole = events(spark, [8, 9, 20]).filter("user_id % 2 = 0 OR ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'")
+    whole.write.parquet(str(tmp_path / "events.parquet"))
+    got = stream_health(spark, str(tmp_path))
+    state = health.graded(listing.volume_fold(X.with_errors(X.with_zero_runs(X.run_evidence(whole)))))
+    expected = health.transitions(state).withColumn("created_at", F.col("created_at").cast("string")).select(got.columns)
+    assert rows(got) == rows(expected)
+    found = {(r.source_id, r.created_at, r.status) for r in got.collect()}
+    assert {s for s, at, status in found if status == "error" and at < "2024-01-09"}      # found nothing before its first row
+    assert {s for s, at, _ in found if s % 2 and at > "2024-01-09"}                       # after its last one
+    assert {s for s, at, _ in found if at > "2024-01-20"}
